@@ -57,7 +57,6 @@ def map_texts(
     bound_batches(spark)
     picked = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text"))
     out = f"`{key}` {picked.schema[0].dataType.simpleString()}, {schema}"
-    arrow = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -68,7 +67,6 @@ def map_texts(
     from pyspark.sql.types import _parse_datatype_string
 
     names = [f.name for f in _parse_datatype_string(out).fields]
-    del arrow
     return picked.mapInArrow(run, out)
 
 
