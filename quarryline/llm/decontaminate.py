@@ -179,8 +179,8 @@ def flagged(docs: DataFrame, items: list, window: int, number: int) -> DataFrame
 
 
 SQL = """
-with d as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') w from documents),
-b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') w from benchmark),
+with d as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') w from documents),
+b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') w from benchmark),
 bw as (select distinct item_id, k, list_slice(w, i, i + k - 1) g from (select item_id, w, least(13, len(w)) k, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) i from b where len(w) > 0)),
 ks as (select distinct k from bw),
 dw as (select r, i, k, list_slice(w, i, i + k - 1) g from (select r, w, k, unnest(generate_series(1, len(w) - k + 1)) i from d, ks where len(w) >= k)),

@@ -191,7 +191,8 @@ class Scorer:
         return out
 
     def margin(self, unit: str) -> float:
-        return max(self._margin(unit[i : i + CHARS]) for i in range(0, max(1, len(unit) - CHARS // 2), CHARS // 2))
+        letters = "".join(c for c in unit if c.isalnum() or c > "\x7f")  # the gaps closed as well
+        return max(self._margin(u[i : i + CHARS]) for u in {unit, letters} for i in range(0, max(1, len(u) - CHARS // 2), CHARS // 2))
 
     def _margin(self, unit: str) -> float:
         k = self.kernel.values(unit)
