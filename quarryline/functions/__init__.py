@@ -1 +1,37 @@
+"""Column helpers shared by the marts."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Bounds of a believable annual salary, and periods a year.
+SALARY_LOW, SALARY_HIGH = 10_000, 500_000
+PERIODS = {"HOURLY": 2080, "DAILY": 260, "WEEKLY": 52, "BIWEEKLY": 26, "MONTHLY": 12, "YEARLY": 1}
+
+
+def pct(part: Column, whole: Column, digits: int = 2) -> Column:
+    """A percentage, null over nothing."""
+    scale = float(10**digits)
+    return F.when(whole > 0, F.round(part.cast("double") * 100.0 / whole * scale) / scale)
+
+
+def valid_salary(currency: str = "currency", salary: str = "normalized_salary") -> Column:
+    """The salary where it is believable and in dollars, else null."""
+    s = F.col(salary)
+    return F.when((F.coalesce(F.col(currency), F.lit("USD")) == "USD") & s.between(SALARY_LOW, SALARY_HIGH), s)
+
+
+def annualized(amount: Column, period: Column) -> Column:
+    factor = F.lit(None).cast("double")
+    for name, n in reversed(PERIODS.items()):
+        factor = F.when(F.upper(period) == name, float(n)).otherwise(factor)
+    return amount * factor
+
+
+def median(c: Column) -> Column:
+    return F.round(F.median(c) * 100.0) / 100.0
+
+
+def f1(precision: Column, recall: Column) -> Column:
+    return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)

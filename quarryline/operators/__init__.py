@@ -1 +1 @@
-
+"""Markets, samples, scores and tests as DataFrame functions."""

@@ -1 +1,54 @@
+"""Tables: readers of the star schema, and posting-style views over it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders seen as postings: employer, pay, period, flags and level."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    return o.select(
+        key.alias("job_id"),
+        F.when(key % 17 != 0, F.col("o_custkey")).alias("company_id"),
+        F.to_date("o_orderdate").alias("posting_date"),
+        F.when(key % 5 != 0, F.col("o_totalprice")).alias("normalized_salary"),
+        F.when(key % 4 == 0, "HOURLY").when(key % 4 == 1, "MONTHLY").when(key % 4 == 2, "YEARLY").alias("pay_period"),
+        F.when(key % 9 == 0, "EUR").otherwise("USD").alias("currency"),
+        F.when(key % 8 == 0, 1).alias("remote_allowed"),
+        (key % 3 == 0).alias("sponsored"),
+        F.col("o_orderpriority").alias("experience_level"),
+    )
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    return (
+        c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+        .join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows by definition
+        .select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("company_size"), F.col("n_name").alias("country"), F.col("r_name").alias("region"))
+    )
+
+
+def job_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (job, industry): the nations of an order's suppliers."""
+    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    return l.join(s, l.l_suppkey == s.s_suppkey).select(F.col("l_orderkey").alias("job_id"), F.col("s_nationkey").alias("industry_id")).distinct()
+
+
+def job_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    return l.join(p, l.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("job_id"), F.col("p_brand").alias("skill_abr")).distinct()
+
+
+def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events seen as predictions: one per (item, method), the latest."""
+    e = table(spark, sf_dir, "events")
+    latest = e.groupBy("user_id", "event_type").agg(F.max_by(F.struct("value", "props"), F.struct("ts", "event_id")).alias("x"))
+    return latest.select(F.col("user_id").alias("item_id"), F.col("event_type").alias("method"), F.col("x.value").alias("value"), F.get_json_object("x.props", "$.k").cast("int").alias("k"))
