@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, bound_batches, cut, map_texts
+from .common import bound_batches, cut, map_texts
 
 WORDS = 4
 PERCENT = 85
@@ -45,8 +45,10 @@ SKETCH, BLOCKS = 1 << 20, 64
 FAN = 256
 KEY = 12  # bytes of a class key: no collision to expect among 10^11 sets
 
-_words = Recent(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
-
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,19 +56,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_power = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of a fixed odd number; the table grows with the longest word seen."""
+    global _power
+    if n > len(_power):
+        base = np.full(max(n, 64), 0xD1342543DE82EF95, np.uint64)
+        base[0] = 1
+        _power = np.multiply.accumulate(base)
+    return _power
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text: a polynomial over its bytes, for all words at once.
+    Long texts are taken in pieces that end at a blank."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        while end < len(data) and not _BLANK[data[end]]:
+            end += 1
+        raw = np.frombuffer(data, np.uint8, end - at, at)
+        at = end
+        inside = ~_BLANK[raw]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        own = raw[inside]
+        starts = np.flatnonzero(first[inside])
+        if not starts.size:
+            continue
+        sizes = np.diff(starts, append=len(own))
+        place = np.arange(len(own)) - np.repeat(starts, sizes)
+        out.append(_mix(np.add.reduceat(_BYTE[own] * _powers(int(sizes.max()))[place], starts) + sizes.astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """The distinct shingles of a text as ascending 64-bit hashes. Lower case for A-Z only; words
     are parted by blanks and the controls 9 to 13."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not h.size:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     k = min(k, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    out = _mix(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def set_key(s: np.ndarray) -> bytes:
