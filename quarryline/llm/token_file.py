@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,12 +99,12 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each word that recurs.
+    """The tokenizers library, asked once for each piece that recurs.
 
     Before a single space between two visible characters the library always splits, and a single
     line feed between two is a word of its own, so a text of such white space only is the sequence
-    of its pieces, and equal pieces have equal ids. All other texts (runs of blanks, tabs, special
-    tokens) go to the library whole."""
+    of its pieces, and equal pieces have equal ids. A text's new pieces go to the library in one
+    call, parted by line feeds. All other texts (runs of blanks, tabs, special tokens) go to it whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,20 +114,34 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = any(True for _ in self.library.get_added_tokens_decoder())
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.words = Recent(self.whole, 100_000)
-        self.pieces = Recent(lambda p: b"".join([self.words[w] for w in self.split.findall(p)]), 250_000)
+        self.pieces = Recent(self.whole, 250_000)
         self.line_feed = self.whole("\n")
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.ids(text).tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Take up pieces without white space but for a space in front."""
+        ids = self.ids("\n".join(pieces))
+        cuts = np.flatnonzero(ids == np.frombuffer(self.line_feed, self.dtype)[0])
+        packed, w = ids.tobytes(), self.dtype.itemsize
+        for p, a, b in zip(pieces, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+            self.pieces.put(p, packed[a * w : b * w])
 
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
         if "<|" in text or "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
             return self.whole(text)
+        own = text.replace("\n", "\n\0\n").replace(" ", "\n ").split("\n")
+        self.pieces["\0"] = self.line_feed
+        if new := [p for p in set(own) if p not in self.pieces and p not in self.pieces.old]:
+            self.learn(new)
         self.pieces["\0"] = self.line_feed
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", "\n\0\n").replace(" ", "\n ").split("\n")))
+        return b"".join(map(self.pieces.__getitem__, own))
 
 
 _encoders: dict[str, Encoder] = {}
