@@ -87,3 +87,53 @@ def set_scores(pairs: DataFrame, gold: str, pred: str) -> DataFrame:
 def deduplicated(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The first key of each distinct text, by digest; combines map-side."""
     return df.groupBy(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest")).agg(F.min(key).alias(key), F.count("*").alias("copies"))
+
+
+def routed(scores: DataFrame, rules: str, model: str) -> DataFrame:
+    """Three policies over the same items: the rules alone, the model alone, and the model only where
+    the rules are silent; with the model's calls."""
+    of = lambda m: F.max(F.when(F.col("method") == m, F.col("correct")))
+    items = scores.where(F.col("method").isin(rules, model)).groupBy("item_id").agg(of(rules).alias("r"), of(model).alias("m"))
+    policy = lambda name, c, call: F.struct(F.lit(name).alias("policy"), c.alias("correct"), call.cast("int").alias("call"))
+    every = F.array(policy("rules", F.col("r"), F.lit(False)), policy("model", F.col("m"), F.lit(True)), policy("rules_first", F.coalesce("r", "m"), F.col("r").isNull()))
+    return items.select(F.inline(every)).groupBy("policy").agg(F.count("*").alias("n"), F.sum(F.coalesce("correct", F.lit(0))).alias("n_correct"), F.sum("call").alias("calls"))
+
+
+def bootstrap(scores: DataFrame, baseline: str, draws: int = 5000, seed: int = 42) -> DataFrame:
+    """Paired bootstrap of each method's accuracy less the baseline's: mean and 95 % interval.
+
+    A difference is -1, 0 or 1, so the three counts say all about a sample: they are added up by
+    Spark, and a resample is one multinomial draw from them, however many items there are."""
+    import numpy as np
+
+    base = scores.where(F.col("method") == baseline).select("item_id", F.col("correct").alias("b"))
+    both = scores.where(F.col("method") != baseline).join(base, "item_id").select("method", (F.col("correct") - F.col("b")).alias("d"))
+    counts = both.groupBy("method").agg(*[F.count_if(F.col("d") == v).alias(n) for n, v in (("worse", -1), ("same", 0), ("better", 1))])
+
+    def resample(batches):
+        for f in batches:
+            own = np.zeros((len(f), 3))
+            for i, cells in enumerate(f[["worse", "same", "better"]].to_numpy()):
+                n = cells.sum()
+                drawn = np.random.default_rng(seed).multinomial(n, cells / n, draws)
+                own[i] = (cells[2] - cells[0]) / n, *np.percentile((drawn[:, 2] - drawn[:, 0]) / n, [2.5, 97.5])
+            yield f[["method"]].assign(difference=own[:, 0], ci_low=own[:, 1], ci_high=own[:, 2])
+
+    return counts.mapInPandas(resample, "method string, difference double, ci_low double, ci_high double")
+
+
+def role_skills(roles: DataFrame, skills: DataFrame, every: str = "All") -> DataFrame:
+    """Postings of each skill in each family, and in all of them, with the share of the family."""
+    total = roles.select("job_id", F.explode(F.array("family", F.lit(every))).alias("family"))
+    sizes = total.groupBy("family").agg(F.count("*").alias("role_postings"))
+    held = total.join(skills, "job_id").groupBy("skill_abr", "family").agg(F.count("*").alias("postings"))
+    return held.join(sizes, "family").select("skill_abr", "family", "postings", (F.round(F.col("postings") * 10000.0 / F.col("role_postings")) / 100.0).alias("share_pct"))
+
+
+def quality_report(df: DataFrame, rules: dict[str, Column], unique: str | None = None) -> DataFrame:
+    """``rule, failures``: rows that break each rule (null counts as broken), and rows that repeat a key."""
+    one = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()])
+    out = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("failures")) for n in rules])))
+    if unique:
+        out = out.union(df.groupBy(unique).count().agg(F.lit(f"unique_{unique}").alias("rule"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("failures")))
+    return out

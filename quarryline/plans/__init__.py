@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources as S
+from ..operators import extract as E
 from ..operators import market as M
 from ..operators import scoring as C
 
@@ -38,7 +39,28 @@ def skill_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.join(pred, "job_id", "left").withColumn("pred", F.coalesce("pred", F.array().cast("array<string>")))
 
 
+#: Words of the test documents that stand in for skills.
+SKILL_WORDS = {"river": r"\briver\b", "market": r"\bmarket\b", "house": r"\bhouse\b"}
+
+
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extractors over whole documents; the source stands in for a title."""
+    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("source").alias("title"), "text")
+    f = E.facts(d, SKILL_WORDS)
+    return f.select("job_id", "salary.low", "salary.high", "salary.period", "seniority", "years_min", "arrangement", F.array_join("skills.required", ",").alias("required"), F.array_join("skills.preferred", ",").alias("preferred"))
+
+
+def order_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"positive_price": F.col("o_totalprice") > 0, "has_customer": F.col("o_custkey").isNotNull(), "status_known": F.col("o_orderstatus").isin("F", "O")}
+    return C.quality_report(S.table(spark, sf_dir, "orders"), rules, "o_orderkey")
+
+
 QUERIES = {
+    "role_skills": lambda s, d: C.role_skills(roles(s, d), S.job_skills(s, d)),
+    "hybrid_routing": lambda s, d: C.routed(scores(s, d), "view", "click"),
+    "paired_bootstrap": lambda s, d: C.bootstrap(scores(s, d), "view"),
+    "quality_report": order_quality,
+    "document_facts": document_facts,
     "market_daily": market_daily,
     "market_overview": lambda s, d: M.overview(S.postings(s, d)),
     "market_companies": lambda s, d: M.by_company(S.postings(s, d), S.companies(s, d)),
@@ -82,6 +104,9 @@ def _share(codes: str, name: str) -> str:
 
 
 SQL = {
+    "role_skills": f"with {POSTINGS}, {ROLES}, {SKILLS}, e as (select job_id, family from r union all select job_id, 'All' from r), n as (select family, count(*) n from e group by 1) select code skill_abr, family, count(*) postings, round(count(*) * 10000.0::double / any_value(n)) / 100.0 share_pct from e join c using (job_id) join n using (family) group by code, family",
+    "hybrid_routing": f"with {SCORED}, i as (select item_id, max(correct) filter (method = 'view') r, max(correct) filter (method = 'click') m from s where method in ('view', 'click') group by 1) select 'rules' as policy, count(*) n, cast(sum(coalesce(r, 0)) as bigint) n_correct, cast(0 as bigint) calls from i union all select 'model', count(*), cast(sum(coalesce(m, 0)) as bigint), count(*) from i union all select 'rules_first', count(*), cast(sum(coalesce(r, m, 0)) as bigint), count(*) filter (r is null) from i",
+    "quality_report": "select 'positive_price' as rule, count(*) filter (not coalesce(o_totalprice > 0, false)) failures from orders union all select 'has_customer', count(*) filter (o_custkey is null) from orders union all select 'status_known', count(*) filter (not coalesce(o_orderstatus in ('F', 'O'), false)) from orders union all select 'unique_o_orderkey', cast(coalesce(sum(n - 1), 0) as bigint) from (select count(*) n from orders group by o_orderkey)",
     "market_daily": f"with {POSTINGS}, d as (select posting_date, {MEASURES} from f group by 1), g as (select cast(unnest(generate_series(min(posting_date), max(posting_date), interval 1 day)) as date) posting_date from p) select posting_date, coalesce(postings, 0) postings, coalesce(salary_postings, 0) salary_postings, median_salary, coalesce(remote_postings, 0) remote_postings, round(avg(coalesce(postings, 0)) over (order by posting_date rows between 6 preceding and current row) * 100.0) / 100.0 postings_7d from g left join d using (posting_date)",
     "market_overview": f"with {POSTINGS} select {MEASURES}, count(distinct company_id) companies, min(posting_date) first_date, max(posting_date) last_date, round(quantile_cont(salary, 0.25) * 100.0) / 100.0 p25_salary, round(quantile_cont(salary, 0.75) * 100.0) / 100.0 p75_salary, count(*) filter (sponsored) sponsored_postings, round(count(salary) * 100.0 / count(*) * 100.0) / 100.0 salary_coverage_pct, round(count(*) filter (is_remote) * 100.0 / count(*) * 100.0) / 100.0 remote_pct from f",
     "market_companies": f"with {POSTINGS}, {COMPANIES}, a as (select company_id, {MEASURES} from f where company_id is not null group by 1) select * from a left join k using (company_id)",

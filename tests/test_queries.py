@@ -22,7 +22,7 @@ def rows(names, found):
     return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in os.listdir(DATA):
