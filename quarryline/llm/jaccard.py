@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, map_texts
+from .common import bound_batches, cut
 
 WORDS = 4
 PERCENT = 85
@@ -43,6 +43,8 @@ ORDERS = 3
 SKETCH, BLOCKS = 1 << 20, 64
 #: Partners that are compared with one copy of a hub's text.
 FAN = 256
+#: Sets that a task remembers while it lists prefixes.
+SEEN = 200_000
 KEY = 12  # bytes of a class key: no collision to expect among 10^11 sets
 
 #: Bytes of a text that are hashed at a time.
@@ -57,22 +59,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_power = np.ones(1, np.uint64)
+_BASE = 0xD1342543DE82EF95
+_power = _inverse = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    """The first n powers of a fixed odd number; the table grows with the longest word seen."""
-    global _power
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a fixed odd number and of its inverse; the tables grow with the longest piece."""
+    global _power, _inverse
     if n > len(_power):
-        base = np.full(max(n, 64), 0xD1342543DE82EF95, np.uint64)
-        base[0] = 1
-        _power = np.multiply.accumulate(base)
-    return _power
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps[0] = 1
+            tables.append(np.multiply.accumulate(steps))
+        _power, _inverse = tables
+    return _power[:n], _inverse[:n]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text: a polynomial over its bytes, for all words at once.
-    Long texts are taken in pieces that end at a blank."""
+    """A 64-bit hash of each word of a text: a polynomial over its bytes, taken for all words at once
+    from running sums. Long texts are taken in pieces that end at a blank."""
     out, at = [], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
@@ -80,16 +86,16 @@ def word_hashes(data: bytes) -> np.ndarray:
             end += 1
         raw = np.frombuffer(data, np.uint8, end - at, at)
         at = end
-        inside = ~_BLANK[raw]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        own = raw[inside]
-        starts = np.flatnonzero(first[inside])
-        if not starts.size:
+        inside = np.zeros(len(raw) + 2, bool)
+        np.logical_not(_BLANK[raw], out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        if not edges.size:
             continue
-        sizes = np.diff(starts, append=len(own))
-        place = np.arange(len(own)) - np.repeat(starts, sizes)
-        out.append(_mix(np.add.reduceat(_BYTE[own] * _powers(int(sizes.max()))[place], starts) + sizes.astype(np.uint64)))
+        starts, ends = edges[::2], edges[1::2]
+        power, inverse = _powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * power, out=sums[1:])
+        out.append(_mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -114,49 +120,63 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def minima(s: np.ndarray, orders: int = ORDERS) -> list[int]:
-    return [int(_mix(s ^ np.uint64(0xA5A5A5A5 * (i + 1))).min()) >> 1 for i in range(orders)]
+    """The smallest shingle under each of a few orders (multiplied by odd numbers, so distinct stay distinct)."""
+    return [int((s * (_BYTE[i] | np.uint64(1))).min()) >> 1 for i in range(orders)]
 
 
 def features(docs: DataFrame, k: int, orders: int) -> DataFrame:
-    def make():
-        def fn(_, texts):
-            sets = [shingles(t, k) for t in texts]
+    """``doc_id, n_shingles, cls, mins`` of every row and, from each task, the blocks of its part of the
+    frequency sketch (``block, counts``, the other columns null): the texts are read once for both."""
+    import zstandard
+
+    spark, width = docs.sparkSession, SKETCH // BLOCKS
+    bound_batches(spark)
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    ddl = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls binary, mins array<bigint>, block int, counts binary"
+    names = ["doc_id", "n_shingles", "cls", "mins", "block", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = np.zeros(SKETCH, np.uint32), None
+        for b in batches:
+            kind = b.column(0).type
+            sets = [shingles(t, k) for t in b.column(1).to_pylist()]
+            if sets:
+                np.add.at(total, (np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), np.uint32(1))
             mins = [minima(s, orders) if s.size else None for s in sets]
-            return [
+            cols = [
+                b.column(0),
                 pa.array([s.size for s in sets], pa.int64()),
                 pa.array([set_key(s) if s.size else None for s in sets], pa.binary()),
                 pa.array(mins, pa.list_(pa.int64())),
+                pa.nulls(len(sets), pa.int32()),
+                pa.nulls(len(sets), pa.binary()),
             ]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+        if kind is not None:
+            z = zstandard.ZstdCompressor(level=1)
+            parts = [z.compress(total[i * width : (i + 1) * width].tobytes()) for i in range(BLOCKS)]
+            blank = [pa.nulls(BLOCKS, t) for t in (kind, pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-        return fn
+    return picked.mapInArrow(run, ddl)
 
-    return map_texts(docs, make, "n_shingles bigint, cls binary, mins array<bigint>")
 
-
-def frequencies(docs: DataFrame, k: int) -> np.ndarray:
+def frequencies(parts: DataFrame) -> np.ndarray:
     """Logarithms of the shingles' corpus frequencies by sketch counter, one byte each."""
-    spark, width = docs.sparkSession, SKETCH // BLOCKS
-    bound_batches(spark)
+    import zstandard
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                np.add.at(total, (shingles(t, k) % np.uint64(SKETCH)).astype(np.int64), np.uint32(1))
-        for i in range(BLOCKS):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([total[i * width : (i + 1) * width].tobytes()], pa.binary())})
+    width = SKETCH // BLOCKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        z = zstandard.ZstdDecompressor()
         for b in batches:
             for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(c, np.uint32).astype(np.uint64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(z.decompress(c), np.uint32).astype(np.uint64)
         for i, s in sums.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([np.log2(s + 1.0).round().astype(np.uint8).tobytes()], pa.binary())})
 
-    ddl = "block int, counts binary"
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, ddl)
-    rows = parts.repartition(BLOCKS, "block").mapInArrow(add, ddl).collect()  # SKETCH bytes in all
+    rows = parts.select("block", "counts").repartition(BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()  # SKETCH bytes in all
     out = np.zeros(SKETCH, np.uint8)
     for block, counts in rows:
         out[block * width : (block + 1) * width] = np.frombuffer(counts, np.uint8)
@@ -164,23 +184,27 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, freq: np.ndarray, k: int, percent: int) -> DataFrame:
-    """``token, cls, n, pos``: the shingles by which a set must be found, rarest first."""
+    """``token, cls, n, pos``: the shingles by which a set must be found, rarest first. A task leaves out
+    the copies of sets it has just seen; copies from other tasks remain."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f, seen = shared.value, set()
         for b in batches:
             cols: list[list] = [[], [], [], []]
             for t in b.column(0).to_pylist():
                 s = shingles(t, k)
-                if not s.size:
+                if not s.size or (key := set_key(s)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
                 first = s.size - -(-percent * s.size // 100) + 1
                 front = s[np.lexsort((s, f[(s % np.uint64(SKETCH)).astype(np.int64)]))[:first]]
                 cols[0].append(front.view(np.int64))
-                cols[1].append([set_key(s)] * first)
+                cols[1].append([key] * first)
                 cols[2].append(np.full(first, s.size))
                 cols[3].append(np.arange(first))
             if cols[0]:
@@ -192,6 +216,16 @@ def prefixes(docs: DataFrame, freq: np.ndarray, k: int, percent: int) -> DataFra
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token bigint, cls binary, n int, pos int")
 
 
+def open_lists(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of lists on which differing components meet, with their components. The lists are dealt
+    by token once before and once after the components are joined; the rest happens within a task."""
+    by = Window.partitionBy("token")
+    once = lists.repartition("token").dropDuplicates(["token", "cls"])
+    shared = once.withColumn("c", F.count("*").over(by)).where("c > 1").drop("c")
+    named = shared.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    return named.repartition("token").withColumn("x", F.min("comp").over(by)).withColumn("y", F.max("comp").over(by)).where("x <> y").drop("x", "y")
+
+
 def needed(n: int, m: int, percent: int) -> int:
     """The least overlap of sets of n and m that reaches the threshold."""
     return -(-percent * (n + m) // (100 + percent))
@@ -199,7 +233,7 @@ def needed(n: int, m: int, percent: int) -> int:
 
 def list_candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of classes that share a prefix shingle, differ in component and can still
-    reach the threshold. A list is read by rising size, kept in blocks of equal component, size and
+    reach the threshold. The rows come dealt by token. A list is read by rising size, kept in blocks of equal component, size and
     position, and blocks that have become too small are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +260,7 @@ def list_candidates(rows: DataFrame, percent: int) -> DataFrame:
                     a, c = [], []
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
 
-    dealt = rows.select("token", "cls", "n", "pos", "comp").repartition("token").sortWithinPartitions("token", "n", "cls")
+    dealt = rows.select("token", "cls", "n", "pos", "comp").sortWithinPartitions("token", "n", "cls")
     return dealt.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -238,8 +272,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     import zstandard
 
     spark = docs.sparkSession
-    texts = reps.join(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    texts = reps.join(wanted, "cls", "left_semi").join(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
     bound_batches(spark)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +284,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
             keep = [i for i, (c, t) in enumerate(zip(b.column(0).to_pylist(), own, strict=True)) if set_key(shingles(t, k)) == c]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([z.compress(own[i].encode("utf-8", "surrogatepass")) for i in keep], pa.binary())], names=["cls", "packed"])
 
-    packed = cut(texts.join(wanted, "cls", "left_semi").select("cls", "text").mapInArrow(pack, "cls binary, packed binary").dropDuplicates(["cls"]), "jaccard-texts")
+    packed = cut(texts.select("cls", "text").mapInArrow(pack, "cls binary, packed binary").dropDuplicates(["cls"]), "jaccard-texts")
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"))
     hubs = fan.join(packed, fan.a == packed.cls).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "packed")
     spread = pairs.join(fan, "a").select("a", F.expr("cast(pmod(xxhash64(b), copies) as int)").alias("salt"), "b")
@@ -279,22 +313,31 @@ def components(edges: DataFrame, label: str = "jaccard-components") -> DataFrame
     """``node, comp``: the smallest node that each node of the edges (a, b) reaches, by alternating
     large and small stars until nothing changes. Ids only; each step is written down."""
     star = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    was = _digest(star)
     while True:
         both = star.union(star.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.expr("explode(array(struct(u as u, m as v), struct(v as u, m as v)))").alias("e")).select("e.*").where("u <> v").distinct()
-        new = cut(small, label)
-        if new.exceptAll(star).isEmpty() and star.exceptAll(new).isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        star = new
+        star = cut(small, label)
+        now = _digest(star)
+        if now == was:
+            return star.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        was = now
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """What tells whether a set of distinct edges has changed: their number and sums of two hashes."""
+    parts = [F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", F.lit(1), "u").cast("decimal(38,0)"))]
+    return tuple(edges.agg(F.count("*"), *parts).first())
 
 
 def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     docs = docs.select("doc_id", "text")
-    feats = cut(features(docs, k, orders), "jaccard-features")
+    written = cut(features(docs, k, orders), "jaccard-features")
+    feats, sketch = written.where("block is null").drop("block", "counts"), written.where("block is not null")
     classes = cut(feats.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("copies")), "jaccard-classes")
     reps = classes.select("cls", "doc_id").where("doc_id is not null")
 
@@ -308,13 +351,10 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, orders
     known = components(links)
 
     # then what the index still finds between components
-    lists = prefixes(docs, frequencies(docs, k), k, percent).distinct()
-    shared = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    open_ = lists.join(shared, "token").join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = open_.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    pairs = cut(list_candidates(open_.join(mixed, "token"), percent), "jaccard-pairs")
+    lists = prefixes(docs, frequencies(sketch), k, percent)
+    pairs = cut(list_candidates(open_lists(lists, known), percent), "jaccard-pairs")
     more = cut(verified(pairs, reps, docs, k, percent), "jaccard-links")
-    done = components(links.union(more))
+    done = components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
 
     ids = classes.join(done.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
     low = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
