@@ -48,7 +48,7 @@ SEEN = 200_000
 KEY = 12  # bytes of a class key: no collision to expect among 10^11 sets
 
 #: Bytes of a text that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 15
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
