@@ -8,7 +8,8 @@ its answers are derived from the other's instead of searched anew. Classes that
 under one of a few hash orders are compared with one leader of their group; the verified links give
 first components, and within a component nothing is searched again.
 
-*Index skipping.* Between components the exact prefix filter runs: every class lists its first
+*Index skipping.* Between components the exact prefix filter runs, first with each list's neighbours
+only, whose links join more components, then in full. Every class lists its first
 ``n - ceil(t n) + 1`` shingles in an order of rising corpus frequency. The index list of a shingle
 is cut into blocks by component, size and position; a block whose best possible overlap is below
 what the threshold asks is skipped whole.
@@ -26,6 +27,7 @@ Null or word-less texts have the empty set and no links. Repeated rows are copie
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,12 +218,15 @@ def prefixes(docs: DataFrame, freq: np.ndarray, k: int, percent: int) -> DataFra
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token bigint, cls binary, n int, pos int")
 
 
-def open_lists(lists: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of lists on which differing components meet, with their components. The lists are dealt
-    by token once before and once after the components are joined; the rest happens within a task."""
-    by = Window.partitionBy("token")
+def shared_lists(lists: DataFrame) -> DataFrame:
+    """The rows of lists that hold more than one class, dealt by token once."""
     once = lists.repartition("token").dropDuplicates(["token", "cls"])
-    shared = once.withColumn("c", F.count("*").over(by)).where("c > 1").drop("c")
+    return once.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
+
+
+def open_lists(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of lists on which differing components meet, with their components, dealt by token."""
+    by = Window.partitionBy("token")
     named = shared.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     return named.repartition("token").withColumn("x", F.min("comp").over(by)).withColumn("y", F.max("comp").over(by)).where("x <> y").drop("x", "y")
 
@@ -231,6 +236,34 @@ def needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Of each list, every row with the nearest row before it that has another component, where the two
+    can still reach the threshold: at most one pair a row. Rows are in order of size band and, within
+    one, in an order of the list's own, so that a set meets other partners on each list. The rows come
+    dealt by token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, last, other = None, None, None
+        for batch in batches:
+            a, c = [], []
+            for t, cls, n, pos, comp in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if t != token:
+                    token, last, other = t, None, None
+                if last and last[3] != comp:
+                    other = last
+                if other:
+                    o, m, p, _ = other
+                    if 100 * min(n, m) >= percent * max(n, m) and min(n - pos, m - p) >= needed(n, m, percent):
+                        a.append(cls)
+                        c.append(o)
+                last = (cls, n, pos, comp)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
+
+    band = F.floor(F.log("n") / math.log(100 / percent))
+    dealt = rows.select("token", "cls", "n", "pos", "comp").sortWithinPartitions("token", band, F.xxhash64("token", "cls"), "cls")
+    return dealt.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def list_candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of classes that share a prefix shingle, differ in component and can still
     reach the threshold. The rows come dealt by token. A list is read by rising size, kept in blocks of equal component, size and
@@ -351,10 +384,13 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, orders
     known = components(links)
 
     # then what the index still finds between components
-    lists = prefixes(docs, frequencies(sketch), k, percent)
-    pairs = cut(list_candidates(open_lists(lists, known), percent), "jaccard-pairs")
-    more = cut(verified(pairs, reps, docs, k, percent), "jaccard-links")
-    done = components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    # (neighbours on the lists first: what they join needs no further search)
+    lists = cut(shared_lists(prefixes(docs, frequencies(sketch), k, percent)), "jaccard-lists")
+    near = cut(neighbours(open_lists(lists, known), percent), "jaccard-pairs")
+    joined = components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(verified(near, reps, docs, k, percent)))
+    pairs = cut(list_candidates(open_lists(lists, joined), percent), "jaccard-pairs")
+    more = verified(pairs, reps, docs, k, percent)
+    done = components(joined.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
 
     ids = classes.join(done.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
     low = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
