@@ -151,14 +151,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows that are not contaminated, with all their columns; one pass, no shuffle."""
-    out = docs
-    for number, items in enumerate(list(blocks(benchmark, block_bytes))):
-        out = flagged(out, items, window, number)
-    return out
-
-
-def flagged(docs: DataFrame, items: list, window: int, number: int) -> DataFrame:
+    """The rows that are not contaminated, with all their columns, by the hits of all blocks together:
+    one pass without a shuffle for one block; for more, rows with hits meet by key and digest of the text."""
+    parts = list(blocks(benchmark, block_bytes))
+    if len(parts) < 2:
+        return flagged(docs, parts[0], window) if parts else docs
+    digest = F.sha2(F.col("text").cast("string"), 256)
+    named = docs.select(F.struct(F.col("doc_id").alias("_id"), digest.alias("_digest")).alias("row"), "text")
+    hit = None
+    for items in parts:
+        part = search(named, items, window, "row").where(F.size("hits") > 0)
+        hit = hit.union(part) if hit else part
+    n_hit = F.size(F.array_distinct(F.flatten(F.collect_set("hits"))))
+    dirty = hit.groupBy("row._id", "row._digest").agg(F.max("n_words").alias("_words"), n_hit.alias("_hit")).where("_hit * 20 >= _words")
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+
+
+def flagged(docs: DataFrame, items: list, window: int) -> DataFrame:
     tables = docs.sparkSession.sparkContext.broadcast(items)
     cache: list[Search] = []
     place = docs.columns.index("text")

@@ -112,6 +112,17 @@ def test_decontamination_equals_brute_force(spark, edge):
     assert kept == {i for i, r in got.items() if not r[3]}
 
 
+def test_clean_documents_adds_up_blocks(spark):
+    bench = spark.createDataFrame([(1, "aa ab ac"), (2, "ba bb bc")], "item_id bigint, text string")
+    rest = " ".join(f"z{i}" for i in range(94))
+    rows = [(1, f"aa ab ac {rest} ba bb bc"), (2, f"aa ab ac {rest}"), (None, f"aa ab ac {rest} ba bb bc"), (1, rest), (1, rest), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5, "c") for i, t in rows], SCHEMA)
+    for block_bytes in (1, decontaminate.BLOCK_BYTES):
+        kept = decontaminate.clean_documents(docs, bench, block_bytes=block_bytes)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], *rows[3:]], key=str)
+
+
 def test_language_held_out(spark, edge, empty):
     r = language.identify(docs(spark)).join(docs(spark).select("doc_id", "lang"), "doc_id").where("held_out")
     assert r.where("lang = lang_pred").count() >= 0.97 * r.count()
