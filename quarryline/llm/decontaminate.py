@@ -5,17 +5,19 @@ For the patterns of one length, two tables drive the search: the shift table say
 words how far the search may move on (the full window less one where the block is in no pattern), and
 where it says zero the bucket of patterns that end in that block is compared directly.
 
-The benchmark is split into blocks of bounded size, each of which is searched for in all
-documents in turn, so any size of it works and what goes to the tasks is bounded. Documents are
-never shuffled; blocks' hits are joined by row only where there is more than one block.
+The benchmark is split by Spark into blocks of bounded size, each of which is searched for in all
+documents in turn, so any size of it works; the driver passes one block on at a time and keeps none.
+With one block documents are not shuffled; with more, the hits of equal rows (key and digest of the
+text) are joined, and no texts.
 
-Null texts have no words and are clean. An item without words has no windows. Repeated items count
-once an ``item_id``; repeated documents stay."""
+Null texts have no words and are clean. An item without words has no windows. Items with a null
+``item_id`` give hits, but no name. Repeated items count once an ``item_id``; repeated documents stay."""
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections import defaultdict
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,7 +73,7 @@ class Search:
                 i += 1
 
 
-def patterns_of(items: list[tuple[str, str | None]], window: int) -> dict[tuple, set]:
+def patterns_of(items: list[tuple[str | None, str | None]], window: int) -> dict[tuple, set]:
     out: dict[tuple, set] = defaultdict(set)
     for item, text in items:
         w = words(text)
@@ -82,12 +84,19 @@ def patterns_of(items: list[tuple[str, str | None]], window: int) -> dict[tuple,
 
 
 def blocks(benchmark: DataFrame, most: int):
-    """The items in blocks of about ``most`` bytes, streamed to the driver one partition at a time."""
+    """The distinct items in blocks of about ``most`` bytes. Spark deals them out by hash to partitions of
+    about that size, and the driver reads one of these at a time."""
+    picked = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    cost = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    total, n = picked.agg(F.coalesce(F.sum(cost), F.lit(0)), F.count("*")).first()
+    if n and total <= most:
+        yield [tuple(r) for r in picked.collect()]
+        return
     held, size = [], 0
-    picked = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null")
-    for item, text in picked.toLocalIterator():
+    dealt = picked.repartition(max(1, min(n, math.ceil(total / most))), "item_id", "text").dropDuplicates()
+    for item, text, own in dealt.select("item_id", "text", cost).toLocalIterator():
         held.append((item, text))
-        size += len(text or "") + 64
+        size += own
         if size >= most:
             yield held
             held, size = [], 0
@@ -112,7 +121,7 @@ def search(docs: DataFrame, items: list, window: int, key: str) -> DataFrame:
                 for at, p in finder.find(w):
                     hit.update(range(at, at + len(p)))
                     found |= finder.items[p]
-                for col, x in zip(out, (len(w), sorted(hit), sorted(found)), strict=True):
+                for col, x in zip(out, (len(w), sorted(hit), sorted(found - {None})), strict=True):
                     col.append(x)
             return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.string()))]
 
@@ -123,16 +132,23 @@ def search(docs: DataFrame, items: list, window: int, key: str) -> DataFrame:
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
     """``key, n_words, hits, items`` of every row against all items."""
-    parts = [search(docs, b, window, key) for b in blocks(benchmark, block_bytes)] or [search(docs, [], window, key)]
-    if len(parts) == 1:
-        return parts[0]
-    # rows of one key with equal texts have equal hits, so rows meet again by key and number
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    rows = docs.groupBy(key).agg(F.count("*").alias("rows"))
-    one = every.groupBy(key, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return one.join(rows.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k"))).select(key, "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_r")).drop("_r")
+    rest = blocks(benchmark, block_bytes)
+    first, second = next(rest, []), next(rest, None)
+    if second is None:
+        return search(docs, first, window, key)
+    # rows of equal keys and texts have equal hits, so they meet by both, and the first block counts them
+    named = with_digest(docs, key)
+    every = search(named, first, window, "row").withColumn("_n", F.lit(1).cast("bigint"))
+    for items in chain([second], rest):
+        every = every.union(search(named, items, window, "row").where(F.size("hits") > 0).withColumn("_n", F.lit(0).cast("bigint")))
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    one = every.groupBy("row._id", "row._digest").agg(F.max("n_words").alias("n_words"), merged("hits"), merged("items"), F.sum("_n").alias("_n"))
+    return one.select(F.col("_id").alias(key), "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_r")).drop("_r")
+
+
+def with_digest(docs: DataFrame, key: str) -> DataFrame:
+    """``row (_id, _digest), text``: what tells rows apart whose hits may differ."""
+    return docs.select(F.struct(F.col(key).alias("_id"), F.sha2(F.col("text").cast("string"), 256).alias("_digest")).alias("row"), "text")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **kw) -> DataFrame:
@@ -153,18 +169,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, **
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows that are not contaminated, with all their columns, by the hits of all blocks together:
     one pass without a shuffle for one block; for more, rows with hits meet by key and digest of the text."""
-    parts = list(blocks(benchmark, block_bytes))
-    if len(parts) < 2:
-        return flagged(docs, parts[0], window) if parts else docs
-    digest = F.sha2(F.col("text").cast("string"), 256)
-    named = docs.select(F.struct(F.col("doc_id").alias("_id"), digest.alias("_digest")).alias("row"), "text")
-    hit = None
-    for items in parts:
+    rest = blocks(benchmark, block_bytes)
+    first, second = next(rest, None), next(rest, None)
+    if second is None:
+        return flagged(docs, first, window) if first else docs
+    named, hit = with_digest(docs, "doc_id"), None
+    for items in chain([first, second], rest):
         part = search(named, items, window, "row").where(F.size("hits") > 0)
         hit = hit.union(part) if hit else part
     n_hit = F.size(F.array_distinct(F.flatten(F.collect_set("hits"))))
     dirty = hit.groupBy("row._id", "row._digest").agg(F.max("n_words").alias("_words"), n_hit.alias("_hit")).where("_hit * 20 >= _words")
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.col("text").cast("string"), 256) == F.col("_digest"))
+    return docs.join(dirty, same, "left_anti")
 
 
 def flagged(docs: DataFrame, items: list, window: int) -> DataFrame:

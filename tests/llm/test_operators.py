@@ -123,6 +123,17 @@ def test_clean_documents_adds_up_blocks(spark):
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[1], *rows[3:]], key=str)
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    bench = spark.createDataFrame([(None, "na nb nc"), (1, "aa ab ac"), (2, "ba bb bc"), (2, "ba bb bc")], "item_id bigint, text string")
+    rows = [(1, "aa ab ac x"), (1, "y ba bb bc"), (1, "y ba bb bc"), (1, "one"), (None, "na nb nc aa ab ac"), (None, "u v"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.5, "c") for i, t in rows], SCHEMA)
+    want = [(1, 4, 3, ["1"]), (1, 4, 3, ["2"]), (1, 4, 3, ["2"]), (1, 1, 0, []), (None, 6, 6, ["1"]), (None, 2, 0, []), (2, 0, 0, [])]
+    for block_bytes in (1, decontaminate.BLOCK_BYTES):
+        got = decontaminate.occurrences(docs, bench, block_bytes=block_bytes).collect()
+        assert sorted(((r.doc_id, r.n_words, len(r.hits), r["items"]) for r in got), key=str) == sorted(want, key=str)
+    assert max(len(b) for b in decontaminate.blocks(bench, 1)) == 1 and len(list(decontaminate.blocks(bench, 1))) == 3
+
+
 def test_language_held_out(spark, edge, empty):
     r = language.identify(docs(spark)).join(docs(spark).select("doc_id", "lang"), "doc_id").where("held_out")
     assert r.where("lang = lang_pred").count() >= 0.97 * r.count()
