@@ -2,7 +2,7 @@
 
 Fixed patterns find base spans, which always stay. The model adds spans that the patterns miss
 (masked at-signs, numbers without a plus, other separators). Texts are cut into islands, runs of words with
-digits or at-signs; an island's tokens are split into segments of bounded length, each other text (one
+digits, at-signs or masks of these, with the words beside a mask that stands alone; an island's tokens are split into segments of bounded length, each other text (one
 token) or an entity. A segment scores by features of the whole span, and dynamic programming chooses
 boundaries and types jointly. Weights are fitted by gradient on the log-likelihood (forward-backward)
 on islands of a bounded hash sample whose labels come from the base patterns, a part of them varied as
@@ -33,7 +33,11 @@ _EMAIL = regex.compile(r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0
 _IP = regex.compile(r"(?:(?<![0-9])|\G)([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = regex.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ISLAND = regex.compile(r"(?<!\S)\S*[0-9@]\S*+(?: \S*[0-9@]\S*+)*")
+_MASKS = ("[at]", "(at)")
+_AT = r"(?:\[at\]|\(at\))"
+_MASKED = regex.compile(rf" ?{_AT} ?")
+_MARKED = rf"(?:\S++ (?={_AT}))?+\S*(?:[0-9@]|{_AT})\S*+(?:(?<={_AT}) \S++)?+"
+_ISLAND = regex.compile(rf"(?<!\S){_MARKED}(?: {_MARKED})*")
 _TOKEN = regex.compile(r"[0-9]+|[A-Za-z]+|\s+|.", regex.S)
 _DIGITS = regex.compile(r"[^0-9]+")
 
@@ -69,15 +73,16 @@ def features(s: str, before: str, after: str) -> np.ndarray:
     """Of a whole candidate span and the characters beside it."""
     digits = _DIGITS.sub("", s)
     n, parts = len(digits), s.split(".")
-    at = "@" in s or "[at]" in s or "(at)" in s
-    tail = regex.split(r"@|\[at\]|\(at\)", s)[-1] if at else ""
+    plain = _MASKED.sub("@", s)
+    at = "@" in plain
+    tail = plain.split("@")[-1]
     mixed = bool(regex.search("[A-Za-z]", s))
     four = len(parts) == 4 and all(p.isdecimal() and p.isascii() and len(p) < 4 and int(p) <= 255 for p in parts)
     return np.array(
         [
             1.0,
-            at and s.count("@") < 2,
-            at and "." in tail and not tail.startswith(".") and " " not in s,
+            at and plain.count("@") < 2,
+            at and "." in tail and not tail.startswith(".") and " " not in plain,
             four,
             16 <= n <= 19 and not mixed,
             16 <= n <= 19 and not mixed and luhn(digits),
@@ -89,7 +94,7 @@ def features(s: str, before: str, after: str) -> np.ndarray:
             after == "" or after in " \n\t)>\"':;,.|!?",
             n / 16.0,
             len(s) / 32.0,
-            " " in s and mixed,
+            " " in plain and mixed,
         ],
         float,
     )
@@ -109,7 +114,7 @@ class Island:
         marks = [0]
         for i in range(n):
             t = s[b[i] : b[i + 1]]
-            marks.append(marks[-1] + (len(t) if t[0].isdigit() else 4 if "@" in t else 2 if t == "at" else 0))
+            marks.append(marks[-1] + (len(t) if t[0].isdigit() else 4 if "@" in t or s[b[i] - 1 : b[i + 1] + 1] in _MASKS else 2 if t == "at" else 0))
         self.segments: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]  # by end: (start, features)
         for i in range(n):
             first = s[b[i]]
@@ -170,13 +175,21 @@ def vary(s: str, spans: list[tuple[str, int, int]], rng: random.Random):
     """A variant of an island with one span as the patterns would miss it."""
     for kind, a, b in spans:
         own = s[a:b]
-        new = own.replace("@", rng.choice(["[at]", "(at)"])) if kind == "email" else own[1:] if kind == "phone" else own.replace(" ", ".").replace("-", ".") if kind == "card" else own
+        new = own.replace("@", rng.choice([*_MASKS, *(f" {m} " for m in _MASKS)])) if kind == "email" else own[1:] if kind == "phone" else own.replace(" ", ".").replace("-", ".") if kind == "card" else own
         if new != own:
             moved = [(k, x, y) if y <= a else (k, x + len(new) - len(own), y + len(new) - len(own)) for k, x, y in spans if y <= a or x >= b]
             return s[:a] + new + s[b:], [*moved, (kind, a, a + len(new))]
     return None
 
 
+def undotted(s: str, spans: list[tuple[str, int, int]]) -> str | None:
+    """A variant of an island whose masked address has no dot in its domain, so that it is none."""
+    for kind, a, b in spans:
+        if kind == "email" and (m := _MASKED.search(s, a, b)):
+            return s[a : m.end()] + _TOKEN.match(s, m.end()).group()
+    return None
+
+
 def clean(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Without overlaps, earlier kinds first."""
     out: list[tuple[str, int, int]] = []
@@ -209,6 +222,8 @@ def fit(islands: list[str], rounds: int = 4, rate: float = 0.3) -> np.ndarray:
         examples.append((Island(s), gold))
         if gold and (v := vary(s, gold, rng)):
             examples.append((Island(v[0]), v[1]))
+            if none := undotted(*v):
+                examples.append((Island(none), []))
     w = np.zeros((len(KINDS), WIDTH))
     if not any(g for _, g in examples):
         return w
@@ -242,7 +257,7 @@ class Finder:
     def find(self, text: str) -> tuple[list, list]:
         """(base spans, all spans), each by kind as listed, then start."""
         base = base_spans(text)
-        more = added_spans(text, base, self.w, self.cache) if any(c in text for c in "0123456789@") else []
+        more = added_spans(text, base, self.w, self.cache) if any(c in text for c in (*"0123456789@", *_MASKS)) else []
         return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

@@ -186,6 +186,17 @@ def test_pii_adds_masked_address():
     assert not base and [text[a:b] for _, a, b in every] == ["joe7.x[at]host9.example.org"]
 
 
+def test_pii_adds_masked_address_without_digits():
+    w = pii.fit([f"mail u{i}.x@host{i}.example.org" for i in range(40)] + [f"version {i}.2" for i in range(40)])
+    finder = pii.Finder(w)
+    for own in ("jane.doe[at]example.org", "jane (at) example.org", "jane.doe [at] example.org", "jane(at)example.org"):
+        for text in (own, f"write to {own} now", f"or\n{own}, please"):
+            assert [(k, text[a:b]) for k, a, b in finder.find(text)[1]] == [("email", own)], text
+        assert pii.redact(f"write to {own} now", finder) == "write to <email> now"
+    for text in ("we meet (at) noon", "look [at] this", "at home", "(at)"):
+        assert finder.find(text) == ([], [])
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     trees = html.train(pages)
