@@ -6,8 +6,8 @@ give the probability that an element belongs to the main text, and a dynamic pro
 decodes: an element is outside, inside or dropped, and on every path from the root the state may
 only go in that order, so nothing is kept below dropped elements and no ancestor contradicts a descendant.
 
-The trees are fitted on a bounded hash sample of pages whose elements are labelled by their markup, and
-on variants of them in which the main element's own markup is exchanged for a neutral one and boilerplate
+The trees are fitted on a bounded hash sample of those pages that mark a main element, whose elements are
+labelled by their markup (and on made-up pages where there are few of them), and on variants of them in which the main element's own markup is exchanged for a neutral one and boilerplate
 of other kinds is put in, so that the model doesn't lean on one template.
 
 Null and empty pages give an empty text. Scripts, styles, forms and the like are never text."""
@@ -28,6 +28,8 @@ from .common import bound_batches
 from .language import hash_sample
 
 SAMPLE_ROWS = 300
+#: With fewer marked pages in the sample, the made-up ones are added.
+FEW_PAGES = 20
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!.*?>|<\?.*?>|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S | re.I)
 ATTRS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -251,6 +253,20 @@ def variants(page: str, rng: random.Random) -> list[str]:
     return [page, new]
 
 
+def made_up(rng: random.Random, n: int = 60) -> list[str]:
+    """Pages with a marked main element, for tables that have few or none."""
+    say = lambda k: " ".join("".join(rng.choice("aeinorstlu") for _ in range(rng.randint(2, 9))) for _ in range(k))
+    links = lambda k: "<ul>" + "".join(f'<li><a href="/">{say(rng.randint(1, 4))}</a></li>' for _ in range(k)) + "</ul>"
+    block = [lambda: f"<p>{say(rng.randint(10, 120))}</p>", lambda: f"<h2>{say(4)}</h2>", lambda: "<ul>" + "".join(f"<li>{say(rng.randint(4, 20))}</li>" for _ in range(4)) + "</ul>", lambda: f"<blockquote>{say(20)}</blockquote>"]
+    out = []
+    for _ in range(n):
+        body = f"<h1>{say(5)}</h1><p>{say(40)}</p>" + "".join(rng.choice((block[0], block[0], *block))() for _ in range(rng.randint(1, 8)))
+        top = rng.choice((f"<nav>{links(5)}</nav>", f'<div class="menu">{links(5)}</div>', f'<div id="header"><a href="/">{say(2)}</a>{links(4)}</div>', f"<div>{links(6)}</div>"))
+        end = rng.choice((f"<footer><p>{say(8)}</p></footer>", f'<div class="footer">{say(6)} <a href="/">{say(2)}</a></div>', f"<div>{links(3)}{say(5)}</div>"))
+        out.append(f"<html><head><title>{say(3)}</title></head><body>{top}<article>{body}</article>{end}</body></html>")
+    return out
+
+
 def labels(nodes: list[Node]) -> np.ndarray:
     """1 for elements of a marked main element that are not in boilerplate."""
     inside: list[bool] = []
@@ -263,6 +279,7 @@ def labels(nodes: list[Node]) -> np.ndarray:
 def train(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Fitted on a sample of at most about ``sample_rows`` pages (of up to 100,000 characters)."""
     picked = pages.select("page_id", F.col("html").cast("string").alias("html")).where("length(html) between 1 and 100000")
+    picked = picked.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
     sample = sorted(r[1] for r in hash_sample(picked, sample_rows, "page_id").limit(2 * sample_rows).collect())
     return fit(sample)
 
@@ -270,13 +287,23 @@ def train(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
 def fit(sample: list[str]) -> Trees:
     rng = random.Random(11)
     xs, ys = [], []
-    for page in sample:
-        for i, v in enumerate(variants(page, rng)):
-            root = parse(re.sub(r"<(\w+)([^<>]*) data-main>", r'<\1\2 itemprop="datamain">', v))
-            nodes = nodes_of(root)
-            y = labels(nodes)
-            xs.append(features(nodes))
-            ys.append(y)
+
+    def learn(pages: list[str]) -> int:
+        marked = 0
+        for page in pages:
+            for i, v in enumerate(variants(page, rng)):
+                root = parse(re.sub(r"<(\w+)([^<>]*) data-main>", r'<\1\2 itemprop="datamain">', v))
+                nodes = nodes_of(root)
+                y = labels(nodes)
+                # what isn't marked is unknown, not negative
+                if y.any():
+                    marked += not i
+                    xs.append(features(nodes))
+                    ys.append(y)
+        return marked
+
+    if learn(sample) < FEW_PAGES:
+        learn(made_up(rng))
     trees = Trees()
     if xs:
         x, y = np.vstack(xs), np.concatenate(ys)

@@ -197,6 +197,21 @@ def test_pii_adds_masked_address_without_digits():
         assert finder.find(text) == ([], [])
 
 
+def div_page(i):
+    body = "".join(f"<p>{' '.join(f'word{i}x{j}' for j in range(40))}</p>" for _ in range(3))
+    return f'<html><body><div class="menu"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div><div class="content"><h1>Title {i}</h1>{body}</div><div class="footer">Copyright <a href="/">us</a></div></body></html>'
+
+
+def test_html_without_marked_pages(spark):
+    schema = "page_id bigint, url string, html string"
+    divs = [(i, "u", div_page(i)) for i in range(30)]
+    want = {i: "\n".join([f"Title {i}"] + [" ".join(f"word{i}x{j}" for j in range(40))] * 3) for i in range(30)}
+    marked = [(100 + i, "u", div_page(i).replace('<div class="content">', "<article>").replace("</div><div class=\"footer", "</article><div class=\"footer")) for i in range(30)]
+    for rows in (divs, divs + marked):
+        got = html.extract_pages(spark.createDataFrame(rows, schema)).collect()
+        assert len(got) == len(rows) and all(r.text == want[r.page_id % 100] for r in got)
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     trees = html.train(pages)
