@@ -4,10 +4,10 @@ A sentence is a bag of units: its blank-separated words, and runs of single char
 unit ("i d i o t"). The kernel of two units compares all their subsequences of three characters, each
 occurrence weighted by DECAY to the power of its span, so gaps and inserted characters cost little and
 do not hide a word. Spans are bounded, so the kernel has an explicit sparse feature map and a unit is
-compared with all landmarks by a few look-ups. Landmarks are the units most typical of toxic
-sentences and the most frequent others; the inverse root of their kernel matrix maps a unit to a
-short vector, on which a linear support vector machine is trained. A sentence scores as its worst unit,
-a text as its worst sentence.
+compared with all landmarks by a few look-ups. Landmarks are all units typical of toxic sentences,
+the most frequent others and those nearest to typical ones; the inverse root of their kernel matrix maps
+a unit to a short vector, on which a linear support vector machine is trained. The machine decides on
+every unit. A sentence scores as its worst unit, a text as its worst sentence.
 
 Training counts (Spark) in how many toxic and other rows of a bounded hash sample a unit occurs;
 these are the weights of the unit as an example of either class. What goes to the driver and to the
@@ -34,8 +34,6 @@ UNITS = 20_000
 LANDMARKS = 128
 #: The string kernel enters as exp(SHARP (k - 1)), so that likeness counts and sharing a syllable hardly.
 SHARP = 10.0
-#: A unit whose kernel value with every typical landmark is lower is plain by definition.
-NEAR = 0.7
 DECAY = 0.8
 SPAN = 6
 CHARS = 40  # a unit's window: longer words are read as overlapping windows
@@ -44,7 +42,7 @@ FLOOR = -0.2
 _UNIT = re.compile("[^\t-\r ]+")
 _SINGLES = re.compile("(?<![^\t-\r ])[^\t-\r ](?:[\t-\r ][^\t-\r ]){2,}(?![^\t-\r ])")
 _EDGE = ".,;:!?\"'()[]|"
-# symbols of the bound's table: 0 parts units, 1 is a gap, letters, the rest
+# symbols of the bounds' tables: 0 parts units, 1 is a gap, letters, the rest
 _SYMBOL = np.array([0 if 9 <= c <= 13 or c == 32 else c - 95 if 97 <= c <= 122 else 30 if 48 <= c <= 57 else 31 if c > 127 else 1 for c in range(129)], np.uint8)
 
 
@@ -103,14 +101,19 @@ class Kernel:
 
 def fit_svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, c: float = 3000.0, steps: int = 60) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine on weighted examples by Newton steps on the active set."""
-    y = np.concatenate([np.ones(len(x)), -np.ones(len(x))])
-    xx = np.hstack([np.vstack([x, x]), np.ones((2 * len(x), 1))])
-    weight = np.concatenate([pos, neg]).astype(float)
+    # an example stands in a row for each class in which it has weight
+    own = [np.flatnonzero(pos), np.flatnonzero(neg)]
+    rows = np.concatenate(own)
+    y = np.concatenate([np.ones(len(own[0])), -np.ones(len(own[1]))])
+    xx = np.ones((len(rows), x.shape[1] + 1))
+    np.take(x, rows, axis=0, out=xx[:, :-1])
+    weight = np.concatenate([pos[own[0]], neg[own[1]]]).astype(float)
     weight /= weight.sum()
     w, ridge = np.zeros(xx.shape[1]), np.diag([1.0 / c] * x.shape[1] + [1e-9])
     for _ in range(steps):
         active = weight * (y * (xx @ w) < 1)
-        new = np.linalg.solve(ridge + (xx * active[:, None]).T @ xx, (xx * active[:, None]).T @ y)
+        scaled = xx * active[:, None]
+        new = np.linalg.solve(ridge + scaled.T @ xx, scaled.T @ y)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -128,40 +131,43 @@ class Scorer:
         shares = {u: p / (p + n) for u, p, n in counts}
         # the excess of toxic rows over what the base rate explains, in standard deviations
         rank = {u: (p - base * (p + n)) / math.sqrt(base * (1 - base) * (p + n)) for u, p, n in counts}
-        typical = [u for u in sorted(rank, key=lambda u: (-rank[u], u)) if rank[u] > 4 and shares[u] > 0.6][: landmarks // 2]
+        typical = [u for u in sorted(rank, key=lambda u: (-rank[u], u)) if rank[u] > 4 and shares[u] > 0.6]
         if not typical:
             return
-        common = [u for u, p, n in sorted(counts, key=lambda c: (-c[1] - c[2], c[0])) if rank[u] < 2][: landmarks - len(typical)]
-        self.kernel = Kernel(typical + common)
+        common = [u for u, p, n in sorted(counts, key=lambda c: (-c[1] - c[2], c[0])) if rank[u] < 2][: landmarks // 4]
         self.typical, typical_set = typical, set(typical)
         plain = [u for u, p, n in counts if u not in typical_set]
         near = Kernel(typical)
         # the others that come nearest to typical ones are landmarks and examples too
         close = {u: float(near.values(u).max()) for u in plain}
         hard = sorted(plain, key=lambda u: (-close[u], u))[:4000]
-        self.kernel = Kernel(typical + common[: landmarks // 4] + [u for u in hard if u not in common][: landmarks // 4])
-        varied = [t[:i] + c + t[i:] for t in typical for i in range(1, len(t)) for c in ".-*xe"] + [c.join(t) for t in typical for c in ".-*"]
-        good, bad = typical + varied, plain
+        self.kernel = Kernel(typical + common + [u for u in hard if u not in common][: landmarks // 4])
+        varied = [(t[:i] + c + t[i:], t) for t in typical for i in range(1, len(t)) for c in ".-*xe"] + [(c.join(t), t) for t in typical for c in ".-*"]
         seen = {u: n for u, _, n in counts}
-        feats = np.array([self.kernel.features(u) for u in good + bad])
-        pos = np.array([3.0] * len(typical) + [1.0] * len(varied) + [0.0] * len(bad))
-        neg = np.array([0.0] * len(good) + [(1 + math.log1p(seen[u])) * (0.01 + close[u] ** 4) for u in bad])
+        feats = np.array([self.kernel.features(u) for u in [*typical, *(v for v, _ in varied), *plain]])
+        # typical units are examples of the other class, too, so far as other rows have them
+        sure = {t: rank[t] / rank[typical[0]] for t in typical}
+        pos = np.array([3.0 * sure[t] for t in typical] + [sure[t] for _, t in varied] + [0.0] * len(plain))
+        neg = np.array([1.01 * math.log1p(seen[t]) for t in typical] + [0.0] * len(varied) + [(1 + math.log1p(seen[u])) * (0.01 + close[u] ** 4) for u in plain])
         self.weights, self.bias = fit_svm(feats, pos / pos.sum(), neg / neg.sum())
         self.direct = self.kernel.root @ self.weights
         self._bounds()
 
     def _bounds(self) -> None:
-        """For each subsequence its highest weight in a typical landmark: summed over a unit and
-        divided by the least norm of so many letters, it bounds the unit's kernel values from above."""
-        table = np.zeros((32, 32, 32), np.float32)
+        """Two weights for each subsequence: its highest in a landmark that speaks for toxic, and the sum
+        over these landmarks by their share in the margin. Summed over a unit and divided by the least norm of
+        so many letters, they bound the highest kernel value and the sum of all from above."""
+        speak = np.maximum(self.direct, 0.0)
+        high, total = np.zeros((32, 32, 32), np.float32), np.zeros((32, 32, 32), np.float32)
         for u, row in self.kernel.rows.items():
             at = tuple(_SYMBOL[min(ord(c), 128)] for c in u)
-            table[at] = max([table[at], *[v for i, v in row if i < len(self.typical)]])
-        self.table = table.ravel()
+            high[at] = max([high[at], *[v for i, v in row if speak[i]]])
+            total[at] = max(total[at], sum(v * speak[i] for i, v in row))
+        self.high, self.total, self.all = high.ravel(), total.ravel(), float(speak.sum())
         self.least = np.array([math.sqrt(sum(DECAY ** (2 * (k - i)) for i in range(n - 2) for _, k in combinations(range(i + 1, min(n, i + SPAN)), 2))) or 1e-9 for n in range(CHARS + 1)])
 
     def suspects(self, text: str) -> set[str]:
-        """All units that can reach NEAR with a typical landmark (lower-cased text)."""
+        """All units whose margin can reach FLOOR (lower-cased text)."""
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         sym = _SYMBOL[np.minimum(code, 128)]
         alone = np.flatnonzero((sym > 0) & np.append(True, sym[:-1] == 0) & np.append(sym[1:] == 0, True))
@@ -176,16 +182,21 @@ class Scorer:
         inside = [far[0] > 0]
         for d in range(1, SPAN):
             inside.append(inside[-1] & (far[d] > 0))
-        total = np.zeros(n, np.float32)
-        high = far[0] << 10
+        high, total = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        first = far[0] << 10
         for j in range(1, SPAN - 1):
-            pair = high | far[j] << 5
+            pair = first | far[j] << 5
             for k in range(j + 1, SPAN):
-                total += self.table[pair | far[k]] * inside[k] * np.float32(DECAY**k)
-        sums = np.add.reduceat(total, starts)
+                at, weight = pair | far[k], inside[k] * np.float32(DECAY**k)
+                high += self.high[at] * weight
+                total += self.total[at] * weight
         size = np.add.reduceat((sym > 1).astype(np.int32), starts)
         runs = np.add.reduceat(((sym > 1) & np.append(True, sym[:-1] <= 1)).astype(np.int32), starts)
-        maybe = (sums > 0) & ((runs > 1) | (sums >= (NEAR - 1e-4) * self.least[np.minimum(size, CHARS)]))
+        least = self.least[np.minimum(size, CHARS)]
+        top = np.clip(np.add.reduceat(high, starts) / least, 1e-6, 1.0)
+        # exp is convex: up to ``top`` it lies below its chord
+        most = self.bias + math.exp(-SHARP) * self.all + np.exp(SHARP * (top - 1.0)) / top * np.add.reduceat(total, starts) / least
+        maybe = (runs > 1) | (size > CHARS) | (most >= FLOOR - 1e-3)
         for a, b in zip(starts[maybe], ends[maybe], strict=True):
             out.add(text[a:b].strip(_EDGE))
         return out
@@ -195,10 +206,7 @@ class Scorer:
         return max(self._margin(u[i : i + CHARS]) for u in {unit, letters} for i in range(0, max(1, len(u) - CHARS // 2), CHARS // 2))
 
     def _margin(self, unit: str) -> float:
-        k = self.kernel.values(unit)
-        if k[: len(self.typical)].max() < NEAR:
-            return FLOOR
-        return float(np.exp(SHARP * (k - 1.0)) @ self.direct + self.bias)
+        return float(self.kernel.sharp(unit) @ self.direct + self.bias)
 
     def score(self, text: str | None, cache: Recent) -> float:
         if self.kernel is None:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import random
 import zlib
 from array import array
 
@@ -152,6 +153,15 @@ def test_toxicity_held_out(spark, edge, empty):
     assert toxicity.judge(edge, l).count() == len(EDGE) and toxicity.judge(empty, l).count() == 0
 
 
+def test_toxicity_keeps_all_typical_units():
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(9))
+    counts = [(word("bdgkmpuz"), 10, 0) for _ in range(100)] + [(word("aeilnorst"), 20, 200) for _ in range(300)]
+    scorer = toxicity.Scorer(sorted(counts))
+    cache = toxicity.Recent(scorer.margin)
+    assert all((scorer.score(f"so {u} it is", cache) >= 0.5) == (n == 0) for u, _, n in counts)
+
+
 def test_rollup_is_idempotent(spark, edge, tmp_path):
     ledger = rollup.Rollup(spark, f"file://{tmp_path}")
     words = rollup.count_words(edge)
