@@ -1,52 +1,56 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Documents become sets of word shingles. Equal sets are one class from the start: only one document
-of a class is compared. The join of the classes has two halves.
+Documents become sets of word shingles; equal sets are one class. The join of the classes goes from
+the shingles that documents share, so that texts are never moved and most sets are left out early.
 
-*Answer skipping.* A set that is highly similar to another shares (nearly) all of its answers, so
-its answers are derived from the other's instead of searched anew. Classes that share a minimum
-under one of a few hash orders are compared with one leader of their group; the verified links give
-first components, and within a component nothing is searched again.
+*Shared shingles.* Every shingle is dealt to a bucket by its hash, and a bucket tells which of its
+shingles occur in more than one place. A set of which less than the threshold's share is shared can
+link with nothing and goes; the others are put together from their shared shingles, which are all that
+an overlap can consist of.
 
-*Index skipping.* Between components the exact prefix filter runs, first with each list's neighbours
-only, whose links join more components, then in full. Every class lists its first
-``n - ceil(t n) + 1`` shingles in an order of rising corpus frequency. The index list of a shingle
-is cut into blocks by component, size and position; a block whose best possible overlap is below
-what the threshold asks is skipped whole.
+*Index skipping.* A set is listed under the first of its ``n - ceil(t n) + 1`` shingles, rarest first (those
+that nothing shares come first and need no list). The rows of a list form blocks of equal
+component, size and position. A pair of blocks is skipped whole where both are of one component,
+or where the best overlap that size and position leave is below what the threshold asks.
 
-All candidates are verified on the full sets. Links are kept for every pair of differing components,
-so the components are exact. No list is capped: a hub's candidates are spread over salted copies of
-its text, and one list is read as a stream.
+*Answer skipping.* First each set is compared only with the hub of each of its lists, the set with the
+smallest share of shingles of its own. The overlaps with hubs are the computed answers; their links give
+components, and within a component nothing is searched again. A pair that the index still finds between components
+has its answer derived from the two overlaps with a common hub where these bound it on either side of the
+threshold; the rest are compared in full. So the components are exact, but links within one
+are not all listed.
 
-The frequency order comes from a count sketch of fixed size; any common order gives exact results,
-a better one only shorter lists. It is the only thing sent to all tasks.
+Nothing grows in the driver or is broadcast by hand; no list, hub or bucket is capped. Shingles are told apart by
+40 bits of hash and the bucket they fall in.
 
 Null or word-less texts have the empty set and no links. Repeated rows are copies. A row whose
-``doc_id`` is null takes the smallest ``doc_id`` of its component, null if there is none."""
+``doc_id`` is null takes the smallest ``doc_id`` of its component, null if there is none. Further columns are
+ignored, whatever their names; an empty table gives an empty result. ``docs`` must give the same rows in the same order
+when a task is repeated, as a file scan does; where it doesn't, the job fails instead of losing links."""
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut
 
 WORDS = 4
 PERCENT = 85
-#: Hash orders by whose minimum leaders are chosen.
-ORDERS = 3
-#: Counters in the frequency sketch (4 bytes each, cut into blocks that are summed apart).
-SKETCH, BLOCKS = 1 << 20, 64
-#: Partners that are compared with one copy of a hub's text.
+#: Shingles in a bucket (which a task holds at a time), and the least number of buckets.
+BUCKET, BUCKETS = 2_000_000, 64
+#: Shingles that a task gathers before it deals them out.
+CHUNK = 1_000_000
+#: Partners that are compared with one copy of a hub's set.
 FAN = 256
-#: Sets that a task remembers while it lists prefixes.
+#: Sets that a task remembers so as not to deal out their copies.
 SEEN = 200_000
+LOW = 40  # bits of a shingle's hash that are kept beside its bucket
 KEY = 12  # bytes of a class key: no collision to expect among 10^11 sets
 
 #: Bytes of a text that are hashed at a time.
@@ -121,81 +125,75 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=KEY).digest()
 
 
-def minima(s: np.ndarray, orders: int = ORDERS) -> list[int]:
-    """The smallest shingle under each of a few orders (multiplied by odd numbers, so distinct stay distinct)."""
-    return [int((s * (_BYTE[i] | np.uint64(1))).min()) >> 1 for i in range(orders)]
+def features(docs: DataFrame, k: int) -> DataFrame:
+    """``doc_id, n_shingles, cls`` of every row."""
+    bound_batches(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, k) for t in b.column(1).to_pylist()]
+            cols = [b.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([set_key(s) if s.size else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "cls"])
 
-def features(docs: DataFrame, k: int, orders: int) -> DataFrame:
-    """``doc_id, n_shingles, cls, mins`` of every row and, from each task, the blocks of its part of the
-    frequency sketch (``block, counts``, the other columns null): the texts are read once for both."""
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls binary")
+
+
+def _packed(who: np.ndarray) -> bytes:
+    """Ascending numbers as compressed steps."""
     import zstandard
 
-    spark, width = docs.sparkSession, SKETCH // BLOCKS
-    bound_batches(spark)
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ddl = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, cls binary, mins array<bigint>, block int, counts binary"
-    names = ["doc_id", "n_shingles", "cls", "mins", "block", "counts"]
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(who, prepend=0).astype("<u4").tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, kind = np.zeros(SKETCH, np.uint32), None
-        for b in batches:
-            kind = b.column(0).type
-            sets = [shingles(t, k) for t in b.column(1).to_pylist()]
-            if sets:
-                np.add.at(total, (np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), np.uint32(1))
-            mins = [minima(s, orders) if s.size else None for s in sets]
-            cols = [
-                b.column(0),
-                pa.array([s.size for s in sets], pa.int64()),
-                pa.array([set_key(s) if s.size else None for s in sets], pa.binary()),
-                pa.array(mins, pa.list_(pa.int64())),
-                pa.nulls(len(sets), pa.int32()),
-                pa.nulls(len(sets), pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-        if kind is not None:
-            z = zstandard.ZstdCompressor(level=1)
-            parts = [z.compress(total[i * width : (i + 1) * width].tobytes()) for i in range(BLOCKS)]
-            blank = [pa.nulls(BLOCKS, t) for t in (kind, pa.int64(), pa.binary(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
-
-    return picked.mapInArrow(run, ddl)
-
-
-def frequencies(parts: DataFrame) -> np.ndarray:
-    """Logarithms of the shingles' corpus frequencies by sketch counter, one byte each."""
+
+def _unpacked(data: bytes) -> np.ndarray:
     import zstandard
 
-    width = SKETCH // BLOCKS
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4"), dtype=np.int64)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        z = zstandard.ZstdDecompressor()
-        for b in batches:
-            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(z.decompress(c), np.uint32).astype(np.uint64)
-        for i, s in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([np.log2(s + 1.0).round().astype(np.uint8).tobytes()], pa.binary())})
 
-    rows = parts.select("block", "counts").repartition(BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()  # SKETCH bytes in all
-    out = np.zeros(SKETCH, np.uint8)
-    for block, counts in rows:
-        out[block * width : (block + 1) * width] = np.frombuffer(counts, np.uint8)
-    return out
+def _narrow(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8].tobytes()
+
 
+def _wide(data: bytes, bucket: int) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // LOW, 8), np.uint8)
+    out[:, : LOW // 8] = np.frombuffer(data, np.uint8).reshape(-1, LOW // 8)
+    return out.view("<u8").ravel() | np.uint64(bucket << LOW)
 
-def prefixes(docs: DataFrame, freq: np.ndarray, k: int, percent: int) -> DataFrame:
-    """``token, cls, n, pos``: the shingles by which a set must be found, rarest first. A task leaves out
-    the copies of sets it has just seen; copies from other tasks remain."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(freq)
+
+DEALT = "bucket int, head boolean, chunk bigint, who binary, low binary, seen binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "head", "chunk", "who", "low", "seen"])
+
+
+def dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """The shingles of all sets by bucket. A task gathers sets in chunks and writes one row for each bucket
+    of a chunk: ``who`` (places of the sets in the chunk) and ``low``. The ``head`` row of a chunk has the sets' sizes
+    and classes. A chunk is named by its classes."""
+    bound_batches(docs.sparkSession)
+
+    def flush(keys: list[bytes], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        name = b"".join(keys)
+        chunk = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
+        sizes = np.array([s.size for s in sets], "<u4")
+        tokens, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        bucket = ((tokens >> np.uint64(LOW)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        tokens, who, bucket = tokens[order], who[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets + 1))
+        rows = [(chunk % buckets, True, chunk, sizes.tobytes(), name, None)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows.append((int(bucket[a]), False, chunk, _packed(who[a:b]), _narrow(tokens[a:b]), None))
+        for a in range(0, len(rows), 64):
+            yield _rows(rows[a : a + 64])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, seen = shared.value, set()
+        keys, sets, held, seen = [], [], 0, set()
         for b in batches:
-            cols: list[list] = [[], [], [], []]
             for t in b.column(0).to_pylist():
                 s = shingles(t, k)
                 if not s.size or (key := set_key(s)) in seen:
@@ -203,143 +201,196 @@ def prefixes(docs: DataFrame, freq: np.ndarray, k: int, percent: int) -> DataFra
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                first = s.size - -(-percent * s.size // 100) + 1
-                front = s[np.lexsort((s, f[(s % np.uint64(SKETCH)).astype(np.int64)]))[:first]]
-                cols[0].append(front.view(np.int64))
-                cols[1].append([key] * first)
-                cols[2].append(np.full(first, s.size))
-                cols[3].append(np.arange(first))
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(cols[0])), pa.array([c for x in cols[1] for c in x], pa.binary()), pa.array(np.concatenate(cols[2]).astype(np.int32)), pa.array(np.concatenate(cols[3]).astype(np.int32))],
-                    names=["token", "cls", "n", "pos"],
-                )
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token bigint, cls binary, n int, pos int")
+                keys.append(key)
+                sets.append(s)
+                held += s.size
+                if held >= CHUNK:
+                    yield from flush(keys, sets)
+                    keys, sets, held = [], [], 0
+        if keys:
+            yield from flush(keys, sets)
+
+    return docs.select("text").mapInArrow(run, DEALT)
+
+
+def shared_only(parts: DataFrame) -> DataFrame:
+    """Of each bucket the shingles that stand in more than one place, with the number of places (``seen``, 255 for
+    more). A task holds one bucket at a time."""
+
+    def told(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate([_wide(low, bucket) for _, _, low in held])
+        _, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        count = np.minimum(count, 255).astype(np.uint8)[back]
+        at = 0
+        for chunk, who, low in held:
+            n = len(low) * 8 // LOW
+            keep = np.flatnonzero(count[at : at + n] > 1)
+            if keep.size:
+                yield _rows([(bucket, False, chunk, _packed(_unpacked(who)[keep]), _narrow(tokens[at : at + n][keep]), count[at : at + n][keep].tobytes())])
+            at += n
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for bucket, head, chunk, who, low, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if head:
+                    yield _rows([(bucket, True, chunk, who, low, None)])
+                    continue
+                if bucket != now and held:
+                    yield from told(now, held)
+                    held = []
+                now = bucket
+                held.append((chunk, who, low))
+        if held:
+            yield from told(now, held)
+
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, DEALT)
+
+
+def shared_sets(parts: DataFrame, percent: int) -> DataFrame:
+    """``cls, n, tokens, seen`` of the sets that share enough of their shingles to link with anything: the shared
+    ones, ascending, and the number of places of each."""
+
+    def built(head: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sizes, name = np.frombuffer(head[0], "<u4").astype(np.int64), head[1]
+        who = np.concatenate([_unpacked(w) for _, w, _, _ in held])
+        tokens = np.concatenate([_wide(low, bucket) for bucket, _, low, _ in held])
+        seen = np.concatenate([np.frombuffer(s, np.uint8) for _, _, _, s in held])
+        count = np.bincount(who, minlength=len(sizes))
+        stays = 100 * count >= percent * sizes
+        keep = stays[who]
+        who, tokens, seen = who[keep], tokens[keep], seen[keep]
+        order = np.lexsort((tokens, who))
+        tokens, seen, ends = tokens[order], seen[order], np.cumsum(count * stays)
+        cols: list[list] = [[], [], [], []]
+        for i in np.flatnonzero(stays).tolist():
+            a, b = int(ends[i] - count[i]), int(ends[i])
+            for col, x in zip(cols, (name[i * KEY : (i + 1) * KEY], int(sizes[i]), tokens[a:b].tobytes(), seen[a:b].tobytes()), strict=True):
+                col.append(x)
+            if len(cols[0]) == 256:
+                yield _sets(cols)
+                cols = [[], [], [], []]
+        yield _sets(cols)
 
-def shared_lists(lists: DataFrame) -> DataFrame:
-    """The rows of lists that hold more than one class, dealt by token once."""
-    once = lists.repartition("token").dropDuplicates(["token", "cls"])
-    return once.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head, held = None, None, []
+        for b in batches:
+            for bucket, is_head, chunk, who, low, seen in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunk != now:
+                    if held:
+                        yield from built(head, held)
+                    now, head, held = chunk, None, []
+                if is_head:
+                    head = (who, low)
+                elif head is None:
+                    raise RuntimeError("the documents came in another order when a task was repeated; write them to files first")
+                else:
+                    held.append((bucket, who, low, seen))
+        if held:
+            yield from built(head, held)
+
+    def _sets(cols: list[list]) -> pa.RecordBatch:
+        kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cls", "n", "tokens", "seen"])
+
+    by_chunk = parts.repartition("chunk").sortWithinPartitions("chunk", F.desc("head"))
+    return by_chunk.mapInArrow(run, "cls binary, n int, tokens binary, seen binary").dropDuplicates(["cls"])
+
+
+def index_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, cls, n, pos, own``: the shared shingles by which a set must be found, rarest first; ``own`` is the
+    number of its shingles that nothing shares, which come before them and have no list."""
 
-def open_lists(shared: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of lists on which differing components meet, with their components, dealt by token."""
-    by = Window.partitionBy("token")
-    named = shared.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    return named.repartition("token").withColumn("x", F.min("comp").over(by)).withColumn("y", F.max("comp").over(by)).where("x <> y").drop("x", "y")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
+            for cls, n, tokens, seen in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tokens, seen = np.frombuffer(tokens, "<u8"), np.frombuffer(seen, np.uint8)
+                own = n - len(tokens)
+                first = max(0, n - -(-percent * n // 100) + 1 - own)
+                front = tokens[np.lexsort((tokens, seen))[:first]]
+                cols[0].append(front.view(np.int64))
+                cols[1] += [cls] * len(front)
+                for col, x in zip(cols[2:], (np.full(len(front), n), own + np.arange(len(front)), np.full(len(front), own)), strict=True):
+                    col.append(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0])), pa.array(cols[1], pa.binary()), *(pa.array(np.concatenate(c)) for c in cols[2:])], names=["token", "cls", "n", "pos", "own"])
 
+    return sets.select("cls", "n", "tokens", "seen").mapInArrow(run, "token bigint, cls binary, n int, pos int, own int")
 
-def needed(n: int, m: int, percent: int) -> int:
-    """The least overlap of sets of n and m that reaches the threshold."""
-    return -(-percent * (n + m) // (100 + percent))
 
+def reaches(n: str, m: str, pos: str, other: str, percent: int):
+    """Whether sets of sizes n and m that first meet at these positions of a list can reach the threshold."""
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and (100 + {percent}) * least({n} - {pos}, {m} - {other}) >= {percent} * ({n} + {m})")
 
-def neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """Of each list, every row with the nearest row before it that has another component, where the two
-    can still reach the threshold: at most one pair a row. Rows are in order of size band and, within
-    one, in an order of the list's own, so that a set meets other partners on each list. The rows come
-    dealt by token."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, last, other = None, None, None
-        for batch in batches:
-            a, c = [], []
-            for t, cls, n, pos, comp in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if t != token:
-                    token, last, other = t, None, None
-                if last and last[3] != comp:
-                    other = last
-                if other:
-                    o, m, p, _ = other
-                    if 100 * min(n, m) >= percent * max(n, m) and min(n - pos, m - p) >= needed(n, m, percent):
-                        a.append(cls)
-                        c.append(o)
-                last = (cls, n, pos, comp)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
-
-    band = F.floor(F.log("n") / math.log(100 / percent))
-    dealt = rows.select("token", "cls", "n", "pos", "comp").sortWithinPartitions("token", band, F.xxhash64("token", "cls"), "cls")
-    return dealt.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def list_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of classes that share a prefix shingle, differ in component and can still
-    reach the threshold. The rows come dealt by token. A list is read by rising size, kept in blocks of equal component, size and
-    position, and blocks that have become too small are dropped."""
+def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each set (b) with the hub (a) of each of its lists."""
+    hub = F.min_by(F.struct("cls", "n", "pos"), F.struct(F.col("own") / F.col("n"), "cls"))
+    hubs = lists.groupBy("token").agg(hub.alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.cls").alias("a"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("other"))
+    return lists.join(hubs, "token").where("cls <> a").where(reaches("n", "m", "pos", "other", percent)).select("a", F.col("cls").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, blocks = None, {}
-        for b in batches:
-            a, c = [], []
-            for t, cls, n, pos, comp in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if t != token:
-                    token, blocks = t, {}
-                for other, own in blocks.items():
-                    if other == comp:
-                        continue
-                    for m in [m for m in own if 100 * m < percent * n]:
-                        del own[m]
-                    for m, at in own.items():
-                        least = needed(n, m, percent)
-                        for p, ids in at.items():
-                            if min(n - pos, m - p) >= least:  # else the whole block is skipped
-                                a += [cls] * len(ids)
-                                c += ids
-                blocks.setdefault(comp, {}).setdefault(n, {}).setdefault(pos, []).append(cls)
-                if len(a) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
-                    a, c = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
-
-    dealt = rows.select("token", "cls", "n", "pos", "comp").sortWithinPartitions("token", "n", "cls")
-    return dealt.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold. ``reps`` maps a class to one document.
-
-    Each b's text meets a's: a's texts come once for every FAN partners, and a task holds one set
-    of a at a time."""
-    import zstandard
 
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    texts = reps.join(wanted, "cls", "left_semi").join(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
-    bound_batches(spark)
+def index_pairs(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs of sets of differing components that share a list and can still reach the threshold: first
+    pairs of whole blocks, then the rows of those that are not skipped."""
+    named = lists.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    rows = cut(named.join(mixed, "token", "left_semi").select("token", "comp", "n", "pos", "cls"), "jaccard-open")
+    blocks = rows.select("token", "comp", "n", "pos").distinct()
+    x = blocks.select("token", *(F.col(c).alias(f"{c}_x") for c in ("comp", "n", "pos")))
+    y = blocks.select("token", *(F.col(c).alias(f"{c}_y") for c in ("comp", "n", "pos")))
+    met = x.join(y, "token").where("comp_x < comp_y").where(reaches("n_x", "n_y", "pos_x", "pos_y", percent))
+    side = lambda s, out: rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "n", "pos")), F.col("cls").alias(out))
+    for s, out in (("x", "a"), ("y", "b")):
+        met = met.join(side(s, out), ["token", f"comp_{s}", f"n_{s}", f"pos_{s}"])
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            own = b.column(1).to_pylist()
-            # a doc_id may come with several texts: only that of the class counts
-            keep = [i for i, (c, t) in enumerate(zip(b.column(0).to_pylist(), own, strict=True)) if set_key(shingles(t, k)) == c]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([z.compress(own[i].encode("utf-8", "surrogatepass")) for i in keep], pa.binary())], names=["cls", "packed"])
 
-    packed = cut(texts.select("cls", "text").mapInArrow(pack, "cls binary, packed binary").dropDuplicates(["cls"]), "jaccard-texts")
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, na, nb, both``: sizes and overlap of each pair. The set of b meets that of a, which comes once for every
+    FAN partners; a task holds one set of a at a time."""
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("copies"))
-    hubs = fan.join(packed, fan.a == packed.cls).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "packed")
+    own = sets.select("cls", "n", "tokens")
+    hubs = fan.join(own, fan.a == own.cls).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "n", "tokens")
     spread = pairs.join(fan, "a").select("a", F.expr("cast(pmod(xxhash64(b), copies) as int)").alias("salt"), "b")
-    members = spread.join(packed, spread.b == packed.cls).select("a", "salt", "b", "packed")
+    members = spread.join(own, spread.b == own.cls).select("a", "salt", "b", "n", "tokens")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, hub = zstandard.ZstdDecompressor(), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, size, of = None, 0, None
         for batch in batches:
-            a_, b_ = [], []
-            for a, b, p in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                s = shingles(z.decompress(p).decode("utf-8", "surrogatepass"), k)
+            out: list[list] = [[], [], [], [], []]
+            for a, salt, b, n, tokens in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                s = np.frombuffer(tokens, "<u8")
                 if b is None:
-                    hub = s
+                    hub, size, of = s, n, (a, salt)
                     continue
-                both = np.intersect1d(hub, s, assume_unique=True).size
-                if 100 * both >= percent * (hub.size + s.size - both):
-                    a_.append(a)
-                    b_.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.binary()), pa.array(b_, pa.binary())], names=["a", "b"])
+                if of != (a, salt):
+                    raise RuntimeError("a hub's set is missing")
+                for col, v in zip(out, (a, b, size, n, np.intersect1d(hub, s, assume_unique=True).size), strict=True):
+                    col.append(v)
+            kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["a", "b", "na", "nb", "both"])
 
     met = hubs.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return met.select("a", "b", "packed").mapInArrow(compare, "a binary, b binary")
+    return met.mapInArrow(run, "a binary, b binary, na int, nb int, both int")
+
+
+def linked(answers: DataFrame, percent: int) -> DataFrame:
+    return answers.where(f"(100 + {percent}) * both >= {percent} * (na + nb)").select("a", "b")
+
+
+def derived(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
+    """The pairs with ``link``: true or false where the answers of a hub that both were compared with decide it, else null.
+
+    What a and b have in common is part of what both have in common with the hub, or lies outside it."""
+    hub = answers.select("a", F.col("a").alias("b"), F.col("na").alias("nb"), "na", F.col("na").alias("both")).distinct()
+    known = hub.unionByName(answers)
+    side = lambda to: known.select(F.col("a").alias("hub"), F.col("b").alias(to), F.col("na").alias("nh"), F.col("nb").alias(f"n_{to}"), F.col("both").alias(f"o_{to}"))
+    met = pairs.join(side("a"), "a").join(side("b").drop("nh"), ["hub", "b"])
+    most = F.expr("least(o_a, o_b) + least(n_a - o_a, n_b - o_b)")
+    bounds = met.groupBy("a", "b").agg(F.min(most).alias("most"), F.max(F.expr("o_a + o_b - nh")).alias("least"), F.first(F.col("n_a") + F.col("n_b")).alias("sum"))
+    told = bounds.select("a", "b", F.expr(f"case when (100 + {percent}) * least >= {percent} * sum then true when (100 + {percent}) * most < {percent} * sum then false end").alias("link"))
+    return pairs.join(told, ["a", "b"], "left")
 
 
 def components(edges: DataFrame, label: str = "jaccard-components") -> DataFrame:
@@ -366,32 +417,23 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), *parts).first())
 
 
-def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    docs = docs.select("doc_id", "text")
-    written = cut(features(docs, k, orders), "jaccard-features")
-    feats, sketch = written.where("block is null").drop("block", "counts"), written.where("block is not null")
-    classes = cut(feats.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("mins").alias("mins"), F.count("*").alias("copies")), "jaccard-classes")
-    reps = classes.select("cls", "doc_id").where("doc_id is not null")
-
-    # answers first: one leader a group of equal minimum
-    keyed = classes.where("doc_id is not null").select("cls", "n", F.posexplode("mins").alias("o", "m"))
-    leaders = keyed.groupBy("o", "m").agg(F.min_by("cls", F.struct("n", "cls")).alias("low"), F.max_by("cls", F.struct(F.abs(F.xxhash64("cls")), "cls")).alias("any"), F.count("*").alias("c")).where("c > 1")
-    led = keyed.join(leaders, ["o", "m"]).select("cls", "n", F.explode(F.array_distinct(F.array("low", "any"))).alias("a")).where("a <> cls").distinct()
-    size = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"))
-    firsts = led.join(size, "a").where(F.expr(f"100 * least(n, na) >= {percent} * greatest(n, na)")).select("a", F.col("cls").alias("b"))
-    links = cut(verified(cut(firsts, "jaccard-pairs"), reps, docs, k, percent), "jaccard-links")
-    known = components(links)
-
-    # then what the index still finds between components
-    # (neighbours on the lists first: what they join needs no further search)
-    lists = cut(shared_lists(prefixes(docs, frequencies(sketch), k, percent)), "jaccard-lists")
-    near = cut(neighbours(open_lists(lists, known), percent), "jaccard-pairs")
-    joined = components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(verified(near, reps, docs, k, percent)))
-    pairs = cut(list_candidates(open_lists(lists, joined), percent), "jaccard-pairs")
-    more = verified(pairs, reps, docs, k, percent)
-    done = components(joined.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
-
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    feats = cut(features(docs, k), "jaccard-features")
+    total = feats.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = dealt(docs, k, max(BUCKETS, -(-total // BUCKET)))
+    sets = cut(shared_sets(shared_only(parts), percent), "jaccard-sets")
+    lists = cut(index_lists(sets, percent), "jaccard-lists")
+
+    answers = cut(compared(hub_pairs(lists, percent), sets), "jaccard-answers")
+    known = components(linked(answers, percent))
+    pairs = cut(derived(index_pairs(lists, known, percent), answers, percent), "jaccard-pairs")
+    more = linked(compared(pairs.where("link is null").select("a", "b"), sets), percent)
+    edges = known.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(pairs.where("link").select("a", "b")).union(more)
+    done = components(edges)
+
+    classes = feats.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     ids = classes.join(done.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
     low = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = ids.join(low, "comp").select("cls", "component_id")

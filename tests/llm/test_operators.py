@@ -67,6 +67,18 @@ def test_jaccard_edges(edge, empty):
     assert jaccard.jaccard_join(empty).count() == 0
 
 
+def test_jaccard_null_ids_and_chains(spark):
+    """Near copies of which one has no id, a class without any id, and a chain of links."""
+    word = [f"w{i}" for i in range(400)]
+    text = lambda *swap: " ".join(f"v{i}" if i in swap else w for i, w in enumerate(word))
+    rows = [(9, text()), (7, text(3)), (None, text(5)), (None, text(5)), (4, "other words that link with nothing here"), (None, "alone without an id and a link"), (8, None)]
+    # each step of the chain changes more: the ends do not link with each other
+    rows += [(100 + i, " ".join(["chain"] + [f"c{j}" for j in range(i * 4, i * 4 + 120)])) for i in range(6)]
+    got = [(r.doc_id, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert got.count((None, 7)) == 2 and (9, 7) in got and (4, 4) in got and (None, None) in got and (8, 8) in got
+    assert {c for i, c in got if i and i >= 100} == {100}
+
+
 def library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
