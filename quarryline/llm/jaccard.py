@@ -213,7 +213,7 @@ def dealt(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, DEALT)
 
 
-def shared_only(parts: DataFrame) -> DataFrame:
+def shared_only(parts: DataFrame, tasks: int) -> DataFrame:
     """Of each bucket the shingles that stand in more than one place, with the number of places (``seen``, 255 for
     more). A task holds one bucket at a time."""
 
@@ -244,7 +244,7 @@ def shared_only(parts: DataFrame) -> DataFrame:
         if held:
             yield from told(now, held)
 
-    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, DEALT)
+    return parts.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, DEALT)
 
 
 def shared_sets(parts: DataFrame, percent: int) -> DataFrame:
@@ -422,8 +422,10 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     feats = cut(features(docs, k), "jaccard-features")
     total = feats.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    parts = dealt(docs, k, max(BUCKETS, -(-total // BUCKET)))
-    sets = cut(shared_sets(shared_only(parts), percent), "jaccard-sets")
+    buckets = max(BUCKETS, -(-total // BUCKET))
+    # tasks grow with the input: a quarter of the buckets, but no fewer than shuffles have here
+    tasks = max(buckets // 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sets = cut(shared_sets(shared_only(dealt(docs, k, buckets), tasks), percent), "jaccard-sets")
     lists = cut(index_lists(sets, percent), "jaccard-lists")
 
     answers = cut(compared(hub_pairs(lists, percent), sets), "jaccard-answers")

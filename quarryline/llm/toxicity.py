@@ -4,21 +4,26 @@ A sentence is a bag of units: its blank-separated words, and runs of single char
 unit ("i d i o t"). The kernel of two units compares all their subsequences of three characters, each
 occurrence weighted by DECAY to the power of its span, so gaps and inserted characters cost little and
 do not hide a word. Spans are bounded, so the kernel has an explicit sparse feature map and a unit is
-compared with all landmarks by a few look-ups. Landmarks are all units typical of toxic sentences,
-the most frequent others and those nearest to typical ones; the inverse root of their kernel matrix maps
+compared with all landmarks by a few look-ups. Landmarks are the units that account for the toxic labels,
+the most frequent others and those that come nearest to the former; the inverse root of their kernel matrix maps
 a unit to a short vector, on which a linear support vector machine is trained. The machine decides on
 every unit. A sentence scores as its worst unit, a text as its worst sentence.
 
-Training counts (Spark) in how many toxic and other rows of a bounded hash sample a unit occurs;
-these are the weights of the unit as an example of either class. What goes to the driver and to the
-tasks is bounded by the parameters. Scoring is one pass without a shuffle.
+A label holds for a whole text, so training first tells which of a toxic text's units account for it: one that
+comes in toxic texts almost only, and not merely beside more frequent such units (as in copies of one
+text). These are the positive examples, with variants that have gaps and inserted characters; the units of
+texts that aren't toxic are the negative ones, each with the number of its texts. Units of toxic texts that account
+for nothing are in neither class. Counts come from a bounded hash sample of labelled rows (Spark);
+what goes to the driver is bounded by that sample and the parameters. Scoring is one pass without a shuffle.
 
-Null and empty texts score as a text without known units; without training rows all score 0."""
+Null and empty texts score as a text without known units; without training rows all score 0. Repeated rows get equal
+scores (and count each in training); further columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -26,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, bound_batches, map_texts
+from .common import Recent, bound_batches, cut, map_texts
 from .language import hash_sample, held_out
 
 SAMPLE_ROWS = 8_000
-UNITS = 20_000
+UNITS = 10_000
 LANDMARKS = 128
+#: Toxic texts in which a unit must occur to account for labels, and how many times more often than in others.
+LEAST, TIMES = 4, 3
 #: The string kernel enters as exp(SHARP (k - 1)), so that likeness counts and sharing a syllable hardly.
 SHARP = 10.0
 DECAY = 0.8
@@ -99,13 +106,13 @@ class Kernel:
         return self.sharp(unit) @ self.root
 
 
-def fit_svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, c: float = 3000.0, steps: int = 60) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, c: float = 10_000.0, steps: int = 60) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine on weighted examples by Newton steps on the active set."""
     # an example stands in a row for each class in which it has weight
     own = [np.flatnonzero(pos), np.flatnonzero(neg)]
     rows = np.concatenate(own)
     y = np.concatenate([np.ones(len(own[0])), -np.ones(len(own[1]))])
-    xx = np.ones((len(rows), x.shape[1] + 1))
+    xx = np.ones((len(rows), x.shape[1] + 1), x.dtype)
     np.take(x, rows, axis=0, out=xx[:, :-1])
     weight = np.concatenate([pos[own[0]], neg[own[1]]]).astype(float)
     weight /= weight.sum()
@@ -120,36 +127,43 @@ def fit_svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, c: float = 3000.0,
     return w[:-1], float(w[-1])
 
 
+def accounting(bags: list[frozenset], toxic: Counter, other: Counter) -> list[str]:
+    """The units that account for toxic labels, the most telling first: frequent and almost only in toxic texts, and
+    in half of these without a unit that is three times as frequent."""
+    where: dict[str, set[int]] = {}
+    for i, bag in enumerate(bags):
+        for u in bag:
+            where.setdefault(u, set()).add(i)
+    out: list[str] = []
+    for u in sorted(where, key=lambda u: (TIMES * other[u] - toxic[u], u)):
+        if toxic[u] >= LEAST and toxic[u] > TIMES * other[u]:
+            alone = where[u].difference(*(where[v] for v in out if toxic[v] >= 3 * toxic[u]))
+            if len(alone) > 1 and 2 * len(alone) >= len(where[u]):
+                out.append(u)
+    return out
+
+
 class Scorer:
-    def __init__(self, counts: list[tuple[str, int, int]], landmarks: int = LANDMARKS):
-        """counts: unit, toxic rows, other rows."""
+    def __init__(self, counts: list[tuple[str, int, int]], bags: list[frozenset], landmarks: int = LANDMARKS):
+        """counts: unit, toxic rows, other rows; bags: of each toxic row the units that may account for it."""
         self.kernel = None
-        toxic, other = sum(c[1] for c in counts), sum(c[2] for c in counts)
-        if not toxic or not other:
-            return
-        base = toxic / (toxic + other)
-        shares = {u: p / (p + n) for u, p, n in counts}
-        # the excess of toxic rows over what the base rate explains, in standard deviations
-        rank = {u: (p - base * (p + n)) / math.sqrt(base * (1 - base) * (p + n)) for u, p, n in counts}
-        typical = [u for u in sorted(rank, key=lambda u: (-rank[u], u)) if rank[u] > 4 and shares[u] > 0.6]
-        if not typical:
+        toxic, other = Counter({u: p for u, p, _ in counts}), Counter({u: n for u, _, n in counts})
+        self.typical = typical = accounting(bags, toxic, other)
+        plain = [u for u, p, n in counts if n and not (p > 1 and p > n)]
+        if not typical or not plain:
             return
-        common = [u for u, p, n in sorted(counts, key=lambda c: (-c[1] - c[2], c[0])) if rank[u] < 2][: landmarks // 4]
-        self.typical, typical_set = typical, set(typical)
-        plain = [u for u, p, n in counts if u not in typical_set]
         near = Kernel(typical)
-        # the others that come nearest to typical ones are landmarks and examples too
         close = {u: float(near.values(u).max()) for u in plain}
-        hard = sorted(plain, key=lambda u: (-close[u], u))[:4000]
-        self.kernel = Kernel(typical + common + [u for u in hard if u not in common][: landmarks // 4])
+        common = sorted(plain, key=lambda u: (-other[u], u))[: landmarks // 4]
+        hard = sorted(plain, key=lambda u: (-(close[u] ** 2) * math.log1p(other[u]), u))[:landmarks]
+        self.kernel = Kernel([*typical, *common, *(u for u in hard if u not in common)])
         varied = [(t[:i] + c + t[i:], t) for t in typical for i in range(1, len(t)) for c in ".-*xe"] + [(c.join(t), t) for t in typical for c in ".-*"]
-        seen = {u: n for u, _, n in counts}
-        feats = np.array([self.kernel.features(u) for u in [*typical, *(v for v, _ in varied), *plain]])
-        # typical units are examples of the other class, too, so far as other rows have them
-        sure = {t: rank[t] / rank[typical[0]] for t in typical}
-        pos = np.array([3.0 * sure[t] for t in typical] + [sure[t] for _, t in varied] + [0.0] * len(plain))
-        neg = np.array([1.01 * math.log1p(seen[t]) for t in typical] + [0.0] * len(varied) + [(1 + math.log1p(seen[u])) * (0.01 + close[u] ** 4) for u in plain])
-        self.weights, self.bias = fit_svm(feats, pos / pos.sum(), neg / neg.sum())
+        feats = np.array([self.kernel.features(u) for u in [*typical, *(v for v, _ in varied), *plain]], np.float32)
+        weight = {t: math.sqrt(toxic[t]) for t in typical}
+        pos = np.array([3.0 * weight[t] for t in typical] + [4.0 * weight[t] / len(t) for _, t in varied] + [0.0] * len(plain))
+        # an accounting unit is a negative example, too, so far as other texts have it
+        neg = np.array([float(other[t]) for t in typical] + [0.0] * len(varied) + [other[u] * (0.02 + close[u] ** 4) for u in plain])
+        self.weights, self.bias = fit_svm(feats, 0.1 * pos / pos.sum(), neg / neg.sum())
         self.direct = self.kernel.root @ self.weights
         self._bounds()
 
@@ -203,7 +217,7 @@ class Scorer:
 
     def margin(self, unit: str) -> float:
         letters = "".join(c for c in unit if c.isalnum() or c > "\x7f")  # the gaps closed as well
-        return max(self._margin(u[i : i + CHARS]) for u in {unit, letters} for i in range(0, max(1, len(u) - CHARS // 2), CHARS // 2))
+        return max(self._margin(p) for u in {unit, letters} for p in pieces(u))
 
     def _margin(self, unit: str) -> float:
         return float(self.kernel.sharp(unit) @ self.direct + self.bias)
@@ -215,20 +229,35 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-3.0 * max(FLOOR, min(9.0, worst))))
 
 
-def unit_counts(labelled: DataFrame, most: int = UNITS) -> list[tuple[str, int, int]]:
+def pieces(unit: str) -> list[str]:
+    """A unit as windows of at most CHARS characters."""
+    return [unit[i : i + CHARS] for i in range(0, max(1, len(unit) - CHARS // 2), CHARS // 2)]
+
+
+def unit_counts(labelled: DataFrame, most: int = UNITS) -> tuple[list[tuple[str, int, int]], list[frozenset]]:
+    """Counts of the most frequent units (about ``most`` of them) and of all that may account for labels, and these by toxic row."""
     bound_batches(labelled.sparkSession)
 
     def run(batches):
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = sorted(u for u in units(text) if len(u) <= CHARS)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], names=["unit", "toxic"])
+            for row, text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = sorted({p for u in units(text) for p in pieces(u)})
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(own), pa.int64()), pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], names=["row", "unit", "toxic"])
 
-    rows = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "unit string, toxic int")
+    named = labelled.select(F.xxhash64("doc_id", "text").alias("row"), "text", F.col("toxic").cast("int"))
+    rows = cut(named.mapInArrow(run, "row bigint, unit string, toxic int"), "toxicity-units")
     both = rows.groupBy("unit").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
-    # bounded: the most frequent units, and those most frequent in toxic rows
-    top = both.orderBy(F.desc(F.col("p") + F.col("n")), "unit").limit(most).union(both.orderBy(F.desc(3 * F.col("p") - F.col("n")), "unit").limit(most // 10)).distinct()
-    return sorted(tuple(r) for r in top.collect())
+    telling = f"p >= {LEAST} and p > {TIMES} * n"
+    # the frequency from which on units are as many as wanted; frequencies are no more than sampled rows
+    wanted, least = 0, 1
+    for c, n in sorted(((r[0], r[1]) for r in both.groupBy((F.col("p") + F.col("n")).alias("c")).count().collect()), reverse=True):
+        wanted += n
+        if wanted > most:
+            least = c + 1
+            break
+    counts = both.where(f"p + n >= {least} or ({telling})").collect()
+    bags = rows.where("toxic = 1").join(both.where(telling).select("unit"), "unit").groupBy("row").agg(F.collect_set("unit")).collect()
+    return sorted(tuple(r) for r in counts), [frozenset(r[1]) for r in sorted(bags)]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
@@ -237,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = hash_sample(marked, sample_rows, "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # the sample is bounded by its parameter (16 bytes a row), so it may be broadcast
-    return Scorer(unit_counts(texts.join(F.broadcast(chosen), "doc_id")))
+    return Scorer(*unit_counts(texts.join(F.broadcast(chosen), "doc_id")))
 
 
 def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id") -> DataFrame:

@@ -165,13 +165,20 @@ def test_toxicity_held_out(spark, edge, empty):
     assert toxicity.judge(edge, l).count() == len(EDGE) and toxicity.judge(empty, l).count() == 0
 
 
-def test_toxicity_keeps_all_typical_units():
+def test_toxicity_units_that_account_for_labels():
+    """All frequent insults are kept, however many; what only comes beside one (copies of a text) is not."""
     rng = random.Random(5)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(9))
-    counts = [(word("bdgkmpuz"), 10, 0) for _ in range(100)] + [(word("aeilnorst"), 20, 200) for _ in range(300)]
-    scorer = toxicity.Scorer(sorted(counts))
+    insults, plain = [word("bdgkmpuz") for _ in range(100)], [word("aeilnorst") for _ in range(300)]
+    bags = [frozenset({u}) for u in insults for _ in range(10)] + [frozenset({insults[0], "bystander"})] * 5 + [frozenset({"chance"})]
+    counts = [(u, 10 + 5 * (u == insults[0]), 0) for u in insults] + [(u, 20, 200) for u in plain] + [("bystander", 5, 0), ("chance", 1, 0)]
+    counts[0] = (insults[0], 15, 0)
+    scorer = toxicity.Scorer(sorted(counts), bags)
+    assert set(scorer.typical) == set(insults)
     cache = toxicity.Recent(scorer.margin)
-    assert all((scorer.score(f"so {u} it is", cache) >= 0.5) == (n == 0) for u, _, n in counts)
+    assert all(scorer.score(f"so {u} it is", cache) >= 0.5 for u in insults) and all(scorer.score(f"so {u} it is", cache) < 0.5 for u in plain)
+    gapped = insults[5]
+    assert scorer.score(f"so {' '.join(gapped)} it is", cache) >= 0.5 and scorer.score(f"so {'.'.join(gapped)} it is", cache) >= 0.5 and scorer.score(f"so {gapped[:4]}*{gapped[4:]}!! it is", cache) >= 0.5
 
 
 def test_rollup_is_idempotent(spark, edge, tmp_path):
