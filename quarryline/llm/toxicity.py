@@ -81,22 +81,22 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         maps = [subsequences(x) for x in landmarks]
-        norms = [math.sqrt(sum(v * v for v in m.values())) for m in maps]
         self.size = len(landmarks)
-        self.rows: dict[str, list[tuple[int, float]]] = {}
-        for i, (m, norm) in enumerate(zip(maps, norms, strict=True)):
+        #: One row a subsequence: its share in each landmark.
+        self.place = {u: i for i, u in enumerate(dict.fromkeys(u for m in maps for u in m))}
+        self.shares = np.zeros((len(self.place), self.size), np.float32)
+        for j, m in enumerate(maps):
+            norm = math.sqrt(sum(v * v for v in m.values())) or 1.0
             for u, v in m.items():
-                self.rows.setdefault(u, []).append((i, v / norm))
-        gram = np.array([self.sharp(x) for x in landmarks]).reshape(self.size, self.size)
+                self.shares[self.place[u], j] = v / norm
+        gram = np.array([self.sharp(x) for x in landmarks], float).reshape(self.size, self.size)
         w, v = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(self.size))
         self.root = (v / np.sqrt(np.maximum(w, 1e-6))) @ v.T
 
     def values(self, unit: str) -> np.ndarray:
-        out = np.zeros(self.size)
-        own = subsequences(unit)
-        for u in own.keys() & self.rows.keys():
-            for i, v in self.rows[u]:
-                out[i] += v * own[u]
+        own, place = subsequences(unit), self.place
+        known = [u for u in own if u in place]
+        out = np.array([own[u] for u in known], np.float32) @ self.shares[[place[u] for u in known]] if known else np.zeros(self.size)
         return out / (math.sqrt(sum(v * v for v in own.values())) or 1.0)
 
     def sharp(self, unit: str) -> np.ndarray:
@@ -173,10 +173,10 @@ class Scorer:
         so many letters, they bound the highest kernel value and the sum of all from above."""
         speak = np.maximum(self.direct, 0.0)
         high, total = np.zeros((32, 32, 32), np.float32), np.zeros((32, 32, 32), np.float32)
-        for u, row in self.kernel.rows.items():
-            at = tuple(_SYMBOL[min(ord(c), 128)] for c in u)
-            high[at] = max([high[at], *[v for i, v in row if speak[i]]])
-            total[at] = max(total[at], sum(v * speak[i] for i, v in row))
+        for u, i in self.kernel.place.items():
+            at, row = tuple(_SYMBOL[min(ord(c), 128)] for c in u), self.kernel.shares[i]
+            high[at] = max(high[at], row[speak > 0].max(initial=0.0))
+            total[at] = max(total[at], float(row @ speak))
         self.high, self.total, self.all = high.ravel(), total.ravel(), float(speak.sum())
         self.least = np.array([math.sqrt(sum(DECAY ** (2 * (k - i)) for i in range(n - 2) for _, k in combinations(range(i + 1, min(n, i + SPAN)), 2))) or 1e-9 for n in range(CHARS + 1)])
 
