@@ -19,8 +19,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link, the one that names the component stays, once; documents without words
     stay, equal rows of them once."""
-    lead = jaccard.jaccard_join(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(lead.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    lead = jaccard.jaccard_join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("lead")).distinct()
+    kept = docs.alias("d").join(lead.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.lead")), "left_semi")
     return kept.dropDuplicates()
 
 
@@ -37,7 +37,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", civil), ("near_duplicates", unique), ("decontamination", clean), ("pii", private), ("bpe", encoded)]
-#: The trained stages have no SQL form; tests hold them against brute force.
+#: The trained stages have no SQL form; tests hold each stage against a brute-force version (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 

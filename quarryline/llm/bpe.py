@@ -188,13 +188,20 @@ class WordCodec:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and the decoded text."""
-        if self.specials and "<|" in text and (m := self.specials.search(text)):
-            head, tail = self.encode(text[: m.start()]), self.encode(text[m.end() :])
-            mid = array("I", [self.special[m.group()]]).tobytes(), m.group()
-            parts = [head, mid, tail]
-        else:
-            pieces = text.split() if not ODD_WHITE.search(text) else [p for p in WHITE.split(text) if p]
-            parts = list(map(self.pieces.__getitem__, pieces))
+        if not (self.specials and "<|" in text):
+            return self._plain(text)
+        parts, at = [], 0
+        for m in self.specials.finditer(text):
+            parts += [self._plain(text[at : m.start()]), (array("I", [self.special[m.group()]]).tobytes(), m.group())]
+            at = m.end()
+        return self._joined([*parts, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> tuple[bytes, str]:
+        pieces = text.split() if not ODD_WHITE.search(text) else [p for p in WHITE.split(text) if p]
+        return self._joined(list(map(self.pieces.__getitem__, pieces)))
+
+    @staticmethod
+    def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
 
 

@@ -24,10 +24,12 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (local runs and tests) below a temporary one."""
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``. Where that is unset, local runs
+    and tests get a temporary one; a cluster has no folder that all machines share, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quarryline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

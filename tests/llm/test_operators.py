@@ -79,6 +79,14 @@ def test_jaccard_null_ids_and_chains(spark):
     assert {c for i, c in got if i and i >= 100} == {100}
 
 
+def test_bpe_many_special_tokens():
+    book, whole = bpe.codec(bpe.default_vocabulary()), library("word_bpe_49k.json")
+    for text in ("<|endoftext|>" * 3000, "a <|endoftext|> b<|endoftext|>", "<|endoftext|>", " <|endoftext|>  x"):
+        want = whole.encode(text, add_special_tokens=False).ids
+        ids, decoded = book.encode(text)
+        assert list(array("I", ids)) == want and decoded == whole.decode(want, skip_special_tokens=False)
+
+
 def library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
