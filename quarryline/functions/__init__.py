@@ -1,37 +1,83 @@
-"""Column helpers shared by the marts."""
+"""Column helpers shared by the marts and scores."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bounds of a believable annual salary, and periods a year.
+# What a believable annual salary is, and periods a year.
 SALARY_LOW, SALARY_HIGH = 10_000, 500_000
-PERIODS = {"HOURLY": 2080, "DAILY": 260, "WEEKLY": 52, "BIWEEKLY": 26, "MONTHLY": 12, "YEARLY": 1}
+SALARY_PERIODS = ["YEARLY", "HOURLY", "MONTHLY", "WEEKLY"]
+PERIODS = {"HOURLY": 2080, "WEEKLY": 52, "BIWEEKLY": 26, "MONTHLY": 12, "YEARLY": 1}
+
+
+def rounded(c: Column, digits: int = 0) -> Column:
+    scale = float(10**digits)
+    return F.round(c * scale) / scale
 
 
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     """A percentage, null over nothing."""
-    scale = float(10**digits)
-    return F.when(whole > 0, F.round(part.cast("double") * 100.0 / whole * scale) / scale)
+    return F.when(whole > 0, rounded(part.cast("double") * 100.0 / whole, digits))
 
 
-def valid_salary(currency: str = "currency", salary: str = "normalized_salary") -> Column:
-    """The salary where it is believable and in dollars, else null."""
-    s = F.col(salary)
-    return F.when((F.coalesce(F.col(currency), F.lit("USD")) == "USD") & s.between(SALARY_LOW, SALARY_HIGH), s)
+def valid_salary() -> Column:
+    """The normalised salary where it is in dollars, of a known period and believable, else null."""
+    ok = (F.col("currency") == "USD") & F.col("pay_period").isin(SALARY_PERIODS) & F.col("normalized_salary").between(SALARY_LOW, SALARY_HIGH)
+    return F.when(ok, F.col("normalized_salary"))
 
 
 def annualized(amount: Column, period: Column) -> Column:
+    """An amount a period as one a year; null for other periods."""
     factor = F.lit(None).cast("double")
     for name, n in reversed(PERIODS.items()):
-        factor = F.when(F.upper(period) == name, float(n)).otherwise(factor)
+        factor = F.when(period == name, float(n)).otherwise(factor)
     return amount * factor
 
 
-def median(c: Column) -> Column:
-    return F.round(F.median(c) * 100.0) / 100.0
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], digits: int | None = 0) -> DataFrame:
+    """Exact interpolated quantiles of the non-null values by key, one column each.
+
+    Equal values are counted first, map-side too; what is then sorted by key is one row a distinct value, in a
+    sort that can spill. No task holds a key's values in memory."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy(*(keys or [F.lit(1)]))
+    upto = by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.select(*keys, "_v", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(by).alias("_all"))
+    ends = []
+    for i, q in enumerate(wanted.values()):
+        place = (F.col("_all") - 1) * q
+        ends += [F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v"))).alias(f"_low{i}"), F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v"))).alias(f"_high{i}"), F.first(place - F.floor(place)).alias(f"_part{i}")]
+    got = placed.groupBy(*keys).agg(*ends)
+    between = lambda i: F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
+    return got.select(*keys, *((between(i) if digits is None else rounded(between(i), digits)).alias(name) for i, name in enumerate(wanted)))
+
+
+def with_quantiles(sums: DataFrame, df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], digits: int | None = 0) -> DataFrame:
+    """The aggregates with quantiles beside them (keys may be null)."""
+    q = quantiles(df, keys, value, wanted, digits)
+    if not keys:
+        return sums.join(F.broadcast(q), how="left")  # one row each
+    named = q.select(*(F.col(k).alias(f"_{k}") for k in keys), *wanted)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return sums.join(named, same, "left").drop(*(f"_{k}" for k in keys))
+
+
+def f1_or(tp: Column, fp: Column, fn: Column, empty: float) -> Column:
+    """F1 from counts; ``empty`` where nothing was there and nothing was found."""
+    whole = 2 * tp + fp + fn
+    return F.when(whole > 0, 2.0 * tp / whole).otherwise(F.lit(empty))
 
 
-def f1(precision: Column, recall: Column) -> Column:
-    return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+def ratio(part: Column, whole: Column) -> Column:
+    """0 over nothing."""
+    return F.when(whole > 0, part.cast("double") / whole).otherwise(0.0)

@@ -1,98 +1,197 @@
-"""Facts from posting texts, as column expressions: pay, seniority, years, arrangement, skills.
+"""Facts from posting texts as column expressions: pay, seniority, years, skills, arrangement, each with the text it rests on.
 
-All stay in the JVM. A null or empty text gives nulls (skills: empty lists)."""
+All stay in the JVM: a pattern's places in a text come from splitting the text at it. A null or empty text gives nulls
+(skills: empty lists; arrangement: unclear). White space and digits are ASCII ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Hints of a pay period, titles by level, phrases of an arrangement.
+from ..functions import let
+
+# Amounts, hints of a pay period, titles by level, years, skills and their hints, phrases of an arrangement.
+_NUM = r"(\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)\s*([kK])?"
+_NO_SCALE = r"(?!(?i:\s*(?:billion|million|trillion|bn|mm)\b))"
+RANGE = rf"(?>\$\s*{_NUM}\s*(?:-|–|—|to|through)\s*\$?\s*{_NUM}){_NO_SCALE}"
+SINGLE = rf"(?>\$\s*{_NUM}){_NO_SCALE}"
 PERIOD_HINTS = {
-    "HOURLY": r"per hour|hourly|an hour|/ ?hr\b|/ ?hour",
-    "WEEKLY": r"per week|weekly|a week|/ ?week",
-    "MONTHLY": r"per month|monthly|a month|/ ?month",
-    "YEARLY": r"per year|per annum|yearly|annual(?:ly)?|annum|a year|/ ?yr\b|/ ?year",
+    "HOURLY": r"per\s+hour|hourly|/\s?hr\b|an\s+hour|/hour|\bph\b",
+    "WEEKLY": r"per\s+week\b|/\s?wk\b|(?:gross\s+)?weekly\s+(?:pay|rate|salary|earnings)",
+    "BIWEEKLY": r"bi-?weekly|every\s+two\s+weeks",
+    "MONTHLY": r"per\s+month|monthly|/\s?mo\b|a\s+month",
+    "YEARLY": r"per\s+year|annual|annually|/\s?yr\b|a\s+year|per\s+annum",
 }
+NOT_EXECUTIVE = r"(account|sales|client|enterprise|outside|inside|healthcare|business\s+development)\s+executive|executive\s+(assistant|administrative|admin|support|secretary)|assistant\s+to\s+(the\s+)?(ceo|president|vice\s+president|vp|leadership)|support\s+(for|to)\s+(the\s+)?(ceo|cto|cfo|coo|president|vp)"
+ASSISTANT = r"\b(assistant|secretary|receptionist|coordinator)\b|support\s+(for|to)\b"
 LEVELS = {
-    "Executive": r"\b(chief|c[efto]o|vp|vice president|president|executive)\b",
-    "Director": r"\b(director|head of)\b",
-    "Mid-Senior level": r"\b(senior|sr|lead|principal|staff|manager)\b",
-    "Entry level": r"\b(junior|jr|entry[- ]level|graduate)\b",
-    "Internship": r"\b(intern|internship)\b",
-    "Associate": r"\b(associate)\b",
+    "Internship": r"\b(intern|internship|co-?op)\b",
+    "Executive": r"\bc[teofim]o\b|\bchief\s+\w+\s+officer\b|\bvice\s+president\b|\bvp\b|\bhead\s+of\b",
+    "Director": r"\bdirector\b",
+    "Mid-Senior level": r"\b(senior|sr\.?|lead|principal|staff|manager|mgr\.?)\b",
+    "Entry level": r"\b(junior|jr\.?|entry[- ]level|new grad|graduate|trainee|apprentice)\b",
+    "Associate": r"\bassociate\b",
 }
-NOT_EXECUTIVE = r"\b(account|sales|marketing|business|advertising) executive\b|\bexecutive (assistant|chef|secretary|administrator)\b"
+YEARS = r"(\d{1,2})\s*(?:\+|plus)?\s*(?:-|–|to)?\s*(\d{1,2})?\s*\+?\s*(?:year|yr)s?\b"
+SKILLS = {
+    "SQL": r"\bsql\b", "Python": r"\bpython\b", "Excel": r"\bexcel\b", "Tableau": r"\btableau\b", "Power BI": r"\bpower\s?-?bi\b|\bpowerbi\b", "Looker": r"\blooker\b", "Snowflake": r"\bsnowflake\b", "Redshift": r"\bredshift\b", "BigQuery": r"\bbig\s?query\b", "Databricks": r"\bdatabricks\b",
+    "dbt": r"\bdbt\b", "Airflow": r"\bairflow\b", "Spark": r"\b(apache\s+)?spark\b", "Hadoop": r"\bhadoop\b", "Kafka": r"\bkafka\b", "AWS": r"\baws\b|\bamazon web services\b", "Azure": r"\bazure\b", "GCP": r"\bgcp\b|\bgoogle cloud\b", "Java": r"\bjava\b(?!script)", "Scala": r"\bscala\b",
+    "SAS": r"\bsas\b", "SPSS": r"\bspss\b", "Git": r"\bgit\b|\bgithub\b", "Docker": r"\bdocker\b", "Kubernetes": r"\bkubernetes\b|\bk8s\b", "ETL": r"\betl\b|\belt\b", "Machine Learning": r"\bmachine learning\b|\bml\b", "Pandas": r"\bpandas\b", "NumPy": r"\bnumpy\b", "Scikit-learn": r"\bscikit-?learn\b|\bsklearn\b",
+    "TensorFlow": r"\btensorflow\b", "PyTorch": r"\bpytorch\b", "PostgreSQL": r"\bpostgre?s(ql)?\b", "MySQL": r"\bmysql\b", "MongoDB": r"\bmongo\s?db\b", "Oracle": r"\boracle\b", "Alteryx": r"\balteryx\b", "VBA": r"\bvba\b", "JavaScript": r"\bjavascript\b", "Salesforce": r"\bsalesforce\b", "Snowpark": r"\bsnowpark\b", "SSIS": r"\bssis\b", "SSRS": r"\bssrs\b",
+}
+PREFERRED = r"preferred|nice to have|nice-to-have|a plus|bonus|desirable|would be great|ideally|familiarity with|exposure to|good to have"
+REQUIRED = r"required|must have|must possess|essential|mandatory|minimum qualification"
+_THIS = r"\bthis (?:position|role|job)"
+_IS = r"(?:is|will be|has been designated as)"
+_DAYS = r"(?:\d+|one|two|three|four|five)"
+UNCLEAR = [r"\bremote\s*/\s*on-?site\b", r"\bwork\s+from\s+home\s*/\s*hybrid\b", r"(?s)\bhybrid options\b.{0,220}\bin other locations\b.{0,180}\bwork from home\b"]
 ARRANGEMENTS = {
-    "hybrid": r"\bhybrid\b|days? (a|per) week (in|at) the office",
-    "remote": r"\b(fully |100% )?remote\b|work from home|\bwfh\b|telecommut",
-    "onsite": r"\bon-?\s?site\b|in[- ]office|in[- ]person",
+    "hybrid": [rf"{_THIS} {_IS} (?:a\s+)?hybrid\b", r"\bremote type\s*:\s*this position is a hybrid of office/remote working\b", r"\bhybrid\s*-\s*\d+\s+days?\s+on-?site\b", r"\bhybrid\s+on-?site\b", rf"(?s)\bhybrid\b.{{0,180}}\b(?:minimum of\s+|at least\s+)?{_DAYS}\s+(?:office\s+)?days?\s+(?:per|each|a)\s+(?:week|month)\b", rf"(?s)\bon-?site\b.{{0,120}}\b{_DAYS}(?:\s*(?:to|-)\s*{_DAYS})?\s+days?\s+(?:a|per)\s+week\b", r"\bthis job will be on-?site weekly\b", r"\boffers a hybrid,\s*flexible environment\b"],
+    "remote": [rf"{_THIS} {_IS} (?:fully\s+|100%\s+)?remote\b", r"(?s)\bthis role is available\b.{0,250}\bremote usa\b", r"(?s)\bposition location\b.{0,250}\bremote usa\b", r"\b(?:united states|usa)\s*\|\s*remote\b", r"\bremote type\s*:\s*(?:fully\s+|100%\s+)?remote\b", rf"(?s){_THIS}\b.{{0,120}}\bwork(?:ing)? from home\b"],
+    "onsite": [rf"{_THIS} {_IS} (?:a\s+)?(?:fully\s+)?on-?site\b", r"\bmust be willing(?:/able| and able)? to work on-?site\b", r"\bworkplace type\s*:\s*on-?site\b", r"\bfull[-\s]+time on-?site\b", r"\bremote work is not available\b"],
 }
-_AMOUNT = r"(\d[\d,]*(?:\.\d+)?)\s*([kK]\b)?"
-PAY = rf"\$\s*{_AMOUNT}(?:\s*(?:-|–|to)\s*\$?\s*{_AMOUNT})?(?![\d,.]*\d)(?!\s*(?:(?:b|m|tr)illion|bn\b|mm\b))"
-NEAR = 60
-
-
-def salary(text: str = "text") -> Column:
-    """``struct(low, high, period, evidence)`` of the first amount in dollars that is no company
-    figure (billions and the like). A ``k`` on the upper end counts for both. The period is that of
-    the nearest hint within NEAR characters; one after the amount wins a tie."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    part = lambda i: F.regexp_extract(t, PAY, i)
-    number = lambda c: F.when(c != "", F.regexp_replace(c, ",", "")).try_cast("double")
-    found, high = part(0), number(part(3))
-    kilo = lambda *c: F.when(F.concat(*c) != "", 1000.0).otherwise(1.0)
-    start = F.instr(t, found)
-    end = start + F.length(found)
-    before = F.lower(F.substring(t, F.greatest(start - NEAR, F.lit(1)), F.least(start - 1, F.lit(NEAR))))
-    after = F.lower(F.substring(t, end, F.lit(NEAR)))
-    near = []
-    for name, hint in PERIOD_HINTS.items():
-        behind = F.regexp_extract(after, rf"^(.*?)(?:{hint})", 0)
-        ahead = F.regexp_extract(before, rf"^.*(?:{hint})", 0)
-        gap = F.least(F.when(behind != "", F.length(F.regexp_extract(after, rf"^(.*?)(?:{hint})", 1)) * 2), F.when(ahead != "", (F.length(before) - F.length(ahead)) * 2 + 1))
-        near.append(F.when(gap.isNotNull(), F.struct(gap.alias("gap"), F.lit(name).alias("name"))))
-    low = number(part(1)) * kilo(part(2), part(4))
-    return F.when(found != "", F.struct(low.alias("low"), F.coalesce(high * kilo(part(4)), low).alias("high"), F.array_min(F.filter(F.array(*near), lambda x: x.isNotNull()))["name"].alias("period"), found.alias("evidence")))
+CONDITIONAL = r"(?i)\bif this (?:position|role) (?:is listed as|necessitates)\b"
+#: Characters around a match in which hints count.
+NEAR_PAY, NEAR_YEARS, NEAR_SKILL, MOST_YEARS = 150, 80, 250, 30
+
+
+def cut_out(text: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` to before ``end`` (from 0; both may lie outside)."""
+    low = F.greatest(start, F.lit(0))
+    return F.substring(text, low + 1, F.greatest(end - low, F.lit(0)))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """``array<struct<a, b>>``: where each match of the pattern begins and ends."""
+    pattern = f"(?i){pattern}"
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda before, hit: F.struct(F.length(before).alias("before"), F.length(hit).alias("hit")))
+    kind = "struct<at int, out array<struct<a int, b int>>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+    step = lambda acc, x: F.struct((acc["at"] + x["before"] + x["hit"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["before"]).alias("a"), (acc["at"] + x["before"] + x["hit"]).alias("b"))).alias("out")).cast(kind)
+    return F.aggregate(lengths, begin, step, lambda acc: acc["out"])
+
+
+def gap(text: Column, pattern: str, start: Column, end: Column, near: int) -> Column:
+    """The distance from a match to the nearest begin of the pattern around it; 0 if it begins inside; null if none."""
+    low = F.greatest(start - near, F.lit(0))
+    far = lambda p: F.when((low + p["a"]).between(start, end), 0).otherwise(F.least(F.abs(low + p["a"] - end), F.abs(start - low - p["a"])))
+    return F.array_min(F.transform(places(cut_out(text, low, end + near), pattern), far))
+
+
+def salary(text: str | Column = "text") -> Column:
+    """``struct(low, high, period, evidence)`` of the first range of amounts in dollars, or else the first amount, that is
+    followed by no word of scale. A ``k`` on the upper end counts for both where the lower would be far too small. The
+    period is that of the nearest hint, unless the amount speaks against it; without a hint the amount decides."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+    def found(pattern: str) -> Column:
+        part = lambda i: F.regexp_extract(t, pattern, i)
+        high = [part(3), part(4)] if pattern == RANGE else [F.lit(""), F.lit("")]
+        start = F.length(F.element_at(F.split(t, pattern, 2), 1))
+        return F.struct(part(0).alias("all"), part(1).alias("n1"), part(2).alias("k1"), high[0].alias("n2"), high[1].alias("k2"), start.alias("a"))
+
+    number = lambda n, k: F.regexp_replace(n, ",", "").try_cast("double") * F.when(k != "", 1000.0).otherwise(1.0)
+
+    def amounts(m: Column) -> Column:
+        low, high = number(m["n1"], m["k1"]), number(m["n2"], m["k2"])
+        low = F.when((m["k2"] != "") & (m["k1"] == "") & (low < high / 100), low * 1000).otherwise(low)
+        end = m["a"] + F.length(m["all"])
+        hints = F.array(*[F.struct(gap(t, hint, m["a"], end, NEAR_PAY).alias("gap"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, hint) in enumerate(PERIOD_HINTS.items())])
+        nearest = F.array_min(F.filter(hints, lambda h: h["gap"].isNotNull()))["name"]
+        return F.struct(low.alias("low"), F.coalesce(high, low).alias("high"), nearest.alias("hint"), F.trim(m["all"]).alias("evidence"))
+
+    def judged(x: Column) -> Column:
+        low, hint = x["low"], x["hint"]
+        period = (
+            F.when((hint == "HOURLY") & (low > 1000), "YEARLY")
+            .when((hint == "YEARLY") & (low < 200), "HOURLY")
+            .when((hint == "YEARLY") & (low > 1000) & (low < 20000), "MONTHLY")
+            .when(hint.isNull(), F.when(low < 500, "HOURLY").otherwise("YEARLY"))
+            .otherwise(hint)
+        )
+        return F.struct(F.least(low, x["high"]).alias("low"), F.greatest(low, x["high"]).alias("high"), period.alias("period"), x["evidence"].alias("evidence"))
+
+    match = F.when(t.rlike(RANGE), found(RANGE)).when(t.rlike(SINGLE), found(SINGLE))
+    return let(match, lambda m: F.when(m.isNotNull(), let(amounts(m), judged)))
 
 
 def seniority(title: str = "title") -> Column:
-    """The first level, in the order of LEVELS, that the title names; null if none. Roles that are
-    called executive without being one are taken out first."""
-    t = F.regexp_replace(F.lower(F.col(title)), NOT_EXECUTIVE, " ")
-    out = F.lit(None).cast("string")
+    """``struct(level, evidence)``: the first level, in the order of LEVELS, that the title names; null if none. Roles
+    called executive without being one are taken out first; assistants are no executives."""
+    t = F.coalesce(F.col(title), F.lit(""))
+    barred = t.rlike(f"(?i){NOT_EXECUTIVE}") & t.rlike(f"(?i){ASSISTANT}")
+    left = F.regexp_replace(t, f"(?i){NOT_EXECUTIVE}", " ")
+    out = F.lit(None).cast("struct<level string, evidence string>")
     for level, pattern in reversed(LEVELS.items()):
-        out = F.when(t.rlike(pattern), level).otherwise(out)
+        hit = left.rlike(f"(?i){pattern}") & ~(barred if level == "Executive" else F.lit(False))
+        out = F.when(hit, F.struct(F.lit(level).alias("level"), F.regexp_extract(left, f"(?i){pattern}", 0).alias("evidence"))).otherwise(out)
     return out
 
 
 def years(text: str = "text") -> Column:
-    """The least number of years (at most 30) that is asked for with the word experience near by."""
-    spans = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\d{1,2})\s*(?:\+|(?:-|–|to)\s*\d{1,2}\+?)?\s*(?:years?|yrs?)\b(?=.{0,80}?experience)"), F.lit(1))
-    return F.array_min(F.filter(F.transform(spans, lambda x: x.cast("int")), lambda x: x <= 30))
+    """``struct(least, evidence)``: the least number of years (at most 30) with the word experience on either side near by."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    numbers = F.regexp_extract_all(t, F.lit(f"(?i){YEARS}"), F.lit(1))
+    one = lambda p, n: F.when(F.lower(cut_out(t, p["a"] - NEAR_YEARS, p["b"] + NEAR_YEARS)).contains("experience") & (n.cast("int") <= MOST_YEARS), F.struct(n.cast("int").alias("least"), p["a"].alias("a"), F.trim(cut_out(t, p["a"] - 30, p["b"] + 30)).alias("evidence")))
+    best = F.array_min(F.filter(F.zip_with(places(t, YEARS), numbers, one), lambda x: x.isNotNull()))
+    return let(best, lambda b: F.when(b.isNotNull(), F.struct(b["least"].alias("least"), b["evidence"].alias("evidence"))))
 
 
 def arrangement(text: str = "text") -> Column:
-    """hybrid before remote before onsite; null if the text names none."""
-    t = F.lower(F.col(text))
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(ARRANGEMENTS.items()):
-        out = F.when(t.rlike(pattern), name).otherwise(out)
-    return out
+    """``struct(arrangement, evidence)``: hybrid before remote before onsite, by phrases about this very role that are not
+    conditional; else, or where the text speaks of alternatives, unclear."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    unclear = F.lit(False)
+    for pattern in UNCLEAR:
+        unclear = unclear | t.rlike(f"(?i){pattern}")
+
+    def first(patterns: list[str]) -> Column:
+        numbered = lambda i: lambda x: F.struct(x["a"].alias("a"), F.lit(i).alias("i"), x["b"].alias("b"))
+        own = [F.transform(places(t, p), numbered(i)) for i, p in enumerate(patterns)]
+        holds = F.filter(F.flatten(F.array(*own)), lambda x: ~cut_out(t, x["a"] - 100, x["b"]).rlike(CONDITIONAL))
+        return let(F.array_min(holds), lambda x: F.when(x.isNotNull(), F.trim(cut_out(t, x["a"], x["b"]))))
+
+    named = lambda name, rest: lambda e: F.when(e.isNotNull(), F.struct(F.lit(name).alias("arrangement"), e.alias("evidence"))).otherwise(rest)
+    found = F.lit(None).cast("struct<arrangement string, evidence string>")
+    for name, patterns in reversed(ARRANGEMENTS.items()):
+        some = F.lit(False)
+        for p in patterns:
+            some = some | t.rlike(f"(?i){p}")
+        # places are looked for only where a phrase occurs at all
+        found = let(F.when(some, first(patterns)), named(name, found))
+    return F.when(unclear | found.isNull(), F.struct(F.lit("unclear").alias("arrangement"), F.lit(None).cast("string").alias("evidence"))).otherwise(found)
+
+
+def skills(text: str = "text", patterns: dict[str, str] = SKILLS) -> Column:
+    """``struct(required, preferred, evidence)``: the named patterns that occur, in order of name, and the text around
+    each one's first place. A skill is preferred where a hint of that is nearer than one of being required."""
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def nearest(hints: Column, m: Column) -> Column:
+        low, high = m["a"] - NEAR_SKILL, m["b"] + NEAR_SKILL
+        far = lambda p: F.when(p["a"].between(m["a"], m["b"]), 0).otherwise(F.least(F.abs(p["a"] - m["b"]), F.abs(m["a"] - p["a"])))
+        return F.array_min(F.transform(F.filter(hints, lambda p: (p["a"] >= low) & (p["b"] <= high)), far))
 
+    def one(name: str, pattern: str) -> Column:
+        p = f"(?i){pattern}"
+        a = F.length(F.element_at(F.split(t, p, 2), 1))
+        return F.when(t.rlike(p), F.struct(F.lit(name).alias("name"), a.alias("a"), (a + F.length(F.regexp_extract(t, p, 0))).alias("b")))
 
-def skills(patterns: dict[str, str], text: str = "text") -> Column:
-    """``struct(required, preferred)``: the named patterns that occur. A skill is preferred where a
-    sentence that names it calls it a plus, nice to have or preferred, else required."""
-    parts = F.transform(F.split(F.coalesce(F.lower(F.col(text)), F.lit("")), r"[.!?]\s|[\n;]"), lambda s: F.struct(s.alias("s"), s.rlike(r"\b(a plus|nice to have|preferred|bonus|desirable)\b").alias("soft")))
+    def judged(x: Column) -> Column:
+        def one_of(m: Column) -> Column:
+            soft, hard = nearest(x["soft"], m), nearest(x["hard"], m)
+            return F.struct(m["name"].alias("name"), F.coalesce((soft < hard) | (soft.isNotNull() & hard.isNull()), F.lit(False)).alias("soft"), F.trim(cut_out(t, m["a"] - 40, m["b"] + 40)).alias("evidence"))
 
-    def named(name: str, pattern: str, soft: bool) -> Column:
-        return F.when(F.exists(parts, lambda p: p["s"].rlike(pattern) & (p["soft"] == F.lit(soft))), name)
+        return F.transform(x["found"], one_of)
 
-    has = lambda soft: F.array_compact(F.array(*[named(n, p, soft) for n, p in patterns.items()]))
-    return F.struct(has(False).alias("required"), F.array_except(has(True), has(False)).alias("preferred"))
+    # the hints are looked for once a text, and only where a skill is named
+    found = F.array_compact(F.array(*[one(n, p) for n, p in sorted(patterns.items())]))
+    some = let(found, lambda xs: F.struct(xs.alias("found"), F.when(F.size(xs) > 0, places(t, PREFERRED)).alias("soft"), F.when(F.size(xs) > 0, places(t, REQUIRED)).alias("hard")))
+    names = lambda xs, soft: F.transform(F.filter(xs, lambda x: x["soft"] == F.lit(soft)), lambda x: x["name"])
+    return let(let(some, judged), lambda xs: F.struct(names(xs, False).alias("required"), names(xs, True).alias("preferred"), F.map_from_entries(F.transform(xs, lambda x: F.struct(x["name"], x["evidence"]))).alias("evidence")))
 
 
-def facts(postings: DataFrame, patterns: dict[str, str], title: str = "title", text: str = "text") -> DataFrame:
+def facts(postings: DataFrame, title: str = "title", text: str = "text", patterns: dict[str, str] = SKILLS) -> DataFrame:
     """All of them beside ``job_id``, from one scan without a shuffle."""
-    return postings.select("job_id", salary(text).alias("salary"), seniority(title).alias("seniority"), years(text).alias("years_min"), arrangement(text).alias("arrangement"), skills(patterns, text).alias("skills"))
+    return postings.select("job_id", salary(text).alias("salary"), seniority(title).alias("seniority"), years(text).alias("years"), arrangement(text).alias("arrangement"), skills(text, patterns).alias("skills"))

@@ -1,82 +1,159 @@
-"""Market marts over postings."""
+"""Market marts over postings: staging, facts, aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import annualized, median, pct, valid_salary
+from ..functions import pct, rounded, valid_salary, with_quantiles
+from ..sources.seeds import ROLE_FAMILIES, SKILL_PATTERNS
 
+MEDIAN = {"median_salary_usd": 0.5}
+QUARTILES = {"median_salary_usd": 0.5, "salary_p25_usd": 0.25, "salary_p75_usd": 0.75}
+REMOTE = "remote_status = 'Remote tagged'"
 
-def flagged(postings: DataFrame) -> DataFrame:
-    return postings.withColumns(
-        {
-            "salary": valid_salary(),
-            "annualized": annualized(F.col("normalized_salary"), F.col("pay_period")),
-            "is_remote": F.coalesce(F.col("remote_allowed") == 1, F.lit(False)),
-        }
-    )
 
+def _period(date: Column, part: str) -> Column:
+    return F.trunc(date, part)
 
-def measures() -> list:
-    """The aggregates that every mart shares; they combine map-side but for the median."""
-    return [
-        F.count("*").alias("postings"),
-        F.count("salary").alias("salary_postings"),
-        median(F.col("salary")).alias("median_salary"),
-        F.count_if("is_remote").alias("remote_postings"),
-    ]
 
+def listed(ms: str = "original_listed_time") -> Column:
+    """The day (UTC) of a time in milliseconds, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(ms) / 86_400_000).cast("int"))
 
-def overview(postings: DataFrame) -> DataFrame:
-    f = flagged(postings)
-    q = lambda p: F.round(F.percentile("salary", F.lit(p)) * 100.0) / 100.0
-    out = f.agg(*measures(), F.count_distinct("company_id").alias("companies"), F.min("posting_date").alias("first_date"), F.max("posting_date").alias("last_date"), q(0.25).alias("p25_salary"), q(0.75).alias("p75_salary"), F.count_if("sponsored").alias("sponsored_postings"))
-    return out.withColumns({"salary_coverage_pct": pct(F.col("salary_postings"), F.col("postings")), "remote_pct": pct(F.col("remote_postings"), F.col("postings"))})
 
+def remote_status() -> Column:
+    """Only tagged postings are known to be remote; null is unknown, not onsite."""
+    return F.when(F.col("remote_allowed") == 1, "Remote tagged").otherwise("Unknown / not supplied")
 
-def calendar(postings: DataFrame) -> DataFrame:
-    """Every day from the first posting to the last."""
-    return postings.agg(F.min("posting_date").alias("a"), F.max("posting_date").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("posting_date"))
 
+def staged_postings(raw: DataFrame) -> DataFrame:
+    date = listed()
+    salary = valid_salary()
+    return raw.select(
+        "job_id", F.col("company_id").try_cast("bigint").alias("company_id"), "company_name", "title", "location",
+        date.alias("posting_date"), _period(date, "week").alias("posting_week"), _period(date, "month").alias("posting_month"),
+        F.col("formatted_work_type").alias("employment_type"), F.col("formatted_experience_level").alias("experience_level"),
+        remote_status().alias("remote_status"), (F.col("sponsored") == 1).alias("is_sponsored"), "views", "applies",
+        "currency", "pay_period", "min_salary", "med_salary", "max_salary", "normalized_salary",
+        salary.alias("annualized_salary_usd"), salary.isNotNull().alias("has_valid_salary"),
+    )
 
-def daily(postings: DataFrame) -> DataFrame:
-    """One row a day, empty ones too, with the mean of the last seven. After aggregation the rows
-    are as many as days, so the window over all of them is small at any scale."""
-    sums = flagged(postings).groupBy("posting_date").agg(*measures())
-    whole = calendar(postings).join(sums, "posting_date", "left").na.fill(0, ["postings", "salary_postings", "remote_postings"])
-    week = Window.orderBy("posting_date").rowsBetween(-6, 0)
-    return whole.withColumn("postings_7d", F.round(F.avg("postings").over(week) * 100.0) / 100.0)
+
+def fact_postings(postings: DataFrame, companies: DataFrame) -> DataFrame:
+    """Postings with their company; a posting's own name of it comes first."""
+    c = companies.select("company_id", F.col("company_name").alias("_name"), "company_size", F.col("city").alias("company_city"), F.col("state").alias("company_state"), F.col("country").alias("company_country"))
+    return postings.join(c, "company_id", "left").withColumn("company_name", F.coalesce("company_name", "_name", F.lit("Unknown company"))).drop("_name")
+
+
+def _engagement() -> list[Column]:
+    return [rounded(F.avg("views"), 1).alias("average_views"), rounded(F.avg("applies"), 1).alias("average_applies")]
+
+
+def _coverage() -> list[Column]:
+    n = F.count("*")
+    return [F.count_if("has_valid_salary").alias("salary_postings"), pct(F.count_if("has_valid_salary"), n).alias("salary_coverage_pct"), F.count_if(F.expr(REMOTE)).alias("remote_tagged_postings"), pct(F.count_if(F.expr(REMOTE)), n).alias("remote_tagged_pct")]
 
 
-def by_company(postings: DataFrame, companies: DataFrame) -> DataFrame:
-    sums = flagged(postings).where("company_id is not null").groupBy("company_id").agg(*measures())
-    return sums.join(companies, "company_id", "left")
+def overview(facts: DataFrame) -> DataFrame:
+    sums = facts.agg(
+        F.count("*").alias("total_postings"), F.count_distinct("company_id").alias("companies_with_id"), F.count_distinct("company_name").alias("company_names"), F.min("posting_date").alias("earliest_posting_date"), F.max("posting_date").alias("latest_posting_date"),
+        *_coverage(), F.count_if("is_sponsored").alias("sponsored_postings"), *_engagement(),
+    ).withColumnRenamed("salary_postings", "valid_salary_postings")
+    return with_quantiles(sums, facts, [], "annualized_salary_usd", QUARTILES)
+
+
+def calendar(days: DataFrame) -> DataFrame:
+    """Every day from the first to the last of an already aggregated table."""
+    return days.agg(F.min("posting_date").alias("a"), F.max("posting_date").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("posting_date"))
+
+
+def daily(facts: DataFrame) -> DataFrame:
+    """One row a day, empty ones too, with the mean of the last seven. After aggregation the rows are as many as
+    days, so the window over all of them is small at any scale."""
+    sums = facts.groupBy("posting_date").agg(F.count("*").alias("postings"), F.count_distinct("company_id").alias("companies"), F.count_if("has_valid_salary").alias("salary_postings"), F.count_if(F.expr(REMOTE)).alias("remote_tagged_postings"), F.count_if("is_sponsored").alias("sponsored_postings"))
+    counts = ["postings", "companies", "salary_postings", "remote_tagged_postings", "sponsored_postings"]
+    whole = calendar(sums).join(with_quantiles(sums, facts, ["posting_date"], "annualized_salary_usd", MEDIAN), "posting_date", "left").na.fill(0, counts)
+    share = lambda c: F.coalesce(pct(F.col(c), F.col("postings")), F.lit(0.0))
+    week = Window.orderBy("posting_date").rowsBetween(-6, 0)
+    return whole.withColumns({"salary_coverage_pct": share("salary_postings"), "remote_tagged_pct": share("remote_tagged_postings"), "postings_7d_average": rounded(F.avg("postings").over(week), 2)})
 
 
-def enriched(postings: DataFrame, companies: DataFrame) -> DataFrame:
-    return flagged(postings).join(companies, "company_id", "left").select("job_id", "company_id", "name", "country", "salary", "is_remote", "experience_level")
+def by_company(facts: DataFrame) -> DataFrame:
+    keys = ["company_id", "company_name", "company_size", "company_city", "company_state", "company_country"]
+    known = facts.where("company_id is not null")
+    return with_quantiles(known.groupBy(*keys).agg(F.count("*").alias("postings"), *_coverage(), *_engagement()), known, keys, "annualized_salary_usd", MEDIAN)
 
 
-def by_code(postings: DataFrame, codes: DataFrame, code: str) -> DataFrame:
-    """Many-to-many breakdown: measures a code, and its share of all postings."""
-    f = flagged(postings)
-    total = f.agg(F.count("*").alias("all_postings"))
-    sums = f.join(codes, "job_id").groupBy(code).agg(*measures())
-    return sums.join(F.broadcast(total)).withColumn("share_pct", pct(F.col("postings"), F.col("all_postings"))).drop("all_postings")  # total is one row
+def by_code(facts: DataFrame, codes: DataFrame, keys: list[str], remote: bool) -> DataFrame:
+    """Many-to-many breakdown by code and name (unnamed codes left out): counts, share of all postings, median.
+    ``codes`` has distinct rows a job."""
+    slim = facts.select("job_id", "has_valid_salary", "annualized_salary_usd", "remote_status")
+    total = slim.agg(F.count("*").alias("_all"))  # one row
+    met = slim.join(codes.where(F.col(keys[1]).isNotNull()), "job_id")
+    sums = met.groupBy(*keys).agg(F.count("*").alias("postings"), F.count_if("has_valid_salary").alias("salary_postings"), *([F.count_if(F.expr(REMOTE)).alias("remote_tagged_postings")] if remote else []))
+    shared = sums.join(F.broadcast(total)).withColumn("market_share_pct", pct(F.col("postings"), F.col("_all"))).drop("_all")
+    return with_quantiles(shared, met, keys, "annualized_salary_usd", MEDIAN)
 
 
-def role(title: str = "title"):
-    """Ordered taxonomy: the first rule that matches names the family."""
+def family(title: str = "title") -> Column:
+    """Ordered taxonomy: the first rule that matches names the role family; null if none."""
     t = F.lower(F.col(title))
-    out = F.lit("Other")
-    for name, pattern in reversed([("Promo", "promo"), ("Standard", "standard"), ("Small", "small"), ("Economy", "economy"), ("Medium", "medium"), ("Large", "large")]):
-        out = F.when(t.rlike(rf"\b{pattern}\b"), name).otherwise(out)
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(ROLE_FAMILIES):
+        out = F.when(t.rlike(pattern), name).otherwise(out)
     return out
 
 
-def role_daily(roles: DataFrame) -> DataFrame:
-    """The complete grid of days and families."""
-    sums = roles.groupBy("posting_date", "family").agg(F.count("*").alias("postings"))
-    grid = calendar(roles).join(F.broadcast(roles.select("family").distinct()))  # families: a handful, by the taxonomy
-    return grid.join(sums, ["posting_date", "family"], "left").na.fill(0, ["postings"])
+def data_roles(base: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of the data families (``base``: see datasets.base) with the staged measures."""
+    salary = valid_salary()
+    own = postings.select("job_id", "company_id")
+    return base.where("role_family is not null").join(own, "job_id").select(
+        "job_id", "company_id", "company_name", "title", "description", "location", "role_family", F.col("listed_date").alias("posting_date"), _period(F.col("listed_date"), "week").alias("posting_week"), _period(F.col("listed_date"), "month").alias("posting_month"),
+        F.col("work_type").alias("employment_type"), F.col("exp_level").alias("experience_level"), remote_status().alias("remote_status"),
+        salary.alias("annualized_salary_usd"), salary.isNotNull().alias("has_valid_salary"),
+    )
+
+
+def by_family(roles: DataFrame) -> DataFrame:
+    sums = roles.groupBy("role_family").agg(F.count("*").alias("postings"), F.count_distinct("company_id").alias("companies"), F.min("posting_date").alias("earliest_posting_date"), F.max("posting_date").alias("latest_posting_date"), *_coverage())
+    return with_quantiles(sums, roles, ["role_family"], "annualized_salary_usd", QUARTILES)
+
+
+def family_daily(roles: DataFrame) -> DataFrame:
+    """The complete grid of days and families that occur, from one aggregation."""
+    keys = ["posting_date", "role_family"]
+    sums = roles.groupBy(*keys).agg(F.count("*").alias("postings"), F.count_if("has_valid_salary").alias("salary_postings"), F.count_if(F.expr(REMOTE)).alias("remote_tagged_postings"))
+    grid = calendar(sums).join(F.broadcast(sums.select("role_family").distinct()))  # families: a handful, by the taxonomy
+    return grid.join(with_quantiles(sums, roles, keys, "annualized_salary_usd", MEDIAN), keys, "left").na.fill(0, ["postings", "salary_postings", "remote_tagged_postings"])
+
+
+def _mentions(text: Column) -> Column:
+    """The patterns that occur, one scan of the text: those that are single words are looked up among its words,
+    the others are searched for."""
+    low = F.lower(text)
+    words = F.split(low, "[^a-z0-9]+")
+    found = []
+    for name, category, pattern, order in SKILL_PATTERNS:
+        single = pattern.removeprefix("(?i)(^|[^a-z0-9])").removesuffix("([^a-z0-9]|$)")
+        hit = F.array_contains(words, single) if single.isalnum() else low.rlike(pattern)
+        found.append(F.when(hit, F.struct(F.lit(name).alias("skill_name"), F.lit(category).alias("skill_category"), F.lit(order).alias("display_order"))))
+    return F.array_compact(F.array(*found))
+
+
+def skill_mentions(roles: DataFrame) -> DataFrame:
+    """One row a job and technology that its description names. No join: the patterns are part of the plan."""
+    kept = ["job_id", "role_family", "posting_date", "company_id", "company_name", "location", "experience_level", "remote_status", "annualized_salary_usd", "has_valid_salary"]
+    return roles.where("description is not null").select(*kept, F.inline(_mentions(F.col("description"))))
+
+
+def role_skills(roles: DataFrame, mentions: DataFrame, every: str = "All data roles") -> DataFrame:
+    """Postings that name each technology, by family and over all, with their share and median salary."""
+    both = F.explode(F.array("role_family", F.lit(every)))
+    sizes = roles.select(both.alias("role_family")).groupBy("role_family").agg(F.count("*").alias("_all"))
+    dealt = mentions.select("skill_name", "skill_category", "display_order", both.alias("role_family"), "has_valid_salary", "annualized_salary_usd")
+    keys = ["skill_name", "skill_category", "display_order", "role_family"]
+    sums = dealt.groupBy(*keys).agg(F.count("*").alias("postings"), F.count_if("has_valid_salary").alias("salary_postings"))
+    shared = sums.join(F.broadcast(sizes), "role_family").withColumn("role_share_pct", pct(F.col("postings"), F.col("_all"))).drop("_all")  # a row a family
+    return with_quantiles(shared, dealt, keys, "annualized_salary_usd", MEDIAN)

@@ -1,4 +1,4 @@
-"""Samples, scores and statistics of extraction methods."""
+"""Scores and statistics of extraction methods."""
 
 from __future__ import annotations
 
@@ -7,133 +7,273 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import f1
+from ..functions import annualized, f1_or, ratio, rounded, with_quantiles
+from . import normalise as N
 
+# Dollars per million tokens in and out, and per call; the levels that are scored.
+COST_IN, COST_OUT, COST_PER_CALL = 1.0, 5.0, 2.39 / 1000
+LEVELS = ["Internship", "Entry level", "Associate", "Mid-Senior level", "Director", "Executive"]
+METHOD_ORDER = ["rules", "zero_shot", "few_shot", "schema_rules", "decomposed"]
 
-def stratified(df: DataFrame, stratum: str, key: str, per: int, seed: str = "42") -> DataFrame:
-    """``per`` rows a stratum in the order of a seeded digest of the key: the same on every run. A
-    window limit, so each map task keeps at most ``per`` a stratum before the shuffle."""
-    by = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    return df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per)
 
+# --- salaries, periods and levels against the labels ------------------------------------------------
 
-def holdout(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
-    return df.join(taken.select(key), key, "left_anti")
+def ground_truth(labelled: DataFrame) -> DataFrame:
+    """The provider's own fields as truth, with the shape of the salary label."""
+    low, high = F.coalesce("min_salary", "med_salary"), F.coalesce("max_salary", "med_salary")
+    shape = F.when(F.col("min_salary").isNotNull(), "range").when(F.col("med_salary").isNotNull(), "point").otherwise("none")
+    return labelled.select("job_id", "stratum", "role_family", F.col("pay_period").alias("gt_pay_period"), low.alias("gt_salary_min"), high.alias("gt_salary_max"), shape.alias("gt_label_shape"), F.col("exp_level").alias("gt_seniority"), annualized(low, F.col("pay_period")).alias("gt_salary_min_annual"), annualized(high, F.col("pay_period")).alias("gt_salary_max_annual"))
 
 
-def proportional(df: DataFrame, stratum: str, total: int) -> DataFrame:
-    """Largest-remainder allocation of ``total`` over the strata."""
-    counts = df.groupBy(stratum).agg(F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(1))  # one row a stratum
-    share = counts.withColumn("exact", F.col("n") * F.lit(float(total)) / F.sum("n").over(every)).withColumn("base", F.floor("exact"))
-    ranked = share.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.col("exact") - F.col("base")), stratum)))
-    return ranked.select(stratum, "n", (F.col("base") + (F.col("r") <= total - F.sum("base").over(every)).cast("bigint")).alias("allocated"))
+def staged_predictions(raw: DataFrame) -> DataFrame:
+    cost = F.col("input_tokens") / 1e6 * COST_IN + F.col("output_tokens") / 1e6 * COST_OUT
+    return raw.withColumns({"salary_min_annual": annualized(F.col("salary_min"), F.col("pay_period")), "salary_max_annual": annualized(F.col("salary_max"), F.col("pay_period")), "cost_usd": cost})
 
 
-def scored(extractions: DataFrame, low: float = 0.2) -> DataFrame:
-    """Each method's value against the item's consensus (the median)."""
-    truth = extractions.groupBy("item_id").agg(F.median("value").alias("truth"))
-    return extractions.join(truth, "item_id").withColumns({"error": F.abs(F.col("value") - F.col("truth")), "correct": (F.abs(F.col("value") - F.col("truth")) <= low * F.col("truth")).cast("int")})
+def scored_predictions(staged: DataFrame, truth: DataFrame) -> DataFrame:
+    """Each prediction against the truth, on the postings that models saw; flags are null where they don't apply.
+    Salaries count after annualising; silence is judged by the raw figure."""
+    asked = staged.where("method <> 'rules'").select("job_id").distinct()
+    both = staged.join(asked, "job_id", "left_semi").join(truth, "job_id")
+    stated, silent = F.col("stratum") == "labeled_stated", F.col("stratum") == "labeled_not_stated"
+    gt, own = F.col("gt_salary_min_annual"), F.col("salary_min_annual")
+    error = F.when(gt.isNotNull() & (gt != 0) & own.isNotNull(), F.abs(own - gt) / gt)
+    within = F.when(~stated, None).when(own.isNull(), False).when(gt.isNull() | (gt == 0), None).otherwise(error <= 0.10)
+    return both.select(
+        "job_id", "method", "stratum", "gt_label_shape", "role_family", "gt_salary_min_annual", "salary_min", "salary_min_annual", "gt_pay_period", "pay_period", "gt_seniority", "seniority", "valid_json", "cost_usd",
+        error.alias("salary_pct_error"), within.alias("salary_within_10pct"), F.when(silent, F.col("salary_min").isNull()).alias("abstained_correctly"), F.when(stated, F.col("pay_period").eqNullSafe(F.col("gt_pay_period"))).alias("pay_period_correct"),
+        F.when(F.col("gt_seniority").isNotNull(), F.col("seniority").eqNullSafe(F.col("gt_seniority"))).alias("seniority_correct"), F.col("seniority").isNotNull().alias("seniority_answered"),
+    )
+
+
+def performance(scored: DataFrame) -> DataFrame:
+    """One row a method; abstentions count as misses."""
+    stated, silent, levelled = F.expr("stratum = 'labeled_stated'"), F.expr("stratum = 'labeled_not_stated'"), F.col("gt_seniority").isNotNull()
+    rate = lambda flag, of: rounded(F.avg(F.when(of, F.coalesce(F.col(flag), F.lit(False)).cast("double"))), 4)
+    n = F.count("*")
+    sums = scored.groupBy("method").agg(
+        n.alias("n_postings"), F.count_if(stated).alias("n_salary_eligible"), rate("salary_within_10pct", stated).alias("salary_within_10pct"), F.count_if(silent).alias("n_abstention_eligible"), rate("abstained_correctly", silent).alias("abstention_rate"), rate("pay_period_correct", stated).alias("pay_period_accuracy"),
+        F.count_if(levelled).alias("n_seniority_labeled"), rate("seniority_correct", levelled).alias("seniority_accuracy"), rate("seniority_answered", levelled).alias("seniority_answer_rate"), rate("valid_json", F.lit(True)).alias("valid_json_rate"),
+        rounded(F.sum("cost_usd"), 4).alias("total_cost_usd"), rounded(F.sum("cost_usd") / n * 1000, 2).alias("cost_per_1k_postings"),
+    )
+    return with_quantiles(sums, scored.where(stated), ["method"], "salary_pct_error", {"salary_median_error": 0.5}, 4)
+
+
+def tolerance_bands(scored: DataFrame, bands: tuple = (0.05, 0.10, 0.20)) -> DataFrame:
+    """Shares of salaries within each tolerance, of the attempted ones and end to end."""
+    stated = scored.where("stratum = 'labeled_stated'")
+    tried = F.col("salary_pct_error").isNotNull()
+    rows = [F.struct(F.lit(b).alias("tolerance"), (tried & (F.col("salary_pct_error") <= b)).alias("hit")) for b in bands]
+    return stated.select("method", tried.alias("tried"), F.inline(F.array(*rows))).groupBy("method", "tolerance").agg(F.count_if("tried").alias("attempted"), F.count("*").alias("eligible"), F.count_if("hit").alias("within")).withColumns({"of_attempted": rounded(ratio(F.col("within"), F.col("attempted")), 4), "end_to_end": rounded(ratio(F.col("within"), F.col("eligible")), 4)})
+
+
+def contained(staged: DataFrame, truth: DataFrame, slack: float = 0.02) -> DataFrame:
+    """Of point labels, how often the predicted range, widened by ``slack``, contains the label."""
+    both = staged.join(truth.where("gt_label_shape = 'point'"), "job_id").where("salary_min is not null and salary_max is not null")
+    inside = (F.col("gt_salary_min") >= F.col("salary_min") * (1 - slack)) & (F.col("gt_salary_min") <= F.col("salary_max") * (1 + slack))
+    return both.groupBy("method").agg(F.count("*").alias("n"), F.count_if(inside).alias("inside")).withColumn("share", rounded(ratio(F.col("inside"), F.col("n")), 4))
+
 
+def operations(staged: DataFrame) -> DataFrame:
+    """Calls, latency and cost by method; latency of calls that were made, not cached ones."""
+    fresh = ~F.col("cached")
+    sums = staged.where("method <> 'rules'").groupBy("method").agg(F.count("*").alias("predictions"), F.count_if(fresh).alias("api_calls"), rounded(F.avg(F.col("cached").cast("double")), 6).alias("cache_rate"), rounded(F.avg(F.when(fresh, F.col("latency_s"))), 3).alias("mean_latency_s"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count_if(~F.col("valid_json")).alias("invalid_json"), rounded(F.sum("cost_usd") / F.count("*") * 1000, 3).alias("cost_per_1k"))
+    return with_quantiles(sums, staged.where("method <> 'rules' and not cached"), ["method"], "latency_s", {"median_latency_s": 0.5}, 3)
 
-def performance(scores: DataFrame) -> DataFrame:
-    r = lambda c: F.round(c * 10000.0) / 10000.0
-    return scores.groupBy("method").agg(F.count("*").alias("n"), r(F.avg("correct")).alias("accuracy"), r(F.median("error")).alias("median_error"), F.sum("correct").alias("n_correct"))
 
+# --- agreement of labels ---------------------------------------------------------------------------
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return df.groupBy(truth, pred).agg(F.count("*").alias("n"))
 
 
-def macro_f1(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """F1 a class, from one pass over the confusion counts."""
-    cells = confusion(df, truth, pred)
-    t = cells.groupBy(F.col(truth).alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col(truth) == F.col(pred), F.col("n")).otherwise(0)).alias("tp"))
-    p = cells.groupBy(F.col(pred).alias("class")).agg(F.sum("n").alias("predicted"))
-    j = t.join(p, "class", "left").na.fill(0, ["predicted"])
-    prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
-    return j.select("class", "support", (F.round(f1(prec, F.col("tp") / F.col("support")) * 10000.0) / 10000.0).alias("f1"))
+def crosstab(df: DataFrame, truth: str, pred: str, values: list[str]) -> DataFrame:
+    """The confusion counts with a column a predicted value."""
+    return df.groupBy(truth).agg(*[F.count_if(F.col(pred) == v).alias(f"pred_{v}") for v in values], F.count_if(F.col(pred).isNull()).alias("pred_none"))
+
+
+def per_class(df: DataFrame, keys: list[str], truth: str, pred: str, empty: float = 0.0) -> DataFrame:
+    """Precision, recall, F1 and support of each value that occurs as truth or prediction, by key; from the confusion
+    counts, so each row is read once. A null prediction is a miss of the true class."""
+    cells = df.groupBy(*keys, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+    hit = F.col("t").eqNullSafe(F.col("p"))
+    as_truth = F.struct(F.col("t").alias("class"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("bigint").alias("fp"), F.when(hit, 0).otherwise(F.col("n")).alias("fn"))
+    as_pred = F.struct(F.col("p").alias("class"), F.lit(0).cast("bigint").alias("tp"), F.when(hit, 0).otherwise(F.col("n")).alias("fp"), F.lit(0).cast("bigint").alias("fn"))
+    both = cells.select(*keys, F.inline(F.array(as_truth, as_pred))).where("class is not null")
+    s = both.groupBy(*keys, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return s.select(*keys, "class", (tp + fn).alias("support"), rounded(ratio(tp, tp + fp), 4).alias("precision"), rounded(ratio(tp, tp + fn), 4).alias("recall"), f1_or(tp, fp, fn, empty).alias("f1"))
+
+
+def macro_f1(df: DataFrame, keys: list[str], truth: str, pred: str, labels: list[str] | None = None, empty: float = 0.0) -> DataFrame:
+    """The mean F1 over the given labels (those that occur nowhere count ``empty``), or over all that occur as truth."""
+    classes = per_class(df, keys, truth, pred, empty)
+    if labels is None:
+        return classes.where("support > 0").groupBy(*keys).agg(rounded(F.avg("f1"), 4).alias("macro_f1"))
+    own = classes.where(F.col("class").isin(labels)).groupBy(*keys).agg(F.sum("f1").alias("s"), F.count("*").alias("c"))
+    return own.select(*keys, rounded((F.col("s") + (len(labels) - F.col("c")) * empty) / len(labels), 4).alias("macro_f1"))
+
+
+# --- items: skills, arrangement, years -----------------------------------------------------------------
+
+def standardised(df: DataFrame, prediction: bool) -> DataFrame:
+    """Raw answers as canonical sets, arrangement and years. A prediction without an arrangement is invalid, not unclear."""
+    sets = lambda c: N.skill_set(N.parse_list(F.col(c)))
+    work = N.work(F.col("work_arrangement"))
+    if prediction:
+        work = F.when(F.col("work_arrangement").isNull(), "InvalidPrediction").otherwise(work)
+    return df.select("job_id", *(["method"] if prediction else []), sets("required_skills").alias("required"), sets("preferred_skills").alias("preferred"), work.alias("work"), F.col("years_experience_min").alias("years"))
 
 
-def mcnemar(scores: DataFrame, baseline: str) -> DataFrame:
-    """Exact two-sided test of each method against the baseline on the same items."""
-    base = scores.where(F.col("method") == baseline).select("item_id", F.col("correct").alias("b"))
-    both = scores.where(F.col("method") != baseline).join(base, "item_id")
-    n = both.groupBy("method").agg(F.count_if(F.expr("correct = 1 and b = 0")).alias("candidate_only"), F.count_if(F.expr("correct = 0 and b = 1")).alias("baseline_only"))
-    return n.withColumn("p_raw", _binomial(F.col("candidate_only"), F.col("baseline_only")))
+SCOPES = ("required", "preferred", "any_skill")
+
+
+def score_items(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One row a posting and method: counts of skills found, missed and made up by scope, skills in the wrong bucket,
+    arrangement, and years with abstentions. Postings without a prediction are missing; see ``quality.missing_pairs``."""
+    p = predictions.select("job_id", "method", *(F.col(c).alias(f"p_{c}") for c in ("required", "preferred", "work", "years")))
+    both = gold.join(p, "job_id").withColumns({"any_skill": F.array_union("required", "preferred"), "p_any_skill": F.array_union("p_required", "p_preferred")})
+    size = lambda c: F.size(c).cast("bigint")
+    cols: dict[str, Column] = {}
+    for s in SCOPES:
+        cols |= {f"{s}_tp": size(F.array_intersect(s, f"p_{s}")), f"{s}_fp": size(F.array_except(f"p_{s}", s)), f"{s}_fn": size(F.array_except(s, f"p_{s}")), f"{s}_exact": F.array_sort(s) == F.array_sort(f"p_{s}")}
+    swapped = lambda side: F.array_except(f"{side}preferred", f"{side}required")
+    right = F.array_union(F.array_intersect("required", "p_required"), F.array_intersect(swapped(""), swapped("p_")))
+    g, y = F.col("years"), F.col("p_years")
+    cols |= {
+        "skill_type_overlap": size(F.array_intersect("any_skill", "p_any_skill")), "skill_type_correct": size(right), "work_correct": F.col("work") == F.col("p_work"),
+        "years_exact": g.eqNullSafe(y), "years_within_1": F.coalesce(F.abs(g - y) <= 1.0, g.isNull() & y.isNull()), "years_abs_error": F.abs(g - y), "years_gold_stated": g.isNotNull(), "years_pred_answered": y.isNotNull(),
+        "years_correct_abstention": g.isNull() & y.isNull(), "years_false_positive": g.isNull() & y.isNotNull(),
+    }
+    return both.select("job_id", "method", F.col("work").alias("gold_work"), F.col("p_work").alias("pred_work"), *(c.alias(n) for n, c in cols.items()))
+
+
+def method_summary(items: DataFrame) -> DataFrame:
+    """Micro precision, recall and F1 of each scope (F1 of nothing asked and nothing found is 1), and the rates of the
+    other fields, by method. Sums combine map-side; only the macro F1 of arrangements needs a second, small aggregation."""
+    aggs = []
+    for s in SCOPES:
+        tp, fp, fn = (F.sum(f"{s}_{c}") for c in ("tp", "fp", "fn"))
+        aggs += [rounded(ratio(tp, tp + fp), 4).alias(f"{s}_precision"), rounded(ratio(tp, tp + fn), 4).alias(f"{s}_recall"), rounded(f1_or(tp, fp, fn, 1.0), 4).alias(f"{s}_f1")]
+    rate = lambda c, of=None: rounded(F.avg(F.when(of, F.col(c).cast("double")) if of is not None else F.col(c).cast("double")), 4)
+    stated = F.col("years_gold_stated")
+    aggs += [
+        rounded(F.sum("skill_type_correct") / F.nullif(F.sum("skill_type_overlap"), F.lit(0)), 4).alias("skill_type_accuracy"), rate("work_correct").alias("work_accuracy"), rate("years_exact").alias("years_exact"), rate("years_within_1").alias("years_within_1"),
+        rate("years_abs_error").alias("years_mae_answered"), rate("years_pred_answered", stated).alias("years_answer_rate_when_stated"), rate("years_correct_abstention", ~stated).alias("years_correct_abstention"), rate("years_false_positive", ~stated).alias("years_false_positive_rate"),
+    ]
+    sums = items.groupBy("method").agg(F.count("*").alias("n_jobs"), *aggs)
+    return sums.join(macro_f1(items, ["method"], "gold_work", "pred_work", None, 1.0).withColumnRenamed("macro_f1", "work_macro_f1"), "method")
+
+
+def long_metrics(summary: DataFrame) -> DataFrame:
+    """A summary with one row a metric."""
+    return summary.unpivot(["method", "n_jobs"], [c for c in summary.columns if c not in ("method", "n_jobs")], "metric", "value")
+
+
+def winners(long: DataFrame, lower_is_better: tuple = ("years_mae_answered", "years_false_positive_rate")) -> DataFrame:
+    """The method with the best value of each metric; ties go to the first name."""
+    worth = F.when(F.col("metric").isin(*lower_is_better), -F.col("value")).otherwise(F.col("value"))
+    return long.where("value is not null").groupBy("metric").agg(F.min_by(F.struct("method", "value"), F.struct((-worth).alias("w"), "method")).alias("x")).select("metric", "x.method", "x.value")
+
+
+def top_missed(gold: DataFrame, predictions: DataFrame, most: int = 12) -> DataFrame:
+    """The skills that each method misses most."""
+    p = predictions.select("job_id", "method", F.array_union("required", "preferred").alias("p"))
+    missed = gold.select("job_id", F.array_union("required", "preferred").alias("g")).join(p, "job_id").select("method", F.explode(F.array_except("g", "p")).alias("skill"))
+    counted = missed.groupBy("method", "skill").agg(F.count("*").alias("missed"))
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("missed"), "skill"))).where(F.col("rank") <= most)
+
+
+# --- tests -------------------------------------------------------------------------------------------
+
+def paired(items: DataFrame, metrics: list[str], baseline: str) -> DataFrame:
+    """``method, metric, candidate_only, baseline_only, n``: discordant pairs of 0/1 outcomes with the baseline, by one
+    aggregation an item instead of a self-join. Null outcomes leave the pair out."""
+    rows = items.select("job_id", "method", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("int").alias("hit")) for m in metrics])))
+    both = rows.withColumn("base", F.max(F.when(F.col("method") == baseline, F.col("hit"))).over(Window.partitionBy("job_id", "metric"))).where((F.col("method") != baseline) & F.col("hit").isNotNull() & F.col("base").isNotNull())
+    return both.groupBy("method", "metric").agg(F.count_if(F.expr("hit = 1 and base = 0")).alias("candidate_only"), F.count_if(F.expr("hit = 0 and base = 1")).alias("baseline_only"), F.count("*").alias("n"))
+
+
+def mcnemar(pairs: DataFrame) -> DataFrame:
+    """Exact two-sided test, and the difference of the accuracies."""
+    return pairs.withColumns({"p_raw": _binomial(F.col("candidate_only"), F.col("baseline_only")), "difference": (F.col("candidate_only") - F.col("baseline_only")) / F.col("n")})
 
 
 def _binomial(a: Column, b: Column) -> Column:
+    """Twice the lower tail of a fair coin. The tail is summed from its largest term down, each by its ratio to the one
+    before; the largest is built in logarithms, so nothing underflows. Work grows with the smaller count."""
     n, k = a + b, F.least(a, b)
-    log_fact = lambda c: F.aggregate(F.sequence(F.lit(1), F.greatest(c, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double")))
-    terms = F.transform(F.sequence(F.lit(0), k.cast("int")), lambda i: F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * math.log(2.0)))
-    return F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
+    steps = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
+    top = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.log((n - i + 1) / i)) - n * math.log(2.0)
+    kind = "struct<term double, sum double>"
+    tail = F.aggregate(F.reverse(steps), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")).cast(kind), lambda s, i: F.struct((s["term"] * i / (n - i + 1)).alias("term"), (s["sum"] + s["term"] * i / (n - i + 1)).alias("sum")).cast(kind), lambda s: s["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * tail))
 
 
-def holm(tests: DataFrame, p: str = "p_raw", name: str = "method") -> DataFrame:
-    """Step-down correction; one row a test, so one window over them all."""
-    order = Window.partitionBy(F.lit(1)).orderBy(p, name)
-    m = F.count("*").over(Window.partitionBy(F.lit(1)))
-    step = tests.withColumn("step", F.least(F.lit(1.0), F.col(p) * (m - F.row_number().over(order) + 1)))
-    return step.withColumn("p_holm", F.max("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
+def holm(tests: DataFrame, name: list[str], family: list[str] | None = None, p: str = "p_raw", alpha: float = 0.05) -> DataFrame:
+    """Step-down correction within each family (all tests, if none is given); one row a test."""
+    by = Window.partitionBy(*(family or [F.lit(1)]))
+    order = by.orderBy(p, *name)
+    step = tests.withColumn("_step", F.least(F.lit(1.0), F.col(p) * (F.count("*").over(by) - F.row_number().over(order) + 1)))
+    out = step.withColumn("p_holm", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    return out.withColumn("significant", F.col("p_holm") <= alpha)
 
 
-def set_scores(pairs: DataFrame, gold: str, pred: str) -> DataFrame:
-    """True, false positives and misses of predicted sets, a row an item."""
-    size = lambda c: F.size(c).cast("bigint")
-    return pairs.withColumns({"tp": size(F.array_intersect(gold, pred)), "fp": size(F.array_except(pred, gold)), "fn": size(F.array_except(gold, pred))})
+def bootstrap(items: DataFrame, columns: list[str], statistic, baseline: str, draws: int = 5000, seed: int = 42) -> DataFrame:
+    """Paired bootstrap of a statistic of summed columns, each method's less the baseline's: difference, 95 % interval.
 
+    Spark counts the distinct pairs of rows (a few, as they are small counts); a resample is one multinomial draw from them, however
+    many items there are. ``statistic`` maps sums (draws x columns) and the number of items to values."""
+    import numpy as np
+
+    base = items.where(F.col("method") == baseline).select("job_id", *(F.col(c).cast("double").alias(f"b_{c}") for c in columns))
+    both = items.where(F.col("method") != baseline).select("job_id", "method", *(F.col(c).cast("double").alias(c) for c in columns)).join(base, "job_id")
+    cells = both.na.drop().groupBy("method", *columns, *(f"b_{c}" for c in columns)).agg(F.count("*").alias("n"))
 
-def deduplicated(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The first key of each distinct text, by digest; combines map-side."""
-    return df.groupBy(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest")).agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    def resample(frame):
+        frame = frame.sort_values(list(frame.columns))
+        own, other, n = (frame[c].to_numpy(float) for c in (columns, [f"b_{c}" for c in columns], "n"))
+        drawn = np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), draws)
+        difference = lambda w: statistic(w @ own, n.sum()) - statistic(w @ other, n.sum())
+        low, high = np.percentile(difference(drawn), [2.5, 97.5])
+        return frame[["method"]].head(1).assign(difference=float(difference(n[None, :])[0]), ci_low=low, ci_high=high, excludes_zero=bool(low > 0 or high < 0))
 
+    return cells.groupBy("method").applyInPandas(resample, "method string, difference double, ci_low double, ci_high double, excludes_zero boolean")
 
-def routed(scores: DataFrame, rules: str, model: str) -> DataFrame:
-    """Three policies over the same items: the rules alone, the model alone, and the model only where
-    the rules are silent; with the model's calls."""
-    of = lambda m: F.max(F.when(F.col("method") == m, F.col("correct")))
-    items = scores.where(F.col("method").isin(rules, model)).groupBy("item_id").agg(of(rules).alias("r"), of(model).alias("m"))
-    policy = lambda name, c, call: F.struct(F.lit(name).alias("policy"), c.alias("correct"), call.cast("int").alias("call"))
-    every = F.array(policy("rules", F.col("r"), F.lit(False)), policy("model", F.col("m"), F.lit(True)), policy("rules_first", F.coalesce("r", "m"), F.col("r").isNull()))
-    return items.select(F.inline(every)).groupBy("policy").agg(F.count("*").alias("n"), F.sum(F.coalesce("correct", F.lit(0))).alias("n_correct"), F.sum("call").alias("calls"))
 
+def mean_of(sums, n):
+    return sums[:, 0] / n
 
-def bootstrap(scores: DataFrame, baseline: str, draws: int = 5000, seed: int = 42) -> DataFrame:
-    """Paired bootstrap of each method's accuracy less the baseline's: mean and 95 % interval.
 
-    A difference is -1, 0 or 1, so the three counts say all about a sample: they are added up by
-    Spark, and a resample is one multinomial draw from them, however many items there are."""
+def micro_f1_of(sums, n):
     import numpy as np
 
-    base = scores.where(F.col("method") == baseline).select("item_id", F.col("correct").alias("b"))
-    both = scores.where(F.col("method") != baseline).join(base, "item_id").select("method", (F.col("correct") - F.col("b")).alias("d"))
-    counts = both.groupBy("method").agg(*[F.count_if(F.col("d") == v).alias(n) for n, v in (("worse", -1), ("same", 0), ("better", 1))])
-
-    def resample(batches):
-        for f in batches:
-            own = np.zeros((len(f), 3))
-            for i, cells in enumerate(f[["worse", "same", "better"]].to_numpy()):
-                n = cells.sum()
-                drawn = np.random.default_rng(seed).multinomial(n, cells / n, draws)
-                own[i] = (cells[2] - cells[0]) / n, *np.percentile((drawn[:, 2] - drawn[:, 0]) / n, [2.5, 97.5])
-            yield f[["method"]].assign(difference=own[:, 0], ci_low=own[:, 1], ci_high=own[:, 2])
-
-    return counts.mapInPandas(resample, "method string, difference double, ci_low double, ci_high double")
-
-
-def role_skills(roles: DataFrame, skills: DataFrame, every: str = "All") -> DataFrame:
-    """Postings of each skill in each family, and in all of them, with the share of the family."""
-    total = roles.select("job_id", F.explode(F.array("family", F.lit(every))).alias("family"))
-    sizes = total.groupBy("family").agg(F.count("*").alias("role_postings"))
-    held = total.join(skills, "job_id").groupBy("skill_abr", "family").agg(F.count("*").alias("postings"))
-    return held.join(sizes, "family").select("skill_abr", "family", "postings", (F.round(F.col("postings") * 10000.0 / F.col("role_postings")) / 100.0).alias("share_pct"))
-
-
-def quality_report(df: DataFrame, rules: dict[str, Column], unique: str | None = None) -> DataFrame:
-    """``rule, failures``: rows that break each rule (null counts as broken), and rows that repeat a key."""
-    one = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()])
-    out = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("failures")) for n in rules])))
-    if unique:
-        out = out.union(df.groupBy(unique).count().agg(F.lit(f"unique_{unique}").alias("rule"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("failures")))
-    return out
+    whole = 2 * sums[:, 0] + sums[:, 1] + sums[:, 2]
+    return np.where(whole > 0, 2 * sums[:, 0] / np.where(whole > 0, whole, 1), 1.0)
+
+
+# --- policies ------------------------------------------------------------------------------------------
+
+def routed(scored: DataFrame, model: str = "schema_rules", rules: str = "rules") -> DataFrame:
+    """Three policies for the level over the same postings: the rules alone, a model alone, the model only where the
+    rules are silent; accuracy, answers, calls, cost, and how often the rules fired and abstained."""
+    of = lambda m: F.max(F.when(F.col("method") == m, F.col("seniority")))
+    items = scored.where(F.col("method").isin(rules, model) & F.col("gt_seniority").isNotNull()).groupBy("job_id").agg(F.first("gt_seniority").alias("truth"), of(rules).alias("r"), of(model).alias("m"))
+    policy = lambda name, said, call: F.struct(F.lit(name).alias("policy"), said.alias("said"), call.cast("bigint").alias("call"))
+    every = F.array(policy("rules only", F.col("r"), F.lit(False)), policy("model only", F.col("m"), F.lit(True)), policy("rules first", F.coalesce("r", "m"), F.col("r").isNull()))
+    n = F.count("*")
+    return items.select("truth", "r", F.inline(every)).groupBy("policy").agg(n.alias("n"), rounded(F.avg((F.coalesce(F.col("said") == F.col("truth"), F.lit(False))).cast("double")), 4).alias("accuracy"), rounded(F.avg(F.col("said").isNotNull().cast("double")), 4).alias("answer_rate"), F.sum("call").alias("calls"), rounded(1000 * F.sum("call") / n * COST_PER_CALL, 4).alias("cost_per_1k"), F.count("r").alias("rules_fired"), (n - F.count("r")).alias("rules_abstained"))
+
+
+def best_variant(summary: DataFrame, metric: str, baseline: str = "rules") -> DataFrame:
+    """The best method beside the baseline; ties go to the first name."""
+    return summary.where(F.col("method") != baseline).orderBy(F.desc(metric), "method").limit(1)
+
+
+# --- item consensus (events) -----------------------------------------------------------------------------
+
+def consensus(extractions: DataFrame, within: float = 0.2) -> DataFrame:
+    """Each method's value against the item's consensus (the median)."""
+    truth = extractions.groupBy("item_id").agg(F.median("value").alias("truth"))  # a value a method
+    off = F.abs(F.col("value") - F.col("truth"))
+    return extractions.join(truth, "item_id").withColumns({"error": off, "correct": (off <= within * F.col("truth")).cast("int")})

@@ -1,132 +1,10 @@
-"""Named queries and their SQL."""
+"""Named queries and their SQL. The SQL is written from the rules of the marts, not from the DataFrame code."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import datasets, market, scores, texts
+from .market import market_daily
 
-from .. import sources as S
-from ..operators import extract as E
-from ..operators import market as M
-from ..operators import scoring as C
-
-
-def market_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.daily(S.postings(spark, sf_dir))
-
-
-def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by the family of their first line's part."""
-    l, p = S.table(spark, sf_dir, "lineitem"), S.table(spark, sf_dir, "part")
-    first = l.where("l_linenumber = 1").join(p, l.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("job_id"), F.col("p_type").alias("title"))
-    return S.postings(spark, sf_dir).join(first, "job_id").withColumn("family", M.role())
-
-
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.scored(S.extractions(spark, sf_dir))
-
-
-def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' labels against a rule on their length."""
-    d, b = S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "labels")
-    return b.where("quality is not null").join(d, "doc_id").select("doc_id", F.col("quality").alias("truth"), (F.coalesce(F.col("n_chars"), F.lit(0)) >= 1000).cast("int").alias("pred"))
-
-
-def skill_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = S.job_skills(spark, sf_dir).groupBy("job_id").agg(F.collect_set("skill_abr").alias("gold"))  # at most a brand a line
-    l, p = S.table(spark, sf_dir, "lineitem"), S.table(spark, sf_dir, "part")
-    pred = l.where("l_quantity >= 20").join(p, l.l_partkey == p.p_partkey).groupBy(F.col("l_orderkey").alias("job_id")).agg(F.collect_set("p_brand").alias("pred"))
-    return gold.join(pred, "job_id", "left").withColumn("pred", F.coalesce("pred", F.array().cast("array<string>")))
-
-
-#: Words of the test documents that stand in for skills.
-SKILL_WORDS = {"river": r"\briver\b", "market": r"\bmarket\b", "house": r"\bhouse\b"}
-
-
-def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extractors over whole documents; the source stands in for a title."""
-    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("source").alias("title"), "text")
-    f = E.facts(d, SKILL_WORDS)
-    return f.select("job_id", "salary.low", "salary.high", "salary.period", "seniority", "years_min", "arrangement", F.array_join("skills.required", ",").alias("required"), F.array_join("skills.preferred", ",").alias("preferred"))
-
-
-def order_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {"positive_price": F.col("o_totalprice") > 0, "has_customer": F.col("o_custkey").isNotNull(), "status_known": F.col("o_orderstatus").isin("F", "O")}
-    return C.quality_report(S.table(spark, sf_dir, "orders"), rules, "o_orderkey")
-
-
-QUERIES = {
-    "role_skills": lambda s, d: C.role_skills(roles(s, d), S.job_skills(s, d)),
-    "hybrid_routing": lambda s, d: C.routed(scores(s, d), "view", "click"),
-    "paired_bootstrap": lambda s, d: C.bootstrap(scores(s, d), "view"),
-    "quality_report": order_quality,
-    "document_facts": document_facts,
-    "market_daily": market_daily,
-    "market_overview": lambda s, d: M.overview(S.postings(s, d)),
-    "market_companies": lambda s, d: M.by_company(S.postings(s, d), S.companies(s, d)),
-    "market_industries": lambda s, d: M.by_code(S.postings(s, d), S.job_industries(s, d), "industry_id"),
-    "market_skill_categories": lambda s, d: M.by_code(S.postings(s, d), S.job_skills(s, d), "skill_abr"),
-    "postings_enriched": lambda s, d: M.enriched(S.postings(s, d), S.companies(s, d)),
-    "annualized_salary": lambda s, d: M.flagged(S.postings(s, d)).select("job_id", "salary", "annualized"),
-    "role_family": lambda s, d: M.flagged(roles(s, d)).groupBy("family").agg(*M.measures()),
-    "role_daily": lambda s, d: M.role_daily(roles(s, d)),
-    "extractions_latest": lambda s, d: S.extractions(s, d),
-    "extractions_scored": scores,
-    "method_performance": lambda s, d: C.performance(scores(s, d)),
-    "mcnemar_holm": lambda s, d: C.holm(C.mcnemar(scores(s, d), "view")).withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in ("p_raw", "p_holm")}),
-    "stratified_sample": lambda s, d: C.stratified(S.table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 100),
-    "holdout_anti_join": lambda s, d: C.holdout(S.table(s, d, "documents").select("doc_id", "source"), S.table(s, d, "labels"), "doc_id"),
-    "proportional_allocation": lambda s, d: C.proportional(S.table(s, d, "orders"), "o_orderpriority", 997),
-    "confusion_matrix": lambda s, d: C.confusion(banded(s, d), "truth", "pred"),
-    "macro_f1": lambda s, d: C.macro_f1(banded(s, d), "truth", "pred"),
-    "skill_set_scores": lambda s, d: C.set_scores(skill_sets(s, d), "gold", "pred").select("job_id", "tp", "fp", "fn"),
-    "md5_dedup": lambda s, d: C.deduplicated(S.table(s, d, "documents"), "doc_id"),
-}
-
-POSTINGS = """p as (select o_orderkey job_id, case when o_orderkey % 17 <> 0 then o_custkey end company_id, cast(o_orderdate as date) posting_date,
- case when o_orderkey % 5 <> 0 then o_totalprice end normalized_salary, case o_orderkey % 4 when 0 then 'HOURLY' when 1 then 'MONTHLY' when 2 then 'YEARLY' end pay_period,
- o_orderkey % 9 = 0 eur, o_orderkey % 8 = 0 is_remote, o_orderkey % 3 = 0 sponsored, o_orderpriority experience_level from orders),
-f as (select *, case when not eur and normalized_salary between 10000 and 500000 then normalized_salary end salary,
- normalized_salary * case pay_period when 'HOURLY' then 2080.0 when 'MONTHLY' then 12.0 when 'YEARLY' then 1.0 end annualized from p)"""
-MEASURES = "count(*) postings, count(salary) salary_postings, round(median(salary) * 100.0) / 100.0 median_salary, count(*) filter (is_remote) remote_postings"
-INDUSTRIES = "c as (select distinct l_orderkey job_id, s_nationkey code from lineitem join supplier on l_suppkey = s_suppkey)"
-SKILLS = "c as (select distinct l_orderkey job_id, p_brand code from lineitem join part on l_partkey = p_partkey)"
-COMPANIES = "k as (select c_custkey company_id, c_name as name, c_mktsegment company_size, n_name country, r_name region from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"
-ROLES = """r as (select f.*, case when t like '%promo%' then 'Promo' when t like '%standard%' then 'Standard' when t like '%small%' then 'Small' when t like '%economy%' then 'Economy'
- when t like '%medium%' then 'Medium' when t like '%large%' then 'Large' else 'Other' end family from f join (select l_orderkey job_id, lower(p_type) t from lineitem join part on l_partkey = p_partkey where l_linenumber = 1) using (job_id))"""
-LATEST = "x as (select user_id item_id, event_type as method, value, cast(json_extract_string(props, '$.k') as int) k from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) rn from events) where rn = 1)"
-SCORED = LATEST + ", s as (select x.*, truth, abs(value - truth) error, cast(abs(value - truth) <= 0.2 * truth as int) correct from x join (select item_id, median(value) truth from x group by item_id) using (item_id))"
-BANDED = "b as (select doc_id, quality truth, cast(coalesce(n_chars, 0) >= 1000 as int) pred from labels join documents using (doc_id) where quality is not null)"
-
-
-def _share(codes: str, name: str) -> str:
-    return f"with {POSTINGS}, {codes} select code as {name}, {MEASURES}, round(count(*) * 100.0 / (select count(*) from p) * 100.0) / 100.0 share_pct from f join c using (job_id) group by code"
-
-
-SQL = {
-    "role_skills": f"with {POSTINGS}, {ROLES}, {SKILLS}, e as (select job_id, family from r union all select job_id, 'All' from r), n as (select family, count(*) n from e group by 1) select code skill_abr, family, count(*) postings, round(count(*) * 10000.0::double / any_value(n)) / 100.0 share_pct from e join c using (job_id) join n using (family) group by code, family",
-    "hybrid_routing": f"with {SCORED}, i as (select item_id, max(correct) filter (method = 'view') r, max(correct) filter (method = 'click') m from s where method in ('view', 'click') group by 1) select 'rules' as policy, count(*) n, cast(sum(coalesce(r, 0)) as bigint) n_correct, cast(0 as bigint) calls from i union all select 'model', count(*), cast(sum(coalesce(m, 0)) as bigint), count(*) from i union all select 'rules_first', count(*), cast(sum(coalesce(r, m, 0)) as bigint), count(*) filter (r is null) from i",
-    "quality_report": "select 'positive_price' as rule, count(*) filter (not coalesce(o_totalprice > 0, false)) failures from orders union all select 'has_customer', count(*) filter (o_custkey is null) from orders union all select 'status_known', count(*) filter (not coalesce(o_orderstatus in ('F', 'O'), false)) from orders union all select 'unique_o_orderkey', cast(coalesce(sum(n - 1), 0) as bigint) from (select count(*) n from orders group by o_orderkey)",
-    "market_daily": f"with {POSTINGS}, d as (select posting_date, {MEASURES} from f group by 1), g as (select cast(unnest(generate_series(min(posting_date), max(posting_date), interval 1 day)) as date) posting_date from p) select posting_date, coalesce(postings, 0) postings, coalesce(salary_postings, 0) salary_postings, median_salary, coalesce(remote_postings, 0) remote_postings, round(avg(coalesce(postings, 0)) over (order by posting_date rows between 6 preceding and current row) * 100.0) / 100.0 postings_7d from g left join d using (posting_date)",
-    "market_overview": f"with {POSTINGS} select {MEASURES}, count(distinct company_id) companies, min(posting_date) first_date, max(posting_date) last_date, round(quantile_cont(salary, 0.25) * 100.0) / 100.0 p25_salary, round(quantile_cont(salary, 0.75) * 100.0) / 100.0 p75_salary, count(*) filter (sponsored) sponsored_postings, round(count(salary) * 100.0 / count(*) * 100.0) / 100.0 salary_coverage_pct, round(count(*) filter (is_remote) * 100.0 / count(*) * 100.0) / 100.0 remote_pct from f",
-    "market_companies": f"with {POSTINGS}, {COMPANIES}, a as (select company_id, {MEASURES} from f where company_id is not null group by 1) select * from a left join k using (company_id)",
-    "market_industries": _share(INDUSTRIES, "industry_id"),
-    "market_skill_categories": _share(SKILLS, "skill_abr"),
-    "postings_enriched": f"with {POSTINGS}, {COMPANIES} select job_id, company_id, name, country, salary, is_remote, experience_level from f left join k using (company_id)",
-    "annualized_salary": f"with {POSTINGS} select job_id, salary, annualized from f",
-    "role_family": f"with {POSTINGS}, {ROLES} select family, {MEASURES} from r group by family",
-    "role_daily": f"with {POSTINGS}, {ROLES}, n as (select posting_date, family, count(*) postings from r group by all), g as (select cast(unnest(generate_series(min(posting_date), max(posting_date), interval 1 day)) as date) posting_date from r) select posting_date, family, coalesce(postings, 0) postings from g cross join (select distinct family from r) left join n using (posting_date, family)",
-    "extractions_latest": f"with {LATEST} select * from x",
-    "extractions_scored": f"with {SCORED} select * from s",
-    "method_performance": f"with {SCORED} select method, count(*) n, round(avg(correct) * 10000.0) / 10000.0 accuracy, round(median(error) * 10000.0) / 10000.0 median_error, cast(sum(correct) as bigint) n_correct from s group by method",
-    "mcnemar_holm": f"""with {SCORED}, n as (select c.method, count(*) filter (c.correct = 1 and b.correct = 0) candidate_only, count(*) filter (c.correct = 0 and b.correct = 1) baseline_only from s c join s b on b.item_id = c.item_id and b.method = 'view' where c.method <> 'view' group by 1),
- t as (select *, least(1.0, 2 * coalesce((select sum(exp(lgamma(a.n + 1.0) - lgamma(i + 1.0) - lgamma(a.n - i + 1.0) - a.n * ln(2.0))) from (select candidate_only + baseline_only n) a, unnest(generate_series(0, least(candidate_only, baseline_only))) g(i)), 0)) p from n)
- select method, candidate_only, baseline_only, round(p * 1e6) / 1e6 p_raw, round(max(h) over (order by p, method) * 1e6) / 1e6 p_holm from (select *, least(1.0, p * (count(*) over () - row_number() over (order by p, method) + 1)) h from t)""",
-    "stratified_sample": "select * from (select o_orderkey, o_orderpriority, cast(row_number() over (partition by o_orderpriority order by md5('42' || o_orderkey), o_orderkey) as int) as rank from orders) where rank <= 100",
-    "holdout_anti_join": "select doc_id, source from documents where doc_id not in (select doc_id from labels where doc_id is not null)",
-    "proportional_allocation": "with c as (select o_orderpriority, count(*) n, count(*) * 997.0::double / sum(count(*)) over () e from orders group by 1) select o_orderpriority, n, cast(floor(e) as bigint) + cast(row_number() over (order by e - floor(e) desc, o_orderpriority) <= 997 - sum(floor(e)) over () as bigint) allocated from c",
-    "confusion_matrix": f"with {BANDED} select truth, pred, count(*) n from b group by all",
-    "macro_f1": f"with {BANDED}, q as (select truth as class, count(*) support, cast(count(*) filter (truth = pred) as bigint) tp from b group by 1) select class, support, round(coalesce(2.0 * tp / nullif(support + (select count(*) from b where pred = class), 0), 0) * 10000.0) / 10000.0 f1 from q",
-    "skill_set_scores": "with g as (select l_orderkey job_id, p_brand b, max(l_quantity) >= 20 hit from lineitem join part on l_partkey = p_partkey group by all) select job_id, count(*) filter (hit) tp, cast(0 as bigint) fp, count(*) filter (not hit) fn from g group by 1",
-    "md5_dedup": "select md5(coalesce(text, '')) digest, min(doc_id) doc_id, count(*) copies from documents group by 1",
-}
+QUERIES = market.QUERIES | datasets.QUERIES | texts.QUERIES | scores.QUERIES
+SQL = market.SQL | datasets.SQL | texts.SQL | scores.SQL
+__all__ = ["QUERIES", "SQL", "market_daily"]

@@ -1,54 +1,81 @@
-"""The extractors on single texts, and the operators that SQL cannot express."""
-
-import pytest
-from pyspark.sql import functions as F
+"""The extractors on single texts."""
 
 from quarryline.operators import extract as E
-from quarryline.operators import scoring as C
+from quarryline.operators import normalise as N
 from quarryline.plans import QUERIES
 
+# Texts that must give these answers.
 PAY = [
-    ("Pay Range: The pay range for this role is: $ 109120.00 to $ 163680.00", (109120.0, 163680.0, None)),
+    ("Pay Range: The pay range for this role is: $ 109120.00 to $ 163680.00", (109120.0, 163680.0, "YEARLY")),
     ("Gross Weekly Pay: $1840.90 for this contract", (1840.90, 1840.90, "WEEKLY")),
-    ("paying in the $50-60K range depending on experience", (50000.0, 60000.0, None)),
+    ("paying in the $50-60K range depending on experience", (50000.0, 60000.0, "YEARLY")),
     ("Base Rate: $20.55 - 23.00 per hour", (20.55, 23.0, "HOURLY")),
     ("NTT DATA, a $30 billion trusted global innovator", None),
     ("$224 billion in client assets. The salary range is $85,000 - $95,000 annually.", (85000.0, 95000.0, "YEARLY")),
+    ("Salary Grade Minimum - Annual $108,400.00 ... Minimum - Hourly $52.12", (108400.0, 108400.0, "YEARLY")),
+    ("Salary/Hourly Rate $130k - $180k Annually based on experience", (130000.0, 180000.0, "YEARLY")),
+    ("salary range: $72,000 - $115,000. Note that hourly rates vary.", (72000.0, 115000.0, "YEARLY")),
+    ("a rate of $33 per hour, W2", (33.0, 33.0, "HOURLY")),
+    ("Compensation Ranges: $20 - $25 an hour", (20.0, 25.0, "HOURLY")),
     ("$85,000 per year. Standard 40 hours a week.", (85000.0, 85000.0, "YEARLY")),
+    ("compensation of $33 annually per hour worked", (33.0, 33.0, "HOURLY")),
+    ("Competitive compensation discussed during interview.", None),
     ("", None),
     (None, None),
 ]
-TITLES = [("Account Executive", None), ("Senior Account Executive, Influencer", "Mid-Senior level"), ("CFO", "Executive"), ("VP of Sales", "Executive"), ("Director of Data", "Director"), ("Junior Analyst", "Entry level"), ("Data Intern", "Internship"), ("Pharmacy Technician", None), (None, None)]
-YEARS = [("Requires 3-5 years of relevant experience", 3), ("We have served customers for 10 years.", None), ("40 years of experience", None), ("5+ yrs experience, or 2 years of work experience", 2), (None, None)]
+TITLES = [
+    ("Account Executive", None), ("Sales Executive", None), ("Enterprise Account Executive", None), ("Executive Assistant", None), ("Executive Administrative Assistant", None), ("Senior Account Executive, Influencer", "Mid-Senior level"), ("Division Chief, Classification & Compensation", None),
+    ("Chief Financial Officer", "Executive"), ("Vice President Compliance", "Executive"), ("Director of Engineering", "Director"), ("Junior Data Analyst", "Entry level"), ("Marketing Intern", "Internship"), ("Pharmacy Technician", None), (None, None),
+]
+YEARS = [("Requires 3-5 years of relevant experience", 3), ("We have served customers for 10 years.", None), ("40 years of experience", None), (None, None)]
+# Sentences of our own.
+MORE_PAY = [
+    ("We offer $500 at once. The range is $80,000 - $90,000 per year", (80000.0, 90000.0, "YEARLY")),
+    ("between $90,000 - $80,000", (80000.0, 90000.0, "YEARLY")),
+    ("$45 - $50", (45.0, 50.0, "HOURLY")),
+    ("$120,000 an hour", (120000.0, 120000.0, "YEARLY")),
+    ("$2,000 biweekly", (2000.0, 2000.0, "BIWEEKLY")),
+    ("$3 million a year", None),
+    ("x" * 200_000 + " $70K per annum", (70000.0, 70000.0, "YEARLY")),
+]
+MORE_TITLES = [("CFO", "Executive"), ("Head of Data", "Executive"), ("Senior Data Intern", "Internship"), ("Assistant to the CEO", None), ("Co-op Student", "Internship"), ("Associate", "Associate")]
+MORE_YEARS = [("Experience required: 5 years", 5), ("5+ yrs experience, or 2 years of work experience", 2), ("experience" + " ." * 60 + " 4 years", None)]
+WORK = [("This position is hybrid.", "hybrid"), ("This role is remote", "remote"), ("This job will be on-site", "onsite"), ("remote/onsite", "unclear"), ("If this role is listed as remote, this role is remote", "unclear"), ("On-site 2 days a week", "hybrid"), ("Great remote teams", "unclear"), (None, "unclear")]
 
 
-def values(spark, texts, column):
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", column.alias("v")).collect()
-    return [r.v for r in sorted(rows)]
+def values(spark, cases, column):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string").select("i", column.alias("v")).collect()
+    return [r.v for r in sorted(rows, key=lambda r: r.i)]
 
 
 def test_salary(spark):
-    got = [v and (v.low, v.high, v.period) for v in values(spark, [t for t, _ in PAY], E.salary())]
-    assert got == [w for _, w in PAY]
+    got = [v and (v.low, v.high, v.period) for v in values(spark, PAY + MORE_PAY, E.salary())]
+    assert got == [w for _, w in PAY + MORE_PAY]
+
+
+def test_seniority(spark):
+    assert [v and v.level for v in values(spark, TITLES + MORE_TITLES, E.seniority("text"))] == [w for _, w in TITLES + MORE_TITLES]
 
 
-def test_seniority_years_arrangement(spark):
-    assert values(spark, [t for t, _ in TITLES], E.seniority("text")) == [w for _, w in TITLES]
-    assert values(spark, [t for t, _ in YEARS], E.years()) == [w for _, w in YEARS]
-    assert values(spark, ["Remote or hybrid", "work from home", "on-site only", "nothing", None], E.arrangement()) == ["hybrid", "remote", "onsite", None, None]
+def test_years(spark):
+    assert [v and v.least for v in values(spark, YEARS + MORE_YEARS, E.years())] == [w for _, w in YEARS + MORE_YEARS]
+
+
+def test_arrangement(spark):
+    assert [v.arrangement for v in values(spark, WORK, E.arrangement())] == [w for _, w in WORK]
 
 
 def test_skills(spark):
-    patterns = {"Excel": r"\bexcel\b", "Tableau": r"\btableau\b", "Java": r"\bjava\b", "Power BI": r"\bpower[- ]?bi\b"}
-    got = values(spark, ["Advanced Excel required for this role. Tableau is a plus.", "Strong JavaScript skills required", "PowerBI", None], E.skills(patterns))
-    assert [(v.required, v.preferred) for v in got] == [(["Excel"], ["Tableau"]), ([], []), (["Power BI"], []), ([], [])]
+    cases = [("Advanced Excel required for this role. Tableau is a plus.", (["Excel"], ["Tableau"])), ("Strong JavaScript skills required", (["JavaScript"], [])), ("PowerBI", (["Power BI"], [])), ("Power-BI and Power BI", (["Power BI"], [])), (None, ([], []))]
+    got = values(spark, cases, E.skills())
+    assert [(v.required, v.preferred) for v in got] == [w for _, w in cases]
+    assert got[0].evidence["Tableau"].endswith("Tableau is a plus.")
+
 
+def test_evidence_context(spark):
+    from pyspark.sql import functions as F
 
-def test_bootstrap_covers_the_difference(spark):
-    rows = [(i, m, int(i % k != 0)) for i in range(300) for m, k in (("view", 2), ("click", 5))]
-    got = C.bootstrap(spark.createDataFrame(rows, "item_id int, method string, correct int"), "view").collect()
-    assert len(got) == 1 and got[0].difference == pytest.approx(0.3) and 0.2 < got[0].ci_low < 0.3 < got[0].ci_high < 0.4
-    assert C.bootstrap(spark.createDataFrame(rows, "item_id int, method string, correct int").where(F.lit(False)), "view").collect() == []
+    assert values(spark, [("abc " * 100 + "the Pay is $5 " + "x" * 300, 0)], N.evidence_context(F.col("text"), F.lit("pay is $5"), 10))[0] == "c abc the Pay is $5 xxxxxxxxx"
 
 
 def test_document_facts_keep_every_row(spark):
