@@ -5,6 +5,8 @@ All stay in the JVM: a pattern's places in a text come from splitting the text a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ SKILLS = {
     "SAS": r"\bsas\b", "SPSS": r"\bspss\b", "Git": r"\bgit\b|\bgithub\b", "Docker": r"\bdocker\b", "Kubernetes": r"\bkubernetes\b|\bk8s\b", "ETL": r"\betl\b|\belt\b", "Machine Learning": r"\bmachine learning\b|\bml\b", "Pandas": r"\bpandas\b", "NumPy": r"\bnumpy\b", "Scikit-learn": r"\bscikit-?learn\b|\bsklearn\b",
     "TensorFlow": r"\btensorflow\b", "PyTorch": r"\bpytorch\b", "PostgreSQL": r"\bpostgre?s(ql)?\b", "MySQL": r"\bmysql\b", "MongoDB": r"\bmongo\s?db\b", "Oracle": r"\boracle\b", "Alteryx": r"\balteryx\b", "VBA": r"\bvba\b", "JavaScript": r"\bjavascript\b", "Salesforce": r"\bsalesforce\b", "Snowpark": r"\bsnowpark\b", "SSIS": r"\bssis\b", "SSRS": r"\bssrs\b",
 }
+#: Words one of which a text must have for the skill (others: the pattern's only word, else none is asked for).
+TRIGGERS = {"Power BI": ["power", "powerbi"], "BigQuery": ["big", "bigquery"], "Spark": ["spark"], "AWS": ["aws", "amazon"], "GCP": ["gcp", "google"], "Java": ["java"], "Git": ["git", "github"], "Kubernetes": ["kubernetes", "k8s"], "ETL": ["etl", "elt"], "Machine Learning": ["machine", "ml"], "MongoDB": ["mongo", "mongodb"], "Scikit-learn": ["scikit", "scikitlearn", "sklearn"]}
 PREFERRED = r"preferred|nice to have|nice-to-have|a plus|bonus|desirable|would be great|ideally|familiarity with|exposure to|good to have"
 REQUIRED = r"required|must have|must possess|essential|mandatory|minimum qualification"
 _THIS = r"\bthis (?:position|role|job)"
@@ -173,10 +177,18 @@ def skills(text: str = "text", patterns: dict[str, str] = SKILLS) -> Column:
         far = lambda p: F.when(p["a"].between(m["a"], m["b"]), 0).otherwise(F.least(F.abs(p["a"] - m["b"]), F.abs(m["a"] - p["a"])))
         return F.array_min(F.transform(F.filter(hints, lambda p: (p["a"] >= low) & (p["b"] <= high)), far))
 
-    def one(name: str, pattern: str) -> Column:
-        p = f"(?i){pattern}"
-        a = F.length(F.element_at(F.split(t, p, 2), 1))
-        return F.when(t.rlike(p), F.struct(F.lit(name).alias("name"), a.alias("a"), (a + F.length(F.regexp_extract(t, p, 0))).alias("b")))
+    # words are parted by all but letters and digits, so they are a superset of what word boundaries part
+    triggers = {n: TRIGGERS.get(n) or [m.group(1)] if n in TRIGGERS or (m := re.fullmatch(r"\\b([a-z0-9]+)\\b", p)) else [] for n, p in patterns.items()}
+    words = F.array_intersect(F.split(F.lower(t), "[^a-z0-9]+"), F.array(*[F.lit(w) for own in triggers.values() for w in own]).cast("array<string>"))
+
+    def named(own: Column) -> Column:
+        def one(name: str, pattern: str) -> Column:
+            p = f"(?i){pattern}"
+            a = F.length(F.element_at(F.split(t, p, 2), 1))
+            may = F.arrays_overlap(own, F.array(*map(F.lit, triggers[name]))) if triggers[name] else F.lit(True)
+            return F.when(may & t.rlike(p), F.struct(F.lit(name).alias("name"), a.alias("a"), (a + F.length(F.regexp_extract(t, p, 0))).alias("b")))
+
+        return F.array_compact(F.array(*[one(n, p) for n, p in sorted(patterns.items())]))
 
     def judged(x: Column) -> Column:
         def one_of(m: Column) -> Column:
@@ -186,8 +198,7 @@ def skills(text: str = "text", patterns: dict[str, str] = SKILLS) -> Column:
         return F.transform(x["found"], one_of)
 
     # the hints are looked for once a text, and only where a skill is named
-    found = F.array_compact(F.array(*[one(n, p) for n, p in sorted(patterns.items())]))
-    some = let(found, lambda xs: F.struct(xs.alias("found"), F.when(F.size(xs) > 0, places(t, PREFERRED)).alias("soft"), F.when(F.size(xs) > 0, places(t, REQUIRED)).alias("hard")))
+    some = let(let(words, named), lambda xs: F.struct(xs.alias("found"), F.when(F.size(xs) > 0, places(t, PREFERRED)).alias("soft"), F.when(F.size(xs) > 0, places(t, REQUIRED)).alias("hard")))
     names = lambda xs, soft: F.transform(F.filter(xs, lambda x: x["soft"] == F.lit(soft)), lambda x: x["name"])
     return let(let(some, judged), lambda xs: F.struct(names(xs, False).alias("required"), names(xs, True).alias("preferred"), F.map_from_entries(F.transform(xs, lambda x: F.struct(x["name"], x["evidence"]))).alias("evidence")))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import pct, rounded, valid_salary, with_quantiles
+from ..functions import let, pct, rounded, valid_salary, with_quantiles
 from ..sources.seeds import ROLE_FAMILIES, SKILL_PATTERNS
 
 MEDIAN = {"median_salary_usd": 0.5}
@@ -129,17 +132,36 @@ def family_daily(roles: DataFrame) -> DataFrame:
     return grid.join(with_quantiles(sums, roles, keys, "annualized_salary_usd", MEDIAN), keys, "left").na.fill(0, ["postings", "salary_postings", "remote_tagged_postings"])
 
 
+_WORD = re.compile(r"\(\^\|\[\^a-z0-9\]\)(\w+)\(\[\^a-z0-9\]\|\$\)")
+
+
+def _needed(pattern: str) -> list[str]:
+    """Of each alternative of a seed pattern a text that it can't do without."""
+    plain = _WORD.sub(r"\1", pattern.removeprefix("(?i)")).strip("()")
+    return sorted({max(re.findall("[a-z0-9 -]+", a), key=len) for a in plain.split("|")})
+
+
 def _mentions(text: Column) -> Column:
     """The patterns that occur, one scan of the text: those that are single words are looked up among its words,
-    the others are searched for."""
-    low = F.lower(text)
-    words = F.split(low, "[^a-z0-9]+")
-    found = []
-    for name, category, pattern, order in SKILL_PATTERNS:
-        single = pattern.removeprefix("(?i)(^|[^a-z0-9])").removesuffix("([^a-z0-9]|$)")
-        hit = F.array_contains(words, single) if single.isalnum() else low.rlike(pattern)
-        found.append(F.when(hit, F.struct(F.lit(name).alias("skill_name"), F.lit(category).alias("skill_category"), F.lit(order).alias("display_order"))))
-    return F.array_compact(F.array(*found))
+    the others are searched for where a part that they need occurs."""
+    single = {p: m.group(1) for _, _, p, _ in SKILL_PATTERNS if (m := _WORD.fullmatch(p.removeprefix("(?i)")))}
+
+    def found(low: Column) -> Column:
+        words = F.array_intersect(F.split(low, "[^a-z0-9]+"), F.array(*map(F.lit, single.values())))
+
+        def among(own: Column) -> Column:
+            out = []
+            for name, category, pattern, order in SKILL_PATTERNS:
+                if pattern in single:
+                    hit = F.array_contains(own, single[pattern])
+                else:
+                    hit = reduce(Column.__or__, [low.contains(x) for x in _needed(pattern)]) & low.rlike(pattern)
+                out.append(F.when(hit, F.struct(F.lit(name).alias("skill_name"), F.lit(category).alias("skill_category"), F.lit(order).alias("display_order"))))
+            return F.array_compact(F.array(*out))
+
+        return let(words, among)
+
+    return let(F.lower(text), found)
 
 
 def skill_mentions(roles: DataFrame) -> DataFrame:
