@@ -18,7 +18,9 @@ import hashlib
 import json
 import os
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, bound_batches, shared_dir
+from .common import bound_batches, shared_dir
 
 MAGIC = b"QLIDS001"
 READ_DOCS = 512
+#: Pieces whose ids a worker remembers.
+PIECES = 1_000_000
 
 
 # --- minimal perfect hash ---------------------------------------------------------------------
@@ -103,8 +107,7 @@ class Encoder:
 
     Before a single space between two visible characters the library always splits, and a single
     line feed between two is a word of its own, so a text of such white space only is the sequence
-    of its pieces, and equal pieces have equal ids. A text's new pieces go to the library in one
-    call, parted by line feeds. All other texts (runs of blanks, tabs, special tokens) go to it whole."""
+    of its pieces, and equal pieces have equal ids. All other texts (runs of blanks, tabs, special tokens) go to it whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -114,8 +117,12 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces = Recent(self.whole, 250_000)
         self.line_feed = self.whole("\n")
+        #: Bytes that each token stands for: the vocabulary writes one symbol a byte.
+        self.lengths = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.lengths[i] = len(token)
+        self.pieces = {"\0": self.line_feed}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
@@ -123,25 +130,51 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.ids(text).tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Take up pieces without white space but for a space in front."""
-        ids = self.ids("\n".join(pieces))
-        cuts = np.flatnonzero(ids == np.frombuffer(self.line_feed, self.dtype)[0])
+    def learn(self, new: set[str]) -> None:
+        """Take up pieces without white space but for one blank in front. Those with a blank are put one after the other,
+        as the library parts them there, and the lengths of the tokens tell where each ends; the few others are parted by line feeds."""
+        spaced, bare = [p for p in new if p[0] == " "], [p for p in new if p[0] != " "]
+        if spaced:
+            ids = self.ids("".join(spaced))
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in spaced), np.int64, len(spaced)))
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            self._keep(spaced, ids, [0, *cuts[:-1].tolist()], cuts.tolist())
+        if bare:
+            ids = self.ids("\n".join(bare))
+            cuts = np.flatnonzero(ids == np.frombuffer(self.line_feed, self.dtype)[0])
+            self._keep(bare, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
         packed, w = ids.tobytes(), self.dtype.itemsize
-        for p, a, b in zip(pieces, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            self.pieces.put(p, packed[a * w : b * w])
+        for p, a, b in zip(pieces, starts, ends, strict=True):
+            self.pieces[p] = packed[a * w : b * w]
+
+    def parts(self, text: str) -> list[str] | None:
+        """The pieces of a text; None if it has white space that parts it otherwise."""
+        flat = text.replace("\n", " ")
+        # printable text has no white space but the blank
+        plain = flat.isprintable() and "  " not in flat and flat[0] != " " and flat[-1] != " "
+        if "<|" in text or "\0" in text or not plain and " ".join(text.split()) != flat:
+            return None
+        return text.replace("\n", "\n\0\n").replace(" ", "\n ").split("\n")
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text; new pieces of all of them go to the library at once."""
+        own = [self.parts(t) if t else [] for t in texts]
+        got = [p and list(map(self.pieces.get, p)) for p in own]
+        new = {p for ps, gs in zip(own, got, strict=True) if gs and None in gs for p, g in zip(ps, gs, strict=True) if g is None}
+        if new and len(self.pieces) + len(new) > PIECES:
+            # what came first comes most often; the rest makes room
+            self.pieces = dict(islice(self.pieces.items(), PIECES // 2))
+            new = {p for ps in own if ps for p in ps if p not in self.pieces}
+            got = own
+        if new:
+            self.learn(new)
+            got = [ps and list(map(self.pieces.__getitem__, ps)) if gs is ps or gs and None in gs else gs for ps, gs in zip(own, got, strict=True)]
+        return [self.whole(t) if gs is None else b"".join(gs) for t, gs in zip(texts, got, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text or "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
-            return self.whole(text)
-        own = text.replace("\n", "\n\0\n").replace(" ", "\n ").split("\n")
-        self.pieces["\0"] = self.line_feed
-        if new := [p for p in set(own) if p not in self.pieces and p not in self.pieces.old]:
-            self.learn(new)
-        self.pieces["\0"] = self.line_feed
-        return b"".join(map(self.pieces.__getitem__, own))
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -176,7 +209,8 @@ def write_shard(uri: str, dtype: np.dtype, batches: Iterator[tuple[pa.Array, lis
     with pa.ipc.new_stream(stream, pa.schema([("key", held.type)])) as w:
         w.write_batch(pa.record_batch([held], names=["key"]))
     parts = {"starts": starts.tobytes(), "bits": np.packbits(index["bits"]).tobytes(), "print": index["print"].tobytes(), "row": index["row"].tobytes(), "keys": stream.getvalue().to_pybytes()}
-    footer = {"dtype": dtype.str, "docs": len(held), "ids": int(starts[-1]), "sizes": index["sizes"], "at": {}}
+    ends = [json.dumps(held[i].as_py()) if pa.types.is_integer(held.type) or pa.types.is_string(held.type) else None for i in (0, len(held) - 1)]
+    footer = {"dtype": dtype.str, "low": ends[0], "high": ends[1], "docs": len(held), "ids": int(starts[-1]), "sizes": index["sizes"], "at": {}}
     at = int(starts[-1]) * dtype.itemsize
     for name, data in parts.items():
         out.write(data)
@@ -226,7 +260,8 @@ class Shard:
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text and write its ids, in ascending key order (null first; equal keys
     stay together), to shards in ``folder``, a URI that driver and executors share. Returns the
-    manifest, which is also written there: ``shard, uri, first_id, docs, ids``. Its rows are as many as partitions.
+    manifest, which is also written there: ``shard, uri, first_id, docs, ids`` and the lowest and highest key as JSON
+(``low, high``; null where a shard begins with null keys). Its rows are as many as partitions.
 
     One shuffle, of the texts, by range of the key."""
     spark = docs.sparkSession
@@ -237,21 +272,51 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, book = TaskContext.get(), encoder(path or default_vocabulary())
         end = np.array([] if end_id is None else [end_id], book.dtype).tobytes()
-        coded = ((b.column(0), [book.encode(t or "") + end for t in b.column(1).to_pylist()]) for b in batches if b.num_rows)
+        coded = ((b.column(0), [ids + end for ids in book.encode_all(b.column(1).to_pylist())]) for b in batches if b.num_rows)
         uri = f"{folder}/shards/{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         if footer := write_shard(uri, book.dtype, coded):
-            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "uri": uri, "docs": footer["docs"], "ids": footer["ids"]}])
+            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "uri": uri, "docs": footer["docs"], "ids": footer["ids"], "low": footer["low"], "high": footer["high"]}])
 
-    shards = sorted(ranged.mapInArrow(run, "shard bigint, uri string, docs bigint, ids bigint").collect())
+    shards = sorted(ranged.mapInArrow(run, "shard bigint, uri string, docs bigint, ids bigint, low string, high string").collect())
     rows, first = [], 0
     for s in shards:
-        rows.append((s.shard, s.uri, first, s.docs, s.ids))
+        rows.append((s.shard, s.uri, first, s.docs, s.ids, s.low, s.high))
         first += s.ids
-    manifest = spark.createDataFrame(rows, "shard bigint, uri string, first_id bigint, docs bigint, ids bigint")
+    manifest = spark.createDataFrame(rows, "shard bigint, uri string, first_id bigint, docs bigint, ids bigint, low string, high string")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return manifest
 
 
+class Index:
+    """Keyed access to all shards: the manifest's key ranges (a row a shard) tell the one or two shards to open, and
+    the hash index of a shard tells the place. Opened shards are kept, the last used ones."""
+
+    def __init__(self, manifest: DataFrame, most: int = 64):
+        self.rows = [(json.loads(r.low or "null"), json.loads(r.high or "null"), r.uri) for r in manifest.orderBy("shard").collect()]
+        self.highs = [(high is not None, high) for _, high, _ in self.rows]
+        self.most, self.open = most, {}
+
+    def _shards(self, key):
+        """The shards whose range may hold the key (those of unknown range always)."""
+        yield from (uri for low, high, uri in self.rows if low is None and (high is None or key is None))
+        if key is not None:
+            for low, _, uri in self.rows[bisect_left(self.highs, (True, key)) :]:
+                if low is not None and low > key:
+                    return
+                yield uri
+
+    def get(self, key) -> np.ndarray | None:
+        """The ids of the first document with this key; None if there is none."""
+        for uri in self._shards(key):
+            shard = self.open.pop(uri, None) or Shard(uri)
+            self.open[uri] = shard
+            if len(self.open) > self.most:
+                self.open.pop(next(iter(self.open)))
+            if (ids := shard.get(key)) is not None:
+                return ids
+        return None
+
+
 def read_ids(manifest: DataFrame, key_type: str = "bigint", with_ids: bool = False, key: str = "doc_id") -> DataFrame:
     """Read the shards back, each document's range found through the index: ``key, start, n_tokens,
     ids_crc32`` and, if asked for, ``ids`` (little-endian uint32)."""

@@ -122,6 +122,30 @@ def test_token_file_equals_library(spark, edge, empty):
     assert token_file.digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_token_index_over_shards(spark, tmp_path, kind):
+    t = library("byte_bpe_50k.json")
+    rows = [(i * 7, f"text {i} of words") for i in range(300)] + [(None, "no key")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6).selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    manifest = token_file.write_ids(df, f"file://{tmp_path}/{kind}")
+    index = token_file.Index(manifest, most=2)
+    make = {"bigint": int, "string": str, "double": float}[kind]
+    assert manifest.count() > 2
+    for i in (0, 1, 150, 299):
+        assert index.get(make(i * 7)).tolist() == [*t.encode(f"text {i} of words", add_special_tokens=False).ids, 2]
+        assert index.get(make(i * 7 + 3)) is None
+    assert index.get(make(-5)) is None and index.get(None).tolist() == [*t.encode("no key", add_special_tokens=False).ids, 2]
+
+
+def test_token_pieces_forget_and_relearn(monkeypatch):
+    t = library("byte_bpe_50k.json")
+    monkeypatch.setattr(token_file, "PIECES", 40)
+    book = token_file.Encoder(token_file.default_vocabulary())
+    texts = [" ".join(f"w{i * j}x{j}" for j in range(30)) + "\nline é" for i in range(20)] + [None, "", "a  b\t"]
+    for _ in range(2):
+        assert [list(array("H", x)) for x in book.encode_all(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_decontamination_equals_brute_force(spark, edge):
     bench = spark.createDataFrame([(1, "two three four"), (2, None), (3, " ".join(f"w{i}" for i in range(20))), (4, "")], "item_id bigint, text string")
     more = edge.union(spark.createDataFrame([(20, "x " + " ".join(f"W{i}," for i in range(3, 18)) + " y", "en", "s", 1, 0.0, "")], edge.schema))
