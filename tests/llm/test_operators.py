@@ -127,7 +127,9 @@ def test_token_index_over_shards(spark, tmp_path, kind):
     t = library("byte_bpe_50k.json")
     rows = [(i * 7, f"text {i} of words") for i in range(300)] + [(None, "no key")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6).selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     manifest = token_file.write_ids(df, f"file://{tmp_path}/{kind}")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     index = token_file.Index(manifest, most=2)
     make = {"bigint": int, "string": str, "double": float}[kind]
     assert manifest.count() > 2
