@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 WINDOW = 13
-#: Text bytes of the benchmark that are searched for in one pass.
-BLOCK_BYTES = 32 << 20
+#: Text bytes of the benchmark that are searched for in one pass: their windows take some 100 MB in a Python worker.
+BLOCK_BYTES = 2 << 20
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalnum() and not chr(c).isupper() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
 

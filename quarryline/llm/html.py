@@ -10,7 +10,7 @@ The trees are fitted on a bounded hash sample of those pages that mark a main el
 labelled by their markup (and on made-up pages where there are few of them), and on variants of them in which the main element's own markup is exchanged for a neutral one and boilerplate
 of other kinds is put in, so that the model doesn't lean on one template.
 
-Null and empty pages give an empty text. Scripts, styles, forms and the like are never text."""
+Null and empty pages give an empty text, repeated rows equal ones; an empty table gives an empty result. Scripts, styles, forms and the like are never text."""
 
 from __future__ import annotations
 
@@ -18,19 +18,21 @@ import html as references
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches
 from .language import hash_sample
 
-SAMPLE_ROWS = 300
+#: Pages and, in the order of their hash, characters that are fitted on.
+SAMPLE_ROWS, SAMPLE_CHARS = 300, 20_000_000
 #: With fewer marked pages in the sample, the made-up ones are added.
 FEW_PAGES = 20
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!.*?>|<\?.*?>|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S | re.I)
+PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([A-Za-z][\w:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|[^<]+|<", re.S | re.I)
 ATTRS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "small", "sub", "sup", "code", "q", "cite", "mark", "abbr", "font", "time", "kbd", "var", "samp", "del", "ins", "label", "bdi", "bdo", "big", "tt", "dfn", "data", "br", "wbr", "img"}
@@ -123,14 +125,20 @@ def nodes_of(root: Node) -> list[Node]:
 
 def features(nodes: list[Node]) -> np.ndarray:
     total = nodes[0].chars or 1
+    # of each element: how many siblings it has, how many of its kind, its place among them, the longest one
+    beside: dict[int, tuple] = {0: (1, 1, 0, nodes[0].chars)}
+    for up in nodes:
+        kids = [k for k in up.kids if isinstance(k, Node)]
+        tags, most = Counter(k.tag for k in kids), max((k.chars for k in kids), default=0)
+        for i, k in enumerate(kids):
+            beside[k.order] = (len(kids), tags[k.tag], i, most)
     out = []
     for x in nodes:
-        peers = [k for k in x.up.kids if isinstance(k, Node)] if x.up else [x]
-        same = sum(k.tag == x.tag for k in peers)
+        peers, same, place, most = beside[x.order]
         out.append(
             [
-                x.depth, math.log1p(x.chars), x.chars / x.tags, x.linked / (x.chars or 1), x.chars / total, len(peers), same, peers.index(x) / len(peers) if len(peers) < 200 else 0.5,
-                max(k.chars for k in peers) / (x.up.chars or 1) if x.up else 1.0, bool(x.tokens & GOOD), bool(x.tokens & BAD), bool(x.up and x.up.good), bool(x.up and x.up.bad), x.good, x.bad,
+                x.depth, math.log1p(x.chars), x.chars / x.tags, x.linked / (x.chars or 1), x.chars / total, peers, same, place / peers,
+                most / (x.up.chars or 1) if x.up else 1.0, bool(x.tokens & GOOD), bool(x.tokens & BAD), bool(x.up and x.up.good), bool(x.up and x.up.bad), x.good, x.bad,
                 sum(isinstance(k, Node) and k.tag in ("p", "blockquote") for k in x.kids), sum(not isinstance(k, Node) and len(k[0]) > 40 for k in x.kids), x.up.chars / total if x.up else 1.0,
                 *[x.tag in g for g in GROUPS],
             ]
@@ -276,12 +284,13 @@ def labels(nodes: list[Node]) -> np.ndarray:
     return np.array(inside, float)
 
 
-def train(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Fitted on a sample of at most about ``sample_rows`` pages (of up to 100,000 characters)."""
-    picked = pages.select("page_id", F.col("html").cast("string").alias("html")).where("length(html) between 1 and 100000")
-    picked = picked.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    sample = sorted(r[1] for r in hash_sample(picked, sample_rows, "page_id").limit(2 * sample_rows).collect())
-    return fit(sample)
+def train(pages: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Trees:
+    """Fitted on a sample of about ``sample_rows`` pages that mark a main element, as far as they hold ``sample_chars`` characters."""
+    picked = pages.select("page_id", F.col("html").cast("string").alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
+    order = [F.xxhash64("html"), "page_id", "html"]
+    upto = F.sum(F.length("html")).over(Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # a row a sampled page
+    sample = hash_sample(picked, sample_rows, "page_id").withColumn("_upto", upto).where(F.col("_upto") <= sample_chars)
+    return fit(sorted(r[0] for r in sample.select("html").collect()))
 
 
 def fit(sample: list[str]) -> Trees:

@@ -26,6 +26,12 @@ def count_words(docs: DataFrame, version: str = "blank-1") -> DataFrame:
     return docs.select("source", "lang", F.lit(version).alias("tokenizer"), F.when(F.col("text").isNull(), 0).otherwise(words).cast("bigint").alias("n"))
 
 
+def count_parts(docs: DataFrame, version: str = "parts-1") -> DataFrame:
+    """Words between ASCII blanks, controls and punctuation, JVM-side."""
+    parts = F.coalesce(F.size(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"))), F.lit(0))
+    return docs.select("source", "lang", F.lit(version).alias("tokenizer"), F.when(F.col("text").isNull(), 0).otherwise(parts).cast("bigint").alias("n"))
+
+
 def count_bytes(docs: DataFrame, version: str = "byte-1") -> DataFrame:
     return docs.select("source", "lang", F.lit(version).alias("tokenizer"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("n"))
 
@@ -79,34 +85,45 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens``; keys that fell to nothing are left out."""
-        paths = [f"{self.folder}/batches/{n}" for n in self.committed()]
+        return self._sums(self.committed())
+
+    def _sums(self, names: list[str]) -> DataFrame:
+        paths = [f"{self.folder}/batches/{n}" for n in names]
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self, name: str) -> None:
-        """Fold all committed batches into one; the old ones stop counting in the same moment."""
+    def compact(self, name: str) -> bool:
+        """Fold all committed batches into one; the old ones stop counting in the same moment. A name folds once:
+        False (and no work) if it was used before."""
+        if self._done(f"fold={name}"):
+            return False
         own = self.committed()
         self.spark.createDataFrame([(n,) for n in own], "name string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/members/fold={name}")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batches/fold={name}")
+        self._sums(own).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batches/fold={name}")
+        return True
 
 
 def token_counts(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """The query: every document inserted under a first tokenizer version, all counts revised to a
-    second for the English documents, the first batch sent twice."""
+    """The query: every document inserted by words and by bytes; all word counts revised to a version that parts words at
+    punctuation, too; one source taken down; the first batch sent again, and a fold in between."""
     spark = docs.sparkSession
     docs = docs.select("source", "lang", "text")
     ledger = Rollup(spark, folder or shared_dir(spark, "token-counts"))
-    words, size = count_words(docs), count_bytes(docs)
+    words, size, parts = count_words(docs), count_bytes(docs), count_parts(docs)
     ledger.commit("insert", signed(words, 1).unionByName(signed(size, 1)))
-    old, new = count_words(docs.where("lang = 'en'")), count_words(docs.where("lang = 'en'"), "blank-2")
-    ledger.commit("revise", revised(old, new))
+    ledger.commit("revise", revised(words, parts))
+    ledger.compact("first")
+    gone = F.col("source") == TAKEN_DOWN
+    ledger.commit("delete", signed(parts.where(gone), -1).unionByName(signed(size.where(gone), -1)))
     ledger.commit("insert", signed(words, 1))
     return ledger.totals()
 
 
-SQL = r"""
-with c as (select source, lang, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) as bigint) w, cast(strlen(coalesce(text, '')) as bigint) b from documents),
-a as (select source, lang, case when lang = 'en' then 'blank-2' else 'blank-1' end tokenizer, w n from c union all select source, lang, 'byte-1', b from c)
+#: The source whose documents the query deletes.
+TAKEN_DOWN = "src7"
+SQL = rf"""
+with c as (select source, lang, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as bigint) w, cast(strlen(coalesce(text, '')) as bigint) b from documents where source is null or source <> '{TAKEN_DOWN}'),
+a as (select source, lang, 'parts-1' tokenizer, w n from c union all select source, lang, 'byte-1', b from c)
 select source, lang, tokenizer, count(*) n_docs, cast(sum(n) as bigint) n_tokens from a group by all
 """

@@ -225,6 +225,18 @@ def test_rollup_is_idempotent(spark, edge, tmp_path):
     assert ledger.commit("b", rollup.signed(words, -1)) and ledger.totals().count() == 0
 
 
+def test_rollup_compacts_again_and_again(spark, edge, empty, tmp_path):
+    ledger = rollup.Rollup(spark, f"file://{tmp_path}")
+    words = rollup.count_words(edge)
+    n = lambda: sum(r.n_docs for r in ledger.totals().collect())
+    ledger.commit("a", rollup.signed(words, 1))
+    assert ledger.compact("1") and ledger.commit("b", rollup.signed(words, 1))
+    assert not ledger.compact("1") and n() == 2 * len(EDGE)  # a name that was used folds nothing and loses nothing
+    assert ledger.compact("2") and not ledger.commit("a", rollup.signed(words, 1)) and n() == 2 * len(EDGE)
+    assert ledger.commit("none", rollup.signed(rollup.count_words(empty), 1)) and n() == 2 * len(EDGE)
+    assert rollup.token_counts(empty, f"file://{tmp_path}/e").count() == 0
+
+
 def test_audio_round_trip(edge):
     for r in audio.store_documents(edge).collect():
         info = audio.parse(r.media)
@@ -283,3 +295,56 @@ def test_html(spark):
     assert html.extract(trees, None) == html.extract(trees, "") == ""
     odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>")], "page_id bigint, url string, html string")
     assert html.main_text(odd, trees).where(F.col("n_chars") == 0).count() >= 2
+
+
+def test_audio_digests_equal_brute_force(spark, edge, empty):
+    for frame in (docs(spark).limit(200), edge):
+        texts = {}
+        for r in frame.select("doc_id", "text").collect():
+            texts.setdefault(r.doc_id, set()).add(r.text)
+        got = audio.digests(frame).collect()
+        for r in got:
+            if len(texts[r.doc_id]) > 1:
+                continue
+            data = (next(iter(texts[r.doc_id])) or "").encode()
+            padded = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert len(got) == frame.count()
+    assert audio.digests(empty).count() == 0
+
+
+def brute_base_spans(text):
+    import re
+
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return out
+
+
+def test_pii_base_spans_equal_brute_force(spark, edge):
+    rng = random.Random(3)
+    made = ["".join(rng.choice(["1", "4", "55", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "4111 1111 1111 1111", "10.0.0.7", "x@y.zz"]) for _ in range(rng.randint(1, 25))) for _ in range(5000)]
+    for t in made + [r.text or "" for r in docs(spark).limit(300).collect()] + [t or "" for _, t in EDGE]:
+        assert pii.base_spans(t) == brute_base_spans(t)
+
+
+def test_html_wide_and_broken_pages(spark):
+    import time
+
+    trees = html.fit([])
+    wide = "<html><body><article>" + "".join(f"<p>line {i} of the article</p>" for i in range(20_000)) + "</article></body></html>"
+    began = time.time()
+    assert html.extract(trees, wide).count("\n") == 19_999
+    broken = "<body><div>" + '<a href="x>text ' * 2000 + "<!" * 2000
+    html.extract(trees, broken)
+    assert time.time() - began < 60
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert html.extract_pages(empty).count() == 0
+    twice = spark.createDataFrame([(1, "u", wide[:3000]), (1, "u", wide[:3000]), (2, None, None)], "page_id bigint, url string, html string")
+    rows = sorted((r.page_id, r.text) for r in html.extract_pages(twice).collect())
+    assert rows[0] == rows[1] and rows[0][1].startswith("line 0 of the article") and rows[2] == (2, "")
