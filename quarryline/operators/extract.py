@@ -117,7 +117,7 @@ def salary(text: str | Column = "text") -> Column:
         return F.struct(F.least(low, x["high"]).alias("low"), F.greatest(low, x["high"]).alias("high"), period.alias("period"), x["evidence"].alias("evidence"))
 
     match = F.when(t.rlike(RANGE), found(RANGE)).when(t.rlike(SINGLE), found(SINGLE))
-    return let(match, lambda m: F.when(m.isNotNull(), let(amounts(m), judged)))
+    return F.when(t.contains("$"), let(match, lambda m: F.when(m.isNotNull(), let(amounts(m), judged))))
 
 
 def seniority(title: str = "title") -> Column:
@@ -138,7 +138,7 @@ def years(text: str = "text") -> Column:
     t = F.coalesce(F.col(text), F.lit(""))
     numbers = F.regexp_extract_all(t, F.lit(f"(?i){YEARS}"), F.lit(1))
     one = lambda p, n: F.when(F.lower(cut_out(t, p["a"] - NEAR_YEARS, p["b"] + NEAR_YEARS)).contains("experience") & (n.cast("int") <= MOST_YEARS), F.struct(n.cast("int").alias("least"), p["a"].alias("a"), F.trim(cut_out(t, p["a"] - 30, p["b"] + 30)).alias("evidence")))
-    best = F.array_min(F.filter(F.zip_with(places(t, YEARS), numbers, one), lambda x: x.isNotNull()))
+    best = F.when(F.lower(t).contains("experience"), F.array_min(F.filter(F.zip_with(places(t, YEARS), numbers, one), lambda x: x.isNotNull())))
     return let(best, lambda b: F.when(b.isNotNull(), F.struct(b["least"].alias("least"), b["evidence"].alias("evidence"))))
 
 
@@ -164,7 +164,11 @@ def arrangement(text: str = "text") -> Column:
             some = some | t.rlike(f"(?i){p}")
         # places are looked for only where a phrase occurs at all
         found = let(F.when(some, first(patterns)), named(name, found))
-    return F.when(unclear | found.isNull(), F.struct(F.lit("unclear").alias("arrangement"), F.lit(None).cast("string").alias("evidence"))).otherwise(found)
+    # no phrase does without one of these, so most texts are settled by looking for them
+    low = F.lower(t)
+    speaks = low.contains("hybrid") | low.contains("onsite") | low.contains("on-site") | low.contains("remote") | low.contains("from home")
+    nothing = F.struct(F.lit("unclear").alias("arrangement"), F.lit(None).cast("string").alias("evidence"))
+    return F.coalesce(F.when(speaks, let(found, lambda f: F.when(f.isNotNull() & ~unclear, f))), nothing)
 
 
 def skills(text: str = "text", patterns: dict[str, str] = SKILLS) -> Column:
