@@ -1,8 +1,8 @@
-"""The ten operators as queries over whole tables, and their SQL where SQL can express them."""
+"""The operators as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import audio, bpe, decontaminate, html, jaccard, language, pii, rollup, token_file, toxicity
+from . import align, audio, bpe, decontaminate, html, jaccard, language, packing, pii, rollup, token_file, toxicity, variants
 from .common import table
 
 QUERIES = {
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_token_file": lambda s, d: token_file.digests(table(s, d, "documents")),
     "op9_pii": lambda s, d: pii.personal_data(table(s, d, "documents")),
     "op10_mpeg_audio": lambda s, d: audio.digests(table(s, d, "documents")),
+    "op11_spelling_variants": lambda s, d: variants.spelling_variants(table(s, d, "documents")),
+    "op12_lexical_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
+    "op13_token_alignment": lambda s, d: align.align_documents(table(s, d, "documents")),
 }
 SQL = {"op5_token_counts": rollup.SQL, "op6_decontamination": decontaminate.SQL}
