@@ -7,8 +7,8 @@ greedily, the best first. The one that doesn't fit is cut, and what is left of i
 once at most and only the last window of a shard isn't full. That one is written as sequences whose lengths are powers of two,
 which need no padding: no sequence has any.
 
-Documents go to shards by range of a sketch: the smallest hashes of the text's terms, weighted so that later merges of
-the vocabulary (rarer ones) are likelier to be smallest. Like documents, and copies above all, are next to each other,
+Documents go to shards by range of a sketch: the two of the text's terms that come first in a random order of the
+vocabulary, in which later merges (rarer ones) come earlier on the whole. Like documents, and copies above all, are next to each other,
 and a range is split within any group of equal sketches, since row numbers are part of the range key; a shard is a stretch
 of bounded size of a range. Corpus-wide document frequencies are one number a vocabulary entry (at most as many rows as
 the vocabulary has), which is what the driver collects and sends out.
@@ -33,7 +33,9 @@ from .token_file import default_vocabulary, encoder, mix
 
 WINDOW, END = 1024, 0
 #: Documents and distinct terms of documents in a shard.
-SHARD_DOCS, SHARD_TERMS = 2048, 2_000_000
+SHARD_DOCS, SHARD_TERMS = 1024, 1_000_000
+#: A term that one in so many of a shard's documents has is kept as a full row of weights instead of a list.
+DENSE = 8
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Neighbours that are ranked first; the rest is ranked if these don't fill a window.
@@ -41,30 +43,43 @@ NEAREST = 48
 
 
 class Shard:
-    """A BM25 inverted index over a few documents: ``terms`` and ``counts`` of each, its length, corpus-wide idf and mean length."""
+    """A BM25 inverted index over a few documents: ``terms`` and ``counts`` of each, its length, corpus-wide idf and mean
+    length. Terms that many of the documents have are rows of a matrix, all others lists of documents and weights."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], length: np.ndarray, idf: np.ndarray, mean: float):
-        self.terms, self.n = terms, len(terms)
-        owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        self.n = len(terms)
+        ends = np.cumsum([len(t) for t in terms])
+        owner = np.repeat(np.arange(self.n), np.diff(ends, prepend=0))
         term = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
         tf = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.float64)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
-        order = np.argsort(term, kind="stable")
+        # the shard's own numbers of its terms
+        known, term = np.unique(term, return_inverse=True)
+        many = np.bincount(term, minlength=len(known))
+        full = many * DENSE >= self.n
+        slot = np.cumsum(full) - 1
+        dense = full[term]
+        self.rows = np.zeros((int(full.sum()), self.n))
+        self.rows[slot[term[dense]], owner[dense]] = weight[dense]
+        self.held = np.zeros((self.n, len(self.rows)))
+        self.held[owner[dense], slot[term[dense]]] = 1.0
+        light = np.flatnonzero(~dense)
+        order = light[np.argsort(term[light], kind="stable")]
         self.owner, self.weight = owner[order], weight[order]
-        self.begin = np.zeros(len(idf) + 1, np.int64)
-        self.begin[1:] = np.cumsum(np.bincount(term, minlength=len(idf)))
+        self.begin = np.concatenate([[0], np.cumsum(np.where(full, 0, many))])
+        self.terms = [t[~full[t]] for t in np.split(term, ends[:-1])]
 
     def scores(self, seed: int) -> np.ndarray:
         """Every document's score for the terms of one."""
-        a = self.begin[self.terms[seed]]
-        n = self.begin[self.terms[seed] + 1] - a
+        a, z = self.begin[self.terms[seed]], self.begin[self.terms[seed] + 1]
+        n = z - a
         at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
+        return self.held[seed] @ self.rows + np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
 
 
 def ranked(scores: np.ndarray, free: np.ndarray) -> Iterator[int]:
-    """The free documents, the best first; of equal ones the earlier first."""
-    own = scores[free]
+    """The free documents, the best first; of equal ones (to nine places) the earlier first."""
+    own = np.round(scores[free], 9)
     if len(free) > 4 * NEAREST:
         least = np.partition(own, -NEAREST)[-NEAREST]
         top = np.flatnonzero(own >= least)
@@ -119,13 +134,22 @@ def pack(shard: Shard, left: np.ndarray, window: int = WINDOW) -> list[list[tupl
         return out
 
 
-def _sketch(terms: np.ndarray) -> tuple[int, int]:
-    """The two terms that come first in a random order in which rarer ones (later merges) come earlier on the whole."""
-    if not len(terms):
-        return -1, -1
-    u = (mix(terms.astype(np.uint64), 7) >> np.uint64(11)).astype(np.float64) + 1
-    first = np.argsort(-np.log(u / 2.0**53) / (terms + 1.0), kind="stable")[:2]
-    return int(terms[first[0]]), int(terms[first[-1]])
+def sketch_order(size: int) -> np.ndarray:
+    """A random order of the vocabulary in which rarer terms (later merges) come earlier on the whole: the place of each."""
+    ids = np.arange(size)
+    u = (mix(ids.astype(np.uint64), 7) >> np.uint64(11)).astype(np.float64) + 1
+    out = np.empty(size, np.int64)
+    out[np.argsort(-np.log(u / 2.0**53) / (ids + 1.0), kind="stable")] = ids
+    return out
+
+
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and their numbers."""
+    if not len(ids):
+        return ids, np.zeros(0, np.int64)
+    s = np.sort(ids)
+    at = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
+    return s[at[:-1]], np.diff(at)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,7 +166,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, task = encoder(vocabulary), TaskContext.get().partitionId()
         size = book.library.get_vocab_size()
-        df, row, windows, kinds = np.zeros(size, np.int64), task << 40, 0, None
+        df, row, windows, kinds, first = np.zeros(size, np.int64), task << 40, 0, None, sketch_order(size)
         longs = pa.list_(pa.int64())
         types = [pa.int64()] * 3 + [longs, pa.list_(pa.binary())] + [pa.int64()] * 2 + [pa.binary()] * 3 + [longs] * 2
         for b in batches:
@@ -150,14 +174,15 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
             out = []
             for packed in book.encode_all(b.column(1).to_pylist()):
                 ids = np.frombuffer(packed, book.dtype)
-                terms, counts = np.unique(ids, return_counts=True)
+                terms, counts = _counted(ids)
                 df[terms] += 1
+                places = np.partition(first[terms], 1)[:2].tolist() if len(terms) > 1 else [*first[terms].tolist(), -1, -1]
                 ids = np.append(ids, np.array([end_id], book.dtype))
                 full = len(ids) // window
                 whole = [wide(ids[i * window : (i + 1) * window]) for i in range(full)]
                 rest = ids[full * window :]
                 # sequences of whole windows have even numbers, packed ones odd ones
-                out.append((row, len(ids), task << 32 | windows, [zlib.crc32(w) for w in whole], whole if with_ids else None, *_sketch(terms), rest.tobytes() if len(rest) else None, terms.tobytes(), counts.astype("<u4").tobytes(), None, None))
+                out.append((row, len(ids), task << 32 | windows, [zlib.crc32(w) for w in whole], whole if with_ids else None, places[0], places[1], rest.tobytes() if len(rest) else None, terms.tobytes(), counts.astype("<u4").tobytes(), None, None))
                 row, windows = row + 1, windows + full
             if out:
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=names)
