@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,19 +43,49 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], digits: int | None = 0) -> DataFrame:
-    """Exact interpolated quantiles of the non-null values by key, one column each.
+def value_bucket(value: Column, per_octave: int = 1024) -> Column:
+    """A whole number that never falls as the value rises: so many steps a doubling of its size, 0 for 0, negative for
+    negative values, NaN above all (as it is sorted). It depends on the value alone, so any two passes agree."""
+    v = value.cast("double")
+    step = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * per_octave) + F.lit(2000 * per_octave)
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0)).when(v > 0, step).otherwise(-step).cast("bigint")
 
-    Equal values are counted first, map-side too; what is then sorted by key is one row a distinct value, in a
-    sort that can spill. No task holds a key's values in memory."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+
+def _ranks(wanted: dict[str, float]) -> list[Column]:
+    """The place of each quantile among ``_all`` values, from 0, with a fraction."""
+    return [(F.col("_all") - 1) * q for q in wanted.values()]
+
+
+def rank_buckets(counted: DataFrame, keys: list[str], wanted: dict[str, float], per_octave: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Of distinct values ``_v`` with their numbers ``_n`` by key: the size of each bucket of values, with what comes
+    before it and the key's whole number, and the values of those buckets alone that hold a wanted rank."""
+    dealt = counted.withColumn("_b", value_bucket(F.col("_v"), per_octave))
     by = Window.partitionBy(*(keys or [F.lit(1)]))
-    upto = by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.select(*keys, "_v", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(by).alias("_all"))
+    upto = F.sum("_m").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = dealt.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m")).select(*keys, "_b", "_m", (upto - F.col("_m")).alias("_before"), F.sum("_m").over(by).alias("_all"))
+    holds = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m"))
+    hit = reduce(Column.__or__, [holds(end) for r in _ranks(wanted) for end in (F.floor(r), F.ceil(r))])
+    chosen = sizes.where(hit).select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), F.col("_b").alias("_c"), "_before", "_all")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)], F.col("_b") == F.col("_c"))
+    near = dealt.join(chosen if keys else F.broadcast(chosen), same)  # without keys: a row a rank
+    return sizes, near.select(*keys, "_b", "_v", "_n", "_before", "_all")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], digits: int | None = 0, per_octave: int = 1024) -> DataFrame:
+    """Exact interpolated quantiles of the non-null values by key, one column each, by distributed rank selection.
+
+    Equal values are counted first, map-side too. These counts are added up by buckets of the values (a thousandth part
+    of a doubling each, so a key has thousands at most, whatever its rows), the running sum of a key's buckets tells which
+    of them hold the wanted ranks, and only their values are sorted, each bucket for itself. So no task sorts a
+    key's values, even if there is one key. Values that crowd together closer than that want a higher ``per_octave``."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    _, near = rank_buckets(counted, keys, wanted, per_octave)
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = near.withColumn("_upto", upto)
     ends = []
-    for i, q in enumerate(wanted.values()):
-        place = (F.col("_all") - 1) * q
-        ends += [F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v"))).alias(f"_low{i}"), F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v"))).alias(f"_high{i}"), F.first(place - F.floor(place)).alias(f"_part{i}")]
+    for i, place in enumerate(_ranks(wanted)):
+        at = lambda end: F.min(F.when((F.col("_upto") > end) & (F.col("_upto") - F.col("_n") <= end), F.col("_v")))
+        ends += [at(F.floor(place)).alias(f"_low{i}"), at(F.ceil(place)).alias(f"_high{i}"), F.first(place - F.floor(place)).alias(f"_part{i}")]
     got = placed.groupBy(*keys).agg(*ends)
     between = lambda i: F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
     return got.select(*keys, *((between(i) if digits is None else rounded(between(i), digits)).alias(name) for i, name in enumerate(wanted)))

@@ -20,13 +20,13 @@ def shuffled(key: str = "job_id", seed: str = "42") -> Column:
     return F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
 
 
-def base(raw: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Postings with a description worth reading, and the flags that all later steps share."""
+def base(raw: DataFrame, least_chars: int = LEAST_CHARS, also: tuple[Column, ...] = ()) -> DataFrame:
+    """Postings with a description worth reading, the flags that all later steps share, and what else is asked for."""
     kept = raw.where(f"description is not null and length(description) >= {least_chars}")
     return kept.select(
         "job_id", "company_name", "title", "description", "location", "min_salary", "med_salary", "max_salary", "normalized_salary", "pay_period", "currency",
         F.col("formatted_work_type").alias("work_type"), F.col("formatted_experience_level").alias("exp_level"), "remote_allowed", listed().alias("listed_date"), F.length("description").alias("desc_len"),
-        (F.col("min_salary").isNotNull() | F.col("med_salary").isNotNull()).alias("has_salary_label"), F.col("description").rlike(r"\$\s?[0-9]").alias("salary_in_text"), family().alias("role_family"),
+        (F.col("min_salary").isNotNull() | F.col("med_salary").isNotNull()).alias("has_salary_label"), F.col("description").rlike(r"\$\s?[0-9]").alias("salary_in_text"), family().alias("role_family"), *also,
     )
 
 

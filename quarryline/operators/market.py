@@ -30,11 +30,16 @@ def remote_status() -> Column:
     return F.when(F.col("remote_allowed") == 1, "Remote tagged").otherwise("Unknown / not supplied")
 
 
+def whole_id(name: str) -> Column:
+    """A text as a whole number, as an engine reads one that rounds: '2774458.0' is 2774458, what is no number is null."""
+    return F.round(F.col(name).try_cast("decimal(38,10)")).try_cast("bigint")
+
+
 def staged_postings(raw: DataFrame) -> DataFrame:
     date = listed()
     salary = valid_salary()
     return raw.select(
-        "job_id", F.col("company_id").try_cast("bigint").alias("company_id"), "company_name", "title", "location",
+        "job_id", whole_id("company_id").alias("company_id"), "company_name", "title", "location",
         date.alias("posting_date"), _period(date, "week").alias("posting_week"), _period(date, "month").alias("posting_month"),
         F.col("formatted_work_type").alias("employment_type"), F.col("formatted_experience_level").alias("experience_level"),
         remote_status().alias("remote_status"), (F.col("sponsored") == 1).alias("is_sponsored"), "views", "applies",
@@ -108,11 +113,10 @@ def family(title: str = "title") -> Column:
     return out
 
 
-def data_roles(base: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings of the data families (``base``: see datasets.base) with the staged measures."""
+def data_roles(base: DataFrame) -> DataFrame:
+    """Postings of the data families with the staged measures, in one pass (``base``: datasets.base with ``whole_id("company_id")``)."""
     salary = valid_salary()
-    own = postings.select("job_id", "company_id")
-    return base.where("role_family is not null").join(own, "job_id").select(
+    return base.where("role_family is not null").select(
         "job_id", "company_id", "company_name", "title", "description", "location", "role_family", F.col("listed_date").alias("posting_date"), _period(F.col("listed_date"), "week").alias("posting_week"), _period(F.col("listed_date"), "month").alias("posting_month"),
         F.col("work_type").alias("employment_type"), F.col("exp_level").alias("experience_level"), remote_status().alias("remote_status"),
         salary.alias("annualized_salary_usd"), salary.isNotNull().alias("has_valid_salary"),

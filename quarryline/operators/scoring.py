@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import annualized, f1_or, ratio, rounded, with_quantiles
 from . import normalise as N
+from .resampling import binomial_two_sided
 
 # Dollars per million tokens in and out, and per call; the levels that are scored.
 COST_IN, COST_OUT, COST_PER_CALL = 1.0, 5.0, 2.39 / 1000
 LEVELS = ["Internship", "Entry level", "Associate", "Mid-Senior level", "Director", "Executive"]
-METHOD_ORDER = ["rules", "zero_shot", "few_shot", "schema_rules", "decomposed"]
 
 
 # --- salaries, periods and levels against the labels ------------------------------------------------
@@ -92,10 +90,10 @@ def crosstab(df: DataFrame, truth: str, pred: str, values: list[str]) -> DataFra
     return df.groupBy(truth).agg(*[F.count_if(F.col(pred) == v).alias(f"pred_{v}") for v in values], F.count_if(F.col(pred).isNull()).alias("pred_none"))
 
 
-def per_class(df: DataFrame, keys: list[str], truth: str, pred: str, empty: float = 0.0) -> DataFrame:
+def per_class(df: DataFrame, keys: list[str], truth: str, pred: str, empty: float = 0.0, times: str | None = None) -> DataFrame:
     """Precision, recall, F1 and support of each value that occurs as truth or prediction, by key; from the confusion
-    counts, so each row is read once. A null prediction is a miss of the true class."""
-    cells = df.groupBy(*keys, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+    counts, so each row is read once. A null prediction is a miss of the true class. ``times``: how often a row counts."""
+    cells = df.groupBy(*keys, F.col(truth).alias("t"), F.col(pred).alias("p")).agg((F.sum(times) if times else F.count("*")).alias("n"))
     hit = F.col("t").eqNullSafe(F.col("p"))
     as_truth = F.struct(F.col("t").alias("class"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("bigint").alias("fp"), F.when(hit, 0).otherwise(F.col("n")).alias("fn"))
     as_pred = F.struct(F.col("p").alias("class"), F.lit(0).cast("bigint").alias("tp"), F.when(hit, 0).otherwise(F.col("n")).alias("fp"), F.lit(0).cast("bigint").alias("fn"))
@@ -105,9 +103,9 @@ def per_class(df: DataFrame, keys: list[str], truth: str, pred: str, empty: floa
     return s.select(*keys, "class", (tp + fn).alias("support"), rounded(ratio(tp, tp + fp), 4).alias("precision"), rounded(ratio(tp, tp + fn), 4).alias("recall"), f1_or(tp, fp, fn, empty).alias("f1"))
 
 
-def macro_f1(df: DataFrame, keys: list[str], truth: str, pred: str, labels: list[str] | None = None, empty: float = 0.0) -> DataFrame:
+def macro_f1(df: DataFrame, keys: list[str], truth: str, pred: str, labels: list[str] | None = None, empty: float = 0.0, times: str | None = None) -> DataFrame:
     """The mean F1 over the given labels (those that occur nowhere count ``empty``), or over all that occur as truth."""
-    classes = per_class(df, keys, truth, pred, empty)
+    classes = per_class(df, keys, truth, pred, empty, times)
     if labels is None:
         return classes.where("support > 0").groupBy(*keys).agg(rounded(F.avg("f1"), 4).alias("macro_f1"))
     own = classes.where(F.col("class").isin(labels)).groupBy(*keys).agg(F.sum("f1").alias("s"), F.count("*").alias("c"))
@@ -117,12 +115,15 @@ def macro_f1(df: DataFrame, keys: list[str], truth: str, pred: str, labels: list
 # --- items: skills, arrangement, years -----------------------------------------------------------------
 
 def standardised(df: DataFrame, prediction: bool) -> DataFrame:
-    """Raw answers as canonical sets, arrangement and years. A prediction without an arrangement is invalid, not unclear."""
-    sets = lambda c: N.skill_set(N.parse_list(F.col(c)))
+    """Raw answers as canonical sets, arrangement and years, whether lists come as arrays or as texts and years as numbers or
+    as texts. A prediction without an arrangement is invalid, not unclear."""
+    kinds = dict(df.dtypes)
+    sets = lambda c: N.skill_set(F.coalesce(c, F.array().cast("array<string>")) if kinds[c].startswith("array") else N.parse_list(F.col(c)))
+    number = N.years(F.col("years_experience_min")) if kinds["years_experience_min"] == "string" else F.col("years_experience_min").cast("double")
     work = N.work(F.col("work_arrangement"))
     if prediction:
         work = F.when(F.col("work_arrangement").isNull(), "InvalidPrediction").otherwise(work)
-    return df.select("job_id", *(["method"] if prediction else []), sets("required_skills").alias("required"), sets("preferred_skills").alias("preferred"), work.alias("work"), F.col("years_experience_min").alias("years"))
+    return df.select("job_id", *(["method"] if prediction else []), sets("required_skills").alias("required"), sets("preferred_skills").alias("preferred"), work.alias("work"), number.alias("years"))
 
 
 SCOPES = ("required", "preferred", "any_skill")
@@ -150,19 +151,26 @@ def score_items(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def method_summary(items: DataFrame) -> DataFrame:
     """Micro precision, recall and F1 of each scope (F1 of nothing asked and nothing found is 1), and the rates of the
-    other fields, by method. Sums combine map-side; only the macro F1 of arrangements needs a second, small aggregation."""
+    other fields, by method. One aggregation of the items, by method and pair of arrangements, yields a few rows from which
+    both the summary and the macro F1 of arrangements follow."""
+    number = lambda c: F.col(c).cast("double")
+    stated = F.col("years_gold_stated")
+    rates = {
+        "work_accuracy": number("work_correct"), "years_exact": number("years_exact"), "years_within_1": number("years_within_1"), "years_mae_answered": number("years_abs_error"), "years_answer_rate_when_stated": F.when(stated, number("years_pred_answered")),
+        "years_correct_abstention": F.when(~stated, number("years_correct_abstention")), "years_false_positive_rate": F.when(~stated, number("years_false_positive")),
+    }
+    counts = [f"{s}_{c}" for s in SCOPES for c in ("tp", "fp", "fn")] + ["skill_type_correct", "skill_type_overlap"]
+    parts = [F.sum(c).alias(c) for c in counts] + [x for n, c in rates.items() for x in (F.sum(c).alias(f"{n}_sum"), F.count(c).alias(f"{n}_n"))]
+    cells = items.groupBy("method", "gold_work", "pred_work").agg(F.count("*").alias("n"), *parts)
     aggs = []
     for s in SCOPES:
         tp, fp, fn = (F.sum(f"{s}_{c}") for c in ("tp", "fp", "fn"))
         aggs += [rounded(ratio(tp, tp + fp), 4).alias(f"{s}_precision"), rounded(ratio(tp, tp + fn), 4).alias(f"{s}_recall"), rounded(f1_or(tp, fp, fn, 1.0), 4).alias(f"{s}_f1")]
-    rate = lambda c, of=None: rounded(F.avg(F.when(of, F.col(c).cast("double")) if of is not None else F.col(c).cast("double")), 4)
-    stated = F.col("years_gold_stated")
-    aggs += [
-        rounded(F.sum("skill_type_correct") / F.nullif(F.sum("skill_type_overlap"), F.lit(0)), 4).alias("skill_type_accuracy"), rate("work_correct").alias("work_accuracy"), rate("years_exact").alias("years_exact"), rate("years_within_1").alias("years_within_1"),
-        rate("years_abs_error").alias("years_mae_answered"), rate("years_pred_answered", stated).alias("years_answer_rate_when_stated"), rate("years_correct_abstention", ~stated).alias("years_correct_abstention"), rate("years_false_positive", ~stated).alias("years_false_positive_rate"),
-    ]
-    sums = items.groupBy("method").agg(F.count("*").alias("n_jobs"), *aggs)
-    return sums.join(macro_f1(items, ["method"], "gold_work", "pred_work", None, 1.0).withColumnRenamed("macro_f1", "work_macro_f1"), "method")
+    over = lambda a, b: rounded(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), 4)
+    aggs += [over("skill_type_correct", "skill_type_overlap").alias("skill_type_accuracy"), *(over(f"{n}_sum", f"{n}_n").alias(n) for n in rates)]
+    sums = cells.groupBy("method").agg(F.sum("n").alias("n_jobs"), *aggs)
+    macro = macro_f1(cells, ["method"], "gold_work", "pred_work", None, 1.0, "n")
+    return sums.join(macro.withColumnRenamed("macro_f1", "work_macro_f1"), "method")
 
 
 def long_metrics(summary: DataFrame) -> DataFrame:
@@ -196,18 +204,7 @@ def paired(items: DataFrame, metrics: list[str], baseline: str) -> DataFrame:
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """Exact two-sided test, and the difference of the accuracies."""
-    return pairs.withColumns({"p_raw": _binomial(F.col("candidate_only"), F.col("baseline_only")), "difference": (F.col("candidate_only") - F.col("baseline_only")) / F.col("n")})
-
-
-def _binomial(a: Column, b: Column) -> Column:
-    """Twice the lower tail of a fair coin. The tail is summed from its largest term down, each by its ratio to the one
-    before; the largest is built in logarithms, so nothing underflows. Work grows with the smaller count."""
-    n, k = a + b, F.least(a, b)
-    steps = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    top = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.log((n - i + 1) / i)) - n * math.log(2.0)
-    kind = "struct<term double, sum double>"
-    tail = F.aggregate(F.reverse(steps), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")).cast(kind), lambda s, i: F.struct((s["term"] * i / (n - i + 1)).alias("term"), (s["sum"] + s["term"] * i / (n - i + 1)).alias("sum")).cast(kind), lambda s: s["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * tail))
+    return pairs.withColumns({"p_raw": binomial_two_sided(F.col("candidate_only"), F.col("baseline_only")), "difference": (F.col("candidate_only") - F.col("baseline_only")) / F.col("n")})
 
 
 def holm(tests: DataFrame, name: list[str], family: list[str] | None = None, p: str = "p_raw", alpha: float = 0.05) -> DataFrame:
@@ -219,39 +216,6 @@ def holm(tests: DataFrame, name: list[str], family: list[str] | None = None, p:
     return out.withColumn("significant", F.col("p_holm") <= alpha)
 
 
-def bootstrap(items: DataFrame, columns: list[str], statistic, baseline: str, draws: int = 5000, seed: int = 42) -> DataFrame:
-    """Paired bootstrap of a statistic of summed columns, each method's less the baseline's: difference, 95 % interval.
-
-    Spark counts the distinct pairs of rows (a few, as they are small counts); a resample is one multinomial draw from them, however
-    many items there are. ``statistic`` maps sums (draws x columns) and the number of items to values."""
-    import numpy as np
-
-    base = items.where(F.col("method") == baseline).select("job_id", *(F.col(c).cast("double").alias(f"b_{c}") for c in columns))
-    both = items.where(F.col("method") != baseline).select("job_id", "method", *(F.col(c).cast("double").alias(c) for c in columns)).join(base, "job_id")
-    cells = both.na.drop().groupBy("method", *columns, *(f"b_{c}" for c in columns)).agg(F.count("*").alias("n"))
-
-    def resample(frame):
-        frame = frame.sort_values(list(frame.columns))
-        own, other, n = (frame[c].to_numpy(float) for c in (columns, [f"b_{c}" for c in columns], "n"))
-        drawn = np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), draws)
-        difference = lambda w: statistic(w @ own, n.sum()) - statistic(w @ other, n.sum())
-        low, high = np.percentile(difference(drawn), [2.5, 97.5])
-        return frame[["method"]].head(1).assign(difference=float(difference(n[None, :])[0]), ci_low=low, ci_high=high, excludes_zero=bool(low > 0 or high < 0))
-
-    return cells.groupBy("method").applyInPandas(resample, "method string, difference double, ci_low double, ci_high double, excludes_zero boolean")
-
-
-def mean_of(sums, n):
-    return sums[:, 0] / n
-
-
-def micro_f1_of(sums, n):
-    import numpy as np
-
-    whole = 2 * sums[:, 0] + sums[:, 1] + sums[:, 2]
-    return np.where(whole > 0, 2 * sums[:, 0] / np.where(whole > 0, whole, 1), 1.0)
-
-
 # --- policies ------------------------------------------------------------------------------------------
 
 def routed(scored: DataFrame, model: str = "schema_rules", rules: str = "rules") -> DataFrame:

@@ -34,7 +34,7 @@ _DESCRIPTION = " || ".join(["'We look for a colleague.'", *(f"'{FILL}' || {make(
 #: Raw postings over orders. ``{days}`` is the engine's count of days since 1970 of the order's date.
 POSTINGS = {
     "job_id": "o_orderkey",
-    "company_id": "case when o_orderkey % 17 = 0 then 'none' else '' || o_custkey end",
+    "company_id": "case when o_orderkey % 17 = 0 then 'none' when o_orderkey % 11 = 0 then o_custkey || '.0' when o_orderkey % 13 = 0 then o_custkey || '.6' else '' || o_custkey end",
     "company_name": "case when o_orderkey % 11 = 0 then null else 'Employer ' || (o_custkey % 400) end",
     "title": choice("o_orderkey", quoted(t[0] for t in TITLES)),
     "description": f"case when o_orderkey % 31 = 0 then null when o_orderkey % 29 = 0 then 'Apply now.' else {_DESCRIPTION} end",

@@ -5,17 +5,19 @@ Spark before it counts, so a guard that fails leaves the target as it was."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from . import csvscan
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header, quoted fields over several lines, and doubled quotes; types are inferred without a schema (one
-    more pass)."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    return reader.csv(path, schema=schema) if schema else reader.option("inferSchema", True).csv(path)
+    """CSV with a header, quoted fields over several lines, and doubled quotes, a file by many tasks (see ``csvscan``)."""
+    return csvscan.scan(spark, path, schema)
 
 
 def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -66,8 +68,50 @@ def exists(spark: SparkSession, uri: str) -> bool:
     return fs.exists(path)
 
 
+def names(spark: SparkSession, uri: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    fs, path = _path(spark, uri)
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def aside(folder: str) -> str:
+    """A new place in a folder for something to be written before it counts."""
+    return f"{folder.rstrip('/')}/_aside-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, new: str, target: str) -> bool:
+    """Put a finished folder in a place that is free; if it isn't, the folder goes and False is returned."""
+    fs, to = _path(spark, target)
+    _, path = _path(spark, new)
+    if not fs.exists(to) and fs.rename(path, to):
+        return True
+    fs.delete(path, True)
+    return False
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``. Where that is unset, local runs and
+    tests get a temporary one; a cluster has no folder that all machines share, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quarryline-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def restore(spark: SparkSession, target: str) -> None:
+    """Put back what a run that died while it swapped has left beside the target."""
+    fs, to = _path(spark, target)
+    _, old = _path(spark, f"{target}.old")
+    if fs.exists(old) and not fs.exists(to):
+        fs.rename(old, to)
+
+
 def swap(spark: SparkSession, new: str, target: str) -> None:
-    """Put a finished folder in the place of its target."""
+    """Put a finished folder in the place of its target, whose rows are never deleted while they are the only copy."""
+    restore(spark, target)
     fs, to = _path(spark, target)
     _, old = _path(spark, f"{target}.old")
     fs.delete(old, True)
@@ -82,6 +126,7 @@ def write_guarded(df: DataFrame, target: str, keys: list[str] | None = None, may
     """Write a table, check what was written, and only then put it in place of the target. It must not have fewer rows
     than the present one unless it may, and its keys must be there and unique. Returns the rows written."""
     spark, new = df.sparkSession, f"{target}.new"
+    restore(spark, target)
     writer = df.write.mode("overwrite").format(kind)
     if kind == "csv":
         writer = writer.option("header", True).option("escape", '"')
@@ -96,16 +141,35 @@ def write_guarded(df: DataFrame, target: str, keys: list[str] | None = None, may
     return rows
 
 
-#: Columns that never leave with an export.
-PRIVATE = ("description", "text", "raw_text", "evidence_salary", "evidence_years", "evidence_seniority")
+def records(df: DataFrame) -> DataFrame:
+    """Rows as JSON texts with every field in place: nulls are written, and what JSON has no number for (NaN and the
+    infinities) is null."""
+    plain = lambda f: F.when(~F.isnan(f.name) & (F.abs(F.col(f.name)) != float("inf")), F.col(f.name)) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
+    return df.select(F.to_json(F.struct(*(plain(f).alias(f.name) for f in df.schema.fields)), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def export(df: DataFrame, target: str, private: tuple = PRIVATE, top: tuple[str, int] | None = None, kind: str = "json", keys: list[str] | None = None) -> int:
-    """An export without private columns; ``top`` keeps the highest rows by a column (ties by the other columns)."""
-    kept = df.drop(*[c for c in private if c in df.columns])
+def export(df: DataFrame, target: str, allowed: list[str], top: tuple[str, int] | None = None, keys: list[str] | None = None, kind: str = "json") -> int:
+    """An export of the allowed columns alone, in their order; an allowed column that isn't there is an error, one that
+    isn't allowed never leaves. ``top`` keeps the highest rows by a column (ties by the other columns). What was written
+    is read back, and must have just these columns, before it takes its place."""
+    if missing := [c for c in allowed if c not in df.columns]:
+        raise ValueError(f"columns to export are missing: {missing}")
+    kept = df.select(*allowed)
     if top:
         kept = kept.orderBy(F.desc_nulls_last(top[0]), *[c for c in kept.columns if c != top[0]]).limit(top[1])
-    return write_guarded(kept, target, keys, may_shrink=True, kind=kind)
+    if kind != "json":
+        return write_guarded(kept, target, keys, may_shrink=True, kind=kind)
+    spark, new = df.sparkSession, f"{target}.new"
+    records(kept).write.mode("overwrite").text(new)
+    back = spark.read.schema(kept.schema).json(new)
+    broken = F.count_if(F.sort_array(F.json_object_keys("value")) != F.array(*map(F.lit, sorted(allowed))))
+    rows, odd = spark.read.text(new).agg(F.count("*"), broken).first()
+    if odd:
+        raise ValueError(f"{odd} records have other fields than {allowed}")
+    if keys:
+        Q.raise_on_failures(Q.report(Q.holds(back, {f"has_{k}": F.col(k).isNotNull() for k in keys}), Q.unique(back, keys)))
+    swap(spark, new, target)
+    return rows
 
 
 def layered(tables: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import datasets as D
 from quarryline.operators import quality as Q
-from quarryline.operators import scoring as C
+from quarryline.operators import resampling
 from quarryline.sources import files, seeds
 
 
@@ -50,7 +50,7 @@ def test_guarded_sink(spark, tmp_path, kind):
 
 def test_export_and_layers(spark, tmp_path):
     df = spark.createDataFrame([(1, 5, "secret"), (2, 7, "secret"), (3, 7, "secret")], "id int, n int, description string")
-    files.export(df, f"file://{tmp_path}/e", top=("n", 2), keys=["id"])
+    files.export(df, f"file://{tmp_path}/e", ["id", "n"], top=("n", 2), keys=["id"])
     got = spark.read.json(f"file://{tmp_path}/e")
     assert got.columns == ["id", "n"] and sorted(r.id for r in got.collect()) == [2, 3]
     made = files.layered({"one": df, "two": df.where("id > 1")}, f"file://{tmp_path}/layers")
@@ -65,7 +65,7 @@ def test_not_in_follows_sql(spark):
 
 def test_exact_test_of_large_counts(spark):
     cases = [(0, 0), (5, 0), (3, 9), (400, 600), (1000, 1100), (50_000, 50_400)]
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a bigint, b bigint").select("i", C._binomial(F.col("a"), F.col("b")).alias("p"))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a bigint, b bigint").select("i", resampling.binomial_two_sided(F.col("a"), F.col("b")).alias("p"))
     for r in df.collect():
         a, b = cases[r.i]
         n, k = a + b, min(a, b)
@@ -73,14 +73,6 @@ def test_exact_test_of_large_counts(spark):
         assert r.p == pytest.approx(want, rel=1e-6, abs=1e-12)
 
 
-def test_bootstrap_covers_the_difference(spark):
-    rows = [(i, m, int(i % k != 0)) for i in range(300) for m, k in (("rules", 2), ("click", 5))]
-    items = spark.createDataFrame(rows, "job_id int, method string, hit int")
-    got = C.bootstrap(items, ["hit"], C.mean_of, "rules").collect()
-    assert len(got) == 1 and got[0].difference == pytest.approx(0.3) and 0.2 < got[0].ci_low < 0.3 < got[0].ci_high < 0.4 and got[0].excludes_zero
-    assert C.bootstrap(items.where("false"), ["hit"], C.mean_of, "rules").collect() == []
-
-
 def test_numeric_equal_and_seed(spark):
     df = spark.createDataFrame([(1.0, 1.0 + 1e-12), (1.0, 1.1), (None, None), (float("nan"), float("nan")), (None, 1.0)], "a double, b double")
     assert [r[0] for r in df.select(Q.numeric_equal(F.col("a"), F.col("b"))).collect()] == [True, False, True, True, False]
