@@ -17,22 +17,32 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link, the one that names the component stays, once; documents without words
-    stay, equal rows of them once."""
-    lead = jaccard.jaccard_join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("lead")).distinct()
-    kept = docs.alias("d").join(lead.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.lead")), "left_semi")
-    return kept.dropDuplicates()
+    """Of the rows that link, directly or over others, one stays: that with the smallest doc_id (null comes last; among
+    equal ids a hash of the row decides), once. Rows are told apart by all their columns, not by doc_id, so copies under
+    repeated or null ids go, too. Rows without words link with nothing: of equal ones, one stays."""
+    hashes = F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+    found = jaccard.jaccard_join(docs.select(row.alias("doc_id"), "text"))
+    lead = found.where("doc_id = component_id").select("doc_id.id", "doc_id.h1", "doc_id.h2").distinct()
+    d, lead = docs.alias("d"), lead.alias("lead")
+    same = F.col("d.doc_id").eqNullSafe(F.col("lead.id")) & (hashes[0] == F.col("lead.h1")) & (hashes[1] == F.col("lead.h2"))
+    return d.join(lead, same, "left_semi").dropDuplicates()
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which a twentieth or more lies in benchmark passages go; the others stay as they are, with null, empty
+    and repeated ones, and whatever further columns they have. An empty benchmark keeps all."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced, and n_chars follows; no row goes. Null and empty texts stay as they are (n_chars
+    null and 0); the model learns from a sample of these rows."""
     return pii.redacted(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every row's text and what they decode to; a null text has none. A row a row, repeated ones too."""
     return bpe.encode_documents(docs)
 
 
