@@ -20,11 +20,12 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the rows that link, directly or over others, one stays: that with the smallest doc_id (null comes last; among
     equal ids a hash of the row decides), once. Rows are told apart by all their columns, not by doc_id, so copies under
     repeated or null ids go, too. Rows without words link with nothing: of equal ones, one stays."""
-    hashes = F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2"))
-    found = jaccard.jaccard_join(docs.select(row.alias("doc_id"), "text"))
-    lead = found.where("doc_id = component_id").select("doc_id.id", "doc_id.h1", "doc_id.h2").distinct()
-    d, lead = docs.alias("d"), lead.alias("lead")
+    d = docs.alias("d")
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    hashes = F.xxhash64(*own), F.xxhash64(F.lit(1), *own)
+    row = F.struct(F.col("d.doc_id").isNull().alias("none"), F.col("d.doc_id").alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+    found = jaccard.jaccard_join(d.select(row.alias("doc_id"), "d.text"))
+    lead = found.where("doc_id = component_id").select("doc_id.id", "doc_id.h1", "doc_id.h2").distinct().alias("lead")
     same = F.col("d.doc_id").eqNullSafe(F.col("lead.id")) & (hashes[0] == F.col("lead.h1")) & (hashes[1] == F.col("lead.h2"))
     return d.join(lead, same, "left_semi").dropDuplicates()
 
