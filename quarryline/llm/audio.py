@@ -9,7 +9,9 @@ The parser works on any Layer III stream: it skips tags, resynchronises after da
 counts if another one or the end follows where its length says), verifies checksums, reads the
 variable-bitrate table, and gives exact durations and the byte offset of every frame for seeking.
 
-Null texts count as empty; the payload is never empty, as it is padded to a positive multiple of 64."""
+Null texts count as empty; the payload is never empty, as it is padded to a positive multiple of 64. Repeated rows
+give equal forms, one each; an empty table gives an empty one; columns other than key and text are never read. A tag
+of the old kind at the end is taken for one only where the frames end, whatever the payload holds."""
 
 from __future__ import annotations
 
@@ -122,12 +124,14 @@ def parse(data: bytes) -> dict:
             tags[key.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
             pos += 10 + size
         at = stop
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
+    # an ID3v1 tag counts only where the frames end: payload may look like one
+    close = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     offsets, lengths, kbps, bad, skipped, samples, hz, vbr = [], [], [], 0, 0, 0, 0, None
     while at < end:
         h = header(data, at)
-        if h is None or at + h["length"] > end or (at + h["length"] < end and header(data, at + h["length"]) is None):
+        if h is None and at == close:
+            break
+        if h is None or at + h["length"] > end or (at + h["length"] not in (close, end) and header(data, at + h["length"]) is None):
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             skipped += nxt - at
@@ -143,6 +147,8 @@ def parse(data: bytes) -> dict:
                 if flags & bit:
                     vbr[name] = data[pos : pos + size] if size > 4 else int.from_bytes(data[pos : pos + size], "big")
                     pos += size
+        elif not offsets and vbr is None and data[at + 36 : at + 40] == b"VBRI":
+            vbr = vbri(data[at + 36 : at + h["length"]])
         else:
             offsets.append(at)
             lengths.append((body, at + h["length"]))
@@ -153,6 +159,18 @@ def parse(data: bytes) -> dict:
     return {"tags": tags, "vbr": vbr, "offsets": offsets, "bodies": lengths, "kbps": kbps, "bad": bad, "skipped": skipped, "samples": samples, "hz": hz, "ms": samples * 1000 / hz if hz else 0.0}
 
 
+def vbri(table: bytes) -> dict:
+    """The other table of variable bitrates: bytes, frames, and the offset of every so many frames; what is cut off is left out."""
+    if len(table) < 26:
+        return {}
+    size, frames, entries, scale, width, step = struct.unpack(">IIHHHH", table[10:26])
+    steps = [int.from_bytes(table[26 + i * width : 26 + (i + 1) * width], "big") * scale for i in range(entries) if 26 + (i + 1) * width <= len(table)]
+    places = [0]
+    for x in steps:
+        places.append(places[-1] + x)
+    return {"bytes": size, "frames": frames, "seek": places, "frames_a_step": step}
+
+
 def read_back(data: bytes, info: dict | None = None) -> bytes:
     """The payload of a stored form; raises if its length or checksum is not what the tag says."""
     info = info or parse(data)

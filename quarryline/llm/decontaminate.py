@@ -179,8 +179,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         hit = hit.union(part) if hit else part
     n_hit = F.size(F.array_distinct(F.flatten(F.collect_set("hits"))))
     dirty = hit.groupBy("row._id", "row._digest").agg(F.max("n_words").alias("_words"), n_hit.alias("_hit")).where("_hit * 20 >= _words")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.col("text").cast("string"), 256) == F.col("_digest"))
-    return docs.join(dirty, same, "left_anti")
+    same = F.col("d.doc_id").eqNullSafe(F.col("x._id")) & F.sha2(F.col("d.text").cast("string"), 256).eqNullSafe(F.col("x._digest"))
+    return docs.alias("d").join(dirty.alias("x"), same, "left_anti")
 
 
 def flagged(docs: DataFrame, items: list, window: int) -> DataFrame:

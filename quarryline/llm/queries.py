@@ -5,12 +5,14 @@ from __future__ import annotations
 from . import align, audio, bpe, decontaminate, html, jaccard, language, packing, pii, rollup, token_file, toxicity, variants
 from .common import table
 
+#: The source whose documents the query of token counts deletes.
+TAKEN_DOWN = "src7"
 QUERIES = {
     "op1_ngram_jaccard": lambda s, d: jaccard.jaccard_join(table(s, d, "documents")),
     "op2_language_id": lambda s, d: language.identify(table(s, d, "documents")),
     "op3_toxicity": lambda s, d: toxicity.judge(table(s, d, "documents"), table(s, d, "labels")),
     "op4_bpe": lambda s, d: bpe.digests(table(s, d, "documents")),
-    "op5_token_counts": lambda s, d: rollup.token_counts(table(s, d, "documents")),
+    "op5_token_counts": lambda s, d: rollup.token_counts(table(s, d, "documents"), TAKEN_DOWN),
     "op6_decontamination": lambda s, d: decontaminate.contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
     "op7_html_extraction": lambda s, d: html.extract_pages(table(s, d, "pages")),
     "op8_token_file": lambda s, d: token_file.digests(table(s, d, "documents")),
@@ -20,4 +22,4 @@ QUERIES = {
     "op12_lexical_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
     "op13_token_alignment": lambda s, d: align.align_documents(table(s, d, "documents")),
 }
-SQL = {"op5_token_counts": rollup.SQL, "op6_decontamination": decontaminate.SQL}
+SQL = {"op5_token_counts": rollup.SQL.replace("{taken_down}", TAKEN_DOWN), "op6_decontamination": decontaminate.SQL}

@@ -7,6 +7,7 @@ from array import array
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quarryline.llm import audio, bpe, decontaminate, html, jaccard, language, pii, rollup, token_file, toxicity
 
@@ -234,7 +235,75 @@ def test_rollup_compacts_again_and_again(spark, edge, empty, tmp_path):
     assert not ledger.compact("1") and n() == 2 * len(EDGE)  # a name that was used folds nothing and loses nothing
     assert ledger.compact("2") and not ledger.commit("a", rollup.signed(words, 1)) and n() == 2 * len(EDGE)
     assert ledger.commit("none", rollup.signed(rollup.count_words(empty), 1)) and n() == 2 * len(EDGE)
-    assert rollup.token_counts(empty, f"file://{tmp_path}/e").count() == 0
+    assert rollup.token_counts(empty, "s", f"file://{tmp_path}/e").count() == 0
+
+
+def test_rollup_folds_do_not_overlap(spark, edge, tmp_path):
+    """Of two folds at once one is refused; a fold that died goes on under its name; what no longer counts can go."""
+    ledger = rollup.Rollup(spark, f"file://{tmp_path}")
+    words = rollup.count_words(edge.where("doc_id = 4"))
+    tokens = lambda: [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()]
+    ledger.commit("a", rollup.signed(words, 1))
+    real, calls = ledger._write, []
+
+    def interrupted(name, sums, members):
+        if not calls:
+            calls.append(name)
+            with pytest.raises(RuntimeError, match="another fold"):
+                ledger.compact("other")
+            raise OSError("lost")
+        return real(name, sums, members)
+
+    ledger._write = interrupted
+    with pytest.raises(OSError):
+        ledger.compact("one")
+    with pytest.raises(RuntimeError):
+        ledger.compact("other")
+    assert tokens() == [(1, 2)]
+    ledger.commit("b", rollup.signed(words, 1))
+    assert ledger.compact("one") and tokens() == [(2, 4)] and ledger.compact("other") and tokens() == [(2, 4)]
+    assert ledger.vacuum() == 3 and ledger.vacuum() == 0 and tokens() == [(2, 4)]
+    assert not ledger.commit("a", rollup.signed(words, 1)) and not ledger.compact("one") and tokens() == [(2, 4)]
+
+
+def test_rollup_batch_written_twice_at_once(spark, edge, tmp_path):
+    ledger = rollup.Rollup(spark, f"file://{tmp_path}")
+    ledger.known = lambda batch: False  # as two writers see it that begin together
+    words = rollup.signed(rollup.count_words(edge), 1)
+    assert ledger.commit("a", words) and not ledger.commit("a", words)
+    assert sum(r.n_docs for r in ledger.totals().collect()) == len(EDGE)
+
+
+def test_rollup_counts_ids(edge):
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    want = sum(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in EDGE)
+    got = rollup.count_ids(edge, "word-1").collect()
+    assert len(got) == len(EDGE) and sum(r.n for r in got) == want and {(r.source, r.lang, r.tokenizer) for r in got} == {("s", "en", "word-1")}
+
+
+def test_audio_payload_that_looks_like_tags(spark, empty):
+    """Old and new tags, syncs and tables at every place of the payload's end."""
+    for mark in (b"TAG", b"ID3", b"\xff\xfb\x90\x44", b"Xing", b"VBRI"):
+        for n in range(0, 420, 1 if mark == b"TAG" else 7):
+            payload = (b"x" * n + mark * 50).ljust(-(-(n + 50 * len(mark)) // 64) * 64, b"\0")
+            assert audio.read_back(audio.store(payload)) == payload
+    media = audio.store(b"p" * 6400)
+    info = audio.parse(media + b"TAG".ljust(128, b"t"))
+    assert info["offsets"] == audio.parse(media)["offsets"] and not info["skipped"] and audio.read_back(media, info) == b"p" * 6400
+    texts = spark.createDataFrame([(i, "x" * (i % 3) + "TAG" * i) for i in range(0, 200, 5)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_bytes for r in audio.digests(texts).collect()} == {r.doc_id: len(r.text) for r in texts.collect()}
+    assert audio.digests(empty).count() == 0
+
+
+def test_audio_reads_the_other_table():
+    import struct
+
+    head = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 9999, 40, 3, 2, 2, 10) + struct.pack(">HHH", 100, 110, 120)
+    frame = bytearray(audio._frame(8, b""))
+    frame[36 : 36 + len(head)] = head
+    info = audio.parse(bytes(frame) + audio._frame(8, b"a") * 3)
+    assert info["vbr"] == {"bytes": 9999, "frames": 40, "seek": [0, 200, 420, 660], "frames_a_step": 10} and len(info["offsets"]) == 3
+    assert audio.vbri(b"VBRI") == {}
 
 
 def test_audio_round_trip(edge):

@@ -110,3 +110,25 @@ def test_stages_with_odd_rows(spark):
                 assert made.columns == docs.columns and made.count() == docs.count()
             else:
                 assert made.count() == docs.count()
+
+
+def test_near_duplicates_are_told_apart_by_row(spark):
+    """Copies under null ids, under repeated ids, and repeated rows."""
+    word = [f"w{i}" for i in range(300)]
+    near = " ".join(["v", *word[1:]])
+    text = " ".join(word)
+    rows = [(1, text, "a"), (None, near, "a"), (None, "an unrelated text without an id", "a"), (1, text, "b"), (1, text, "a"), (7, "other words of seven here", "a"), (7, text, "c"), (None, "twice the same", "a"), (None, "twice the same", "b"), (8, "", "a"), (8, "", "a"), (8, "", "b"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id string")
+    got = P.unique(spark, docs, DATA).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got if r.text) == sorted([(1, text), (0, "an unrelated text without an id"), (7, "other words of seven here"), (0, "twice the same")])
+    assert sorted((r.doc_id or 0, r.text, r.id) for r in got if not r.text) == [(0, None, "a"), (8, "", "a"), (8, "", "b")]
+
+
+def test_decontamination_with_clashing_names(spark):
+    bench = spark.createDataFrame([(f"i{i}", " ".join(f"b{i}x{j}" for j in range(13))) for i in range(3)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "b1x" + " b1x".join(map(str, range(13))), 5, "q"), (2, "plain words", 5, "q"), (None, None, 5, "q")], "doc_id bigint, text string, _id int, _digest string")
+    for block_bytes in (1, decontaminate.BLOCK_BYTES):
+        kept = decontaminate.clean_documents(docs, bench, block_bytes=block_bytes)
+        assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2]
+        got = decontaminate.contaminated(docs, bench, block_bytes=block_bytes).collect()
+        assert sorted((r.doc_id or 0, r.contaminated) for r in got) == [(0, False), (1, True), (2, False)]
