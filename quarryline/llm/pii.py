@@ -1,15 +1,17 @@
 """Personal data by a semi-Markov conditional random field over whole spans.
 
-Fixed patterns find base spans, which always stay. The model adds spans that the patterns miss
-(masked at-signs, numbers without a plus, other separators). Texts are cut into islands, runs of words with
-digits, at-signs or masks of these, with the words beside a mask that stands alone; an island's tokens are split into segments of bounded length, each other text (one
-token) or an entity. A segment scores by features of the whole span, and dynamic programming chooses
-boundaries and types jointly. Weights are fitted by gradient on the log-likelihood (forward-backward)
-on islands of a bounded hash sample whose labels come from the base patterns, a part of them varied as
-above.
-
-Null texts count as empty; repeated rows get equal spans; an empty table gives an empty result. Offsets are code
-points, ends exclusive. Added spans never overlap base ones."""
+Fixed patterns find base spans, which always stay. The model adds spans that the patterns miss (masked at-signs and dots,
+addresses in words, numbers without a plus, other separators). Texts are cut into islands, runs of words with digits,
+at-signs or masks of these, with the words beside a mask that stands alone; an island's tokens are split into segments of
+bounded length (LONGEST tokens), each other text (one token) or an entity. A segment is a candidate for those kinds alone
+whose own bounds it keeps: octets up to 255, 16 to 19 digits that pass Luhn, 8 to 15 digits that aren't written as a date, a
+dotted quad or a social security number, and numbers that end where the digits do. It scores by features of the whole span,
+and dynamic programming chooses boundaries and types jointly. Weights are fitted by gradient on the log-likelihood
+(forward-backward) on islands of a bounded hash sample whose labels come from the base patterns, a part of them varied as
+above, and on numbers written like references and counts, which are no entities.
+
+Null texts count as empty; repeated rows get equal spans; an empty table gives an empty result; further columns are only
+passed on. Offsets are code points, ends exclusive. Added spans never overlap base ones."""
 
 from __future__ import annotations
 
@@ -27,6 +29,7 @@ from .common import Recent, bound_batches, map_texts
 from .language import hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
+#: Rows and distinct islands that the model learns from.
 SAMPLE_ROWS = 4_000
 ISLANDS = 1_500
 LONGEST = 24  # tokens of an entity
@@ -38,7 +41,9 @@ _MASKS = ("[at]", "(at)")
 _AT = r"(?:\[at\]|\(at\))"
 _MASKED = regex.compile(rf" ?{_AT} ?")
 _MARKED = rf"(?:\S++ (?={_AT}))?+\S*(?:[0-9@]|{_AT})\S*+(?:(?<={_AT}) \S++)?+"
-_ISLAND = regex.compile(rf"(?<!\S){_MARKED}(?: {_MARKED})*")
+#: An address in words: a name, "at", and parts with "dot" between them.
+_SPOKEN = r"[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)+"
+_ISLAND = regex.compile(rf"(?<!\S)(?:{_SPOKEN}|{_MARKED}(?: {_MARKED})*)")
 _TOKEN = regex.compile(r"[0-9]+|[A-Za-z]+|\s+|.", regex.S)
 _DIGITS = regex.compile(r"[^0-9]+")
 
@@ -70,38 +75,67 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_ADDRESS = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_QUAD = regex.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})")
+_NUMBER = regex.compile(r"\+?[0-9(][0-9 ().-]*[0-9]")
+#: What has as many digits as a phone number but is none: dotted quads, social security numbers, dates, decimals, bare runs.
+_NO_PHONE = regex.compile(r"[0-9]+(?:\.[0-9]+){3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}([-.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-.])[0-9]{1,2}\2[0-9]{2,4}|[0-9]+(?:\.[0-9]*)?|(?:19|20)[0-9]{2} ?- ?(?:19|20)[0-9]{2}|97[89][ -].*")
+_RUNS_ON = regex.compile(r"[0-9][.-]?$"), regex.compile(r"[.-]?[0-9]")
+
+
+def plain(s: str) -> str:
+    """A candidate without the masks of at-signs and dots."""
+    s = _MASKED.sub("@", s).replace("[.]", ".")
+    return s.replace(" at ", "@", 1).replace(" dot ", ".") if " dot " in s else s
+
+
+def possible(s: str, before: str, after: str) -> list[bool]:
+    """Of which kinds a candidate can be at all, by the bounds of each: octets up to 255, 16 to 19 digits that pass Luhn, 8
+    to 15 digits; a number that runs on beyond a dot or dash is none."""
+    t = plain(s)
+    if regex.search("[A-Za-z@]", t):
+        return [bool(_ADDRESS.fullmatch(t)), False, False, False]
+    alone = not _RUNS_ON[0].search(before) and not _RUNS_ON[1].match(after)
+    if not alone or not _NUMBER.fullmatch(t):
+        return [False] * 4
+    n = len(digits := _DIGITS.sub("", t))
+    four = _QUAD.fullmatch(t)
+    return [False, bool(four) and all(int(g) <= 255 for g in four.groups()), 16 <= n <= 19 and t[0] not in "+(" and t == s and luhn(digits), 8 <= n <= 15 and t == s and t.count("(") == t.count(")") and not _NO_PHONE.fullmatch(t)]
+
+
 def features(s: str, before: str, after: str) -> np.ndarray:
     """Of a whole candidate span and the characters beside it."""
     digits = _DIGITS.sub("", s)
-    n, parts = len(digits), s.split(".")
-    plain = _MASKED.sub("@", s)
-    at = "@" in plain
-    tail = plain.split("@")[-1]
+    n, t = len(digits), plain(s)
+    at, tail = "@" in t, t.split("@")[-1]
     mixed = bool(regex.search("[A-Za-z]", s))
-    four = len(parts) == 4 and all(p.isdecimal() and p.isascii() and len(p) < 4 and int(p) <= 255 for p in parts)
+    groups = [len(g) for g in _DIGITS.split(s) if g]
     return np.array(
         [
             1.0,
-            at and plain.count("@") < 2,
-            at and "." in tail and not tail.startswith(".") and " " not in plain,
-            four,
+            at,
+            at and "." in tail,
+            t.count(".") == 3 and not mixed,
             16 <= n <= 19 and not mixed,
-            16 <= n <= 19 and not mixed and luhn(digits),
-            8 <= n <= 15 and not mixed and not four,
+            8 <= n <= 15 and not mixed,
             s[0] == "+",
-            any(c in " ().-" for c in s) and not mixed,
+            s[0] == "(" or ") " in s,
+            groups[-2:] in ([3, 4], [4, 4]) and not mixed,
+            len(set(groups)) == 1 and len(groups) > 1 and not mixed,
+            len(groups) > 4 and not mixed,
+            t != s,
             mixed,
             before == "" or before in " \n\t(<\"':;,=|",
             after == "" or after in " \n\t)>\"':;,.|!?",
             n / 16.0,
             len(s) / 32.0,
-            " " in plain and mixed,
+            min(groups, default=0) == 1 and not mixed,
         ],
         float,
     )
 
 
-WIDTH = 15
+WIDTH = 18
 
 
 class Island:
@@ -112,29 +146,33 @@ class Island:
         for m in _TOKEN.finditer(s):
             self.bounds.append(m.end())
         b, n = self.bounds, len(self.bounds) - 1
+        self.segments: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]  # by end: (start, features, what is impossible)
+        # a candidate holds seven digits, an at-sign or a mask of one
         marks = [0]
         for i in range(n):
             t = s[b[i] : b[i + 1]]
-            marks.append(marks[-1] + (len(t) if t[0].isdigit() else 4 if "@" in t or s[b[i] - 1 : b[i + 1] + 1] in _MASKS else 2 if t == "at" else 0))
-        self.segments: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]  # by end: (start, features)
+            marks.append(marks[-1] + (len(t) if t[0].isdigit() else 7 if "@" in t or t == "at" else 0))
         for i in range(n):
             first = s[b[i]]
-            if not (first.isalnum() or first in "+(") or marks[min(n, i + LONGEST)] - marks[i] < 4:
+            if not (first.isalnum() or first in "+("):
                 continue
             for j in range(i + 1, min(n, i + LONGEST) + 1):
-                if marks[j] - marks[i] >= 4 and s[b[j] - 1].isalnum() and ("@" in s[b[i] : b[j]] or marks[j] - marks[i] >= 7 or s[b[i] : b[j]].count(".") == 3 or "at" in s[b[i] : b[j]]):
-                    self.segments[j].append((i, features(s[b[i] : b[j]], s[b[i] - 1 : b[i]], s[b[j] : b[j] + 1])))
+                own = s[b[i] : b[j]]
+                if not own[-1].isalnum() or marks[j] - marks[i] < 4 or marks[j] - marks[i] < 7 and own.count(".") != 3:
+                    continue
+                if any(ok := possible(own, s[max(0, b[i] - 2) : b[i]], s[b[j] : b[j] + 2])):
+                    self.segments[j].append((i, features(own, s[b[i] - 1 : b[i]] if i else "", s[b[j] : b[j] + 1]), np.where(ok, 0.0, -np.inf)))
 
     def scores(self, w: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
-        return [[(i, w @ f) for i, f in own] for own in self.segments]
+        return [[(i, w @ f + no) for i, f, no in own] for own in self.segments]
 
     def best(self, w: np.ndarray) -> list[tuple[str, int, int]]:
         n = len(self.segments) - 1
         score, back = [0.0] * (n + 1), [None] * (n + 1)
         for j in range(1, n + 1):
             score[j] = score[j - 1]
-            for i, f in self.segments[j]:
-                v = w @ f
+            for i, f, no in self.segments[j]:
+                v = w @ f + no
                 k = int(v.argmax())
                 if score[i] + v[k] > score[j]:
                     score[j], back[j] = score[i] + v[k], (i, k)
@@ -165,9 +203,9 @@ class Island:
         at = {p: i for i, p in enumerate(self.bounds)}
         want = {(at[a], at[b], KINDS.index(k)) for k, a, b in gold if a in at and b in at}
         for j in range(1, n + 1):
-            for (i, f), (_, v) in zip(self.segments[j], sc[j], strict=True):
+            for (i, f, no), (_, v) in zip(self.segments[j], sc[j], strict=True):
                 p = np.exp(fwd[i] + v + bwd[j] - fwd[n])
-                for k in range(len(KINDS)):
+                for k in np.flatnonzero(no == 0):
                     g[k] += (((i, j, k) in want) - p[k]) * f
         return g
 
@@ -176,13 +214,24 @@ def vary(s: str, spans: list[tuple[str, int, int]], rng: random.Random):
     """A variant of an island with one span as the patterns would miss it."""
     for kind, a, b in spans:
         own = s[a:b]
-        new = own.replace("@", rng.choice([*_MASKS, *(f" {m} " for m in _MASKS)])) if kind == "email" else own[1:] if kind == "phone" else own.replace(" ", ".").replace("-", ".") if kind == "card" else own
+        if kind == "email":
+            name, _, host = own.partition("@")
+            new = f"{name} at {host.replace('.', ' dot ')}" if rng.random() < 0.3 else own.replace("@", rng.choice([*_MASKS, *(f" {m} " for m in _MASKS)]))
+        else:
+            new = {"phone": own[1:], "card": own.replace(" ", ".").replace("-", "."), "ip": own.replace(".", "[.]")}[kind]
         if new != own:
             moved = [(k, x, y) if y <= a else (k, x + len(new) - len(own), y + len(new) - len(own)) for k, x, y in spans if y <= a or x >= b]
             return s[:a] + new + s[b:], [*moved, (kind, a, a + len(new))]
     return None
 
 
+def near_misses(n: int, rng: random.Random) -> list[str]:
+    """Islands of numbers that are as long as phone numbers but are none, as references, counts and codes are written."""
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+    forms = [lambda: f"{d(2)}-{d(6)}", lambda: f"{d(1)} {d(3)} {d(3)} {d(3)}", lambda: f"{d(4)}-{d(2)}-{d(5)}", lambda: f"{d(2)}.{d(3)}.{d(3)}", lambda: f"{d(5)} {d(5)}", lambda: f"{d(1)}-{d(2)}-{d(1)}-{d(2)}-{d(3)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"{d(6)}-{d(2)}"]
+    return [rng.choice(forms)() for _ in range(n)]
+
+
 def undotted(s: str, spans: list[tuple[str, int, int]]) -> str | None:
     """A variant of an island whose masked address has no dot in its domain, so that it is none."""
     for kind, a, b in spans:
@@ -238,6 +287,7 @@ def fit(islands: list[str], rounds: int = 4, rate: float = 0.3) -> np.ndarray:
     w = np.zeros((len(KINDS), WIDTH))
     if not any(g for _, g in examples):
         return w
+    examples += [(Island(s), []) for s in near_misses(len(islands) // 4 + 20, rng)]
     w[:, 0] = -3.0
     total = np.full_like(w, 1.0)
     for _ in range(rounds):
@@ -268,7 +318,7 @@ class Finder:
     def find(self, text: str) -> tuple[list, list]:
         """(base spans, all spans), each by kind as listed, then start."""
         base = base_spans(text)
-        more = added_spans(text, base, self.w, self.cache) if any(c in text for c in (*"0123456789@", *_MASKS)) else []
+        more = added_spans(text, base, self.w, self.cache) if any(c in text for c in (*"0123456789@", *_MASKS, " dot ")) else []
         return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

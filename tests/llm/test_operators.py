@@ -417,3 +417,48 @@ def test_html_wide_and_broken_pages(spark):
     twice = spark.createDataFrame([(1, "u", wide[:3000]), (1, "u", wide[:3000]), (2, None, None)], "page_id bigint, url string, html string")
     rows = sorted((r.page_id, r.text) for r in html.extract_pages(twice).collect())
     assert rows[0] == rows[1] and rows[0][1].startswith("line 0 of the article") and rows[2] == (2, "")
+
+
+def planted(rng):
+    """An entity as the patterns miss it, or a near miss, in a sentence: text and spans."""
+    d = lambda k: "".join(rng.choices("0123456789", k=k))
+
+    def card(good):
+        head = "4" + d(14)
+        last = next(c for c in "0123456789" if pii.luhn(head + c))
+        n = head + (last if good else str((int(last) + 1) % 10))
+        return ".".join(n[i : i + 4] for i in range(0, 16, 4))
+
+    def email():
+        name, host = rng.choice(["jane.doe", "bob", "k_m", "x.y-z"]), rng.choice(["example.org", "mail.test.net", "corp.io"])
+        mask = rng.choice(["[at]", "(at)", " [at] ", " (at) ", " at "])
+        return f"{name} at {host.replace('.', ' dot ')}" if mask == " at " else name + mask + host
+
+    frame = rng.choice(["Please write to {} soon.", "Our record shows {}, as agreed", "contact: {}", "see {} for more", "{}"])
+    if rng.random() < 0.5:
+        kind = rng.choice(["email", "card", "phone", "ip"])
+        own = email() if kind == "email" else card(True) if kind == "card" else "[.]".join(str(rng.randint(0, 255)) for _ in range(4)) if kind == "ip" else rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"1 {d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}"])
+        text = frame.format(own)
+        return text, {(kind, text.index(own), text.index(own) + len(own))}
+    own = rng.choice([f"{d(3)}-{d(2)}-{d(4)}", f"192.168.{rng.randint(0, 255)}.{rng.randint(256, 999)}", card(False), f"20{d(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{d(6)}.{d(2)}", d(rng.randint(8, 15)), f"19{d(2)}-20{d(2)}", f"978-3-16-{d(6)}-{d(1)}", f"{d(2)}-{d(6)}", f"1 {d(3)} {d(3)} {d(3)}", f"{d(4)}-{d(2)}-{d(5)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(2)}/{d(2)}/{d(4)}"])
+    return frame.format(own), set()
+
+
+@pytest.fixture(scope="module")
+def finder(spark):
+    return pii.Finder(pii.train(docs(spark)))
+
+
+def test_pii_on_planted_entities_and_near_misses(finder):
+    rng = random.Random(99)
+    right = wrong = missed = 0
+    for _ in range(800):
+        text, want = planted(rng)
+        got = set(finder.find(text)[1])
+        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9
+
+
+@pytest.mark.parametrize(("text", "want"), [("ssn 123-45-6789", []), ("192.168.1.300", []), ("4111.1111.1111.1111", [("card", 0, 19)]), ("john at example dot com", [("email", 0, 23)]), ("4111 1111 1111 1111 4012 8888 8888 1881", [("card", 0, 19), ("card", 20, 39)])])
+def test_pii_bounds(finder, text, want):
+    assert finder.find(text)[1] == want
