@@ -113,3 +113,49 @@ def gold_sample(roles: DataFrame, quotas: dict = GOLD_QUOTAS, least_skills: int
     one = scored.groupBy(F.md5("description").alias("_digest")).agg(F.min_by(F.struct(*scored.columns), "job_id").alias("x")).select("x.*")
     by = Window.partitionBy("role_family").orderBy(F.desc("difficulty"), shuffled(), "job_id")
     return one.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= max(quotas.values())).where(F.col("rn") <= quota(["role_family"], quotas)).drop("rn")
+
+
+def diagnostic_rows(postings: DataFrame, gold: DataFrame) -> DataFrame:
+    """Two postings to try a model on: one that is hybrid and says so, and one that is unclear although it speaks of
+    arrangements; where one is missing, the first of the labels hybrid and unclear. The first by job_id each; the job fails
+    unless there are two."""
+    met = postings.join(gold.select("job_id", F.lower("work_arrangement").alias("_gold")), "job_id").where("_gold in ('hybrid', 'unclear')")
+    low, first = F.lower("description"), lambda ok: F.min(F.when(ok, F.col("job_id")))
+    hybrid, unclear = F.col("_gold") == "hybrid", F.col("_gold") == "unclear"
+    rest = F.array_sort(F.array_compact(F.array(first(hybrid), first(unclear))))
+    chosen = met.agg(F.slice(F.array_distinct(F.concat(F.array_compact(F.array(first(hybrid & low.rlike(r"\bhybrid\b")), first(unclear & low.rlike("onsite|on-site|remote|hybrid")))), rest)), 1, 2).alias("ids"))
+    two = chosen.where(F.when(F.size("ids") == 2, True).otherwise(F.raise_error(F.lit("there are no two diagnostic postings")).cast("boolean")))
+    return postings.join(F.broadcast(two.select(F.explode("ids").alias("job_id"))), "job_id")  # two rows
+
+
+def composition(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What a sample is made of: rows of each key's values, and their share."""
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sums.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))  # a row a group
+
+
+#: Output tokens of a call, and characters of a token, for estimates.
+OUTPUT_TOKENS, CHARS_A_TOKEN = 250, 4
+
+
+def prompts(postings: DataFrame, templates: dict[str, str], variants: list[str] | None = None) -> DataFrame:
+    """Every posting with every variant's prompt: ``job_id, variant, prompt``. A template holds ``{title}`` and ``{description}`` once
+    each, in this order; an unknown variant is an error."""
+    wanted = list(templates) if variants is None else variants
+    if unknown := sorted(set(wanted) - set(templates)):
+        raise ValueError(f"unknown variants {unknown}; there are {sorted(templates)}")
+
+    def filled(template: str) -> Column:
+        head, _, rest = template.partition("{title}")
+        middle, _, tail = rest.partition("{description}")
+        return F.concat(F.lit(head), F.coalesce("title", F.lit("")), F.lit(middle), F.coalesce("description", F.lit("")), F.lit(tail))
+
+    each = F.array(*(F.struct(F.lit(v).alias("variant"), filled(templates[v]).alias("prompt")) for v in wanted))
+    return postings.select("job_id", F.inline(each))
+
+
+def dry_run(asked: DataFrame, cost_in: float, cost_out: float) -> DataFrame:
+    """What the prompts would cost, by variant and over all (null variant)."""
+    tokens, out = F.sum(F.length("prompt") / CHARS_A_TOKEN), F.count("*") * OUTPUT_TOKENS
+    sums = asked.rollup("variant").agg(F.count("*").alias("calls"), tokens.alias("input_tokens"), out.alias("output_tokens"))
+    return sums.withColumn("cost_usd", F.round(F.col("input_tokens") / 1e6 * cost_in + F.col("output_tokens") / 1e6 * cost_out, 6))

@@ -210,3 +210,15 @@ def skills(text: str = "text", patterns: dict[str, str] = SKILLS) -> Column:
 def facts(postings: DataFrame, title: str = "title", text: str = "text", patterns: dict[str, str] = SKILLS) -> DataFrame:
     """All of them beside ``job_id``, from one scan without a shuffle."""
     return postings.select("job_id", salary(text).alias("salary"), seniority(title).alias("seniority"), years(text).alias("years"), arrangement(text).alias("arrangement"), skills(text, patterns).alias("skills"))
+
+
+def records(postings: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
+    """One record a posting: all values, the numbers of skills, and one map of evidence by field (``skill:<name>`` for skills)."""
+    f = facts(postings, title, text)
+    own = {"salary": "salary.evidence", "seniority": "seniority.evidence", "years_experience": "years.evidence", "work_arrangement": "arrangement.evidence"}
+    entries = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(n).alias("key"), F.col(c).alias("value"))) for n, c in own.items())))
+    of_skills = F.transform(F.map_entries("skills.evidence"), lambda e: F.struct(F.concat(F.lit("skill:"), e["key"]).alias("key"), e["value"].alias("value")))
+    return f.select(
+        "job_id", F.col("salary.low").alias("salary_min"), F.col("salary.high").alias("salary_max"), F.col("salary.period").alias("pay_period"), F.col("years.least").alias("years_experience_min"), F.col("seniority.level").alias("seniority"), F.col("arrangement.arrangement").alias("work_arrangement"),
+        F.col("skills.required").alias("required_skills"), F.col("skills.preferred").alias("preferred_skills"), F.size("skills.required").alias("n_required"), F.size("skills.preferred").alias("n_preferred"), F.map_from_entries(F.concat(entries, of_skills)).alias("evidence"),
+    )

@@ -183,3 +183,10 @@ def role_skills(roles: DataFrame, mentions: DataFrame, every: str = "All data ro
     sums = dealt.groupBy(*keys).agg(F.count("*").alias("postings"), F.count_if("has_valid_salary").alias("salary_postings"))
     shared = sums.join(F.broadcast(sizes), "role_family").withColumn("role_share_pct", pct(F.col("postings"), F.col("_all"))).drop("_all")  # a row a family
     return with_quantiles(shared, dealt, keys, "annualized_salary_usd", MEDIAN)
+
+
+def ranked_skills(skills: DataFrame, every: str = "All data roles") -> DataFrame:
+    """The order in which role skills are shown: all roles first, then families by name, the most named first (rows: a
+    technology and family each)."""
+    order = Window.orderBy(F.when(F.col("role_family") == every, 0).otherwise(1), "role_family", F.desc("postings"), "display_order")
+    return skills.select("role_family", "skill_name", "postings", F.row_number().over(order).alias("place"))

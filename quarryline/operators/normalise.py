@@ -21,13 +21,30 @@ NO_YEARS = ["", "none", "null", "nan", "not stated", "unknown", "unclear"]
 NO_LIST = ["", "none", "null", "nan", "[]"]
 
 
+# Strict names of arrangements; any other answer is invalid.
+ARRANGEMENT_LABELS = {
+    "remote": "remote", "fully remote": "remote", "work from home": "remote", "work-from-home": "remote", "virtual": "remote", "hybrid": "hybrid", "on site": "onsite", "on-site": "onsite", "onsite": "onsite", "in office": "onsite", "in-office": "onsite", "office based": "onsite", "office-based": "onsite",
+    "unclear": "unclear", "unknown": "unclear", "not specified": "unclear", "not stated": "unclear",
+}
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def collapsed(c: Column) -> Column:
+    """Each run of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
 def _aliases(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
 def canonical_skill(c: Column) -> Column:
     """Lower case, without marks, outer punctuation and the versions of known tools; obvious aliases merged."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "&", " and "), "[™®]", ""), r"\s+", " ")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(stripped(c)), "&", " and "), "[™®]", ""), r"\s+", " ")
     text = F.regexp_replace(text, r"^[ .,:;()\[\]{}]+|[ .,:;()\[\]{}]+$", "")
     text = F.regexp_replace(text, r"^(python|tableau|excel|spark)\s+\d+(?:\.\d+)*$", "$1")
     return let(text, lambda t: F.coalesce(F.try_element_at(_aliases(SKILL_ALIASES), t), t))
@@ -40,28 +57,28 @@ def skill_set(c: Column) -> Column:
 
 def work(c: Column) -> Column:
     """Remote, Hybrid, Onsite or Unclear; verbose answers by what they name, hybrid before onsite before remote."""
-    text = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+", " ")
+    text = F.lower(collapsed(F.coalesce(c, F.lit(""))))
     named = lambda t: F.when(t.contains("hybrid"), "Hybrid").when(t.rlike("on-site|onsite|on site|in-office|in office"), "Onsite").when(t.rlike("remote|work from home|wfh"), "Remote").otherwise("Unclear")
     return let(text, lambda t: F.coalesce(F.try_element_at(_aliases(WORK_ALIASES), t), named(t)))
 
 
 def years(c: Column) -> Column:
     """The first number of an answer; null if it names none."""
-    text = F.lower(F.trim(c.cast("string")))
+    text = F.lower(stripped(c.cast("string")))
     number = F.regexp_extract(F.regexp_replace(text, ",", ""), r"\d+(?:\.\d+)?", 0)
     return F.when(~text.isin(NO_YEARS) & (number != ""), number.try_cast("double"))
 
 
 def parse_list(c: Column) -> Column:
     """A list written as JSON, with single quotes, or parted by commas, semicolons, bars or line ends; blank items go."""
-    kept = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    kept = lambda xs: F.filter(F.transform(xs, stripped), lambda x: x.isNotNull() & (x != ""))
     nothing = F.array().cast("array<string>")
 
     def parsed(t: Column) -> Column:
         items = F.coalesce(F.from_json(t, "array<string>"), F.from_json(F.regexp_replace(t, "'", '"'), "array<string>"))
         return F.when(t.isNull() | F.lower(t).isin(NO_LIST), nothing).otherwise(kept(F.coalesce(F.when(t.startswith("["), items), F.split(t, r"\s*(?:,|;|\||\n)\s*"))))
 
-    return let(F.trim(c), parsed)
+    return let(stripped(c), parsed)
 
 
 def coerced_number(c: Column) -> Column:
@@ -70,17 +87,32 @@ def coerced_number(c: Column) -> Column:
 
 def unfenced(c: Column) -> Column:
     """A reply without the fence of a code block around it."""
-    return F.trim(F.regexp_replace(c, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    return stripped(F.regexp_replace(c, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
+
+
+def json_object(reply: Column) -> Column:
+    """``struct(object, error)``: the JSON object that a reply is, but for a fence around it, or else that stands between its
+    first and last brace; or what is wrong. A reply that is JSON, but no object, is wrong as a whole."""
+    is_json = lambda t: F.coalesce(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.lit(False))  # noqa: E731  just one value, nothing after it
+
+    def found(t: Column) -> Column:
+        first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+        inner = F.when((first > 0) & (F.instr(t, "}") > 0) & (last > first), F.substring(t, first, last - first + 1))
+        good = F.when(t.startswith("{") & t.endswith("}") & is_json(t), t).when(~is_json(t) & is_json(inner), inner)
+        error = F.when(good.isNotNull(), F.lit(None)).when(t.isNull(), "no reply").when(is_json(t), "JSON, but no object").otherwise("no JSON")
+        return F.struct(good.alias("object"), error.alias("error"))
+
+    return let(unfenced(reply), found)
 
 
 def replies(df: DataFrame, reply: str = "reply") -> DataFrame:
     """A model's JSON replies flattened into the shape of the rules' output; replies that are no JSON object give nulls
     and empty lists, and ``valid_json`` false."""
-    text = unfenced(F.col(reply))
+    text = json_object(F.col(reply))["object"]
     field = lambda name: F.get_json_object("_t", f"$.{name}")
     listed = lambda name: F.coalesce(parse_list(field(name)), F.array().cast("array<string>"))
     said = lambda name: F.when(field(name) != "", field(name))
-    valid = F.try_parse_json("_t").isNotNull() & F.col("_t").startswith("{")
+    valid = F.col("_t").isNotNull()
     flat = df.withColumn("_t", text).withColumns(
         {
             "valid_json": F.coalesce(valid, F.lit(False)), "salary_min": coerced_number(field("salary_min")), "salary_max": coerced_number(field("salary_max")), "pay_period": F.upper(said("pay_period")), "seniority": said("seniority"), "years_experience_min": coerced_number(field("years_experience_min")),
@@ -90,11 +122,32 @@ def replies(df: DataFrame, reply: str = "reply") -> DataFrame:
     return flat.withColumns({"n_required": F.size("required_skills"), "n_preferred": F.size("preferred_skills")}).drop("_t", reply)
 
 
+def strict_arrangement(c: Column) -> Column:
+    """remote, hybrid, onsite or unclear by a fixed list of names; null for anything else."""
+    return F.try_element_at(_aliases(ARRANGEMENT_LABELS), F.lower(stripped(c)))
+
+
+def arrangement_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
+    """Replies about the arrangement, flattened: a strict label, its evidence (that of the first stage where the answer
+    has none of its own; none for unclear ones, which have no evidence about this role), and what is wrong."""
+    parsed = df.withColumn("_p", json_object(F.col(reply)))
+    field = lambda path: F.get_json_object("_p.object", f"$.{path}")
+    said = lambda path: F.when(field(path) != "", field(path))
+    label = strict_arrangement(field("work_arrangement"))
+    evidence = F.coalesce(said("evidence_work_arrangement"), said("stage1_evidence.role_specific_arrangement_text"))
+    told = F.coalesce(F.concat(F.lit("'"), field("work_arrangement"), F.lit("'")), F.lit("None"))
+    wrong = F.when(F.col("_p.object").isNull(), F.coalesce("_p.error", F.lit("Invalid JSON"))).when(label.isNull(), F.concat(F.lit("Invalid work_arrangement value: "), told))
+    return parsed.withColumns({"work_arrangement": label, "evidence_work_arrangement": F.when(label.isNull() | (label != "unclear"), evidence), "valid_json": F.col("_p.object").isNotNull(), "valid_arrangement": label.isNotNull(), "parse_error": F.col("_p.error"), "validation_error": wrong}).drop("_p", reply)
+
+
 #: Width of the text around a quoted piece of evidence.
-AROUND = 120
+AROUND = 130
 
 
 def evidence_context(text: Column, quoted: Column, around: int = AROUND) -> Column:
-    """The text around the first place of a quotation (without regard to case); null if it isn't there."""
-    at = F.instr(F.lower(text), F.lower(quoted))
-    return F.when((quoted != "") & (at > 0), F.trim(F.substring(text, F.greatest(at - around, F.lit(1)), F.length(quoted) + F.least(at - 1, F.lit(around)) + around)))
+    """The text around the first place of a quotation, white space collapsed; the quotation itself where the text
+    doesn't have it; empty without a text or a quotation."""
+    at = F.instr(text, quoted)
+    low = F.greatest(at - around, F.lit(1))
+    cut = F.substring(text, low, at - low + F.length(quoted) + around)
+    return F.when(text.isNull() | quoted.isNull(), "").when(at == 0, quoted).otherwise(collapsed(cut))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import annualized, f1_or, ratio, rounded, with_quantiles
 from . import normalise as N
+from . import resampling as R
 from .resampling import binomial_two_sided
 
 # Dollars per million tokens in and out, and per call; the levels that are scored.
 COST_IN, COST_OUT, COST_PER_CALL = 1.0, 5.0, 2.39 / 1000
+METHOD_ORDER = ["rules", "zero_shot", "few_shot", "schema_rules", "decomposed"]
 LEVELS = ["Internship", "Entry level", "Associate", "Mid-Senior level", "Director", "Executive"]
 
 
@@ -184,6 +186,67 @@ def winners(long: DataFrame, lower_is_better: tuple = ("years_mae_answered", "ye
     return long.where("value is not null").groupBy("metric").agg(F.min_by(F.struct("method", "value"), F.struct((-worth).alias("w"), "method")).alias("x")).select("metric", "x.method", "x.value")
 
 
+def tied_winners(long: DataFrame, lower_is_better: tuple = ("years_mae_answered", "years_false_positive_rate")) -> DataFrame:
+    """Every method with the best value of each metric: ``metric, value, methods, n_tied``."""
+    worth = F.when(F.col("metric").isin(*lower_is_better), -F.col("value")).otherwise(F.col("value"))
+    top = long.where("value is not null").groupBy("metric", worth.alias("w"), "value").agg(F.array_sort(F.collect_list("method")).alias("m"))  # a row a method at most
+    best = top.groupBy("metric").agg(F.max_by(F.struct("value", "m"), "w").alias("x"))
+    return best.select("metric", "x.value", F.array_join("x.m", ",").alias("methods"), F.size("x.m").alias("n_tied"))
+
+
+ERRORS = {"required": "required_exact", "preferred": "preferred_exact", "any_skill": "any_skill_exact", "work": "work_correct", "years": "years_exact"}
+
+
+def error_counts(items: DataFrame) -> DataFrame:
+    """Errors of each field and their rates, by method, in the usual order of methods (``place``)."""
+    sums = items.groupBy("method").agg(F.count("*").alias("postings"), *(F.count_if(~F.col(c)).alias(f"{n}_errors") for n, c in ERRORS.items()))
+    rates = {f"{n}_error_rate": rounded(F.col(f"{n}_errors") / F.col("postings"), 6) for n in ERRORS}
+    return in_method_order(sums).withColumns(rates)
+
+
+def in_method_order(rows: DataFrame) -> DataFrame:
+    """``place``: known methods in their usual order, others after them by name (rows: one a method)."""
+    known = F.array_position(F.array(*map(F.lit, METHOD_ORDER)), F.col("method"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.when(known == 0, len(METHOD_ORDER) + 1).otherwise(known), "method")))
+
+
+def evidence_consistency(predictions: DataFrame, value: str = "salary_min", evidence: str = "evidence_salary") -> DataFrame:
+    """How often a method quotes evidence but gives no value, by method."""
+    quoted = N.stripped(F.coalesce(evidence, F.lit(""))) != ""
+    sums = predictions.groupBy("method").agg(F.count_if(quoted).alias("quoted"), F.count_if(quoted & F.col(value).isNull()).alias("value_null"))
+    return sums.withColumn("inconsistency_pct", rounded(100.0 * F.col("value_null") / F.greatest("quoted", F.lit(1)), 1))
+
+
+def model_costs(staged: DataFrame) -> DataFrame:
+    """What the recorded run cost (cached replies are free) against what its tokens would cost anew, by model."""
+    n = F.count("*")
+    return staged.where("method <> 'rules'").groupBy("method").agg(n.alias("predictions"), rounded(F.sum(F.when(F.col("cached"), 0.0).otherwise(F.col("cost_usd"))), 6).alias("recorded_run_cost_usd"), rounded(F.sum("cost_usd"), 6).alias("estimated_model_cost_usd"), rounded(F.sum("cost_usd") / n * 1000, 3).alias("estimated_cost_per_1k"))
+
+
+def best_against_others(scored: DataFrame, draws: int, seed: int = 42) -> DataFrame:
+    """The model with the best sum of level F1 and salary hits, and the others against it: salary and level outcomes by paired
+    intervals and exact tests. Differences are the other's less the best's."""
+    own = scored.where("method <> 'rules'")
+    f1 = macro_f1(own.where("gt_seniority is not null"), ["method"], "gt_seniority", "seniority", LEVELS)
+    hits = own.where("stratum = 'labeled_stated'").groupBy("method").agg(F.avg(F.coalesce("salary_within_10pct", F.lit(False)).cast("double")).alias("hits"))
+    top = f1.join(hits, "method").orderBy(F.desc(F.col("macro_f1") + F.col("hits")), "method").limit(1).first()  # one row
+    if top is None:
+        return scored.sparkSession.createDataFrame([], "metric string, method string, n bigint, difference double, ci_low double, ci_high double, excludes_zero boolean, p_raw double, best string")
+    flags = {"salary": F.when(F.col("stratum") == "labeled_stated", F.coalesce("salary_within_10pct", F.lit(False))), "seniority": F.when(F.col("gt_seniority").isNotNull(), F.coalesce("seniority_correct", F.lit(False)))}
+    outcomes = own.select("job_id", "method", *(c.cast("int").alias(n) for n, c in flags.items()))
+    spread = R.bootstrap(R.cells(outcomes, {m: R.mean(m) for m in flags}), top.method, draws, seed)
+    exact = mcnemar(paired(outcomes, list(flags), top.method)).select("metric", "method", "p_raw")
+    return spread.join(exact, ["metric", "method"]).withColumn("best", F.lit(top.method))
+
+
+def top_extra(gold: DataFrame, predictions: DataFrame, most: int = 12) -> DataFrame:
+    """The skills that each method names most without being asked."""
+    g = gold.select("job_id", F.array_union("required", "preferred").alias("g"))
+    extra = predictions.select("job_id", "method", F.array_union("required", "preferred").alias("p")).join(g, "job_id").select("method", F.explode(F.array_except("p", "g")).alias("skill"))
+    counted = extra.groupBy("method", "skill").agg(F.count("*").alias("extra"))
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("extra"), "skill"))).where(F.col("rank") <= most)
+
+
 def top_missed(gold: DataFrame, predictions: DataFrame, most: int = 12) -> DataFrame:
     """The skills that each method misses most."""
     p = predictions.select("job_id", "method", F.array_union("required", "preferred").alias("p"))

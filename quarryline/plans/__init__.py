@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, market, scores, tables, texts
+from . import answers, datasets, market, scores, tables, texts
 from .market import market_daily
 
-QUERIES = market.QUERIES | datasets.QUERIES | texts.QUERIES | scores.QUERIES | tables.QUERIES
-SQL = market.SQL | datasets.SQL | texts.SQL | scores.SQL | tables.SQL
+QUERIES = market.QUERIES | datasets.QUERIES | texts.QUERIES | scores.QUERIES | tables.QUERIES | answers.QUERIES
+SQL = market.SQL | datasets.SQL | texts.SQL | scores.SQL | tables.SQL | answers.SQL
 __all__ = ["QUERIES", "SQL", "market_daily"]

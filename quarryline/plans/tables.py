@@ -159,13 +159,13 @@ QUERIES = {
 _R6 = lambda c: f"round({c} * 1e6) / 1e6"
 
 
-def _drawn(metrics: dict[str, tuple[str, str]]) -> str:
+def _drawn(metrics: dict[str, tuple[str, str]], head: str = _ITEMS, base: str = "'rules'") -> str:
     """Intervals by the same weights: the k-th threshold is where the Poisson distribution passes k."""
     cells = " union all ".join(f"select job_id, method, '{m}' metric, cast({n} as double) num, cast({d} as double) den from it" for m, (n, d) in metrics.items())
     weight = " + ".join(f"cast(u >= {t} as int)" for t in B.THRESHOLDS)
     ratio = lambda a, b: f"case when {b} > 0 then {a} / {b} else 1.0 end"
-    return f"""{_ITEMS}, ce as (select * from ({cells}) where num is not null and den is not null),
- pr as (select o.job_id, o.metric, o.method, o.num, o.den, r.num bnum, r.den bden from ce o join ce r on o.job_id = r.job_id and o.metric = r.metric and r.method = 'rules' where o.method <> 'rules'),
+    return f"""{head}, ce as (select * from ({cells}) where num is not null and den is not null),
+ pr as (select o.job_id, o.metric, o.method, o.num, o.den, r.num bnum, r.den bden from ce o join ce r on o.job_id = r.job_id and o.metric = r.metric and r.method = {base} where o.method <> {base}),
  dr as (select job_id, k, cast('0x' || substr(md5('{SEED}:' || job_id || ':' || (k // 4)), 8 * (k % 4) + 1, 8) as bigint) u from (select distinct job_id from pr), (select unnest(range({DRAWS})) k)),
  wt as (select job_id, k, {weight} w from dr),
  sp as (select metric, method, k, sum(num * w) a, sum(den * w) b, sum(bnum * w) c, sum(bden * w) d from pr join wt using (job_id) where w > 0 group by all),

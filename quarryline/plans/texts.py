@@ -15,12 +15,12 @@ from ..sources.seeds import ARRANGEMENTS, PAYS, SKILL_TEXTS, TITLES, YEARS
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.raw_postings(spark, sf_dir).select("job_id", "title", "description")
+    return S.raw_postings(spark, sf_dir, True).select("job_id", "title", "description")
 
 
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extractors over whole documents; the source stands in for a title."""
-    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.col("source").alias("title"), "text")
+    d = S.spread(S.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("job_id"), F.col("source").alias("title"), "text")
     f = E.facts(d)
     return f.select("job_id", "salary.low", "salary.high", "salary.period", F.col("seniority.level").alias("seniority"), F.col("years.least").alias("years_min"), "arrangement.arrangement", F.array_join("skills.required", ",").alias("required"), F.array_join("skills.preferred", ",").alias("preferred"))
 

@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for row-wise work that is dear. One of fewer splits than there are cores (a small file of one row group)
+    is dealt out, columns as they lie in the file, so that the work isn't one task's; any other stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def choice(key: str, texts: list[str]) -> str:
     """A CASE that deals the texts (SQL expressions) out by a whole number."""
     return f"(case {key} % {len(texts)} " + " ".join(f"when {i} then {t}" for i, t in enumerate(texts)) + " end)"
@@ -56,9 +63,10 @@ POSTINGS = {
 SPARK_DAYS = "cast(datediff(to_date(o_orderdate), date'1970-01-01') as bigint)"
 
 
-def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders seen as postings, with all columns as the source gives them."""
-    return table(spark, sf_dir, "orders").selectExpr(*(f"{text.replace('{days}', SPARK_DAYS)} as {name}" for name, text in POSTINGS.items()))
+def raw_postings(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    """Orders seen as postings, with all columns as the source gives them. ``texts``: their long texts will be read."""
+    orders = table(spark, sf_dir, "orders")
+    return (spread(orders) if texts else orders).selectExpr(*(f"{text.replace('{days}', SPARK_DAYS)} as {name}" for name, text in POSTINGS.items()))
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +153,9 @@ def found_text(method: str, m: int) -> dict[str, str]:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*(f"{t} as {c}" for c, t in gold_text().items()))
+    return spread(table(spark, sf_dir, "orders")).selectExpr(*(f"{t} as {c}" for c, t in gold_text().items()))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ", ".join(f"named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, {t}' for c, t in found_text(method, m).items())})" for method, m in METHODS.items())
-    return table(spark, sf_dir, "orders").select(F.expr(f"inline(array({rows}))"))
+    return spread(table(spark, sf_dir, "orders")).select(F.expr(f"inline(array({rows}))"))

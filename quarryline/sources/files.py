@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
@@ -41,16 +41,32 @@ def manifest_ids(spark: SparkSession, path: str, name: str, column: str = "job_i
 
 
 class Registry:
-    """Sources by name: a path (its suffix tells the format) and the rules that its rows must keep."""
+    """Sources by name: a path (its suffix tells the format), and the rules that its rows must keep: columns that are keys, and
+    conditions by name."""
 
-    def __init__(self, spark: SparkSession, root: str, sources: dict[str, str]):
+    def __init__(self, spark: SparkSession, root: str, sources: dict[str, str], keys: dict[str, list[str]] | None = None, rules: dict[str, dict[str, Column]] | None = None):
         self.spark, self.root, self.sources = spark, root.rstrip("/"), sources
+        self.keys, self.rules = keys or {}, rules or {}
+        if unknown := sorted((set(self.keys) | set(self.rules)) - set(sources)):
+            raise KeyError(f"rules of unknown sources: {unknown}")
 
     def read(self, name: str) -> DataFrame:
         if name not in self.sources:
             raise KeyError(f"no source named {name!r}; there are {sorted(self.sources)}")
         return read_any(self.spark, f"{self.root}/{self.sources[name]}")
 
+    def report(self, name: str) -> DataFrame:
+        """``rule, failures`` of a source."""
+        df, keys = self.read(name), self.keys.get(name, [])
+        rules = {f"has_{k}": F.col(k).isNotNull() for k in keys} | self.rules.get(name, {})
+        parts = ([Q.holds(df, rules)] if rules else []) + ([Q.unique(df, keys)] if keys else [])
+        return Q.report(*parts) if parts else self.spark.createDataFrame([], "rule string, failures bigint")
+
+    def checked(self, name: str) -> DataFrame:
+        """A source whose rules hold; else an error that names those which don't."""
+        Q.raise_on_failures(self.report(name))
+        return self.read(name)
+
     def views(self) -> list[str]:
         """A view a source, for SQL."""
         for name in self.sources:

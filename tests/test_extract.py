@@ -1,5 +1,7 @@
 """The extractors on single texts."""
 
+from pyspark.sql import functions as F
+
 from quarryline.operators import extract as E
 from quarryline.operators import normalise as N
 from quarryline.plans import QUERIES
@@ -73,9 +75,24 @@ def test_skills(spark):
 
 
 def test_evidence_context(spark):
-    from pyspark.sql import functions as F
+    long = "abc " * 100 + "the\n\u00a0 Pay is $5 " + "x" * 300
+    assert values(spark, [(long, 0)], N.evidence_context(F.col("text"), F.lit("Pay is $5"), 10))[0] == "abc the Pay is $5 xxxxxxxxx"
+    assert values(spark, [(long, 0), (None, 0), ("Pay", 0)], N.evidence_context(F.col("text"), F.lit("pay")))[0] == "pay"
+    assert values(spark, [(None, 0), ("Pay", 0)], N.evidence_context(F.col("text"), F.lit("Pay"))) == ["", "Pay"]
+
+
+def test_json_objects(spark):
+    cases = [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 1}\n```', '{"a": 1}'), ('Sure: {"a": {"b": 2}} as asked', '{"a": {"b": 2}}'), ("[1]", None), ("} {", None), ("none", None), (None, None), ("{a}", None), ('x {"a": 1} {"b": 2}', None)]
+    got = values(spark, cases, N.json_object(F.col("text")))
+    assert [v.object for v in got] == [w for _, w in cases] and [v.error for v in got] == [None, None, None, "JSON, but no object", "no JSON", "no JSON", "no reply", "no JSON", "no JSON"]
+
 
-    assert values(spark, [("abc " * 100 + "the Pay is $5 " + "x" * 300, 0)], N.evidence_context(F.col("text"), F.lit("pay is $5"), 10))[0] == "c abc the Pay is $5 xxxxxxxxx"
+def test_strict_arrangements(spark):
+    cases = [(" Fully Remote\t", "remote"), ("In-Office", "onsite"), ("remote-ish", None), ("", None), (None, None), ("not specified", "unclear"), ("\u00a0hybrid", "hybrid")]
+    assert values(spark, cases, N.strict_arrangement(F.col("text"))) == [w for _, w in cases]
+    replies = [('{"work_arrangement": "remote", "evidence_work_arrangement": "", "stage1_evidence": {"role_specific_arrangement_text": "from home"}}', ("remote", "from home", None)), ('{"work_arrangement": "unclear", "evidence_work_arrangement": "x"}', ("unclear", None, None)), ('{"work_arrangement": "both"}', (None, None, "Invalid work_arrangement value: 'both'")), ("{}", (None, None, "Invalid work_arrangement value: None")), ("?", (None, None, "no JSON"))]
+    got = N.arrangement_replies(spark.createDataFrame([(i, r) for i, (r, _) in enumerate(replies)], "i int, reply string")).orderBy("i").collect()
+    assert [(r.work_arrangement, r.evidence_work_arrangement, r.validation_error) for r in got] == [w for _, w in replies]
 
 
 def test_document_facts_keep_every_row(spark):
