@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import annualized, f1_or, ratio, rounded, with_quantiles
+from . import contracts as J
 from . import normalise as N
 from . import resampling as R
 from .resampling import binomial_two_sided
@@ -131,11 +132,14 @@ def standardised(df: DataFrame, prediction: bool) -> DataFrame:
 SCOPES = ("required", "preferred", "any_skill")
 
 
-def score_items(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+def score_items(gold: DataFrame, predictions: DataFrame, misses: str = "keep") -> DataFrame:
     """One row a posting and method: counts of skills found, missed and made up by scope, skills in the wrong bucket,
-    arrangement, and years with abstentions. Postings without a prediction are missing; see ``quality.missing_pairs``."""
-    p = predictions.select("job_id", "method", *(F.col(c).alias(f"p_{c}") for c in ("required", "preferred", "work", "years")))
-    both = gold.join(p, "job_id").withColumns({"any_skill": F.array_union("required", "preferred"), "p_any_skill": F.array_union("p_required", "p_preferred")})
+    arrangement, and years with abstentions. A posting is annotated once, else the job fails; one without any prediction
+    stays as a row without a method, whose asked skills are all missed (``misses``: see ``contracts.join``)."""
+    nothing = F.array().cast("array<string>")
+    p = predictions.select("job_id", "method", *(F.coalesce(c, nothing).alias(f"p_{c}") for c in ("required", "preferred")), *(F.col(c).alias(f"p_{c}") for c in ("work", "years")))
+    met = J.join(gold, p, ["job_id"], "one_to_many", misses).withColumns({f"p_{c}": F.coalesce(f"p_{c}", nothing) for c in ("required", "preferred")})
+    both = met.withColumns({"any_skill": F.array_union("required", "preferred"), "p_any_skill": F.array_union("p_required", "p_preferred")})
     size = lambda c: F.size(c).cast("bigint")
     cols: dict[str, Column] = {}
     for s in SCOPES:

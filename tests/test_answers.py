@@ -80,3 +80,16 @@ def test_registry_checks_its_rules(spark, tmp_path):
     assert files.Registry(spark, f"file://{tmp_path}", {"t": "t.parquet"}).checked("t").count() == 3
     with pytest.raises(KeyError, match="unknown sources"):
         files.Registry(spark, f"file://{tmp_path}", {"t": "t.parquet"}, {"x": ["k"]})
+
+
+def test_items_keep_postings_without_a_prediction(spark):
+    kinds = "job_id int, required array<string>, preferred array<string>, work string, years double"
+    gold = spark.createDataFrame([(1, ["sql"], [], "Remote", 3.0), (2, ["sql"], ["r"], "Remote", None)], kinds)
+    found = spark.createDataFrame([(1, ["sql"], None, "Remote", 3.0, "m"), (9, ["x"], [], "Remote", 1.0, "m")], f"{kinds}, method string")
+    got = {r.job_id: r for r in C.score_items(gold, found).collect()}
+    assert set(got) == {1, 2} and got[1].required_tp == 1 and got[1].preferred_exact
+    assert (got[2].method, got[2].required_fn, got[2].any_skill_fn, got[2].years_pred_answered) == (None, 1, 2, False)
+    with pytest.raises(Exception, match="no match on the right for job_id=2"):
+        C.score_items(gold, found, "fail").collect()
+    with pytest.raises(Exception, match="several rows of job_id=1"):
+        C.score_items(gold.union(gold), found).collect()
