@@ -249,6 +249,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     rests = rows.where(F.col("rest").isNotNull()).select("key", "row", "doc_tokens", "s1", "s2", "rest", "terms", "counts")
     ranged = rests.repartitionByRange("s1", "s2", "row").sortWithinPartitions("s1", "s2", "row")
     shards = ranged.mapInArrow(packed, f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{ids_field}")
+    # written down, so that whoever reads the result twice sees the same sequences
+    shards = cut(shards, "packed")
     zipped = F.arrays_zip("crcs", "windows") if with_ids else F.arrays_zip("crcs")
     whole = rows.where(F.size("crcs") > 0).select("key", "doc_tokens", "first_window", F.posexplode(zipped).alias("i", "w")).select("key", (F.col("i") * F.lit(window).cast("bigint")).alias("start"), F.lit(window).cast("bigint").alias("length"), F.col("w.crcs").alias("ids_crc32"), "doc_tokens", ((F.col("first_window") + F.col("i")) * 2).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), *[F.col("w.windows").alias("ids")] * with_ids)
     return shards.unionByName(whole).withColumnRenamed("key", key)

@@ -17,7 +17,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import islice
@@ -29,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import bound_batches, shared_dir
 
 MAGIC = b"QLIDS001"
@@ -96,6 +100,20 @@ def look_up(index: dict, keys: np.ndarray) -> np.ndarray:
 
 # --- encoding ---------------------------------------------------------------------------------
 
+#: Letters below this code point are letters in every version of Unicode.
+SETTLED = "\u0250"
+
+
+def _of_class(kind: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(ord(SETTLED))) if unicodedata.category(c)[0] == kind)
+
+
+def words_of_settled_text() -> re.Pattern:
+    """How byte-level vocabularies part words (a fixed pattern), for text of code points below SETTLED."""
+    letter, number, white = _of_class("L"), _of_class("N"), r"\t-\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -123,6 +141,17 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             self.lengths[i] = len(token)
         self.pieces = {"\0": self.line_feed}
+        #: Where the file parts words as byte-level vocabularies do, the library's model is asked for each distinct word of
+        #: letters below U+0250 (whose classes no version of Unicode disputes) instead of for running text.
+        self.words: dict[str, bytes] | None = {} if self._parts_plainly(path) else None
+        self.symbols, self.part, self.unsettled = byte_symbols(), words_of_settled_text(), re.compile(f"[{SETTLED}-\U0010ffff]")
+
+    @staticmethod
+    def _parts_plainly(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        parted = spec.get("pre_tokenizer") or {}
+        return spec.get("normalizer") is None and parted.get("type") == "ByteLevel" and parted.get("use_regex", True) and not parted.get("add_prefix_space") and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
@@ -133,6 +162,11 @@ class Encoder:
     def learn(self, new: set[str]) -> None:
         """Take up pieces without white space but for one blank in front. Those with a blank are put one after the other,
         as the library parts them there, and the lengths of the tokens tell where each ends; the few others are parted by line feeds."""
+        if self.words is not None:
+            unsettled = self.unsettled.search
+            odd = {p for p in new if unsettled(p)}
+            self._learn_words([p for p in new if p[:1] == " " and p not in odd])
+            new = {p for p in new if p[:1] != " "} | odd
         spaced, bare = [p for p in new if p[0] == " "], [p for p in new if p[0] != " "]
         if spaced:
             ids = self.ids("".join(spaced))
@@ -144,6 +178,24 @@ class Encoder:
             cuts = np.flatnonzero(ids == np.frombuffer(self.line_feed, self.dtype)[0])
             self._keep(bare, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
 
+    def _learn_words(self, pieces: list[str]) -> None:
+        """Take up pieces that begin with a blank, word by word."""
+        if len(self.words) >= PIECES // 2:
+            self.words.clear()
+        found = self.part.findall("".join(pieces))
+        got = list(map(self.words.get, found))
+        if None in got:
+            tokenize, symbol, blank, width = self.library.model.tokenize, self.symbols.__getitem__, self.symbols[32], "H" if self.dtype.itemsize == 2 else "I"
+            for w in {w for w, g in zip(found, got, strict=True) if g is None}:
+                spelt = w.replace(" ", blank) if w.isascii() and w.isprintable() else "".join(map(symbol, w.encode()))
+                self.words[w] = array(width, [t.id for t in tokenize(spelt)]).tobytes()
+            got = list(map(self.words.__getitem__, found))
+        # where each piece ends, in words and so in bytes
+        ends = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))))
+        upto = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))[ends].tolist() if pieces else []
+        packed = b"".join(got)
+        self.pieces.update(zip(pieces, map(packed.__getitem__, map(slice, [0, *upto[:-1]], upto)), strict=True))
+
     def _keep(self, pieces: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
         packed, w = ids.tobytes(), self.dtype.itemsize
         for p, a, b in zip(pieces, starts, ends, strict=True):
@@ -161,17 +213,16 @@ class Encoder:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; new pieces of all of them go to the library at once."""
         own = [self.parts(t) if t else [] for t in texts]
-        got = [p and list(map(self.pieces.get, p)) for p in own]
-        new = {p for ps, gs in zip(own, got, strict=True) if gs and None in gs for p, g in zip(ps, gs, strict=True) if g is None}
+        every = set().union(*(p for p in own if p))
+        new = every.difference(self.pieces)
         if new and len(self.pieces) + len(new) > PIECES:
             # what came first comes most often; the rest makes room
             self.pieces = dict(islice(self.pieces.items(), PIECES // 2))
-            new = {p for ps in own if ps for p in ps if p not in self.pieces}
-            got = own
+            new = every.difference(self.pieces)
         if new:
             self.learn(new)
-            got = [ps and list(map(self.pieces.__getitem__, ps)) if gs is ps or gs and None in gs else gs for ps, gs in zip(own, got, strict=True)]
-        return [self.whole(t) if gs is None else b"".join(gs) for t, gs in zip(texts, got, strict=True)]
+        of = self.pieces.__getitem__
+        return [self.whole(t) if ps is None else b"".join(map(of, ps)) for t, ps in zip(texts, own, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

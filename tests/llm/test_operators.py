@@ -462,3 +462,13 @@ def test_pii_on_planted_entities_and_near_misses(finder):
 @pytest.mark.parametrize(("text", "want"), [("ssn 123-45-6789", []), ("192.168.1.300", []), ("4111.1111.1111.1111", [("card", 0, 19)]), ("john at example dot com", [("email", 0, 23)]), ("4111 1111 1111 1111 4012 8888 8888 1881", [("card", 0, 19), ("card", 20, 39)])])
 def test_pii_bounds(finder, text, want):
     assert finder.find(text)[1] == want
+
+
+def test_words_learnt_one_by_one_are_the_librarys(spark):
+    """Every code point below the border, contractions, numbers and marks between letters."""
+    rng = random.Random(8)
+    book = token_file.Encoder(token_file.default_vocabulary())
+    signs = [chr(c) for c in range(33, ord(token_file.SETTLED) + 40) if not chr(c).isspace()] + ["'s", "'ll", "'S", "12", "ab", "日本", "😀", "\u0301"]
+    texts = [" ".join("".join(rng.choices(signs, k=rng.randint(1, 6))) for _ in range(40)) for _ in range(300)]
+    for t, packed in zip(texts, book.encode_all(texts), strict=True):
+        assert packed == book.whole(t)
