@@ -6,11 +6,13 @@ give the probability that an element belongs to the main text, and a dynamic pro
 decodes: an element is outside, inside or dropped, and on every path from the root the state may
 only go in that order, so nothing is kept below dropped elements and no ancestor contradicts a descendant.
 
-The trees are fitted on a bounded hash sample of those pages that mark a main element, whose elements are
-labelled by their markup (and on made-up pages where there are few of them), and on variants of them in which the main element's own markup is exchanged for a neutral one and boilerplate
-of other kinds is put in, so that the model doesn't lean on one template.
+The trees are fitted on a bounded hash sample of those pages that mark a main element, whose elements are labelled by
+their markup, on variants of them in which the main element's own markup is exchanged for a neutral one and boilerplate
+of other kinds is put in, and on made-up pages of several layouts. Each tree is learnt from twice: as it is, and with all
+names and telling tags taken away while the labels stay, so that the model doesn't lean on names or on one template.
 
-Null and empty pages give an empty text, repeated rows equal ones; an empty table gives an empty result. Scripts, styles, forms and the like are never text."""
+Null and empty pages give an empty text, repeated rows equal ones, ties of the decoding go to
+the outer state; an empty table gives an empty result; columns other than page_id, url and html are never read. Scripts, styles, forms and the like are never text."""
 
 from __future__ import annotations
 
@@ -30,8 +32,6 @@ from .language import hash_sample
 
 #: Pages and, in the order of their hash, characters that are fitted on.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 20_000_000
-#: With fewer marked pages in the sample, the made-up ones are added.
-FEW_PAGES = 20
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([A-Za-z][\w:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|[^<]+|<", re.S | re.I)
 ATTRS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -41,6 +41,7 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 NEVER = {"head", "form", "button", "select", "option", "input", "dialog", "object", "canvas", "audio", "video"}
 GOOD = {"article", "content", "post", "entry", "main", "story", "body", "text", "articlebody", "blog"}
 BAD = {"nav", "menu", "header", "footer", "sidebar", "side", "aside", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "cookies", "consent", "notice", "newsletter", "subscribe", "signup", "popup", "modal", "comment", "comments", "reply", "replies", "discussion", "share", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "widget", "login", "search", "pagination", "copyright", "disclaimer", "toolbar", "navbar", "navigation", "complementary", "contentinfo", "gdpr", "alert", "tags", "meta"}
+TELLING = {"article", "main", "nav", "menu", "header", "footer", "aside", "section"}
 GROUPS = [{"article", "main"}, {"section"}, {"div"}, {"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "li", "dl", "dt", "dd"}, {"nav", "menu"}, {"header", "footer"}, {"aside"}, {"table", "tr", "td", "th", "tbody", "thead"}, {"body", "html"}]
 
 
@@ -261,17 +262,32 @@ def variants(page: str, rng: random.Random) -> list[str]:
     return [page, new]
 
 
-def made_up(rng: random.Random, n: int = 60) -> list[str]:
-    """Pages with a marked main element, for tables that have few or none."""
+def made_up(rng: random.Random, n: int = 120) -> list[str]:
+    """Pages of several layouts with a marked main element, menus, notices, sidebars and comments."""
     say = lambda k: " ".join("".join(rng.choice("aeinorstlu") for _ in range(rng.randint(2, 9))) for _ in range(k))
-    links = lambda k: "<ul>" + "".join(f'<li><a href="/">{say(rng.randint(1, 4))}</a></li>' for _ in range(k)) + "</ul>"
-    block = [lambda: f"<p>{say(rng.randint(10, 120))}</p>", lambda: f"<h2>{say(4)}</h2>", lambda: "<ul>" + "".join(f"<li>{say(rng.randint(4, 20))}</li>" for _ in range(4)) + "</ul>", lambda: f"<blockquote>{say(20)}</blockquote>"]
+    link = lambda k: f'<a href="/">{say(k)}</a>'
+    some = lambda make, low, high: "".join(make() for _ in range(rng.randint(low, high)))
+    maybe = lambda make, chance: make() if rng.random() < chance else ""
+    items = lambda low, high: "<ul>" + some(lambda: f"<li>{link(rng.randint(1, 4))}</li>", low, high) + "</ul>"
+    spans = lambda low, high: some(lambda: f"<span>{link(rng.randint(1, 3))}</span>", low, high)
+    block = [lambda: f"<p>{say(rng.randint(10, 120))}</p>", lambda: f"<p>{say(rng.randint(10, 60))} {link(2)} {say(rng.randint(3, 20))}</p>", lambda: f"<h2>{say(4)}</h2>", lambda: "<ul>" + some(lambda: f"<li>{say(rng.randint(4, 20))}</li>", 2, 5) + "</ul>", lambda: f"<blockquote>{say(20)}</blockquote>"]
+    menu = lambda: rng.choice((f"<nav>{items(3, 9)}</nav>", f'<div class="menu">{items(4, 8)}</div>', f'<div id="header">{link(2)}{items(3, 5)}</div>', f'<header><div>{link(2)}</div><div>{spans(3, 7)}</div></header>', f'<table class="menu"><tr><td>{spans(4, 6)}</td></tr></table>'))
+    notice = lambda: rng.choice((f'<div class="cookie">{say(rng.randint(6, 25))} {link(1)}</div>', f'<div class="notice"><p>{say(rng.randint(6, 25))}</p><a href="/">{say(1)}</a></div>', f'<section class="newsletter"><h3>{say(3)}</h3><p>{say(rng.randint(5, 15))}</p></section>'))
+    side = lambda: rng.choice((f"<aside><h3>{say(2)}</h3>{items(3, 7)}</aside>", f'<div class="sidebar"><p>{say(rng.randint(5, 30))}</p>{items(2, 5)}</div>', f'<div class="related">{some(lambda: f"<div><b>{link(4)}</b><p>{say(rng.randint(4, 12))}</p></div>", 2, 4)}</div>'))
+    voice = [lambda: f"<li><b>{say(1)}</b> {say(rng.randint(5, 40))}</li>", lambda: f"<div><p>{say(rng.randint(5, 50))}</p><small>{say(2)}</small></div>", lambda: f"<p><i>{say(2)}</i>: {say(rng.randint(4, 30))}</p>", lambda: f"<div><span>{say(1)}</span><time>{say(1)}</time><p>{say(rng.randint(5, 40))}</p><p>{say(rng.randint(5, 30))}</p></div>"]
+    comments = lambda: (lambda one: f'<div class="comments"><h3>{say(2)}</h3>{some(one, 2, 6)}</div>')(rng.choice(voice))
+    foot = lambda: rng.choice((f"<footer><p>{say(8)}</p></footer>", f'<div class="footer">{say(6)} {link(2)}</div>', f'<div class="footer">{items(3, 5)}<p>{say(5)}</p></div>'))
     out = []
     for _ in range(n):
-        body = f"<h1>{say(5)}</h1><p>{say(40)}</p>" + "".join(rng.choice((block[0], block[0], *block))() for _ in range(rng.randint(1, 8)))
-        top = rng.choice((f"<nav>{links(5)}</nav>", f'<div class="menu">{links(5)}</div>', f'<div id="header"><a href="/">{say(2)}</a>{links(4)}</div>', f"<div>{links(6)}</div>"))
-        end = rng.choice((f"<footer><p>{say(8)}</p></footer>", f'<div class="footer">{say(6)} <a href="/">{say(2)}</a></div>', f"<div>{links(3)}{say(5)}</div>"))
-        out.append(f"<html><head><title>{say(3)}</title></head><body>{top}<article>{body}</article>{end}</body></html>")
+        body = maybe(lambda: f"<h1>{say(rng.randint(3, 8))}</h1>", 0.9) + f"<p>{say(40)}</p>" + some(lambda: rng.choice((block[0], block[0], *block))(), 1, 9)
+        main = f"<article>{body}</article>"
+        inner, outer = maybe(comments, 0.3), maybe(comments, 0.4)
+        row = [main + inner, maybe(side, 0.5)]
+        rng.shuffle(row)
+        middle = "".join(row)
+        for _ in range(rng.randint(0, 3)):
+            middle = f"<div>{middle}</div>"
+        out.append(f"<html><head><title>{say(3)}</title></head><body>{maybe(notice, 0.4)}{menu()}{maybe(notice, 0.3)}{middle}{outer}{maybe(side, 0.2)}{foot()}{maybe(notice, 0.2)}</body></html>")
     return out
 
 
@@ -284,6 +300,16 @@ def labels(nodes: list[Node]) -> np.ndarray:
     return np.array(inside, float)
 
 
+def unnamed(nodes: list[Node]) -> list[Node]:
+    """The same tree as a page without telling names would have: no classes, ids or roles, and plain blocks for all that says what it is."""
+    for n in nodes:
+        n.tokens = frozenset()
+        if n.tag in TELLING:
+            n.tag = "div"
+        n.good, n.bad = False, n.tag in NEVER or bool(n.up and n.up.bad)
+    return nodes
+
+
 def train(pages: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Trees:
     """Fitted on a sample of about ``sample_rows`` pages that mark a main element, as far as they hold ``sample_chars`` characters."""
     picked = pages.select("page_id", F.col("html").cast("string").alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
@@ -297,22 +323,19 @@ def fit(sample: list[str]) -> Trees:
     rng = random.Random(11)
     xs, ys = [], []
 
-    def learn(pages: list[str]) -> int:
-        marked = 0
+    def learn(pages: list[str]) -> None:
         for page in pages:
-            for i, v in enumerate(variants(page, rng)):
+            for v in variants(page, rng):
                 root = parse(re.sub(r"<(\w+)([^<>]*) data-main>", r'<\1\2 itemprop="datamain">', v))
                 nodes = nodes_of(root)
                 y = labels(nodes)
                 # what isn't marked is unknown, not negative
                 if y.any():
-                    marked += not i
-                    xs.append(features(nodes))
-                    ys.append(y)
-        return marked
+                    xs.extend((features(nodes), features(unnamed(nodes))))
+                    ys.extend((y, y))
 
-    if learn(sample) < FEW_PAGES:
-        learn(made_up(rng))
+    learn(sample)
+    learn(made_up(rng))
     trees = Trees()
     if xs:
         x, y = np.vstack(xs), np.concatenate(ys)

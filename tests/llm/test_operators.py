@@ -472,3 +472,49 @@ def test_words_learnt_one_by_one_are_the_librarys(spark):
     texts = [" ".join("".join(rng.choices(signs, k=rng.randint(1, 6))) for _ in range(40)) for _ in range(300)]
     for t, packed in zip(texts, book.encode_all(texts), strict=True):
         assert packed == book.whole(t)
+
+
+def neutral_page(rng):
+    """A family of pages that isn't learnt from: divs with meaningless classes, a menu, a notice, a sidebar and comments. The
+    page and its article's words."""
+    say = lambda k: " ".join("".join(rng.choice("aeinorstlu") for _ in range(rng.randint(2, 9))) for _ in range(k))
+    c = lambda: f'class="x{rng.randint(1, 99)}"'
+    links = lambda k, low=1, high=3: "".join(f'<div {c()}><a href="/a">{say(rng.randint(low, high))}</a></div>' for _ in range(k))
+    block = [lambda: f"<p>{say(rng.randint(30, 120))}</p>", lambda: f"<p>{say(rng.randint(30, 80))} <a href='/'>{say(2)}</a> {say(10)}</p>", lambda: f"<h2>{say(4)}</h2>", lambda: "<ul>" + "".join(f"<li>{say(rng.randint(5, 15))}</li>" for _ in range(3)) + "</ul>"]
+    own = f"<h1>{say(6)}</h1>" + "".join(rng.choice(block)() for _ in range(rng.randint(3, 9))) + f"<p>{say(40)}</p>"
+    side = f"<div {c()}><div {c()}>{say(2)}</div>{links(rng.randint(3, 6), 2, 6)}</div>" if rng.random() < 0.6 else ""
+    notice = f"<div {c()}><p>{say(rng.randint(8, 20))}</p><button>{say(1)}</button></div>" if rng.random() < 0.5 else ""
+    said = "".join(f"<div {c()}><div {c()}>{say(2)}</div><p>{say(rng.randint(5, 40))}</p></div>" for _ in range(rng.randint(2, 5)))
+    comments = f"<div {c()}><h3>{say(2)}</h3>{said}</div>" if rng.random() < 0.6 else ""
+    foot = f"<div {c()}>{say(6)} <a href='/'>{say(2)}</a></div>"
+    return f"<html><body><div {c()}>{links(rng.randint(4, 9))}</div>{notice}<div {c()}><div {c()}>{own}</div>{side}</div>{comments}{foot}</body></html>", words_of(own)
+
+
+def words_of(markup):
+    import html as references
+    import re
+
+    return references.unescape(re.sub("<[^>]*>", " ", markup)).split()
+
+
+def agreement(pairs):
+    from collections import Counter
+
+    both = sum(sum((Counter(a) & Counter(b)).values()) for a, b in pairs)
+    return both / sum(len(b) for _, b in pairs), both / sum(len(a) for a, _ in pairs)
+
+
+def test_html_on_pages_without_telling_names(spark):
+    import re
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    trees = html.train(pages)
+    rng = random.Random(5)
+    made = [neutral_page(rng) for _ in range(60)]
+    assert min(agreement([(want, html.extract(trees, page).split()) for page, want in made])) >= 0.9
+    # the given pages: the article without asides and forms, with and without names
+    cut = lambda p: words_of(re.sub(r"<(aside|form|script|style)\b.*?</\1>", "", p[re.search("<article[^>]*>", p).end() : p.rfind("</article>")], flags=re.S))
+    given = [r.html for r in pages.collect() if "</article>" in r.html]
+    assert len(given) > 200 and min(agreement([(cut(p), html.extract(trees, p).split()) for p in given])) >= 0.99
+    plain = lambda p: re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|section)\b", r"<\1div", p))
+    assert min(agreement([(cut(p), html.extract(trees, plain(p)).split()) for p in given])) >= 0.9
