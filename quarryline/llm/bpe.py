@@ -14,7 +14,11 @@ label it was entered with, and "has state p an arc x" is decided by the gadgets
 The table of arcs is filled as words ask for them (on-the-fly determinisation); a second table, the
 trie of the token spellings, drives the symbols. Each prefix of a word has exactly one accepted
 path, so encoding is one left-to-right sweep, linear in the word for a bounded token length.
-Decoding emits the labels of the arcs."""
+Decoding emits the labels of the arcs.
+
+Null and empty texts, and those of white space alone, have no ids and decode to an empty text; repeated rows give equal
+ids, one row each; long texts are read whole, and a long run without white space is one word; an empty table gives an empty
+result; columns other than key and text are never read."""
 
 from __future__ import annotations
 

@@ -11,7 +11,9 @@ With one block documents are not shuffled; with more, the hits of equal rows (ke
 text) are joined, and no texts.
 
 Null texts have no words and are clean. An item without words has no windows. Items with a null
-``item_id`` give hits, but no name. Repeated items count once an ``item_id``; repeated documents stay."""
+``item_id`` give hits, but no name. Repeated items count once an ``item_id``; repeated documents stay.
+An empty benchmark hits nothing, an empty table of documents gives an empty result. Only key and text are read; further
+columns of documents, whatever their names, are passed on by ``clean_documents`` alone."""
 
 from __future__ import annotations
 

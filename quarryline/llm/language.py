@@ -9,7 +9,10 @@ The model is counted by Spark from a bounded hash sample of labelled rows and ke
 frequent words and n-grams of each language (all bounds are parameters), so what goes to the tasks
 is bounded. Prediction is one pass without a shuffle.
 
-Texts that are null or have no letter are ``und`` with score 0; so are all without training rows."""
+Texts that are null or have no letter are ``und`` with score 0; so are all without training rows. Ties go to the language
+whose name comes first (and, among equally frequent words and n-grams, to the first in spelling); repeated rows get equal
+predictions (and count each in training); texts of any length are read whole; an empty table gives an empty result; columns
+other than key, text and, for training, lang are never read."""
 
 from __future__ import annotations
 

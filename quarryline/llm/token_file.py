@@ -10,7 +10,11 @@ is a few probes, whatever the number of keys; a key that is not there is told by
 
 Shards are written in ascending key order. They go to a folder that driver and executors share,
 under a name of their own for each attempt, and only those named in the manifest count, so a lost
-executor or a repeated task does no harm."""
+executor or a repeated task does no harm.
+
+A null text counts as empty (the end id alone); null keys come first; rows of equal keys stay together, in no stated
+order, and a look-up finds the first; long texts are read whole; an empty table gives an empty manifest and an empty result;
+columns other than key and text are never read."""
 
 from __future__ import annotations
 

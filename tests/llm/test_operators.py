@@ -189,6 +189,73 @@ def test_language_held_out(spark, edge, empty):
     assert got[1] == got[2] == "und" and language.identify(empty).count() == 0
 
 
+def brute_language(rows):
+    """Predictions of (doc_id, text, lang) rows by plain counting."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    words_in = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    seen = defaultdict(Counter)
+    for i, t, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            seen[lang].update(words_in(t))
+    cost, worst = defaultdict(dict), Counter()
+    for lang, words in seen.items():
+        tables = {0: words} | {n: Counter() for n in range(1, 7)}
+        for w, c in words.items():
+            for n in range(1, 7):
+                for a in range(len(w) + 3 - n):
+                    tables[n][f" {w} "[a : a + n]] += c
+        for n, table in tables.items():
+            total = sum(table.values())
+            for gram, c in sorted(table.items(), key=lambda x: (-x[1], x[0]))[: 5_000 if n else 10_000]:
+                cost[n, gram][lang] = round(-math.log10(c / total) * 10_000)
+                worst[n] = max(worst[n], cost[n, gram][lang])
+    langs = sorted(seen)
+
+    def of(n, gram):
+        return [cost[n, gram].get(g, worst[n] + 10_000) for g in langs]
+
+    def word(w):
+        if (0, w) in cost:
+            return of(0, w)
+        w = f" {w} "
+        for n in range(min(6, len(w)), 0, -1):
+            found = [of(n, w[a : a + n]) for a in range(len(w) - n + 1) if (n, w[a : a + n]) in cost]
+            if found:
+                return [sum(c) // len(found) for c in zip(*found, strict=True)]
+        return [max(worst.values()) + 10_000] * len(langs)
+
+    out = {}
+    for i, t, _ in rows:
+        words = words_in(t)
+        if not words:
+            out[i] = ("und", 0.0)
+            continue
+        total = [sum(c) / (len(words) * 10_000) for c in zip(*map(word, words), strict=True)]
+        p = [math.exp(-3 * (c - min(total))) for c in total]
+        best = total.index(min(total))
+        out[i] = (langs[best], p[best] / sum(p))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10_000 + i, t, None) for i, t in enumerate(["", "12 34", None, "zzqx qqq", "a", "ß", "x" * 3000])]
+    df = spark.createDataFrame([(i, t, g, "s", 1) for i, t, g in rows], "doc_id bigint, text string, lang string, score string, n int")
+    got, want = language.identify(df).collect(), brute_language(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.lang_pred, r.held_out) == (want[r.doc_id][0], zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.score == pytest.approx(want[r.doc_id][1])
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    same = spark.createDataFrame([(i, "one two three", g) for i, g in ((1, "b"), (3, "a"), (4, "c"), (5, "b"), (7, "a"), (8, "c"))], "doc_id bigint, text string, lang string")
+    learnt = {r.lang for r in same.where(~language.held_out()).collect()}
+    assert len(learnt) > 1 and {r.lang_pred for r in language.identify(same).collect()} == {min(learnt)}
+
+
 def test_toxicity_held_out(spark, edge, empty):
     big = "/root/testdata/sf0.1"
     d, l = spark.read.parquet(f"{big}/documents.parquet").where("n_chars < 3000"), spark.read.parquet(f"{big}/labels.parquet")
