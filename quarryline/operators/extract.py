@@ -45,14 +45,33 @@ SKILLS = {
 TRIGGERS = {"Power BI": ["power", "powerbi"], "BigQuery": ["big", "bigquery"], "Spark": ["spark"], "AWS": ["aws", "amazon"], "GCP": ["gcp", "google"], "Java": ["java"], "Git": ["git", "github"], "Kubernetes": ["kubernetes", "k8s"], "ETL": ["etl", "elt"], "Machine Learning": ["machine", "ml"], "MongoDB": ["mongo", "mongodb"], "Scikit-learn": ["scikit", "scikitlearn", "sklearn"]}
 PREFERRED = r"preferred|nice to have|nice-to-have|a plus|bonus|desirable|would be great|ideally|familiarity with|exposure to|good to have"
 REQUIRED = r"required|must have|must possess|essential|mandatory|minimum qualification"
-_THIS = r"\bthis (?:position|role|job)"
-_IS = r"(?:is|will be|has been designated as)"
-_DAYS = r"(?:\d+|one|two|three|four|five)"
 UNCLEAR = [r"\bremote\s*/\s*on-?site\b", r"\bwork\s+from\s+home\s*/\s*hybrid\b", r"(?s)\bhybrid options\b.{0,220}\bin other locations\b.{0,180}\bwork from home\b"]
 ARRANGEMENTS = {
-    "hybrid": [rf"{_THIS} {_IS} (?:a\s+)?hybrid\b", r"\bremote type\s*:\s*this position is a hybrid of office/remote working\b", r"\bhybrid\s*-\s*\d+\s+days?\s+on-?site\b", r"\bhybrid\s+on-?site\b", rf"(?s)\bhybrid\b.{{0,180}}\b(?:minimum of\s+|at least\s+)?{_DAYS}\s+(?:office\s+)?days?\s+(?:per|each|a)\s+(?:week|month)\b", rf"(?s)\bon-?site\b.{{0,120}}\b{_DAYS}(?:\s*(?:to|-)\s*{_DAYS})?\s+days?\s+(?:a|per)\s+week\b", r"\bthis job will be on-?site weekly\b", r"\boffers a hybrid,\s*flexible environment\b"],
-    "remote": [rf"{_THIS} {_IS} (?:fully\s+|100%\s+)?remote\b", r"(?s)\bthis role is available\b.{0,250}\bremote usa\b", r"(?s)\bposition location\b.{0,250}\bremote usa\b", r"\b(?:united states|usa)\s*\|\s*remote\b", r"\bremote type\s*:\s*(?:fully\s+|100%\s+)?remote\b", rf"(?s){_THIS}\b.{{0,120}}\bwork(?:ing)? from home\b"],
-    "onsite": [rf"{_THIS} {_IS} (?:a\s+)?(?:fully\s+)?on-?site\b", r"\bmust be willing(?:/able| and able)? to work on-?site\b", r"\bworkplace type\s*:\s*on-?site\b", r"\bfull[-\s]+time on-?site\b", r"\bremote work is not available\b"],
+    "hybrid": [
+        r"\bthis (?:position|role|job) (?:is|will be|has been designated as) (?:a\s+)?hybrid\b",
+        r"\bremote type\s*:\s*this position is a hybrid of office/remote working\b",
+        r"\bhybrid\s*-\s*\d+\s+days?\s+on-?site\b",
+        r"\bhybrid\s+on-?site\b",
+        r"(?s)\bhybrid\b.{0,180}\b(?:minimum of\s+|at least\s+)?(?:\d+|one|two|three|four|five)\s+(?:office\s+)?days?\s+(?:per|each|a)\s+(?:week|month)\b",
+        r"(?s)\bon-?site\b.{0,120}\b(?:\d+|one|two|three|four|five)(?:\s*(?:to|-)\s*(?:\d+|one|two|three|four|five))?\s+days?\s+(?:a|per)\s+week\b",
+        r"\bthis job will be on-?site weekly\b",
+        r"\boffers a hybrid,\s*flexible environment\b",
+    ],
+    "remote": [
+        r"\bthis (?:position|role|job) (?:is|will be|has been designated as) (?:fully\s+|100%\s+)?remote\b",
+        r"(?s)\bthis role is available\b.{0,250}\bremote usa\b",
+        r"(?s)\bposition location\b.{0,250}\bremote usa\b",
+        r"\b(?:united states|usa)\s*\|\s*remote\b",
+        r"\bremote type\s*:\s*(?:fully\s+|100%\s+)?remote\b",
+        r"(?s)\bthis (?:position|role|job)\b.{0,120}\bwork(?:ing)? from home\b",
+    ],
+    "onsite": [
+        r"\bthis (?:position|role|job) (?:is|will be|has been designated as) (?:a\s+)?(?:fully\s+)?on-?site\b",
+        r"\bmust be willing(?:/able| and able)? to work on-?site\b",
+        r"\bworkplace type\s*:\s*on-?site\b",
+        r"\bfull[-\s]+time on-?site\b",
+        r"\bremote work is not available\b",
+    ],
 }
 CONDITIONAL = r"(?i)\bif this (?:position|role) (?:is listed as|necessitates)\b"
 #: Characters around a match in which hints count.

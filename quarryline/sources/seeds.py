@@ -4,22 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Technologies by name, category, pattern and order of display. "word" stands for the word
-# between characters that are neither letters a-z nor digits.
-_WORD = "(^|[^a-z0-9]){}([^a-z0-9]|$)"
-_QUERY, _BI, _CLOUD, _STORE, _BIG, _FLOW, _ML, _TOOLS = "Programming and query languages", "BI and visualization", "Cloud platforms", "Data platforms and warehouses", "Big data and streaming", "Transformation and orchestration", "Analytics and machine learning", "Engineering tools"
-_NAMED = [
-    ("SQL", _QUERY, "word", 1), ("Python", _QUERY, "word", 2), ("R", _QUERY, r"(r programming|r language|rstudio|python\s*/\s*r|r\s*/\s*python)", 3), ("Java", _QUERY, "word", 4), ("Scala", _QUERY, "word", 5),
-    ("Excel", _BI, "(microsoft excel|ms excel|word)", 10), ("Tableau", _BI, "word", 11), ("Power BI", _BI, r"power\s*bi", 12), ("Looker", _BI, "word", 13), ("Qlik", _BI, "(qlikview|qlik sense|word)", 14),
-    ("AWS", _CLOUD, "(amazon web services|word)", 20), ("Azure", _CLOUD, "(microsoft azure|word)", 21), ("Google Cloud", _CLOUD, "(google cloud platform|google cloud|" + _WORD.format("gcp") + ")", 22),
-    ("Snowflake", _STORE, "word", 30), ("Databricks", _STORE, "word", 31), ("BigQuery", _STORE, "(bigquery|big query)", 32), ("Redshift", _STORE, "(amazon redshift|word)", 33), ("PostgreSQL", _STORE, "(postgresql|postgres)", 34), ("MySQL", _STORE, "word", 35), ("Oracle", _STORE, "(oracle database|oracle sql|oracle db)", 36), ("MongoDB", _STORE, "word", 37), ("NoSQL", _STORE, "word", 38),
-    ("Apache Spark", _BIG, "(apache spark|pyspark)", 40), ("Hadoop", _BIG, "word", 41), ("Kafka", _BIG, "(apache kafka|word)", 42),
-    ("dbt", _FLOW, "word", 50), ("Airflow", _FLOW, "(apache airflow|word)", 51), ("Informatica", _FLOW, "word", 52), ("Alteryx", _FLOW, "word", 53),
-    ("SAS", _ML, "word", 60), ("Pandas", _ML, "word", 61), ("NumPy", _ML, "word", 62), ("Scikit-learn", _ML, "(scikit-learn|scikit learn|sklearn)", 63), ("TensorFlow", _ML, "word", 64), ("PyTorch", _ML, "word", 65),
-    ("Git", _TOOLS, "(github|gitlab|word)", 70), ("Docker", _TOOLS, "word", 71), ("Kubernetes", _TOOLS, "(kubernetes|" + _WORD.format("k8s") + ")", 72), ("Jira", _TOOLS, "word", 73),
-]
-#: (name, category, pattern, order), patterns to be read without regard to case.
-SKILL_PATTERNS = [(n, c, "(?i)" + p.replace("word", _WORD.format(n.lower())), d) for n, c, p, d in _NAMED]
+# Technologies as (name, category, pattern, order of display).
+SKILL_PATTERNS = [
+    ("SQL", "Programming and query languages", r"(?i)(^|[^a-z0-9])sql([^a-z0-9]|$)", 1),
+    ("Python", "Programming and query languages", r"(?i)(^|[^a-z0-9])python([^a-z0-9]|$)", 2),
+    ("R", "Programming and query languages", r"(?i)(r programming|r language|rstudio|python\s*/\s*r|r\s*/\s*python)", 3),
+    ("Java", "Programming and query languages", r"(?i)(^|[^a-z0-9])java([^a-z0-9]|$)", 4),
+    ("Scala", "Programming and query languages", r"(?i)(^|[^a-z0-9])scala([^a-z0-9]|$)", 5),
+    ("Excel", "BI and visualization", r"(?i)(microsoft excel|ms excel|(^|[^a-z0-9])excel([^a-z0-9]|$))", 10),
+    ("Tableau", "BI and visualization", r"(?i)(^|[^a-z0-9])tableau([^a-z0-9]|$)", 11),
+    ("Power BI", "BI and visualization", r"(?i)power\s*bi", 12),
+    ("Looker", "BI and visualization", r"(?i)(^|[^a-z0-9])looker([^a-z0-9]|$)", 13),
+    ("Qlik", "BI and visualization", r"(?i)(qlikview|qlik sense|(^|[^a-z0-9])qlik([^a-z0-9]|$))", 14),
+    ("AWS", "Cloud platforms", r"(?i)(amazon web services|(^|[^a-z0-9])aws([^a-z0-9]|$))", 20),
+    ("Azure", "Cloud platforms", r"(?i)(microsoft azure|(^|[^a-z0-9])azure([^a-z0-9]|$))", 21),
+    ("Google Cloud", "Cloud platforms", r"(?i)(google cloud platform|google cloud|(^|[^a-z0-9])gcp([^a-z0-9]|$))", 22),
+    ("Snowflake", "Data platforms and warehouses", r"(?i)(^|[^a-z0-9])snowflake([^a-z0-9]|$)", 30),
+    ("Databricks", "Data platforms and warehouses", r"(?i)(^|[^a-z0-9])databricks([^a-z0-9]|$)", 31),
+    ("BigQuery", "Data platforms and warehouses", r"(?i)(bigquery|big query)", 32),
+    ("Redshift", "Data platforms and warehouses", r"(?i)(amazon redshift|(^|[^a-z0-9])redshift([^a-z0-9]|$))", 33),
+    ("PostgreSQL", "Data platforms and warehouses", r"(?i)(postgresql|postgres)", 34),
+    ("MySQL", "Data platforms and warehouses", r"(?i)(^|[^a-z0-9])mysql([^a-z0-9]|$)", 35),
+    ("Oracle", "Data platforms and warehouses", r"(?i)(oracle database|oracle sql|oracle db)", 36),
+    ("MongoDB", "Data platforms and warehouses", r"(?i)(^|[^a-z0-9])mongodb([^a-z0-9]|$)", 37),
+    ("NoSQL", "Data platforms and warehouses", r"(?i)(^|[^a-z0-9])nosql([^a-z0-9]|$)", 38),
+    ("Apache Spark", "Big data and streaming", r"(?i)(apache spark|pyspark)", 40),
+    ("Hadoop", "Big data and streaming", r"(?i)(^|[^a-z0-9])hadoop([^a-z0-9]|$)", 41),
+    ("Kafka", "Big data and streaming", r"(?i)(apache kafka|(^|[^a-z0-9])kafka([^a-z0-9]|$))", 42),
+    ("dbt", "Transformation and orchestration", r"(?i)(^|[^a-z0-9])dbt([^a-z0-9]|$)", 50),
+    ("Airflow", "Transformation and orchestration", r"(?i)(apache airflow|(^|[^a-z0-9])airflow([^a-z0-9]|$))", 51),
+    ("Informatica", "Transformation and orchestration", r"(?i)(^|[^a-z0-9])informatica([^a-z0-9]|$)", 52),
+    ("Alteryx", "Transformation and orchestration", r"(?i)(^|[^a-z0-9])alteryx([^a-z0-9]|$)", 53),
+    ("SAS", "Analytics and machine learning", r"(?i)(^|[^a-z0-9])sas([^a-z0-9]|$)", 60),
+    ("Pandas", "Analytics and machine learning", r"(?i)(^|[^a-z0-9])pandas([^a-z0-9]|$)", 61),
+    ("NumPy", "Analytics and machine learning", r"(?i)(^|[^a-z0-9])numpy([^a-z0-9]|$)", 62),
+    ("Scikit-learn", "Analytics and machine learning", r"(?i)(scikit-learn|scikit learn|sklearn)", 63),
+    ("TensorFlow", "Analytics and machine learning", r"(?i)(^|[^a-z0-9])tensorflow([^a-z0-9]|$)", 64),
+    ("PyTorch", "Analytics and machine learning", r"(?i)(^|[^a-z0-9])pytorch([^a-z0-9]|$)", 65),
+    ("Git", "Engineering tools", r"(?i)(github|gitlab|(^|[^a-z0-9])git([^a-z0-9]|$))", 70),
+    ("Docker", "Engineering tools", r"(?i)(^|[^a-z0-9])docker([^a-z0-9]|$)", 71),
+    ("Kubernetes", "Engineering tools", r"(?i)(kubernetes|(^|[^a-z0-9])k8s([^a-z0-9]|$))", 72),
+    ("Jira", "Engineering tools", r"(?i)(^|[^a-z0-9])jira([^a-z0-9]|$)", 73),
+]
 
 # Role families by title, the first rule that matches.
 ROLE_FAMILIES = [
