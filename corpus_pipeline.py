@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import bpe, decontaminate, jaccard, pii, toxicity
-from quarryline.llm.common import shared_dir, table
+from quarryline.llm.common import cut, shared_dir, table
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,16 +18,13 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the rows that link, directly or over others, one stays: that with the smallest doc_id (null comes last; among
-    equal ids a hash of the row decides), once. Rows are told apart by all their columns, not by doc_id, so copies under
-    repeated or null ids go, too. Rows without words link with nothing: of equal ones, one stays."""
-    d = docs.alias("d")
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    hashes = F.xxhash64(*own), F.xxhash64(F.lit(1), *own)
-    row = F.struct(F.col("d.doc_id").isNull().alias("none"), F.col("d.doc_id").alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2"))
-    found = jaccard.jaccard_join(d.select(row.alias("doc_id"), "d.text"))
-    lead = found.where("doc_id = component_id").select("doc_id.id", "doc_id.h1", "doc_id.h2").distinct().alias("lead")
-    same = F.col("d.doc_id").eqNullSafe(F.col("lead.id")) & (hashes[0] == F.col("lead.h1")) & (hashes[1] == F.col("lead.h2"))
-    return d.join(lead, same, "left_semi").dropDuplicates()
+    equal ids the first row). Rows are numbered and told apart by number, not by doc_id, so copies under repeated or null
+    ids go, too. Rows without words link with nothing: of equal ones, one stays."""
+    rows = cut(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.monotonically_increasing_id().alias("row")), "numbered")
+    found = jaccard.jaccard_join(rows.select(F.col("row").alias("doc_id"), "d.text"))
+    told = found.join(rows.select("row", F.col("d.doc_id").alias("id")), found["doc_id"] == F.col("row"))
+    lead = told.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row")
+    return rows.join(lead, "row", "left_semi").select("d.*").dropDuplicates()
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
