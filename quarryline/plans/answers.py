@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources as S
+from ..functions import quantiles
 from ..operators import datasets as D
 from ..operators import extract as E
 from ..operators import market as M
@@ -128,6 +129,7 @@ QUERIES = {
     "benchmark_composition": lambda s, d: D.composition(benchmark(s, d), ["stratum", "pay_bucket"]),
     "role_skills_ranked": lambda s, d: M.ranked_skills(M.role_skills(roles(s, d), M.skill_mentions(roles(s, d)))),
     "titles_like": titles_like,
+    "salary_error_quantiles": lambda s, d: quantiles(scored(s, d).where("stratum = 'labeled_stated'"), ["method"], "salary_pct_error", {"median_error": 0.5, "p90_error": 0.9}, 4),
 }
 
 _CASE = lambda xs: "[" + ", ".join("null" if x is None else f"'{x}'" for x in xs) + "]"
@@ -174,5 +176,6 @@ SQL = {
     "top_extra_skills": f"with {_ITEMS}, x as (select method, unnest(list_filter(fa, lambda x: not list_contains(a, x))) skill from b), n as (select method, skill, count(*) extra from x group by all) select *, cast(row_number() over (partition by method order by extra desc, skill) as int) as rank from n qualify rank <= 12",
     "benchmark_composition": f"with {RAW}, {BASE}, {_BENCH} select stratum, pay_bucket, count(*) n, round(count(*) / (select count(*)::double from bench), 6) share from bench group by all",
     "role_skills_ranked": f"select role_family, skill_name, postings, cast(row_number() over (order by role_family <> 'All data roles', role_family, postings desc, display_order) as int) place from ({MARKET_SQL['role_skills']})",
+    "salary_error_quantiles": f"with {_SCORED} select method, round(quantile_cont(salary_pct_error, 0.5), 4) median_error, round(quantile_cont(salary_pct_error, 0.9), 4) p90_error from sc where stratum = 'labeled_stated' and salary_pct_error is not null group by 1",
     "titles_like": f"with {RAW}, " + f"p as (select unnest({_CASE(LIKE)}) pattern) select pattern, count(*) n from raw join p on title like pattern escape '\\' group by 1",
 }
