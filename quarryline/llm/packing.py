@@ -143,13 +143,30 @@ def sketch_order(size: int) -> np.ndarray:
     return out
 
 
-def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and their numbers."""
-    if not len(ids):
-        return ids, np.zeros(0, np.int64)
-    s = np.sort(ids)
-    at = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
-    return s[at[:-1]], np.diff(at)
+def _counted(packed: list[bytes], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of each document, one document after the other, their numbers, and where each document's begin."""
+    owner = np.repeat(np.arange(len(packed), dtype=np.uint64), [len(p) // dtype.itemsize for p in packed])
+    bits = np.uint64(8 * dtype.itemsize)
+    key = owner << bits | np.frombuffer(b"".join(packed), dtype)
+    if len(packed) << int(bits) < 1 << 32:
+        key = key.astype(np.uint32)
+    key.sort()
+    at = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64), [len(key)]])
+    found = key[at[:-1]].astype(np.uint64)
+    begins = np.searchsorted(found >> bits, np.arange(len(packed) + 1, dtype=np.uint64))
+    return found.astype(dtype), at[1:] - at[:-1], begins
+
+
+def _two_first(places: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and next smallest place of each document's terms; -1 where there is none."""
+    low, next_ = np.full(len(begins) - 1, -1), np.full(len(begins) - 1, -1)
+    some = np.flatnonzero(begins[1:] > begins[:-1])
+    if len(some):
+        low[some] = np.minimum.reduceat(places, begins[some])
+        rest = np.where(places == np.repeat(low, begins[1:] - begins[:-1]), np.iinfo(np.int64).max, places)
+        least = np.minimum.reduceat(rest, begins[some])
+        next_[some] = np.where(least == np.iinfo(np.int64).max, -1, least)
+    return low, next_
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,22 +184,23 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
         book, task = encoder(vocabulary), TaskContext.get().partitionId()
         size = book.library.get_vocab_size()
         df, row, windows, kinds, first = np.zeros(size, np.int64), task << 40, 0, None, sketch_order(size)
-        longs = pa.list_(pa.int64())
+        longs, end = pa.list_(pa.int64()), np.array([end_id], book.dtype).tobytes()
         types = [pa.int64()] * 3 + [longs, pa.list_(pa.binary())] + [pa.int64()] * 2 + [pa.binary()] * 3 + [longs] * 2
         for b in batches:
             kinds = b.schema.field(0).type
             out = []
-            for packed in book.encode_all(b.column(1).to_pylist()):
-                ids = np.frombuffer(packed, book.dtype)
-                terms, counts = _counted(ids)
-                df[terms] += 1
-                places = np.partition(first[terms], 1)[:2].tolist() if len(terms) > 1 else [*first[terms].tolist(), -1, -1]
-                ids = np.append(ids, np.array([end_id], book.dtype))
+            coded_ids = book.encode_all(b.column(1).to_pylist())
+            terms, counts, begins = _counted(coded_ids, book.dtype)
+            df += np.bincount(terms, minlength=size)
+            low, next_ = _two_first(first[terms], begins)
+            terms, counts, w = terms.tobytes(), counts.astype("<u4").tobytes(), book.dtype.itemsize
+            for packed, s1, s2, x, y in zip(coded_ids, low.tolist(), next_.tolist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                ids = np.frombuffer(packed + end, book.dtype)
                 full = len(ids) // window
                 whole = [wide(ids[i * window : (i + 1) * window]) for i in range(full)]
-                rest = ids[full * window :]
+                rest = packed[full * window * w :] + end
                 # sequences of whole windows have even numbers, packed ones odd ones
-                out.append((row, len(ids), task << 32 | windows, [zlib.crc32(w) for w in whole], whole if with_ids else None, places[0], places[1], rest.tobytes() if len(rest) else None, terms.tobytes(), counts.astype("<u4").tobytes(), None, None))
+                out.append((row, len(ids), task << 32 | windows, [zlib.crc32(v) for v in whole], whole if with_ids else None, s1, s2, rest if len(ids) % window else None, terms[x * w : y * w], counts[4 * x : 4 * y], None, None))
                 row, windows = row + 1, windows + full
             if out:
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=names)
