@@ -37,3 +37,8 @@ def test_one_row_group_is_many_tasks(spark, tmp_path):
     dealt = S.spread(S.table(spark, f"file://{tmp_path}", "t"), "id")
     sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 60 and max(r["count"] for r in sizes) < 2_000_000 / 30
+
+
+def test_patterns_meet_texts_without_a_broadcast(spark):
+    plan = planned(QUERIES["pattern_mentions"](spark, DATA))
+    assert "BroadcastHashJoin [job_id" not in plan and "BroadcastHashJoin [_word" not in plan and "BroadcastHashJoin [_gram" not in plan
