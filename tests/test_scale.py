@@ -42,3 +42,11 @@ def test_one_row_group_is_many_tasks(spark, tmp_path):
 def test_patterns_meet_texts_without_a_broadcast(spark):
     plan = planned(QUERIES["pattern_mentions"](spark, DATA))
     assert "BroadcastHashJoin [job_id" not in plan and "BroadcastHashJoin [_word" not in plan and "BroadcastHashJoin [_gram" not in plan
+
+
+def test_quality_rules_join_without_a_broadcast(spark):
+    a, b = spark.range(100).withColumnRenamed("id", "k"), spark.range(50, 200).withColumnRenamed("id", "k")
+    pairs = b.select("k", F.lit("m").alias("method"))
+    for df, want in ((Q.all_present("x", a, b, "k"), 50), (Q.no_overlap("x", a, b, "k"), 50), (Q.missing_pairs("x", a, pairs, ["m"], "k"), 50)):
+        assert "BroadcastHashJoin" not in planned(df) and df.first().failures == want
+    assert "BroadcastHashJoin" not in planned(QUERIES["mart_quality"](spark, DATA))
