@@ -8,8 +8,12 @@ map-side: memory follows the number of draws, not items, and no row is sampled a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,45 @@ def weights(key: str = "job_id", draws: int = 200, seed: int = 42) -> Column:
     return F.slice(F.transform(numbers, weight), 1, draws)
 
 
+_DRAWN = "metric string, method string, draw int, num double, den double, bnum double, bden double"
+
+
+def _weighted(draws: int, seed: int):
+    """Rows ``key, metric, method, num, den, bnum, bden`` to the sums of each draw that the task's rows have any weight in, by metric and
+    method: the weights of ``weights``, a batch of items at once. Memory follows draws and methods, not rows."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [f":{b}".encode() for b in range(-(-draws // PER_DIGEST))]
+        steps = np.array(THRESHOLDS, dtype=np.uint32)
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).dictionary_encode()
+            heads = [md5(f"{seed}:{k}".encode()) for k in keys.dictionary.to_pylist()]
+            digests = []
+            for head in heads:
+                for block in blocks:
+                    h = head.copy()
+                    h.update(block)
+                    digests.append(h.digest())
+            numbers = np.frombuffer(b"".join(digests), dtype=">u4").reshape(len(heads), -1)[:, :draws]
+            weight = np.searchsorted(steps, numbers.astype(np.uint32), side="right").astype(np.float64)[keys.indices.to_numpy()]
+            values = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)] + [np.ones(batch.num_rows)])
+            named = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            places: dict[tuple, list[int]] = {}
+            for i, name in enumerate(named):
+                places.setdefault(name, []).append(i)
+            for name, at in places.items():
+                total[name] = total.get(name, 0.0) + weight[at].T @ values[at]
+        for (metric, method), sums in total.items():
+            hit = np.flatnonzero(sums[:, 4] > 0)
+            same = lambda x: pa.array([x] * len(hit), pa.string())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([same(metric), same(method), pa.array(hit.astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[hit, c])) for c in range(4))], names=["metric", "method", "draw", "num", "den", "bnum", "bden"])
+
+    return told
+
+
 def cells(items: DataFrame, metrics: dict[str, tuple[Column, Column]], key: str = "job_id") -> DataFrame:
     """``key, method, metric, num, den``: each metric as a ratio of sums over items."""
     each = F.array(*(F.struct(F.lit(m).alias("metric"), n.cast("double").alias("num"), d.cast("double").alias("den")) for m, (n, d) in metrics.items()))
@@ -65,8 +108,8 @@ def bootstrap(ratios: DataFrame, baseline: str, draws: int = 200, seed: int = 42
     sums = lambda w: [F.sum(F.col(c) * w).alias(c) for c in ("num", "den", "bnum", "bden")]
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(empty))
     difference = (ratio("num", "den") - ratio("bnum", "bden")).alias("difference")
-    drawn = both.select("metric", "method", "num", "den", "bnum", "bden", F.posexplode(weights(key, draws, seed)).alias("draw", "w")).where("w > 0")
-    spread = drawn.groupBy("metric", "method", "draw").agg(*sums(F.col("w"))).select("metric", "method", difference)
+    drawn = both.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), "metric", "method", "num", "den", "bnum", "bden").mapInArrow(_weighted(draws, seed), _DRAWN)
+    spread = drawn.groupBy("metric", "method", "draw").agg(*(F.sum(c).alias(c) for c in ("num", "den", "bnum", "bden"))).select("metric", "method", difference)
     ends = quantiles(spread, ["metric", "method"], "difference", {"ci_low": 0.025, "ci_high": 0.975}, None)
     whole = both.groupBy("metric", "method").agg(F.count("*").alias("n"), *sums(F.lit(1.0))).select("metric", "method", "n", difference)
     out = whole.join(ends, ["metric", "method"])

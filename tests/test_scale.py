@@ -39,6 +39,18 @@ def test_one_row_group_is_many_tasks(spark, tmp_path):
     assert len(sizes) > 60 and max(r["count"] for r in sizes) < 2_000_000 / 30
 
 
+def test_draws_are_those_of_the_weights(spark):
+    """Sums by batches equal those of the weights as columns, for draws that aren't a multiple of a digest's numbers."""
+    rows = spark.range(300).select(F.col("id").alias("job_id"), F.lit("f").alias("metric"), F.lit("m").alias("method"), (F.col("id") % 3).cast("double").alias("num"), F.lit(2.0).alias("den"), (F.col("id") % 5).cast("double").alias("bnum"), F.lit(4.0).alias("bden"))
+    columns = ("num", "den", "bnum", "bden")
+    want = rows.select(*columns, F.posexplode(R.weights("job_id", 10, 7)).alias("draw", "w")).where("w > 0").groupBy("draw").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in columns))
+    got = rows.select(F.col("job_id").cast("string"), "metric", "method", *columns).mapInArrow(R._weighted(10, 7), R._DRAWN).groupBy("draw").agg(*(F.sum(c).alias(c) for c in columns))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    few = rows.where("job_id = 3").select(F.col("job_id").cast("string"), "metric", "method", *columns).mapInArrow(R._weighted(10, 7), R._DRAWN)
+    zero = [i for i, w in enumerate(rows.where("job_id = 3").select(R.weights("job_id", 10, 7).alias("w")).first().w) if not w]
+    assert zero and not set(zero) & {r.draw for r in few.collect()}
+
+
 def test_patterns_meet_texts_without_a_broadcast(spark):
     plan = planned(QUERIES["pattern_mentions"](spark, DATA))
     assert "BroadcastHashJoin [job_id" not in plan and "BroadcastHashJoin [_word" not in plan and "BroadcastHashJoin [_gram" not in plan
