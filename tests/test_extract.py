@@ -98,3 +98,15 @@ def test_strict_arrangements(spark):
 def test_document_facts_keep_every_row(spark):
     data = "/root/testdata/sf0.001"
     assert QUERIES["document_facts"](spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_phrases_are_looked_for_where_their_words_are(spark):
+    """Every pattern's needed words are in the lower-cased text of what it matches, and a text without them isn't searched."""
+    from quarryline.operators.patterns import wanted
+
+    assert wanted(E.ARRANGEMENTS["hybrid"][0]) and all(wanted(p) for ps in [*E.ARRANGEMENTS.values(), E.UNCLEAR, E.PERIOD_HINTS.values()] for p in ps)
+    texts = [("We need POSTGRES and Sql. Postgre is a Plus, mandatory", 0), ("postgresql nice-to-have", 0), ("none", 0)]
+    got = values(spark, texts, E.skills())
+    assert [sorted(v.required + v.preferred) for v in got] == [["PostgreSQL", "SQL"], ["PostgreSQL"], []] and got[1].preferred == ["PostgreSQL"]
+    low = spark.createDataFrame([("this role is hybrid",), ("a role that is",), ("Hybrid".lower(),)], "t string").select(E.may(F.col("t"), E.ARRANGEMENTS["hybrid"][0]).alias("v")).collect()
+    assert [r.v for r in low] == [True, False, False]
