@@ -7,6 +7,7 @@ map-side: memory follows the number of draws, not items, and no row is sampled a
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -14,11 +15,9 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import quantiles
-
 #: Weights from one digest: eight hexadecimal digits each.
 PER_DIGEST = 4
 
@@ -43,49 +42,53 @@ def weights(key: str = "job_id", draws: int = 200, seed: int = 42) -> Column:
     return F.slice(F.transform(numbers, weight), 1, draws)
 
 
-_DRAWN = "metric string, method string, draw int, num double, den double, bnum double, bden double"
+_DRAWN = "metric string, method string, draw int, num double, den double, bnum double, bden double, n double"
+#: The draw that is none: every item once.
+WHOLE = -1
 
 
-def _weighted(draws: int, seed: int):
+def _weighted(draws: int, seed: int, whole: bool = False):
     """Rows ``key, metric, method, num, den, bnum, bden`` to the sums of each draw that the task's rows have any weight in, by metric and
-    method: the weights of ``weights``, a batch of items at once. Memory follows draws and methods, not rows."""
+    method, and to those of every row once if ``whole``: the weights of ``weights``, a batch of items at once. An item's rows are
+    added up first, so its weights are drawn once a batch, whatever its metrics and methods. Memory follows draws and methods, not rows."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [f":{b}".encode() for b in range(-(-draws // PER_DIGEST))]
-        steps = np.array(THRESHOLDS, dtype=np.uint32)
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).dictionary_encode()
-            heads = [md5(f"{seed}:{k}".encode()) for k in keys.dictionary.to_pylist()]
+            keys, metrics, methods = (batch.column(i).dictionary_encode() for i in range(3))
             digests = []
-            for head in heads:
+            for k in keys.dictionary.to_pylist():
+                head = md5(f"{seed}:{k}".encode(), usedforsecurity=False)
                 for block in blocks:
                     h = head.copy()
                     h.update(block)
                     digests.append(h.digest())
-            numbers = np.frombuffer(b"".join(digests), dtype=">u4").reshape(len(heads), -1)[:, :draws]
-            weight = np.searchsorted(steps, numbers.astype(np.uint32), side="right").astype(np.float64)[keys.indices.to_numpy()]
-            values = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)] + [np.ones(batch.num_rows)])
-            named = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            places: dict[tuple, list[int]] = {}
-            for i, name in enumerate(named):
-                places.setdefault(name, []).append(i)
-            for name, at in places.items():
-                total[name] = total.get(name, 0.0) + weight[at].T @ values[at]
+            numbers = np.frombuffer(b"".join(digests), dtype=">u4").reshape(len(keys.dictionary), -1)[:, :draws].astype(np.uint32)
+            weight = np.zeros(numbers.shape, np.uint8)
+            for least in THRESHOLDS:
+                weight += numbers >= least
+            weight = np.column_stack([weight.astype(np.float64), np.ones(len(weight))])
+            names = list(itertools.product(metrics.dictionary.to_pylist(), methods.dictionary.to_pylist()))
+            cell = (keys.indices.to_numpy().astype(np.int64) * len(metrics.dictionary) + metrics.indices.to_numpy()) * len(methods.dictionary) + methods.indices.to_numpy()
+            values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)] + [np.ones(batch.num_rows)]
+            sums = [weight.T @ np.bincount(cell, v, len(weight) * len(names)).reshape(len(weight), len(names)) for v in values]
+            for i, name in enumerate(names):
+                total[name] = total.get(name, 0.0) + np.column_stack([s[:, i] for s in sums])
         for (metric, method), sums in total.items():
-            hit = np.flatnonzero(sums[:, 4] > 0)
+            hit = np.flatnonzero(sums[: draws + whole, 4] > 0)
             same = lambda x: pa.array([x] * len(hit), pa.string())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([same(metric), same(method), pa.array(hit.astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[hit, c])) for c in range(4))], names=["metric", "method", "draw", "num", "den", "bnum", "bden"])
+            yield pa.RecordBatch.from_arrays([same(metric), same(method), pa.array(np.where(hit < draws, hit, WHOLE).astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[hit, c])) for c in range(5))], names=["metric", "method", "draw", "num", "den", "bnum", "bden", "n"])
 
     return told
 
 
 def cells(items: DataFrame, metrics: dict[str, tuple[Column, Column]], key: str = "job_id") -> DataFrame:
-    """``key, method, metric, num, den``: each metric as a ratio of sums over items."""
-    each = F.array(*(F.struct(F.lit(m).alias("metric"), n.cast("double").alias("num"), d.cast("double").alias("den")) for m, (n, d) in metrics.items()))
-    return items.select(key, "method", F.inline(each))
+    """``key, method, cells``: each metric as a ratio of sums over items, ``cells.<metric>.num`` and ``.den``."""
+    each = F.struct(*(F.struct(n.cast("double").alias("num"), d.cast("double").alias("den")).alias(m) for m, (n, d) in metrics.items()))
+    return items.select(key, "method", each.alias("cells"))
 
 
 def mean(column: str) -> tuple[Column, Column]:
@@ -97,22 +100,38 @@ def micro_f1(scope: str) -> tuple[Column, Column]:
     return 2 * tp, 2 * tp + fp + fn
 
 
+def paired(ratios: DataFrame, baseline: str, key: str) -> DataFrame:
+    """``key, metric, method, num, den, bnum, bden``: each method's cell beside the baseline's, of items for which the baseline has
+    just one. Rows meet by a window over the key alone, before metrics become rows, so those that lie by key already are neither
+    exchanged nor sorted. A row without a key is no item."""
+    by, own = Window.partitionBy(key), F.col("method") == baseline
+    metrics = ratios.schema["cells"].dataType.names
+    whole = {m: F.col(f"cells.`{m}`.num").isNotNull() & F.col(f"cells.`{m}`.den").isNotNull() for m in metrics}
+    beside = {f"_b{i}": F.struct(*(F.max(F.when(own & whole[m], F.col(f"cells.`{m}`.{c}"))).over(by).alias(f"b{c}") for c in ("num", "den")), F.count_if(own & whole[m]).over(by).alias("bases")) for i, m in enumerate(metrics)}
+    met = ratios.where(F.col(key).isNotNull()).withColumns(beside).where(F.col("method") != baseline)
+    rows = [F.struct(F.lit(m).alias("metric"), *(F.col(f"cells.`{m}`.{c}").alias(c) for c in ("num", "den")), *(F.col(f"_b{i}.{c}").alias(c) for c in ("bnum", "bden", "bases"))) for i, m in enumerate(metrics)]
+    return met.select(key, "method", F.inline(F.array(*rows))).where("bases = 1 and num is not null and den is not null").select(key, "metric", "method", "num", "den", "bnum", "bden")
+
+
 def bootstrap(ratios: DataFrame, baseline: str, draws: int = 200, seed: int = 42, empty: float = 1.0, key: str = "job_id") -> DataFrame:
     """``method, metric, n, difference, ci_low, ci_high, excludes_zero``: each method's ratio of sums less the
     baseline's, with a 95 % percentile interval, over items that both have (``ratios``: see ``cells``; null leaves a pair
-    out). A ratio of nothing is ``empty``."""
-    pair = F.collect_list(F.struct("method", "num", "den"))
-    met = ratios.where("num is not null and den is not null").groupBy(key, "metric").agg(pair.alias("p"))  # a row a method
-    base = F.filter("p", lambda x: x["method"] == baseline)
-    both = met.where(F.size(base) == 1).select(key, "metric", base[0].alias("b"), F.explode(F.filter("p", lambda x: x["method"] != baseline)).alias("o")).select(key, "metric", "o.method", "o.num", "o.den", F.col("b.num").alias("bnum"), F.col("b.den").alias("bden"))
-    sums = lambda w: [F.sum(F.col(c) * w).alias(c) for c in ("num", "den", "bnum", "bden")]
+    out). A ratio of nothing is ``empty``. Items are read once, for the draws and the whole alike."""
+    both = paired(ratios, baseline, key).withColumn(key, F.col(key).cast("string"))
+    drawn = both.mapInArrow(_weighted(draws, seed, True), _DRAWN)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(empty))
-    difference = (ratio("num", "den") - ratio("bnum", "bden")).alias("difference")
-    drawn = both.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), "metric", "method", "num", "den", "bnum", "bden").mapInArrow(_weighted(draws, seed), _DRAWN)
-    spread = drawn.groupBy("metric", "method", "draw").agg(*(F.sum(c).alias(c) for c in ("num", "den", "bnum", "bden"))).select("metric", "method", difference)
-    ends = quantiles(spread, ["metric", "method"], "difference", {"ci_low": 0.025, "ci_high": 0.975}, None)
-    whole = both.groupBy("metric", "method").agg(F.count("*").alias("n"), *sums(F.lit(1.0))).select("metric", "method", "n", difference)
-    out = whole.join(ends, ["metric", "method"])
+    difference = ratio("num", "den") - ratio("bnum", "bden")
+    sums = drawn.groupBy("metric", "method", "draw").agg(*(F.sum(c).alias(c) for c in ("num", "den", "bnum", "bden", "n"))).select("metric", "method", "draw", "n", difference.alias("difference"))
+    of_all, spread = F.col("draw") == WHOLE, F.sort_array(F.collect_list(F.when(F.col("draw") != WHOLE, F.col("difference"))))  # a number a draw
+    found = sums.groupBy("metric", "method").agg(F.max(F.when(of_all, F.col("n"))).cast("bigint").alias("n"), F.max(F.when(of_all, F.col("difference"))).alias("difference"), spread.alias("_spread"))
+
+    def end(q: float) -> Column:
+        """The interpolated quantile of the draws."""
+        place = (F.size("_spread") - 1) * F.lit(q)
+        low, high = (F.get("_spread", f(place).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    out = found.select("metric", "method", "n", "difference", end(0.025).alias("ci_low"), end(0.975).alias("ci_high")).where("ci_low is not null")
     return out.withColumn("excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline import sources as S
+from quarryline.operators import normalise as N
 from quarryline.operators import quality as Q
 from quarryline.operators import resampling as R
+from quarryline.operators import scoring as C
 from quarryline.plans import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -62,3 +64,32 @@ def test_quality_rules_join_without_a_broadcast(spark):
     for df, want in ((Q.all_present("x", a, b, "k"), 50), (Q.no_overlap("x", a, b, "k"), 50), (Q.missing_pairs("x", a, pairs, ["m"], "k"), 50)):
         assert "BroadcastHashJoin" not in planned(df) and df.first().failures == want
     assert "BroadcastHashJoin" not in planned(QUERIES["mart_quality"](spark, DATA))
+
+
+def test_bootstrap_reads_items_once(spark):
+    """Draws and whole sums come from the same pairs, which meet by posting without another exchange or sort."""
+    items = QUERIES["item_scores"](spark, DATA)
+    plan = R.bootstrap(R.cells(items, {s: R.micro_f1(s) for s in ("required", "any_skill")}), "rules", 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("SortMergeJoin") == 1
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan).count("o_orderkey") == 2 and "hashpartitioning(job_id" not in plan
+    exact = C.paired(items, ["work_correct", "years_exact"], "rules")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(job_id" not in exact and "Sort [job_id" in exact and not re.search(r"Sort \[job_id[^\]]*, metric", exact)
+
+
+def test_pairs_need_one_baseline(spark):
+    """Items with two baselines, none, an unknown score or no key are in no pair; metrics are paired each for itself."""
+    rows = [(1, "rules", 1, 1), (1, "a", 0, 1), (2, "rules", 1, None), (2, "a", 1, 1), (3, "rules", 1, 1), (3, "rules", 0, 0), (3, "a", 1, 1), (4, "a", 1, 1), (None, "rules", 1, 1), (None, "a", 0, 0), (5, "rules", 0, 0), (5, "a", 1, None), (5, "b", 0, 1)]
+    items = spark.createDataFrame(rows, "job_id int, method string, x int, y int").repartition(3)
+    got = {(r.metric, r.method): (r.n, r.difference) for r in R.bootstrap(R.cells(items, {m: R.mean(m) for m in ("x", "y")}), "rules", 40).collect()}
+    assert got == {("x", "a"): (3, pytest.approx(0.0)), ("x", "b"): (1, 0.0), ("y", "a"): (1, 0.0), ("y", "b"): (1, 1.0)}
+
+
+def test_plain_lists_are_only_split(spark):
+    """The shorter way gives what the longer one gives, for plain and odd lists."""
+    texts = ["sql, python", "sql,sql", "b, a,c", "a,  b", "a ,b", "a,", ",a", "", " ", "none", "None", "none, sql", "null", "[]", "[sql]", '["SQL", "b"]', "power bi, sql", "powerbi, sql", "k8s", "mypostgres", "mssql,postgres", "python 3, excel", "R", "ml;sql|x", "a\nb", "a\n", "é, a", None, ",".join(f"w{i}" for i in range(20000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", N.listed_skills(F.col("t")).alias("a"), N.skill_set(N.parse_list(F.col("t"))).alias("b")).collect():
+        assert r.a == r.b, r.t
+    assert [r.v for r in spark.createDataFrame([("Remote",), ("remote",), ("Unclear",), (None,)], "t string").select(N.work(F.col("t")).alias("v")).collect()] == ["Remote", "Remote", "Unclear", "Unclear"]
+    # columns of predictions that nobody asks for aren't made
+    assert "tableau" in planned(S.found(spark, DATA)) and "tableau" not in planned(S.found(spark, DATA).select("job_id", "method", "years_experience_min"))
