@@ -110,3 +110,39 @@ def test_phrases_are_looked_for_where_their_words_are(spark):
     assert [sorted(v.required + v.preferred) for v in got] == [["PostgreSQL", "SQL"], ["PostgreSQL"], []] and got[1].preferred == ["PostgreSQL"]
     low = spark.createDataFrame([("this role is hybrid",), ("a role that is",), ("Hybrid".lower(),)], "t string").select(E.may(F.col("t"), E.ARRANGEMENTS["hybrid"][0]).alias("v")).collect()
     assert [r.v for r in low] == [True, False, False]
+
+
+def test_equal_texts_are_read_once(spark):
+    """Every posting keeps its row, whatever texts it shares; equal ones are read once, and only keys and digests are shuffled."""
+    texts = [None, "", "-", "5 years of experience with SQL. " + "and so on " * 30, "This position is hybrid. " + "x" * 300, "$50 an hour"]
+    rows = [(i, ["Senior Analyst", None, "1:"][i % 3], texts[i % len(texts)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "job_id bigint, title string, description string").repartition(5)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    make = lambda p: E.records(p, "title", "description").drop("evidence")
+    got = E.once(df, "job_id", ["title", "description"], lambda p: make(p.mapInArrow(counted, p.schema)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, make(df).collect()))
+    assert reads.value < 600  # short inputs are parted, long ones are read once
+    long = E.once(df.where("length(description) > 200"), "job_id", ["description"], lambda p: p.select("job_id", F.lit(1).alias("x")))
+    assert long.count() == 200
+    plan = QUERIES["posting_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "isnotnull(unhex" not in plan.optimizedPlan().toString() and "ShuffledHashJoin" in plan.executedPlan().toString()
+
+
+def test_patterns_begin_where_they_may(spark):
+    """Led patterns match where the plain ones do; needed words are whole where alternatives begin alike."""
+    from quarryline.operators import patterns as P
+
+    assert P.needed(r"\bmachine learning\b|\bml\b") == ["learning", "ml"] and P.needed(r"\bgit\b|\bgithub\b") == ["git"]
+    assert P.begun(r"\bon-?site\b") == r"on(?<=\bon)-?site\b" and P.begun(r"\bmails?\b") == r"mail(?<=\bmail)s?\b" and P.led("[^a]b") == "[^a]b" and P.led("a|") == "a|"
+    every = [*E.SKILLS.values(), *E.PERIOD_HINTS.values(), E.YEARS, *E.UNCLEAR, *(p for ps in E.ARRANGEMENTS.values() for p in ps)]
+    some = ["MySQL sql", "Machine Learning", "html ml", "PowerBI", "power -bi", "/hr", "an  hour", "BI-weekly", "3 - 5 yrs", "12345 years", "remote/on-site", "USA | Remote", "on-site two to 3 days a week", "athis role is remote; this role is remote", "Hybrid 2 days each week", "éml ml", "postgresql"]
+    texts = spark.createDataFrame([(t,) for t in some], "t string")
+    for p in every:
+        a, b = (F.split("t", f"(?i){x}", -1) for x in (p, P.led(p)))
+        assert texts.where(a != b).count() == 0, p
