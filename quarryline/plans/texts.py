@@ -62,7 +62,7 @@ QUERIES = {
     "extract_seniority": _one(lambda: E.seniority(), "level"),
     "extract_years": _one(lambda: E.years("description"), "least"),
     "extract_arrangement": _one(lambda: E.arrangement("description"), "arrangement"),
-    "extract_skills": lambda s, d: _postings(s, d).select("job_id", E.skills("description").alias("x")).select("job_id", F.array_join("x.required", ",").alias("required"), F.array_join("x.preferred", ",").alias("preferred"), F.size("x.evidence").alias("n_evidence")),
+    "extract_skills": lambda s, d: E.looked_at(_postings(s, d), "description").select("job_id", E.skills("description", seen=E.beside()).alias("x")).select("job_id", F.array_join("x.required", ",").alias("required"), F.array_join("x.preferred", ",").alias("preferred"), F.size("x.evidence").alias("n_evidence")),
     "canonical_skill": _over_orders([a for a, _ in SKILL_NAMES], skill=N.canonical_skill),
     "normalised_work": _over_orders([a for a, _ in WORK_NAMES], work=N.work),
     "normalised_years": _over_orders([a for a, _ in YEAR_NAMES], years=N.years),

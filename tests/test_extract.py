@@ -146,3 +146,37 @@ def test_patterns_begin_where_they_may(spark):
     for p in every:
         a, b = (F.split("t", f"(?i){x}", -1) for x in (p, P.led(p)))
         assert texts.where(a != b).count() == 0, p
+
+
+def test_skills_by_columns_beside_the_text(spark):
+    """One look beside the text gives what the text alone gives, whatever its characters; first places are found in a projection of
+    their own, not inside a lambda."""
+    some = [None, "", "SQL", "Kafka İ PYTHON required, exposure to ÉTL", "é" * 300 + "sql is a plus" + "x" * 240 + "required", "😀 Git and GITHUB preferred 😀 bonus: Javascript, java; aws", "nice to havexposure to dbt. Must have dbt or Power-BI", "a plus a plus SPARK bonus a plus", "x" * 400 + " Apache  Spark " + "preferred" + "y" * 300 + "required machine learning ML", "mandatory\nexcel\x00 ideally\tElt\x85 sas", "REQUIRED " * 40 + "vba" + " PREFERRED" * 40]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(some * 2)], "i int, text string")
+    own = E.SKILLS | {"Any": "[x-z]", "Upper": "SQL|Dbt", "None": "qqq", "Class": r"excel[^a-z]", "Flag": "(?-i)Javascript"}
+    for patterns in (E.SKILLS, own):
+        beside = E.looked_at(texts, "text", patterns).select("i", E.skills("text", patterns, seen=E.beside()).alias("x"))
+        alone = texts.select("i", E.skills("text", patterns).alias("x"))
+        assert sorted(map(str, beside.collect())) == sorted(map(str, alone.collect()))
+    plan = E.looked_at(texts, "text").select(E.skills(seen=E.beside()))._jdf.queryExecution().executedPlan().toString()
+    made = next(line for line in plan.splitlines() if "AS _found" in line)
+    assert "flatten(array(" in made and "transform(_found" not in made
+
+
+def test_patterns_in_lower_case(spark):
+    """Which patterns may be looked for as they are in a lower-cased text; what is one of several alternatives isn't begun with the first."""
+    from quarryline.operators import patterns as P
+
+    assert all(map(P.caseless, E.SKILLS.values())) and not any(map(P.caseless, ("A", "[@-_]", r"\x41", r"\S", "(?i)a", "(?-i)a", r"\1")))
+    assert P.led(r"\baws\b|\bamazon\b") == r"(?=[a])(?:\baws\b|\bamazon\b)" and P.led(r"\bthis (?:a|b)") == r"this (?<=\bthis )(?:a|b)"
+
+
+def test_strings_of_one_number_are_one_look(spark):
+    """Texts hold what they hold however many strings begin alike; strings of one number are asked for together."""
+    from quarryline.operators import patterns as P
+
+    words = sorted({*E.searched(E.SKILLS), "ab", "abc", "abcd", "bc"})
+    texts = ["abcab", "", None, "ab", "xbc", "a", "power sql", "ed" * 50 + "required", "é", " ".join(words)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).withColumn("h", P.occurring(words)("t")).select("i", *(P.holds(F.col("h"), words, [w]).alias(f"w{k}") for k, w in enumerate(words))).orderBy("i").collect()
+    assert [list(r)[1:] for r in got] == [[None if t is None else w in t for w in words] for t in texts]
+    assert P.holds(F.col("h"), words, words)._jc.toString().count("&") == -(-len(words) // P.BITS)
