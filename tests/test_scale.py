@@ -1,5 +1,6 @@
 """What larger tables need: joins that keep made-up columns away from the driver, and work dealt out by rows."""
 
+import hashlib
 import re
 
 import duckdb
@@ -93,3 +94,10 @@ def test_plain_lists_are_only_split(spark):
     assert [r.v for r in spark.createDataFrame([("Remote",), ("remote",), ("Unclear",), (None,)], "t string").select(N.work(F.col("t")).alias("v")).collect()] == ["Remote", "Remote", "Unclear", "Unclear"]
     # columns of predictions that nobody asks for aren't made
     assert "tableau" in planned(S.found(spark, DATA)) and "tableau" not in planned(S.found(spark, DATA).select("job_id", "method", "years_experience_min"))
+
+
+def test_digests_are_the_interpreters_own():
+    """Weights are drawn with the interpreter's own digest, where there is one; it is the usual one."""
+    own = pytest.importorskip("_md5")
+    assert R.md5 is own.md5
+    assert all(R.md5(x, usedforsecurity=False).digest() == hashlib.md5(x, usedforsecurity=False).digest() for x in (b"", b"42:1:0", "42:é".encode() * 40))
