@@ -101,3 +101,34 @@ def test_digests_are_the_interpreters_own():
     own = pytest.importorskip("_md5")
     assert R.md5 is own.md5
     assert all(R.md5(x, usedforsecurity=False).digest() == hashlib.md5(x, usedforsecurity=False).digest() for x in (b"", b"42:1:0", "42:é".encode() * 40))
+
+
+def test_items_are_scored_as_by_sets(spark):
+    """Counts from arrays that may be null, empty, out of order, and have nulls and repeated names; sets are put in order before they meet."""
+    lists = [None, [], ["a"], ["a", "a"], ["b", "a"], ["a", "b", "c"], [None, "a"], ["c", None, None]]
+    pairs = [(a, b) for a in lists for b in lists]
+    kinds = "required array<string>, preferred array<string>, work string, years double"
+    gold = spark.createDataFrame([(i, a, b, "Remote", 1.0) for i, (a, b) in enumerate([*pairs, (["a"], ["b"])])], f"job_id int, {kinds}")
+    found = spark.createDataFrame([(i, f"m{m}", a, b, "Hybrid", None) for i in range(len(pairs)) for m, (a, b) in enumerate(pairs)], f"job_id int, method string, {kinds}")
+    nothing = F.array().cast("array<string>")
+    p = found.select("job_id", "method", *(F.coalesce(c, nothing).alias(f"p_{c}") for c in ("required", "preferred")))
+    both = gold.join(p, "job_id", "left").withColumns({f"p_{c}": F.coalesce(f"p_{c}", nothing) for c in ("required", "preferred")}).withColumns({f"{x}any_skill": F.array_union(f"{x}required", f"{x}preferred") for x in ("", "p_")})
+    cols = []
+    for s in C.SCOPES:
+        tp = F.size(F.array_intersect(s, f"p_{s}"))
+        cols += [tp.alias(f"{s}_tp"), (F.size(F.array_distinct(f"p_{s}")) - tp).alias(f"{s}_fp"), (F.size(F.array_distinct(s)) - tp).alias(f"{s}_fn"), (F.sort_array(s) == F.sort_array(f"p_{s}")).alias(f"{s}_exact")]
+    swapped = lambda x: F.array_except(f"{x}preferred", f"{x}required")
+    right = F.size(F.array_union(F.array_intersect("required", "p_required"), F.array_intersect(swapped(""), swapped("p_"))))
+    want = both.select("job_id", "method", *cols, F.size(F.array_intersect("any_skill", "p_any_skill")).alias("skill_type_overlap"), right.alias("skill_type_correct"))
+    got = C.score_items(gold, found)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == len(pairs) ** 2 + 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "sort_array" not in plan[: plan.index("Join LeftOuter")]
+
+
+def test_a_single_name_is_its_list(spark):
+    cases = ["sql", "mssql", "k8s", "r", "R", "nan", "none", "", "a,", ",a", "a, a", "b,a", "a b", " a", "[]", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    got = df.select("i", N.listed_skills(F.col("c")).alias("v"), N.skill_set(N.parse_list(F.col("c"))).alias("w")).collect()
+    assert all(r.v == r.w for r in got) and got[0].v == ["sql"]
+    assert "ELSE array(c#" in df.select(N.listed_skills(F.col("c")))._jdf.queryExecution().analyzed().toString()
