@@ -124,6 +124,9 @@ def test_items_are_scored_as_by_sets(spark):
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == len(pairs) ** 2 + 1
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array" in plan and "sort_array" not in plan[: plan.index("Join LeftOuter")]
+    # the counts of one scope don't ask for the other's sets
+    one = C.score_items(C.standardised(S.gold(spark, DATA), False), C.standardised(S.found(spark, DATA), True)).select("method", "required_tp", "required_fp", "required_fn")
+    assert "spark, kafka" not in planned(one) and "aws, sql" not in planned(one) and "tableau, sql, dbt" in planned(one)
 
 
 def test_a_single_name_is_its_list(spark):
